@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from lakeward.llm.chat import ORACLE_OP7, op7_chat_formatting
 from lakeward.llm.packing import op3_packing
 from lakeward.llm.pieces import op10_sentencepiece
+from lakeward.llm.quality import op9_quality_rules
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": ORACLE_OP7}
