@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from lakeward.llm.chat import ORACLE_OP7, op7_chat_formatting
+from lakeward.llm.language import op1_language_id
 from lakeward.llm.packing import op3_packing
 from lakeward.llm.pieces import op10_sentencepiece
 from lakeward.llm.quality import op9_quality_rules
 from lakeward.llm.sketches import op6_fingerprints
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
     "op6_fingerprints": op6_fingerprints,
     "op7_chat_formatting": op7_chat_formatting,
