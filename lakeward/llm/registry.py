@@ -7,13 +7,17 @@ from lakeward.llm.language import op1_language_id
 from lakeward.llm.packing import op3_packing
 from lakeward.llm.pieces import op10_sentencepiece
 from lakeward.llm.quality import op9_quality_rules
+from lakeward.llm.simhash import op5_simhash
 from lakeward.llm.sketches import op6_fingerprints
+from lakeward.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
+    "op5_simhash": op5_simhash,
     "op6_fingerprints": op6_fingerprints,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
