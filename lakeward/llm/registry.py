@@ -9,10 +9,12 @@ from lakeward.llm.pieces import op10_sentencepiece
 from lakeward.llm.quality import op9_quality_rules
 from lakeward.llm.simhash import op5_simhash
 from lakeward.llm.sketches import op6_fingerprints
+from lakeward.llm.substrings import op2_substring_dedup
 from lakeward.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op5_simhash": op5_simhash,
     "op6_fingerprints": op6_fingerprints,
