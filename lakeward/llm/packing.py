@@ -242,7 +242,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return source.mapInArrow(pack, PIECES)
 
 
-def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_stage(spark, table(spark, sf_dir, "documents"), sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lakeward.llm.backoff import op4_lm_scoring
 from lakeward.llm.chat import ORACLE_OP7, op7_chat_formatting
 from lakeward.llm.language import op1_language_id
 from lakeward.llm.packing import op3_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash": op5_simhash,
     "op6_fingerprints": op6_fingerprints,
     "op7_chat_formatting": op7_chat_formatting,
