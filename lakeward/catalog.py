@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from lakeward.plans import audit_queries, correlation_queries, discovery_queries, serving_queries
+
+_MODULES = (discovery_queries, audit_queries, correlation_queries, serving_queries)
+
+QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
