@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import POWERS, materialize, mix64, run_hashes, shuffle_partitions, span_hashes, table, text_buffers, text_chunks, word_bounds
+from lakeward.llm.common import POWERS, free_name, materialize, mix64, run_hashes, shuffle_partitions, span_hashes, table, text_buffers, text_chunks, word_bounds
 
 WINDOW, ANCHOR = 35, 8
 #: Cells of a sketch row, as a power of two. The merged sketch is one bit a cell: 2 * 2^27 / 8 = 32 MB
@@ -215,10 +215,14 @@ def covered_words(n: int, spans: list[dict], window: int = WINDOW) -> np.ndarray
     return np.cumsum(change[:n]) > 0
 
 
-def with_spans(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """Each row of `docs` with `spans`; rows with equal id and text have equal spans."""
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(repeated_spans(keyed, bits).hint("shuffle_hash"), ["_doc", "_tie"], "left").drop("_doc", "_tie")
+def with_spans(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[DataFrame, str]:
+    """Each row of `docs` with its spans in one more column, whose name is free in `docs`; rows with equal
+    id and text have equal spans."""
+    doc, tie, spans = (free_name(docs, n) for n in ("_doc", "_tie", "_spans"))
+    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(tie, F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = repeated_spans(keyed.select(F.col(doc).alias("_doc"), F.col(tie).alias("_tie"), "text"), bits)
+    found = found.select(F.col("_doc").alias(doc), F.col("_tie").alias(tie), F.col("spans").alias(spans))
+    return keyed.join(found.hint("shuffle_hash"), [doc, tie], "left").drop(doc, tie), spans
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -246,8 +250,8 @@ def kept_words(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
                 out[2].append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], schema=_SCHEMA)
 
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bits).select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows, spans_of = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bits)
+    return rows.select("doc_id", "text", spans_of).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -277,7 +281,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
                 columns[names.index("n_chars")] = pa.array(lengths, columns[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(good, pa.bool_()))
 
-    return with_spans(docs).select(*names, "spans").mapInArrow(cut, kinds)
+    rows, spans_of = with_spans(docs)
+    return rows.select(*names, spans_of).mapInArrow(cut, kinds)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
