@@ -171,14 +171,14 @@ def rules_column(rules: Sequence[Rule]) -> Column:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
-    """Rules from at most about `rows` labelled documents (label quality 0 is bad)."""
+    """Rules from at most about `rows` labelled documents (label quality 0 is bad) that pass the base test."""
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
     n = known.count()
     part = F.crc32(F.concat(F.lit("rules"), F.col("doc_id").cast("string")))
     sample = known if n <= rows else known.where(F.pmod(part, F.lit(1 << 20)) < int(rows / n * (1 << 20)))
     sample = sample.dropDuplicates(["doc_id"])
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = text_statistics(labelled, keep=("doc_id", "quality")).select(
+    found = text_statistics(labelled, keep=("doc_id", "quality")).where(~base_failed()).select(
         *[c.alias(name) for name, c in feature_columns().items()],
         (F.col("quality") == 0).alias("bad"),
         F.pmod(part, F.lit(3)).alias("fold"),
@@ -186,6 +186,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[
     return learn_rules([r.asDict() for r in found.collect()])
 
 
+def base_failed() -> Column:
+    """Too few words, or most of them in repeated windows."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge_documents(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Statistics and verdicts, one row per input row.
 
@@ -193,8 +198,7 @@ def judge_documents(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     columns are not read; an empty table gives no rows. The statistics of a text of any length are
     linear in it but for one sort.
     """
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = text_statistics(docs).withColumn("base_failed", base)
+    judged = text_statistics(docs).withColumn("base_failed", base_failed())
     return judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(rules_column(rules)))
 
 
