@@ -46,7 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
 def reread(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write as Parquet below a folder that all executors share, and read it again."""
     path = f"{folder}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

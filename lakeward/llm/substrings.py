@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import POWERS, free_name, materialize, mix64, run_hashes, shuffle_partitions, span_hashes, table, text_buffers, text_chunks, word_bounds
+from lakeward.llm.common import POWERS, free_name, materialize, mix64, reread, run_hashes, shared_folder, shuffle_partitions, span_hashes, table, text_buffers, text_chunks, word_bounds
 
 WINDOW, ANCHOR = 35, 8
 #: Cells of a sketch row, as a power of two. The merged sketch is one bit a cell: 2 * 2^27 / 8 = 32 MB
@@ -180,7 +180,9 @@ def candidate_contexts(docs: DataFrame, bitmap: np.ndarray, bits: int = SKETCH_B
 
 def repeated_spans(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
     """For each (doc, tie) the starts of contexts and the bits of their windows that repeat."""
-    found = materialize(candidate_contexts(docs, repeated_cells(docs, bits), bits))
+    # Compressed columns take about half of a checkpoint's space; the table is read three times.
+    folder = shared_folder(docs.sparkSession, "contexts")
+    found = reread(candidate_contexts(docs, repeated_cells(docs, bits), bits), folder, "candidates")
     totals = materialize(found.groupBy("anchor", "content").agg(F.sum("n").alias("n")))
     # Anchors whose contexts have to be compared window by window: one occurs once, and is not alone.
     open_anchors = materialize(totals.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("anchor"))
