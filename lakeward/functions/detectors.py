@@ -6,7 +6,7 @@ that they mean the same to Java, Python and RE2.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
@@ -121,3 +121,30 @@ def is_placeholder(value: Column) -> Column:
 def typographic_fold(value: Column) -> Column:
     """No-break spaces become spaces, typographic dashes hyphens."""
     return F.translate(value, "\u00a0\u2007\u202f\u2010\u2011\u2012\u2013\u2212", "   -----")
+
+
+# Mailboxes of systems, and endings of file names that look like domains.
+SYSTEM_MAILBOXES = ("noreply", "no-reply", "donotreply", "postmaster", "mailer-daemon", "root", "daemon", "admin", "webmaster", "abuse", "hostmaster", "support", "info")
+FILE_ENDINGS = ("png", "jpg", "jpeg", "gif", "svg", "js", "css", "html", "json", "xml", "csv", "txt", "zip", "gz")
+TICKET = "^(?:TGT|ST|PT|PGT|PGTIOU|OC|AT|RT)-[0-9]+-[A-Za-z0-9-]{8,}$"
+
+
+def personal_mailbox(value: Column) -> Column:
+    """An address of a person: no system's mailbox, no generated local part, no file name."""
+    local, ending = F.lower(F.substring_index(value, "@", 1)), F.lower(F.substring_index(value, ".", -1))
+    return ~local.isin(*SYSTEM_MAILBOXES) & ~local.rlike("^[0-9a-f-]{16,}$") & ~ending.isin(*FILE_ENDINGS)
+
+
+def loose_phone(value: Column) -> Column:
+    """A whole value of 7 to 15 digits and separators, for columns whose name speaks of phones."""
+    return value.rlike("^\\+?[0-9 ().-]+$") & F.length(F.regexp_replace(value, "[^0-9]", "")).between(7, 15)
+
+
+def is_ticket(value: Column) -> Column:
+    return value.rlike(TICKET)
+
+
+def screen_tickets(values: DataFrame, key: list[str]) -> DataFrame:
+    """Values without tickets; a column with a strict ticket is dropped whole."""
+    tainted = values.where(is_ticket(F.col("value"))).select(*key).distinct()
+    return values.join(tainted, key, "left_anti")

@@ -226,3 +226,19 @@ def own_activity(events: DataFrame, principal: str, budget: int) -> DataFrame:
     spent = own_budget(events)
     own = (F.col("principal") == principal) & (F.col("action") == "read") & (F.col("spent") <= budget)
     return spent.where(~F.coalesce(own, F.lit(False))).drop("spent")
+
+
+def evict_baselines(states: DataFrame, target: str, updated: str, name: str, most: int = 10_000) -> DataFrame:
+    """The most recently updated baselines of each target, at most `most`."""
+    place = F.row_number().over(Window.partitionBy(target).orderBy(F.desc(updated), name))
+    return states.withColumn("_r", place).where(F.col("_r") <= most).drop("_r")
+
+
+def location_key(*parts: Column) -> Column:
+    """Identity of a location: a hash of its folded parts; an absent part differs from an empty one."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), fold_name(p)), F.lit("-")) for p in parts]), 256)
+
+
+def name_inventory(names: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    """Distinct names with their counts, one more than `bound` at most, so that a caller sees an overflow."""
+    return names.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).limit(bound + 1)

@@ -144,11 +144,27 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.withColumn("allowed", C.lifecycle_allows(F.col("old"), F.col("new"))).groupBy("old", "new", "allowed").agg(F.count("*").alias("n"))
 
 
+def baseline_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = access_events(spark, sf_dir).groupBy("target", "principal").agg(F.max("ts").alias("updated"))
+    return C.evict_baselines(states, "target", "updated", "principal", 10)
+
+
+def location_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sample_findings(spark, sf_dir)
+    schema = F.when(F.col("finding_id") % 2 == 0, F.lit("Public "))
+    return found.groupBy(C.location_key(F.col("target"), F.col("db"), schema, F.col("object")).alias("location")).agg(F.count("*").alias("n"))
+
+
+def name_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.name_inventory(access_events(spark, sf_dir), ["target", "object"], 50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         object_sensitivity, event_score, schema_wildcard_join, database_bound, derive_objects, merge_objects_topk, policy_match, exception_anti, baseline_fold, anomaly_verdict,
         incident_dedup, incident_cap, incident_reopen, signal_union, finding_upsert_last_wins, batch_outcomes, dedup_principals, lifecycle,
+        baseline_eviction, location_keys, name_inventory,
     )
 }
 
@@ -210,6 +226,11 @@ ORACLE_SQL = {
       SELECT CASE WHEN p = 1 THEN 'accepted' WHEN h = f THEN 'duplicate' ELSE 'conflict' END AS outcome, count(*) AS n FROM w GROUP BY 1""",
     "dedup_principals": f"""WITH {EVENTS_SQL} SELECT CASE WHEN k % 7 = 0 THEN 'unrecorded:' || net ELSE coalesce(usr, 'unknown:' || net) END AS who, count(*) AS n FROM (
       SELECT k, CASE WHEN k % 3 > 0 THEN principal END AS usr, CASE WHEN k % 2 = 0 THEN '10.0.0.0/24' ELSE 'none' END AS net FROM ev) GROUP BY 1""",
+    "baseline_eviction": f"""WITH {EVENTS_SQL}, s AS (SELECT target, principal, max(ts) AS updated FROM ev GROUP BY 1, 2)
+      SELECT target, principal, updated FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY updated DESC, principal) <= 10""",
+    "location_keys": f"""WITH {FINDINGS_SQL} SELECT sha256('=' || target || chr(31) || '=' || db || chr(31) || CASE WHEN finding_id % 2 = 0 THEN '=public' ELSE '-' END || chr(31) || '=' || object) AS location,
+      count(*) AS n FROM fi GROUP BY 1""",
+    "name_inventory": f"WITH {EVENTS_SQL} SELECT target, object, count(*) AS n FROM ev GROUP BY 1, 2 ORDER BY n DESC, target, object LIMIT 51",
     "lifecycle": f"""WITH {EVENTS_SQL}, s AS (SELECT ['open', 'acknowledged', 'resolved', 'false_positive'] AS a), m AS (SELECT a[k % 4 + 1] AS old, a[(k // 4) % 4 + 1] AS new FROM ev, s)
       SELECT old, new, (old = 'open' AND new IN ('acknowledged', 'resolved', 'false_positive')) OR (old = 'acknowledged' AND new IN ('resolved', 'false_positive')) OR (old IN ('resolved', 'false_positive') AND new = 'open') AS allowed, count(*) AS n FROM m GROUP BY ALL""",
 }

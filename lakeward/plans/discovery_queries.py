@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeward.functions import detectors as D
 from lakeward.functions import masking as M
 from lakeward.functions import names as N
+from lakeward.functions.evidence import decide_evidence
 from lakeward.operators import discovery as V
 from lakeward.operators import serving
 from lakeward.plans.base import read
@@ -38,6 +39,12 @@ def all_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.findings(sampled_values(spark, sf_dir))
 
 
+def evidence_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, addresses and birth dates have no SQL form; order dates stand for a date column."""
+    orders = read(spark, sf_dir, "orders").select(F.lit("orders").alias("object"), F.lit("o_orderdate").alias("field"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value"))
+    return decide_evidence(sampled_values(spark, sf_dir).unionByName(orders))
+
+
 def placeholder_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select(F.regexp_replace("o_orderpriority", "^4-.*", "N/A").alias("v"))
     return orders.agg(F.count("*").alias("n"), F.sum(D.is_placeholder(F.col("v")).cast("long")).alias("placeholders"))
@@ -75,6 +82,11 @@ def keyed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.fingerprints(_native_scan(spark, sf_dir), M.keyed_digest(b"an example key", "value"))
 
 
+def personal_mailboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read(spark, sf_dir, "documents").select(F.explode(D.find_emails(F.coalesce("text", F.lit("")))).alias("raw"))
+    return found.groupBy(D.personal_mailbox(F.col("raw")).alias("personal"), F.substring_index("raw", "@", -1).alias("domain")).agg(F.count("*").alias("n"))
+
+
 def client_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(spark, sf_dir, "documents").select(F.explode(D.extract(F.coalesce("text", F.lit("")), r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b")).alias("address"))
     return found.select(N.network_v4(F.col("address")).alias("network")).where("network is not null").groupBy("network").agg(F.count("*").alias("n"))
@@ -104,8 +116,8 @@ def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        discover_email_card, column_stats, all_classifiers, placeholder_share, nanp_phone_columns, mask_email, mask_card, mask_phone,
-        sample_bottom_k, keyed_fingerprints, client_networks, fold_name_join, glob_filter, eval_precision_recall,
+        discover_email_card, column_stats, all_classifiers, evidence_columns, placeholder_share, nanp_phone_columns, mask_email, mask_card, mask_phone,
+        sample_bottom_k, keyed_fingerprints, personal_mailboxes, client_networks, fold_name_join, glob_filter, eval_precision_recall,
     )
 }
 
@@ -171,6 +183,9 @@ ORACLE_SQL = {
       m AS (SELECT left(raw, 1) || '***@' || left(split_part(raw, '@', -1), 1) || '***.' || split_part(split_part(raw, '@', -1), '.', -1) AS masked, sha256('text' || chr(31) || raw) AS r FROM h)
       SELECT 'documents' AS object, 'text' AS field, 'email' AS classifier, masked, place FROM (
       SELECT masked, row_number() OVER (ORDER BY min(r), masked) AS place FROM m GROUP BY masked) WHERE place <= 5""",
+    "personal_mailboxes": f"""WITH h AS (SELECT unnest(list_filter(regexp_extract_all(text, '{D.EMAIL}'), lambda x: {_EMAIL_OK})) AS raw FROM documents),
+      p AS (SELECT split_part(raw, '@', -1) AS domain, lower(split_part(raw, '@', 1)) AS l, lower(split_part(raw, '.', -1)) AS e FROM h)
+      SELECT l NOT IN {D.SYSTEM_MAILBOXES} AND NOT regexp_matches(l, '^[0-9a-f-]{{16,}}$') AND e NOT IN {D.FILE_ENDINGS} AS personal, domain, count(*) AS n FROM p GROUP BY 1, 2""",
     "client_networks": f"""SELECT regexp_extract(a, '^(\\d+\\.\\d+\\.\\d+)\\.', 1) || '.0/24' AS network, count(*) AS n FROM (
       SELECT unnest(regexp_extract_all(text, '\\b[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{3}}\\b')) AS a FROM documents) WHERE regexp_matches(a, '^{N.IPV4}$') GROUP BY 1""",
     "fold_name_join": f"""WITH {EVENTS_SQL}, {FINDINGS_SQL} SELECT name, events, findings FROM (SELECT lower(object) AS name, count(*) AS events FROM ev GROUP BY 1)

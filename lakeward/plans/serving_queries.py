@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeward.functions.sqlshape import sql_shape, statement_kind
 from lakeward.operators import serving as V
+from lakeward.operators import validation as W
 from lakeward.plans.base import access_events, read, sample_findings
 from lakeward.sources import sampling as P
 
@@ -129,12 +130,27 @@ def statement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").groupBy(statement_kind(text).alias("kind")).agg(F.count("*").alias("n"))
 
 
+def hourly_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = W.hourly_budget(access_events(spark, sf_dir), ["target"], ["ts", "event_id"], 2)
+    return marked.groupBy("target", "sent").agg(F.count("*").alias("n"))
+
+
+def dropped_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = access_events(spark, sf_dir).where("action = 'connect'").groupBy("target", "ts").agg(F.max("k").cast("long").alias("dropped"))
+    return W.dropped_batch_alerts(reports, "target", "dropped")
+
+
+def invalid_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = sample_findings(spark, sf_dir).withColumn("matched", F.col("matched") + F.col("finding_id") % 7).withColumn("confidence", F.col("confidence") + 0.02)
+    return odd.withColumn("error", F.explode(W.finding_errors())).groupBy("error").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         fair_listing, summary_rank, latest_per_target, severity_sort_topk, newest_events, active_counts, hourly_digest, event_digest_map, coverage_gap, settings_shrink,
         silent_agents, status_metrics, findings_stamp, incident_events, retry_schedule, document_flatten, key_pattern_templates, family_balance, object_selection,
-        sql_shapes, statement_kinds,
+        sql_shapes, statement_kinds, hourly_budgets, dropped_batches, invalid_findings,
     )
 }
 
@@ -170,5 +186,11 @@ ORACLE_SQL = {
       UNION ALL SELECT 'tags[].t', event_type FROM events UNION ALL SELECT 'by.*', CAST(user_id AS VARCHAR) FROM events) GROUP BY 1""",
     "family_balance": "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) SELECT doc_id, source FROM r ORDER BY r, source LIMIT 200",
     "object_selection": "SELECT s_suppkey, s_name FROM supplier WHERE (regexp_matches(lower(s_name), '^supplier#.*1.$') OR s_name LIKE '%7') AND s_name NOT LIKE '%17'",
+    "hourly_budgets": f"""WITH {EVENTS_SQL}, r AS (SELECT target, row_number() OVER (PARTITION BY target, date_trunc('hour', ts) ORDER BY ts, event_id) <= 2 AS sent FROM ev)
+      SELECT target, sent, count(*) AS n FROM r GROUP BY 1, 2""",
+    "dropped_batches": f"""WITH {EVENTS_SQL}, c AS (SELECT target, ts, max(k) AS v FROM ev WHERE action = 'connect' GROUP BY 1, 2), l AS (SELECT *, lag(v) OVER (PARTITION BY target ORDER BY ts) AS b FROM c),
+      d AS (SELECT target, ts, CASE WHEN b IS NULL OR v < b THEN v ELSE v - b END AS d FROM l) SELECT target, date_trunc('hour', ts) AS hour, CAST(sum(d) AS BIGINT) AS dropped FROM d WHERE d > 0 GROUP BY 1, 2""",
+    "invalid_findings": f"""WITH {FINDINGS_SQL} SELECT 'confidence' AS error, count(*) AS n FROM fi WHERE confidence + 0.02 > 1 HAVING count(*) > 0
+      UNION ALL SELECT 'matched', count(*) FROM fi WHERE matched + finding_id % 7 > sampled HAVING count(*) > 0""",
     "statement_kinds": """SELECT ['read','read','read','read','read','read','read','read','write','dcl','ddl','other'][event_id % 12 + 1] AS kind, count(*) AS n FROM events GROUP BY 1""",
 }
