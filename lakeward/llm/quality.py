@@ -178,12 +178,15 @@ def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[
     sample = known if n <= rows else known.where(F.pmod(part, F.lit(1 << 20)) < int(rows / n * (1 << 20)))
     sample = sample.dropDuplicates(["doc_id"])
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = text_statistics(labelled, keep=("doc_id", "quality")).where(~base_failed()).select(
+    found = text_statistics(labelled, keep=("doc_id", "quality")).select(
         *[c.alias(name) for name, c in feature_columns().items()],
         (F.col("quality") == 0).alias("bad"),
         F.pmod(part, F.lit(3)).alias("fold"),
+        base_failed().alias("failed"),
     )
-    return learn_rules([r.asDict() for r in found.collect()])
+    # Rows are left out here, not by a filter, which would be pushed below the join and so be worked out
+    # for every document.
+    return learn_rules([r.asDict() for r in found.collect() if not r.failed])
 
 
 def base_failed() -> Column:
