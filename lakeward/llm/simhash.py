@@ -228,24 +228,27 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """fp and label: the least `rep` that is reachable over the edges; only fingerprints with edges.
+    """fp, label (the least `rep` reachable over the edges) and root (the least fp); only fingerprints
+    with edges.
 
-    Each round takes the least label of the neighbours, then the label of the label, so that long
-    chains shorten by half; rounds end when no label has changed.
+    Roots spread, since a `rep` may stand for several fingerprints (a repeated id, or none). Each round
+    takes the least root of the neighbours, then the root of the root, so that long chains shorten by
+    half; rounds end when no root has changed.
     """
     both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    linked = both.select(F.col("a").alias("fp")).distinct()
-    state = materialize(linked.join(nodes, "fp").select("fp", "rep", F.col("rep").alias("label")))
+    state = materialize(both.select(F.col("a").alias("fp")).distinct().withColumn("root", F.col("fp")))
     total = None
     while True:
-        now = state.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
+        now = state.agg(F.sum(F.col("root").cast("decimal(38,0)")), F.count("*")).first()
         if not now[1] or now[0] == total:
-            return state.select("fp", "label")
+            break
         total = now[0]
-        near = both.join(state.select(F.col("fp").alias("a"), "label"), "a").groupBy(F.col("b").alias("fp")).agg(F.min("label").alias("near"))
-        state = materialize(state.join(near, "fp").select("fp", "rep", F.least("label", "near").alias("label")))
-        of_label = state.select(F.col("rep").alias("label"), F.col("label").alias("further"))
-        state = materialize(state.join(of_label, "label").select("fp", "rep", F.least("label", "further").alias("label")))
+        near = both.join(state.select(F.col("fp").alias("a"), "root"), "a").groupBy(F.col("b").alias("fp")).agg(F.min("root").alias("near"))
+        state = materialize(state.join(near, "fp").select("fp", F.least("root", "near").alias("root")))
+        of_root = state.select(F.col("fp").alias("root"), F.col("root").alias("further"))
+        state = materialize(state.join(of_root, "root").select("fp", F.least("root", "further").alias("root")))
+    least = state.join(nodes, "fp").groupBy("root").agg(F.min("rep").alias("label"))
+    return state.join(least, "root").select("fp", "label", "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -205,6 +205,21 @@ def test_large_groups_are_cut_into_blocks(spark):
     assert len(labels) == len(values) and {r.label for r in labels} == {0}
 
 
+def test_components_of_shared_reps(spark):
+    shared = (1 << 63) - 1
+    nodes = spark.createDataFrame([(0, shared), (1, shared), (3, shared), (12, 7), (13, 7), (15, 7), (40, 5), (41, shared)], "fp long, rep long")
+    edges = spark.createDataFrame([(0, 1), (1, 3), (12, 13), (13, 15), (40, 41)], "a long, b long")
+    got = sorted(tuple(r) for r in simhash.components(nodes, edges).select("fp", "label", "root").collect())
+    assert got == [(0, shared, 0), (1, shared, 0), (3, shared, 0), (12, 7, 12), (13, 7, 12), (15, 7, 12), (40, 5, 40), (41, 5, 40)]
+
+
+def test_near_texts_without_id_and_of_one_id(spark, monkeypatch):
+    values = {"a": 0, "b": 1, "c": 3, "d": 0x0FF0, "e": 0x0FF1}
+    monkeypatch.setattr(simhash, "fingerprint_documents", lambda d, shingle: d.select("doc_id", F.element_at(F.create_map(*[F.lit(x) for p in values.items() for x in p]), F.col("text")).cast("long").alias("fp")))
+    got = sorted(((r.doc_id or 0), int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(frame(spark, [(None, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e")])).collect())
+    assert got == [(0, 0, (1 << 63) - 1), (0, 1, (1 << 63) - 1), (0, 3, (1 << 63) - 1), (7, 0x0FF0, 7), (7, 0x0FF1, 7)]
+
+
 def test_sketches_equal_sets(docs, texts):
     fine, coarse = (re.compile(r"(?:[^ \t\n\x0b\x0c\r]++[ \t\x0b\x0c\r]*+){1,%d}+" % n) for n in (16, 64))
 
