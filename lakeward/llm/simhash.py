@@ -17,13 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lakeward.llm.common import materialize, shuffle_partitions, table, text_buffers, text_chunks, word_bounds
+from lakeward.llm.common import free_name, materialize, mix64, reread, run_hashes, shared_folder, shuffle_partitions, span_hashes, table, text_buffers, text_chunks, word_bounds
 
 SHINGLE = 3
 RADIUS = 2
 #: Fingerprints of one key that are compared in one task at most (about): two blocks of these.
 BLOCK = 2048
+#: The pipeline's stage: words of a shingle, least Jaccard similarity (4/5), radius that SimHashes of such
+#: sets keep to (about 10 bits apart at 0.8), bands and their rows (a pair at 0.8 shares one but for 1e-4).
+STAGE_SHINGLE, SIMILAR, STAGE_RADIUS, BANDS, BAND_ROWS = 5, (4, 5), 30, 24, 5
 _SMALL = 32
 
 
@@ -265,10 +269,159 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For parts of a column: rows with words, start of each row's shingle set, the sets' sorted hashes."""
+    data, offsets = text_buffers(column)
+    for low, high in text_chunks(offsets):
+        part = data[offsets[low] : offsets[high]]
+        part = part + (((part >= 0x41) & (part <= 0x5A)).astype(np.uint8) << 5)
+        starts, ends, first = word_bounds(part, offsets[low : high + 1] - offsets[low])
+        if not len(starts):
+            continue
+        words = np.diff(first)
+        rows = np.flatnonzero(words)
+        hashes, of = [], []
+        runs = span_hashes(part, starts, ends)
+        for n in range(1, shingle):
+            short = np.flatnonzero(words == n)
+            if len(short):
+                hashes.append(run_hashes(runs, n)[first[:-1][short]])
+                of.append(short)
+        long = np.flatnonzero(words >= shingle)
+        if len(long):
+            count = words[long] - shingle + 1
+            at = np.arange(int(count.sum())) + np.repeat(first[:-1][long] - (np.cumsum(count) - count), count)
+            hashes.append(run_hashes(runs, shingle)[at])
+            of.append(np.repeat(long, count))
+        value, row = np.concatenate(hashes), np.concatenate(of)
+        order = np.lexsort((value, row))
+        value, row = value[order], row[order]
+        new = np.concatenate(([True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])))
+        value, row = value[new], row[new]
+        yield low + rows, np.searchsorted(row, rows), value
+
+
+def set_keys(column: pa.Array, shingle: int = STAGE_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: a hash of its shingle set (zero: no words), the row among those with words or -1,
+    and these rows' band keys: each hashes BAND_ROWS least values under random orders of the shingles."""
+    node, place, bands = np.zeros(len(column), np.uint64), np.full(len(column), -1), []
+    rng = np.random.default_rng(17)
+    salts = rng.integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+    done = 0
+    for rows, begin, value in shingle_sets(column, shingle):
+        size = np.diff(np.append(begin, len(value))).astype(np.uint64)
+        node[rows] = mix64(np.add.reduceat(mix64(value ^ np.uint64(0xA5A5)), begin) + mix64(size)) | np.uint64(1)
+        keys = np.zeros((len(rows), BANDS), np.uint64)
+        for k, salt in enumerate(salts):
+            least = np.minimum.reduceat((value ^ salt) * (salt | np.uint64(1)) ^ (value >> np.uint64(29)) * salt, begin)
+            keys[:, k // BAND_ROWS] = mix64(keys[:, k // BAND_ROWS] + least + np.uint64(k))
+        bands.append(keys)
+        place[rows] = done + np.arange(len(rows))
+        done += len(rows)
+    return node, place, np.concatenate(bands) if bands else np.zeros((0, BANDS), np.uint64)
+
+
+def set_prints(begin: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """SimHash of each set."""
+    size = np.diff(np.append(begin, len(value)))
+    out = np.zeros(len(begin), np.uint64)
+    for bit in range(64):
+        ones = np.add.reduceat(((value >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), begin)
+        out |= (2 * ones > size).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
+def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int) -> list[tuple[int, int]]:
+    """Links that connect all sets whose Jaccard similarity is at least SIMILAR; pairs that are already
+    connected are left out. Bit planes sort out pairs beyond the radius; the sets themselves decide."""
+    num, den = SIMILAR
+    label, size, found = np.arange(len(sets)), np.array([len(x) for x in sets]), []
+    for i in range(len(sets) - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        rest = rest[den * np.minimum(size[rest], size[i]) >= num * np.maximum(size[rest], size[i])]
+        if not len(rest):
+            continue
+        if len(rest) > _SMALL:
+            rest = rest[close_in_block(prints[i : i + 1], prints[rest], radius)[1]]
+        for low in range(0, len(rest), 1024):
+            some = rest[low : low + 1024]
+            values = np.concatenate([sets[j] for j in some])
+            at = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
+            both = np.add.reduceat((sets[i][at] == values).astype(np.int64), np.cumsum(size[some]) - size[some])
+            good = some[den * both >= num * (size[some] + size[i] - both)]
+            found += [(i, int(j)) for j in good]
+            label[np.isin(label, label[good])] = label[i]
+    return found
+
+
+def similar_sets(marked: DataFrame, node: str, keys: str) -> DataFrame:
+    """Edges (a, b) between nodes of similar shingle sets.
+
+    Sets that share a band meet in one task. Bands with the same members are the same group, of which
+    one is kept; equal sets are one node, so copies take no part.
+    """
+    nodes = marked.where(F.col(keys).isNotNull()).select(F.col(node).alias("node"), F.col(keys).alias("keys")).dropDuplicates(["node"])
+    dealt = materialize(nodes.select("node", F.explode("keys").alias("key")))
+    groups = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
+    chosen = materialize(groups.groupBy("n", "members").agg(F.min("key").alias("key")).select("key"))
+    shared = materialize(dealt.join(chosen, "key"))
+    text = marked.join(shared.select(F.col("node").alias(node)).distinct(), node, "left_semi").groupBy(node).agg(F.any_value("text").alias("text"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, begin, value in shingle_sets(batch.column(1), STAGE_SHINGLE):
+                ends = np.append(begin, len(value))
+                sets = [value[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(set_prints(begin, value).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "fp", "grams"])
+
+    sets = text.mapInArrow(read, "node long, fp long, grams binary")
+    spread = shared.join(sets, "node").select("key", "node", "fp", "grams").repartition(shuffle_partitions(marked.sparkSession), "key").sortWithinPartitions("key", "node")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(group: list[tuple]) -> list[tuple[int, int]]:
+            prints = np.array([g[1] for g in group], np.int64).view(np.uint64)
+            return [(group[i][0], group[j][0]) for i, j in similar_links(prints, [np.frombuffer(g[2], np.uint64) for g in group], STAGE_RADIUS)]
+
+        def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        last, group, edges = None, [], []
+        for batch in batches:
+            for key, *member in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if key != last:
+                    edges += linked(group)
+                    last, group = key, []
+                group.append(member)
+            yield batch_of(edges)
+            edges = []
+        yield batch_of(edges + linked(group))
+
+    return spread.mapInArrow(link, "a long, b long").distinct()
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the least id. Rows without id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One document of each set of near copies: that of the least id, then of the least text hash.
+
+    Near copies have a Jaccard similarity of at least 0.8 on sets of five-word shingles (a shorter text
+    is one shingle), directly or over others. Rows without id come last; texts without words are alike.
+    """
+    node, keys, row = free_name(docs, "near_node"), free_name(docs, "near_keys"), free_name(docs, "near_row")
+    fields = ", ".join((f"`{node}` long", f"`{keys}` array<long>"))
+    names, at = docs.columns, docs.columns.index("text")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node_of, place, bands = set_keys(batch.column(at))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_of.view(np.int64)), lists.take(pa.array(place, mask=place < 0))], names=[*names, node, keys])
+
+    kind = StructType([*docs.schema.fields, *StructType.fromDDL(fields).fields])
+    marked = reread(docs.mapInArrow(mark, kind).withColumn(row, F.monotonically_increasing_id()), shared_folder(spark, "near"), "marked")
+    nodes = marked.select(F.col(node).alias("fp"), F.lit(0).cast("long").alias("rep"))
+    found = components(nodes.distinct(), materialize(similar_sets(marked, node, keys))).select(F.col("fp").alias(node), "root")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
+    whose = marked.select(node, row, order.alias("order")).join(found, node, "left").groupBy(F.coalesce("root", node)).agg(F.min("order").alias("first"))
+    return marked.join(whose.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*names)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,6 +220,39 @@ def test_near_texts_without_id_and_of_one_id(spark, monkeypatch):
     assert got == [(0, 0, (1 << 63) - 1), (0, 1, (1 << 63) - 1), (0, 3, (1 << 63) - 1), (7, 0x0FF0, 7), (7, 0x0FF1, 7)]
 
 
+def shingles_of(text):
+    words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept_near(rows):
+    """Plain Python: the row of least (no id, id) of each component of similarity 0.8."""
+    sets = [shingles_of(t) for _, t in rows]
+    label, changed = list(range(len(rows))), True
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or (min(map(len, (sets[i], sets[j]))) * 5 >= 4 * max(map(len, (sets[i], sets[j]))) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
+    while changed:
+        changed = False
+        for i, j in near:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best[label[k]] = min(best.get(label[k], (True, 0)), (i is None, i or 0))
+    return collections.Counter(None if none else i for none, i in best.values())
+
+
+def test_simhash_stage_equals_brute_force(spark, docs, texts):
+    words = [f"v{i}" for i in range(300)]
+    planted = [(100_000 + k, " ".join(words[:200] + [f"z{k}"] * k)) for k in range(0, 60, 12)]
+    planted += [(100_100 + k, " ".join(f"u{k}x{i}" for i in range(100))) for k in range(3)]
+    planted += [(100_200 + k, " ".join([f"u{k}x{i}" for i in range(50)] + ["new"] + [f"u{k}x{i}" for i in range(51, 100)])) for k in range(3)]
+    planted += [(None, " ".join(words[100:])), (None, " ".join(words[100:] + ["end"])), (100_300, "first text of one id"), (100_300, "second, other text of that id")]
+    rows = [*texts.items(), *planted, *ODD]
+    got = collections.Counter(r.doc_id for r in simhash.simhash_stage(spark, frame(spark, rows), SF).select("doc_id").collect())
+    assert got == kept_near(rows) and not any(got[100_200 + k] for k in range(3)) and got[100_300] == 2 and got[None] == 2
+
+
 def test_sketches_equal_sets(docs, texts):
     fine, coarse = (re.compile(r"(?:[^ \t\n\x0b\x0c\r]++[ \t\x0b\x0c\r]*+){1,%d}+" % n) for n in (16, 64))
 
