@@ -76,16 +76,23 @@ _VALUE_TOKEN = "^(?:[0-9]+|[0-9a-fA-F]{8,}|.*[0-9]{4,}.*|.*@.*|[0-9]+\\..*)$"
 def key_patterns(keys: DataFrame, key: str, separators: str = "[:/]", literals: int = MOST_LITERALS, rounds: int = ROUNDS) -> DataFrame:
     """pattern and n: keys with their data segments as `*`.
 
-    Segments that look like data are `*` at once. Then, from left to right and at most `rounds` times,
-    a position with more than `literals` different segments after the same beginning collapses to `*`.
+    Segments that look like data are `*` at once. Then, in at most `rounds` rounds, positions collapse to
+    `*`: those with more than `literals` different segments after the same beginning in keys of the same
+    length, and those with two or more before the same rest.
     """
     parts = keys.select(F.transform(F.split(key, separators), lambda s: F.when(s.rlike(_VALUE_TOKEN), F.lit("*")).otherwise(s)).alias("p"))
-    shapes = parts.groupBy("p").agg(F.count("*").alias("n"))
-    for depth in range(rounds):
-        head = F.concat_ws("/", F.slice("p", 1, depth), F.size("p").cast("string"))
-        marked = shapes.withColumn("_h", head).withColumn("_s", F.get("p", F.lit(depth)))
-        wide = marked.groupBy("_h").agg(F.count_distinct("_s").alias("_k")).where(F.col("_k") > literals)
-        joined = marked.join(wide, "_h", "left")
-        collapsed = F.transform("p", lambda s, i: F.when((i == depth) & F.col("_k").isNotNull(), F.lit("*")).otherwise(s))
-        shapes = joined.select(collapsed.alias("p"), "n").groupBy("p").agg(F.sum("n").cast("long").alias("n"))
+    shapes = parts.groupBy("p").agg(F.count("*").alias("n")).localCheckpoint()
+    position = ["_size", "_i", "_head"]
+    for _ in range(rounds):
+        places = shapes.select("p", "n", F.size("p").alias("_size"), F.posexplode("p").alias("_i", "_s"))
+        places = places.withColumn("_head", F.expr("slice(p, 1, _i)")).withColumn("_rest", F.expr("slice(p, _i + 2, _size)"))
+        literal = places.where("_s <> '*'")
+        wide = literal.groupBy(*position).agg(F.count_distinct("_s").alias("_k")).where(F.col("_k") > literals)
+        alike = literal.groupBy(*position, "_rest").agg(F.count("*").alias("_k")).where("_k > 1")
+        decided = wide.select(*position).unionByName(alike.select(*position)).distinct().withColumn("_wild", F.lit("*")).localCheckpoint()
+        if decided.isEmpty():
+            break
+        merged = places.join(decided, position, "left").groupBy("p", "n").agg(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("_wild", "_s").alias("_s")))).alias("_u"))
+        absent = shapes.where("p is null")
+        shapes = merged.select(F.col("_u._s").alias("p"), "n").groupBy("p").agg(F.sum("n").cast("long").alias("n")).unionByName(absent).localCheckpoint()
     return shapes.select(F.array_join("p", "/").alias("pattern"), "n")

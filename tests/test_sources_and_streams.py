@@ -46,6 +46,14 @@ def test_flatten_and_patterns(spark):
     assert {r.pattern: r.n for r in P.key_patterns(keys, "k").collect()} == {"customer/*/email": 30, "tag/*/x": 20, "cfg/mode": 1}
 
 
+def test_patterns_of_deep_keys_and_same_suffixes(spark):
+    letters = [chr(97 + k) for k in range(20)]
+    deep = [(f"a:b:c:d:{x}:z{x}",) for x in letters]
+    suffix = [("session:jane:cart",), ("session:joe:cart",), ("phone:1",), ("addressbook:2",), ("one:two:three:four",), (None,)]
+    got = {r.pattern: r.n for r in P.key_patterns(spark.createDataFrame(deep + suffix, "k string"), "k").collect()}
+    assert got == {"a/b/c/d/*/*": 20, "session/*/cart": 2, "*/*": 2, "one/two/three/four": 1, None: 1}
+
+
 def test_empty_and_null_events(spark):
     kind = "ts timestamp, ts_last timestamp, k string, aggregated_count int, rows long, bytes long, signals array<string>, overflowed boolean"
     assert A.aggregate_events(spark.createDataFrame([], kind), ["k"]).count() == 0
