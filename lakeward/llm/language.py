@@ -66,21 +66,19 @@ def _parts(batch: pa.RecordBatch, column: int, size: int = 512) -> Iterator[tupl
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    masks: np.ndarray  # one bit for each language
+    masks: np.ndarray  # one bit for each language, in rows of 64 languages
     false_positives: np.ndarray
 
     @classmethod
     def build(cls, grams: dict[str, np.ndarray]) -> "LanguageFilters":
         languages = sorted(grams)
-        if len(languages) > 64:
-            raise ValueError("a mask has room for 64 languages")
         most = max((len(g) for g in grams.values()), default=1)
         size = 1 << max(10, (8 * most - 1).bit_length())
-        masks = np.zeros(size, dtype=np.uint64)
+        masks = np.zeros((-(-len(languages) // 64), size), dtype=np.uint64)
         for bit, name in enumerate(languages):
             for at in cls._probes(grams[name], size):
-                masks[at] |= np.uint64(1 << bit)
-        fill = np.array([((masks >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(languages))])
+                masks[bit // 64, at] |= np.uint64(1 << bit % 64)
+        fill = np.array([((masks[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean() for b in range(len(languages))])
         return cls(languages, masks, fill**PROBES)
 
     @staticmethod
@@ -91,9 +89,9 @@ class LanguageFilters:
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         hashes, rows = text_trigrams(texts)
-        held = np.bitwise_and.reduce([self.masks[at] for at in self._probes(hashes, len(self.masks))])
+        held = np.bitwise_and.reduce([self.masks[:, at] for at in self._probes(hashes, self.masks.shape[1])])
         total = np.bincount(rows, minlength=len(texts))
-        hits = np.stack([np.bincount(rows[(held >> np.uint64(b)) & np.uint64(1) == 1], minlength=len(texts)) for b in range(len(self.languages))])
+        hits = np.stack([np.bincount(rows[(held[b // 64] >> np.uint64(b % 64)) & np.uint64(1) == 1], minlength=len(texts)) for b in range(len(self.languages))])
         false = self.false_positives[:, None]
         corrected = np.clip((hits - total * false) / np.maximum(1 - false, 1e-9), 0, None)
         best = corrected.argmax(axis=0)
@@ -134,12 +132,9 @@ def fit_filters(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilters:
 
 
 def _with_share(counts: DataFrame) -> DataFrame:
-    """Share of each trigram in its language; the few totals go to every task as literals."""
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(64).collect()}
-    if not totals:
-        return counts.withColumn("share", F.lit(0.0))
-    total = F.create_map(*[F.lit(x) for pair in totals.items() for x in pair])
-    return counts.withColumn("share", F.col("n") / total[F.col("lang")])
+    """Share of each trigram in its language; the totals, one row for each language, go to every task."""
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total")).drop("total")
 
 
 def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:

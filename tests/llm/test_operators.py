@@ -72,6 +72,15 @@ def test_language_held_out(docs):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.9 * len(got)
 
 
+def test_more_than_64_languages(spark):
+    names = [f"l{k:02}" for k in range(80)]
+    texts = {n: " ".join(chr(0x4E00 + 40 * k + j) * 2 for j in range(40)) for k, n in enumerate(names)}
+    rows = [(100 * k + i, texts[n], n) for k, n in enumerate(names) for i in range(8)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.predict_languages(known, language.fit_filters(known)).collect()}
+    assert got == {i: n for i, _, n in rows}
+
+
 def test_undetermined(odd):
     got = {r.doc_id: r.lang_pred for r in RUNS["language"](frame(odd.sparkSession, [(1, None), (2, "12 !"), (3, "a")])).collect()}
     assert got[1] == got[2] == "und"
