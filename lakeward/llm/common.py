@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +16,44 @@ from pyspark.sql import DataFrame, SparkSession
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes of an Arrow batch, and of the part of it that is worked on at once; a longer text stands alone.
+BATCH_BYTES, CHUNK = 8 << 20, 1 << 19
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch to BATCH_BYTES, so that a task's space follows from bytes and
+    not from a number of rows; a lower limit stays."""
+    limit = spark.conf.get(_BATCH_SETTING, None)
+    if limit is None or int(limit.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same Arrow function, which gives freed memory back to the system when its task ends: Python
+    workers go on to other tasks, and what they hold adds up with the executor's own memory."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}
@@ -30,10 +63,12 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """Use the cluster's shared folder; a folder of our own only where none is set and there is one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lakeward-"))
 
 
@@ -121,25 +156,46 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by prefix sums of a polynomial modulo 2^64."""
-    up, down = POWERS.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of ascending byte spans, by prefix sums of a polynomial modulo 2^64, a chunk at a time."""
+    out, low = np.empty(len(starts), np.uint64), 0
+    while low < len(starts):
+        base = int(starts[low])
+        high = max(low + 1, int(np.searchsorted(ends, base + CHUNK, side="right")))
+        part = data[base : int(ends[high - 1])]
+        if len(part) > CHUNK:  # one long span
+            out[low] = _long_hash(part)
+        else:
+            up, down = POWERS.upto(len(part) + 1)
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE_VALUE[part] * up[: len(part)], out=sums[1:])
+            a, b = starts[low:high] - base, ends[low:high] - base
+            out[low:high] = mix64((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        low = high
+    return out
 
 
-def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each run of `length` consecutive values (one per start position)."""
-    n = len(values) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = POWERS.upto(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix64((sums[length:] - sums[:n]) * down[:n])
+def _long_hash(span: np.ndarray) -> np.uint64:
+    total, up = 0, POWERS.upto(CHUNK + 1)[0]
+    for low in range(0, len(span), CHUNK):
+        part = _BYTE_VALUE[span[low : low + CHUNK]]
+        total += int((part * up[: len(part)]).sum(dtype=np.uint64)) * pow(int(_BASE), low, 1 << 64)
+    return mix64(np.array([(total + len(span)) % (1 << 64)], dtype=np.uint64))[0]
 
 
-def text_chunks(offsets: np.ndarray, size: int = 1 << 21) -> list[tuple[int, int]]:
+def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of `length` consecutive values (one per start position), a chunk at a time."""
+    out = np.empty(max(0, len(values) - length + 1), np.uint64)
+    for low in range(0, len(out), CHUNK):
+        part = values[low : low + CHUNK + length - 1]
+        up, down = POWERS.upto(CHUNK + length)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        n = len(part) - length + 1
+        out[low : low + n] = mix64((sums[length:] - sums[:n]) * down[:n])
+    return out
+
+
+def text_chunks(offsets: np.ndarray, size: int = CHUNK) -> list[tuple[int, int]]:
     """Ranges of rows with about `size` bytes each; a longer row stands alone."""
     ranges, low, rows = [], 0, len(offsets) - 1
     while low < rows:
@@ -148,3 +204,9 @@ def text_chunks(offsets: np.ndarray, size: int = 1 << 21) -> list[tuple[int, int
         ranges.append((low, high))
         low = high
     return ranges
+
+
+def text_slices(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, list[str | None]]]:
+    """Slices of a string column as lists, with their first row; each has about `size` bytes, or one longer row."""
+    for low, high in text_chunks(text_buffers(column)[1], size):
+        yield low, column.slice(low, high - low).to_pylist()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import mix64, table
+from lakeward.llm.common import CHUNK, materialize, mix64, released, small_batches, table, text_slices
 
 #: At most about so many documents are used to fit the filters; they are chosen by a hash of the id.
 FIT_ROWS = 20_000
@@ -58,9 +58,19 @@ def text_trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(before[at] | codes[at] << np.uint64(21) | after[at] << np.uint64(42)), rows[at]
 
 
-def _parts(batch: pa.RecordBatch, column: int, size: int = 512) -> Iterator[tuple[int, list]]:
-    for low in range(0, batch.num_rows, size):
-        yield low, batch.column(column).slice(low, size).to_pylist()
+def bounded_parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts as they are, or one long text in parts, cut behind the last space of each CHUNK characters
+    (where there is none, between letters, whose two trigrams over the cut are then marked as word ends)."""
+    text = texts[0] if len(texts) == 1 else None
+    if not text or len(text) <= CHUNK:
+        yield texts
+        return
+    low = 0
+    while low < len(text):
+        high = low + CHUNK
+        high = (text.rfind(" ", low, high) + 1 or high) if high < len(text) else high
+        yield [text[low:high]]
+        low = high
 
 
 @dataclass
@@ -88,10 +98,13 @@ class LanguageFilters:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        hashes, rows = text_trigrams(texts)
-        held = np.bitwise_and.reduce([self.masks[:, at] for at in self._probes(hashes, self.masks.shape[1])])
-        total = np.bincount(rows, minlength=len(texts))
-        hits = np.stack([np.bincount(rows[(held[b // 64] >> np.uint64(b % 64)) & np.uint64(1) == 1], minlength=len(texts)) for b in range(len(self.languages))])
+        hits, total = np.zeros((len(self.languages), len(texts))), np.zeros(len(texts))
+        for part in bounded_parts(texts):
+            hashes, rows = text_trigrams(part)
+            held = np.bitwise_and.reduce([self.masks[:, at] for at in self._probes(hashes, self.masks.shape[1])])
+            total += np.bincount(rows, minlength=len(texts))
+            for b in range(len(self.languages)):
+                hits[b] += np.bincount(rows[(held[b // 64] >> np.uint64(b % 64)) & np.uint64(1) == 1], minlength=len(texts))
         false = self.false_positives[:, None]
         corrected = np.clip((hits - total * false) / np.maximum(1 - false, 1e-9), 0, None)
         best = corrected.argmax(axis=0)
@@ -114,15 +127,19 @@ def fit_filters(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilters:
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), dtype=object)
             found: dict[str, list] = {}
-            for low, texts in _parts(batch, 1):
-                hashes, rows_of = text_trigrams(texts)
-                for name in set(names[low : low + len(texts)]):
-                    found.setdefault(name, []).append(hashes[(names[low : low + len(texts)] == name)[rows_of]])
+            for low, texts in text_slices(batch.column(1)):
+                for part in bounded_parts(texts):
+                    hashes, rows_of = text_trigrams(part)
+                    for name in set(names[low : low + len(texts)]):
+                        mine = hashes[(names[low : low + len(texts)] == name)[rows_of]]
+                        found.setdefault(name, []).append(np.unique(mine, return_counts=True))
             for name, parts in found.items():
-                grams, times = np.unique(np.concatenate(parts), return_counts=True)
+                grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                times = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(grams)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array(grams.view(np.int64)), pa.array(times)], names=["lang", "gram", "n"])
 
-    counts = known.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = known.select("lang", "text").mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = materialize(counted)  # used twice
     common = _with_share(counts).withColumn("most", F.max("share").over(Window.partitionBy("gram")))
     kept = common.where((F.col("share") >= LEAST_SHARE) & (F.col("share") >= LEAST_PART * F.col("most")))
     grams: dict[str, list[int]] = {}
@@ -141,35 +158,41 @@ def predict_languages(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     """lang_pred and score of each row's whole text.
 
     A null text or one without letters is `und` with score 0. Ties go to the first language by name.
-    Repeated rows and null ids stay; other columns are not read; an empty table gives no rows.
+    Repeated rows and null ids stay; other columns are not read; an empty table gives no rows. A very
+    long text is read in parts, whose counts add up.
     """
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, texts in _parts(batch, 1):
+            for low, texts in text_slices(batch.column(1)):
                 names, scores = filters.predict(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=_PREDICTED)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(predict), "doc_id long, lang_pred string, score double")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a known language; the rest go.
+    """Documents whose text is in a known language; the rest go, null and empty texts too.
 
-    Each row is judged by its own text, so repeated rows and ids need no join.
+    Each row is judged by its own text, so repeated rows and ids need no join. Other columns stay as they
+    are; an empty table gives no rows. Where no row has a `lang` to learn from, nothing can be rejected,
+    and all rows stay.
     """
+    small_batches(spark)
     filters = fit_filters(docs)
+    if not filters.languages:
+        return docs
     names, types = docs.columns, docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
             good: list[bool] = []
-            for _, texts in _parts(batch, at):
+            for _, texts in text_slices(batch.column(at)):
                 good += [s >= LEAST_SCORE and p != UNDETERMINED for p, s in zip(*filters.predict(texts), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, types)
+    return docs.mapInArrow(released(keep), types)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeward.llm.common import free_name, materialize, mix64, reread, run_hashes, shared_folder, shuffle_partitions, span_hashes, table, text_buffers, text_chunks, word_bounds
+from lakeward.llm.common import CHUNK, free_name, materialize, mix64, released, reread, run_hashes, shared_folder, shuffle_partitions, small_batches, span_hashes, table, text_buffers, text_chunks, word_bounds
 
 SHINGLE = 3
 RADIUS = 2
@@ -57,12 +57,17 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         begin = np.cumsum(count) - count
         head = np.arange(int(count.sum())) - np.repeat(begin - first[:-1][rows], count)
         tail = np.minimum(head + shingle, np.repeat(first[1:][rows], count)) - 1
-        text = joined.tobytes()
-        hashes = np.array([digest(text[a:b], 42) for a, b in zip(at[head].tolist(), (at[tail] + lengths[tail]).tolist(), strict=True)], dtype=np.uint64)
+        text, stop = joined.tobytes(), at[tail] + lengths[tail]
+        # Most parts are done in one step; a long text, which is a part of its own, in several.
+        ones = np.zeros((64, len(rows)), dtype=np.int64)
+        for some in range(0, len(head), CHUNK) if len(rows) == 1 else [0]:
+            to = some + CHUNK if len(rows) == 1 else len(head)
+            hashes = np.array([digest(text[a:b], 42) for a, b in zip(at[head[some:to]].tolist(), stop[some:to].tolist(), strict=True)], dtype=np.uint64)
+            for bit in range(64):
+                ones[bit] += np.add.reduceat(((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), begin)
         value = np.zeros(len(rows), dtype=np.uint64)
         for bit in range(64):
-            ones = np.add.reduceat(((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), begin)
-            value |= (2 * ones > count).astype(np.uint64) << np.uint64(bit)
+            value |= (2 * ones[bit] > count).astype(np.uint64) << np.uint64(bit)
         out[low + rows] = value
     return out.view(np.int64)
 
@@ -74,7 +79,7 @@ def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1), shingle))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, fp long")
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -228,7 +233,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
         if kept.shape[1]:
             yield linked(np.ascontiguousarray(kept))
 
-    return spread.select("fp", "key", "p", "q", "side").mapInArrow(run, "a long, b long").distinct()
+    return spread.select("fp", "key", "p", "q", "side").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -374,7 +379,7 @@ def similar_sets(marked: DataFrame, node: str, keys: str) -> DataFrame:
                 sets = [value[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(set_prints(begin, value).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "fp", "grams"])
 
-    sets = text.mapInArrow(read, "node long, fp long, grams binary")
+    sets = text.mapInArrow(released(read), "node long, fp long, grams binary")
     spread = shared.join(sets, "node").select("key", "node", "fp", "grams").repartition(shuffle_partitions(marked.sparkSession), "key").sortWithinPartitions("key", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +401,7 @@ def similar_sets(marked: DataFrame, node: str, keys: str) -> DataFrame:
             edges = []
         yield batch_of(edges + linked(group))
 
-    return spread.mapInArrow(link, "a long, b long").distinct()
+    return spread.mapInArrow(released(link), "a long, b long").distinct()
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -404,7 +409,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Near copies have a Jaccard similarity of at least 0.8 on sets of five-word shingles (a shorter text
     is one shingle), directly or over others. Rows without id come last; texts without words are alike.
+    An empty table gives no rows.
     """
+    small_batches(spark)
     node, keys, row = free_name(docs, "near_node"), free_name(docs, "near_keys"), free_name(docs, "near_row")
     fields = ", ".join((f"`{node}` long", f"`{keys}` array<long>"))
     names, at = docs.columns, docs.columns.index("text")
@@ -416,7 +423,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node_of.view(np.int64)), lists.take(pa.array(place, mask=place < 0))], names=[*names, node, keys])
 
     kind = StructType([*docs.schema.fields, *StructType.fromDDL(fields).fields])
-    marked = reread(docs.mapInArrow(mark, kind).withColumn(row, F.monotonically_increasing_id()), shared_folder(spark, "near"), "marked")
+    marked = reread(docs.mapInArrow(released(mark), kind).withColumn(row, F.monotonically_increasing_id()), shared_folder(spark, "near"), "marked")
     nodes = marked.select(F.col(node).alias("fp"), F.lit(0).cast("long").alias("rep"))
     found = components(nodes.distinct(), materialize(similar_sets(marked, node, keys))).select(F.col("fp").alias(node), "root")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)

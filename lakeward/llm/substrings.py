@@ -6,26 +6,32 @@ occurs at least as often as each of its windows, and a count-min sketch over anc
 window counts. The first pass sketches each partition; the merged sketch keeps one bit a cell (two or
 more). The second pass passes on only windows whose anchor is estimated to repeat, and groups them
 exactly: windows next to each other that share an anchor form a context. A context that occurs twice
-settles all its windows; what else shares an anchor is grouped window by window.
+settles all its windows; what else shares an anchor is grouped window by window. Words are compared by
+two 64-bit hashes that must both agree: that of the 8-word anchor, and that of the window or context.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import POWERS, free_name, materialize, mix64, reread, run_hashes, shared_folder, shuffle_partitions, span_hashes, table, text_buffers, text_chunks, word_bounds
+from lakeward.llm.common import CHUNK, POWERS, free_name, materialize, mix64, released, reread, run_hashes, shared_folder, shuffle_partitions, small_batches, span_hashes, table, text_buffers, text_chunks, word_bounds
 
 WINDOW, ANCHOR = 35, 8
-#: Cells of a sketch row, as a power of two. The merged sketch is one bit a cell: 2 * 2^27 / 8 = 32 MB
-#: in all, whatever the input. More anchors than cells only make the prefilter let more through.
-SKETCH_BITS, SKETCH_ROWS, BLOCK_BITS = 27, 2, 20
+#: Cells of a sketch row, as a power of two: four or more for each anchor (one in about ANCHOR_CHARS characters),
+#: at most 2^MOST_BITS. The merged sketch is one bit a cell, so at most 2 * 2^28 / 8 = 64 MB go to the executors.
+#: With more anchors than cells the prefilter only lets more through.
+SKETCH_ROWS, BLOCK_BITS, LEAST_BITS, MOST_BITS, ANCHOR_CHARS = 2, 20, 16, 28, 90
+#: Windows that a row of equal contexts is gathered from at most (about).
+GATHERED = 1 << 21
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -42,14 +48,24 @@ class Contexts:
     windows: np.ndarray  # window hashes of the chunk
 
 
-def contexts_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> Contexts:
+def contexts_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> Iterator[Contexts]:
+    """Contexts of a chunk of texts. A single long text comes in parts of at most CHUNK windows; a context that
+    goes over a part's end is two contexts, which the comparison by windows brings together."""
     starts, ends, first_word = word_bounds(data, offsets)
-    words = span_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    none = np.zeros(0, np.int64)
+    words = span_hashes(data, starts, ends)
     if len(words) < window:
-        return Contexts(none, none, none, words[:0], words[:0], none, words[:0])
-    if len(words) > int(_PLACE):
-        raise ValueError("a text of more than 2^30 words")
+        return
+    if len(offsets) > 2 or len(words) < CHUNK + window:
+        yield _contexts(words, first_word, window, anchor)
+        return
+    for low in range(0, len(words) - window + 1, CHUNK):
+        part = words[low : low + CHUNK + window - 1]
+        found = _contexts(part, np.array([0, len(part)]), window, anchor)
+        found.first += low
+        yield found
+
+
+def _contexts(words: np.ndarray, first_word: np.ndarray, window: int, anchor: int) -> Contexts:
     grams = run_hashes(words, anchor)
     span = window - anchor + 1
     least, width = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), 1
@@ -79,14 +95,20 @@ def _cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((anchors >> np.uint64(32 * k)) & np.uint64((1 << bits) - 1)).astype(np.int64) for k in range(SKETCH_ROWS)]
 
 
-def repeated_cells(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+def sketch_bits(docs: DataFrame) -> int:
+    """Size of the sketch, from the characters of the table."""
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(chars / ANCHOR_CHARS + 1)) + 2))
+
+
+def repeated_cells(docs: DataFrame, bits: int) -> np.ndarray:
     """Merged count-min sketch of all anchors: for each row and cell, whether it was hit twice or more."""
     block_bits = min(BLOCK_BITS, bits)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            anchors = [contexts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).anchor for a, b in text_chunks(offsets)]
+            anchors = [c.anchor for a, b in text_chunks(offsets) for c in contexts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]
             if not anchors:
                 continue
             out: tuple[list, list, list] = ([], [], [])
@@ -102,24 +124,30 @@ def repeated_cells(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["line", "block", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        def bitmap_of(key: tuple[int, int], counts: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["line", "block", "cells"])
+
+        last, counts = None, np.zeros(1 << block_bits, dtype=np.uint8)
         for batch in batches:
             for line, block, cells in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                counts = held.setdefault((line, block), np.zeros(1 << block_bits, dtype=np.uint8))
+                if (line, block) != last:
+                    if last is not None:
+                        yield bitmap_of(last, counts)
+                    last = (line, block)
+                    counts[:] = 0
                 cells = np.frombuffer(cells, dtype="<u4")
                 at = (cells & np.uint32(0x7FFFFFFF)).astype(np.int64)
                 counts[at] = np.minimum(counts[at] + 1 + (cells >> np.uint32(31)).astype(np.uint8), 2)
-        for (line, block), counts in held.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([line], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())], names=["line", "block", "cells"]
-            )
+        if last is not None:
+            yield bitmap_of(last, counts)
 
     kind = "line int, block int, cells binary"
-    parts = docs.select("text").mapInArrow(sketch, kind)
-    merged = parts.repartition(shuffle_partitions(docs.sparkSession), "line", "block").mapInArrow(merge, kind)
+    parts = docs.select("text").mapInArrow(released(sketch), kind).repartition(shuffle_partitions(docs.sparkSession), "line", "block")
+    merged = parts.sortWithinPartitions("line", "block").mapInArrow(released(merge), kind)
     bitmap = np.zeros((SKETCH_ROWS, 1 << bits >> 3), dtype=np.uint8)
     size = 1 << block_bits >> 3
-    for r in merged.toLocalIterator():  # bounded: SKETCH_ROWS * 2^bits / 8 bytes
+    for r in merged.toLocalIterator():  # bounded: SKETCH_ROWS * 2^MOST_BITS / 8 bytes
         bitmap[r.line, r.block * size : (r.block + 1) * size] = np.frombuffer(r.cells, dtype=np.uint8)
     return bitmap
 
@@ -127,62 +155,61 @@ def repeated_cells(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 _CONTEXT = "anchor long, content long, n long, windows array<long>, doc array<long>, tie array<long>, first array<int>"
 
 
-def candidate_contexts(docs: DataFrame, bitmap: np.ndarray, bits: int = SKETCH_BITS) -> DataFrame:
-    """Contexts whose anchor is estimated to repeat; equal ones of a batch are one row with all places."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def candidate_contexts(docs: DataFrame, bitmap: Broadcast, bits: int) -> DataFrame:
+    """Contexts whose anchor is estimated to repeat; equal ones that are gathered together are one row with
+    all places."""
 
     def repeats(anchors: np.ndarray) -> np.ndarray:
         on = np.ones(len(anchors), dtype=bool)
-        for line, cells in zip(shared.value, _cells(anchors, bits), strict=True):
+        for line, cells in zip(bitmap.value, _cells(anchors, bits), strict=True):
             on &= (line[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
         return on
 
+    def rows_of(parts: list[list[np.ndarray]], kept_windows: list[np.ndarray]) -> pa.RecordBatch:
+        anchor, content, docs_at, ties, first, count, window_at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((content, anchor))
+        anchor, content = anchor[order], content[order]
+        edge = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]), [True])))
+        lead, n = edge[:-1], np.diff(edge)
+        size, begin = count[order][lead], window_at[order][lead]
+        at = np.cumsum(size) - size
+        windows = np.concatenate(kept_windows)[np.repeat(begin - at, size) + np.arange(int(size.sum()))]
+        lists = lambda to, values: pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(values))
+        columns = [pa.array(anchor[lead].view(np.int64)), pa.array(content[lead].view(np.int64)), pa.array(n), lists(np.append(at, len(windows)), windows.view(np.int64))]
+        columns += [lists(edge, x[order]) for x in (docs_at, ties, first.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "n", "windows", "doc", "tie", "first"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        kept_windows, base = [], 0
         for batch in batches:
             doc, tie = (batch.column(k).to_numpy() for k in (0, 1))
             data, offsets = text_buffers(batch.column(2))
-            parts: list[list[np.ndarray]] = []
-            kept_windows, base = [], 0
             for a, b in text_chunks(offsets):
-                c = contexts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                on = np.flatnonzero(repeats(c.anchor))
-                count = c.count[on]
-                start = np.cumsum(count) - count
-                kept_windows.append(c.windows[np.repeat(c.window_at[on] - start, count) + np.arange(int(count.sum()))])
-                parts.append([c.anchor[on], c.content[on], doc[a + c.row[on]], tie[a + c.row[on]], c.first[on], count, base + start])
-                base += int(count.sum())
-            if not base:
-                continue
-            anchor, content, docs_at, ties, first, count, window_at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((content, anchor))
-            anchor, content = anchor[order], content[order]
-            edge = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]), [True])))
-            lead, n = edge[:-1], np.diff(edge)
-            size, begin = count[order][lead], window_at[order][lead]
-            at = np.cumsum(size) - size
-            windows = np.concatenate(kept_windows)[np.repeat(begin - at, size) + np.arange(int(size.sum()))]
-            lists = lambda to, values: pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(anchor[lead].view(np.int64)),
-                    pa.array(content[lead].view(np.int64)),
-                    pa.array(n),
-                    lists(np.append(at, len(windows)), windows.view(np.int64)),
-                    lists(edge, docs_at[order]),
-                    lists(edge, ties[order]),
-                    lists(edge, first[order].astype(np.int32)),
-                ],
-                names=["anchor", "content", "n", "windows", "doc", "tie", "first"],
-            )
-
-    return docs.select("_doc", "_tie", "text").mapInArrow(run, _CONTEXT)
-
-
-def repeated_spans(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+                for c in contexts_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                    on = np.flatnonzero(repeats(c.anchor))
+                    count = c.count[on]
+                    start = np.cumsum(count) - count
+                    kept_windows.append(c.windows[np.repeat(c.window_at[on] - start, count) + np.arange(int(count.sum()))])
+                    parts.append([c.anchor[on], c.content[on], doc[a + c.row[on]], tie[a + c.row[on]], c.first[on], count, base + start])
+                    base += int(count.sum())
+                    if base > GATHERED:
+                        yield rows_of(parts, kept_windows)
+                        parts, kept_windows, base = [], [], 0
+        if base:
+            yield rows_of(parts, kept_windows)
+
+    return docs.select("_doc", "_tie", "text").mapInArrow(released(run), _CONTEXT)
+
+
+def repeated_spans(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """For each (doc, tie) the starts of contexts and the bits of their windows that repeat."""
     # Compressed columns take about half of a checkpoint's space; the table is read three times.
     folder = shared_folder(docs.sparkSession, "contexts")
-    found = reread(candidate_contexts(docs, repeated_cells(docs, bits), bits), folder, "candidates")
+    bits = bits or sketch_bits(docs)
+    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, bits))
+    found = reread(candidate_contexts(docs, bitmap, bits), folder, "candidates")
+    bitmap.destroy()  # the candidates are written
     totals = materialize(found.groupBy("anchor", "content").agg(F.sum("n").alias("n")))
     # Anchors whose contexts have to be compared window by window: one occurs once, and is not alone.
     open_anchors = materialize(totals.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("anchor"))
@@ -217,7 +244,7 @@ def covered_words(n: int, spans: list[dict], window: int = WINDOW) -> np.ndarray
     return np.cumsum(change[:n]) > 0
 
 
-def with_spans(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[DataFrame, str]:
+def with_spans(docs: DataFrame, bits: int | None = None) -> tuple[DataFrame, str]:
     """Each row of `docs` with its spans in one more column, whose name is free in `docs`; rows with equal
     id and text have equal spans."""
     doc, tie, spans = (free_name(docs, n) for n in ("_doc", "_tie", "_spans"))
@@ -230,7 +257,7 @@ def with_spans(docs: DataFrame, bits: int = SKETCH_BITS) -> tuple[DataFrame, str
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def kept_words(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+def kept_words(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """n_words, n_removed and the digest of the words left, one row per input row.
 
     A null or empty text has no words, and a text shorter than a window loses none. Repeated rows are
@@ -253,12 +280,13 @@ def kept_words(docs: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], schema=_SCHEMA)
 
     rows, spans_of = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bits)
-    return rows.select("doc_id", "text", spans_of).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", spans_of).mapInArrow(released(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated windows; text between kept words stays as it is. A document that
-    loses all its words goes; one that had none stays."""
+    loses all its words goes; one that had none stays. An empty table gives no rows."""
+    small_batches(spark)
     names, kinds = docs.columns, docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +312,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(good, pa.bool_()))
 
     rows, spans_of = with_spans(docs)
-    return rows.select(*names, spans_of).mapInArrow(cut, kinds)
+    return rows.select(*names, spans_of).mapInArrow(released(cut), kinds)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
