@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 NO_RANK = np.iinfo(np.int32).max
+#: Longer segments are merged pair by pair from a queue: the rounds of one segment grow with its length.
+LONG = 4096
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,6 +43,8 @@ class MergeTable:
         for part in (keys >> 32, keys & 0xFFFFFFFF):
             np.minimum.at(best, part, rank)
         self.steady = np.append(best[piece] > rank, True)
+        self.pairs: dict[int, tuple[int, int]] = {}  # for long segments, made when the first one comes
+        self._entries = keys, piece, rank
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * _FACTOR) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -60,10 +66,48 @@ class MergeTable:
             left_over, at = left_over[on], at[on]
         return out
 
+    def one_by_one(self, symbols: np.ndarray) -> np.ndarray:
+        """Final symbols of one segment: a queue of its pairs by rank, then place, in n log n steps."""
+        if not self.pairs:
+            self.pairs = {k: (p, r) for k, p, r in zip(*(x.tolist() for x in self._entries), strict=True)}
+        pairs, n, found = self.pairs, len(symbols), symbols.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = self.rank[self.lookup(symbols[:-1], symbols[1:])].astype(np.int64)
+        on = np.flatnonzero(rank != NO_RANK)
+        queue = ((rank[on] << 32) | on).tolist()
+        heapq.heapify(queue)
+        while queue:
+            top = heapq.heappop(queue)
+            at = top & 0xFFFFFFFF
+            right = after[at]
+            hit = pairs.get(found[at] << 32 | found[right]) if found[at] >= 0 and right < n else None
+            if hit is None or hit[1] != top >> 32:  # the pair is gone
+                continue
+            found[at], found[right] = hit[0], -1
+            end = after[at] = after[right]
+            if end < n:
+                before[end] = at
+            for a, b in ((before[at], at), (at, end)):
+                if a >= 0 and b < n:
+                    new = pairs.get(found[a] << 32 | found[b])
+                    if new is not None:
+                        heapq.heappush(queue, new[1] << 32 | a)
+        return np.array([x for x in found if x >= 0], dtype=symbols.dtype)
+
     def rounds(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of all segments, and their new lengths; each length is at least 1."""
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         name = np.arange(len(lengths))
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            ends, rest = np.cumsum(lengths), np.ones(len(symbols), dtype=bool)
+            for k in long.tolist():
+                part = slice(int(ends[k] - lengths[k]), int(ends[k]))
+                merged = self.one_by_one(symbols[part])
+                done.append((np.array([k]), merged, np.array([len(merged)])))
+                rest[part] = False
+            symbols, name = symbols[rest], np.delete(name, long)
+            lengths = lengths[name]
         while len(lengths):
             first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             pair = np.full(len(symbols), len(self.piece) - 1, dtype=np.int64)

@@ -3,7 +3,8 @@
 Segments that no merge can cross (a run of spaces with the characters after it, or a line break) are
 encoded once for each Python worker. All new segments of a batch lie in one flat symbol array; each
 round finds the least pair rank of every segment, merges its leftmost non-overlapping occurrences at
-once, and drops segments that have no pair left (merges.py).
+once, and drops segments that have no pair left (merges.py). The rounds of a segment grow with its
+length, so one of thousands of characters is merged from a queue instead.
 """
 
 from __future__ import annotations
@@ -16,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import table
+from lakeward.llm.common import CHUNK, released, table, text_slices
 from lakeward.llm.merges import MergeTable
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-_CACHE_SEGMENTS = 700_000
-_TEXTS = 2048  # texts whose new segments are merged together
+_CACHE_SEGMENTS, _CACHE_BYTES = 700_000, 1 << 24
 _FOREIGN = 1 << 24  # symbols from here on are characters without a piece
 _codecs: dict[str, "PieceCodec"] = {}
 
@@ -72,8 +72,10 @@ class PieceCodec:
         self.decimal_length = np.array([len(d) for d in self.decimal])
         self.decoded_length = np.array([len(d) for d in self.decoded])
         self.cache: dict[bytes, tuple[bytes, bytes]] = {}
+        self.cached = 0  # bytes of segments
 
     def learn(self, segments: list[bytes]) -> None:
+        self.cached += sum(map(len, segments))
         for low in range(0, len(segments), 50_000):
             part = segments[low : low + 50_000]
             flat = np.frombuffer(b"".join(part).decode().replace(" ", "▁").encode("utf-32-le"), dtype="<u4")
@@ -108,8 +110,9 @@ class PieceCodec:
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """For each text, its decimal ids (each with a space after it) and its decoded bytes."""
-        if len(self.cache) > _CACHE_SEGMENTS:
+        if len(self.cache) > _CACHE_SEGMENTS or self.cached > _CACHE_BYTES:
             self.cache.clear()
+            self.cached = 0
         encoded = [(" " + t).replace("▁", " ").encode() if t else b"" for t in texts]
         data = np.frombuffer(b"".join(encoded), dtype=np.uint8)
         row_end = np.cumsum([len(e) for e in encoded])
@@ -157,8 +160,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """Token count and digests of ids (end id last) and of the decoded text, one row per input row.
 
     A null or empty text has the end id alone and decodes to an empty text. Repeated rows and ids stay
-    as they are, other columns are not read, and an empty table gives no rows. Segments without white
-    space are merged whole, however long.
+    as they are, other columns are not read, and an empty table gives no rows. A segment without white
+    space is merged whole, however long.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,8 +169,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         end = str(codec.end_id).encode()
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for low in range(0, batch.num_rows, _TEXTS):
-                for ids, decoded in codec.encode_batch(batch.column(1).slice(low, _TEXTS).to_pylist()):
+            for _, texts in text_slices(batch.column(1), 8 * CHUNK):
+                for ids, decoded in codec.encode_batch(texts):
                     ids += end
                     out[0].append(ids.count(b" ") + 1)
                     out[1].append(hashlib.sha256(ids).hexdigest())
@@ -175,7 +178,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)] if out[0] else [pa.array([], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInArrow(encode, ENCODED)
+    return source.mapInArrow(released(encode), ENCODED)
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
