@@ -2,9 +2,10 @@
 
 Each scan partition packs its own rows, so nothing is shuffled and a lost task is simply read and
 packed again. A document longer than a window is cut into full windows; what is left is placed by
-the sum-of-squares rule over an array that counts the open windows of each fill level. When a
-partition ends, its open windows are cut into one another, and the last partial one is cut at
-powers of two, which need no padding.
+the sum-of-squares rule over an array that counts the open windows of each fill level. A level is
+UNIT tokens, so that windows often reach the highest one; the few tokens that such a window lacks come
+from the head of a later document. When a partition ends, the least filled windows are cut up to fill
+the others, and the last one is cut at powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import table
+from lakeward.llm.common import CHUNK, released, small_batches, table, text_slices
 from lakeward.llm.merges import MergeTable
 
-WINDOW = 4096
+WINDOW, UNIT = 4096, 16
+#: Windows of the highest level that wait for a long document (which is cut anyway) to fill them.
+MOST_WAITING = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 # Texts with other characters than ASCII and the letters U+00C0 to U+00FF, or with an apostrophe
@@ -36,7 +39,6 @@ _KIND = np.full(256, _OTHER, dtype=np.uint8)
 _KIND[[0x20, *range(0x09, 0x0E)]] = _SPACE
 _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
 _KIND[0x30:0x3A] = _DIGIT
-_TEXTS = 2048  # texts whose words are merged together
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
@@ -52,9 +54,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
+        # Texts that spell an added token (in whatever case, as texts are lower-cased) are left to the library.
+        added = [re.escape(t["content"]) for t in whole.get("added_tokens", []) if t["content"]]
+        self.special = re.compile("|".join(added), re.IGNORECASE) if added else None
         vocabulary, suffix = model["vocab"], model["end_of_word_suffix"]
         pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
@@ -107,7 +112,7 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        common = [i for i, t in enumerate(texts) if t and not _UNCOMMON.search(t)]
+        common = [i for i, t in enumerate(texts) if t and not _UNCOMMON.search(t) and not (self.special and self.special.search(t))]
         out = [b""] * len(texts)
         for i, ids in zip(common, self.encode_common([texts[i] for i in common]), strict=True):
             out[i] = ids
@@ -130,43 +135,78 @@ def tokenizer_of(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+class Window:
+    """Pieces (key, start, ids, total) that lie end to end, and how many ids they have."""
+
+    __slots__ = ("filled", "pieces")
+
+    def __init__(self) -> None:
+        self.pieces, self.filled = [], 0
+
+    def add(self, piece: tuple, most: int) -> tuple | None:
+        """Takes up to `most` ids of a piece; what is left of it."""
+        key, start, ids, total = piece
+        take = ids[: 4 * most]
+        self.pieces.append((key, start, take, total))
+        self.filled += len(take) // 4
+        return (key, start + most, ids[4 * most :], total) if len(take) < len(ids) else None
+
+
 class SumOfSquaresPacker:
-    """Places items in windows of `size`; `emit(pieces)` gets each closed window.
+    """Places items in windows of `size`; `emit(pieces)` gets each full window.
 
-    A piece is (key, start, ids, total). `levels[h]` counts the open windows filled to h.
+    `levels[h]` counts the open windows filled to h units. An item
+    goes where the sum of squared counts of partially filled windows grows least. `placed` counts the
+    ids that lie where the rule (or the cut of a long document into whole windows) put them, `moved`
+    those that were cut off to fill other windows.
     """
 
-    def __init__(self, size: int, emit) -> None:
-        self.size, self.emit = size, emit
-        self.levels = np.zeros(size + 1, dtype=np.int64)
-        self.open: dict[int, list[list]] = {}
+    def __init__(self, size: int, emit, unit: int = UNIT) -> None:
+        self.size, self.unit, self.emit = size, unit, emit
+        self.top = -(-size // unit)
+        self.levels = np.zeros(self.top + 1, dtype=np.int64)
+        self.open: dict[int, list[Window]] = {}
+        self.waiting: list[Window] = []  # windows of the highest level that are not quite full
+        self.placed = self.moved = 0
 
     def add(self, key, ids: bytes, total: int) -> None:
-        n, start = len(ids) // 4, 0
-        while n - start >= self.size:
-            self.emit([(key, start, ids[4 * start : 4 * (start + self.size)], total)])
-            start += self.size
-        if start < n:
-            self._place((key, start, ids[4 * start :], total), n - start)
+        n, rest = len(ids) // 4, (key, 0, ids, total)
+        while rest and self.waiting and (n >= self.size or len(self.waiting) > MOST_WAITING):
+            rest = self._fill(self.waiting[-1], rest)
+            if self.waiting[-1].filled == self.size:
+                self.emit(self.waiting.pop().pieces)
+        while rest and len(rest[2]) // 4 >= self.size:
+            window = Window()
+            rest = window.add(rest, self.size)
+            self.placed += self.size
+            self.emit(window.pieces)
+        if rest and rest[2]:
+            self.placed += len(rest[2]) // 4
+            self._place(rest, len(rest[2]) // 4)
+
+    def _fill(self, window: Window, piece: tuple) -> tuple | None:
+        before = window.filled
+        rest = window.add(piece, self.size - before)
+        self.moved += window.filled - before
+        return rest
 
     def _place(self, piece: tuple, length: int) -> None:
-        at = self._best(length)
-        if at:
-            window = self.open[at].pop()
-            self.levels[at] -= 1
-        else:
-            window = []
-        window.append(piece)
-        level = at + length
-        if level == self.size:
-            self.emit(window)
+        at = self._best(-(-length // self.unit))
+        window = self.open[at].pop() if at else Window()
+        self.levels[at] -= at > 0
+        window.add(piece, length)
+        level = -(-window.filled // self.unit)
+        if window.filled == self.size:
+            self.emit(window.pieces)
+        elif level == self.top:
+            self.waiting.append(window)
         else:
             self.levels[level] += 1
             self.open.setdefault(level, []).append(window)
 
     def _best(self, length: int) -> int:
         """The fill level (0: a new window) whose use leaves the least sum of squared counts."""
-        room = self.size - length
+        room = self.top - length
         here, there = self.levels[: room + 1], self.levels[length:].copy()
         growth = 2 * (there - here) + 2
         growth[room] = 1 - 2 * here[room]
@@ -175,31 +215,32 @@ class SumOfSquaresPacker:
         return int(growth[::-1].argmin() * -1 + room)
 
     def close(self) -> None:
-        """Cut the open windows into one another; the rest goes to windows of a power of two."""
-        left = [(level, window) for level in sorted(self.open, reverse=True) for window in self.open[level]]
-        self.open = {}
-        window, filled = [], 0
-        for _, pieces in left:
-            for key, start, ids, total in pieces:
-                while ids:
-                    take = ids[: 4 * (self.size - filled)]
-                    window.append((key, start, take, total))
-                    filled += len(take) // 4
-                    start, ids = start + len(take) // 4, ids[len(take) :]
-                    if filled == self.size:
-                        self.emit(window)
-                        window, filled = [], 0
+        """Fill the fullest windows with cuts of the least filled; the rest goes to windows of a power of two."""
+        left = [*self.waiting, *(w for level in sorted(self.open, reverse=True) for w in self.open[level])]
+        self.waiting, self.open, self.levels[:] = [], {}, 0
+        low, high, donor = 0, len(left) - 1, []
+        while low < high or (donor and low <= high):
+            if not donor:
+                donor, high = left[high].pieces, high - 1
+                self.placed -= sum(len(p[2]) // 4 for p in donor)
+            while donor and left[low].filled < self.size:
+                rest = self._fill(left[low], donor.pop())
+                if rest:
+                    donor.append(rest)
+            if left[low].filled == self.size:
+                self.emit(left[low].pieces)
+                low += 1
+        window = donor or (left[low].pieces if low <= high else [])
+        filled = sum(len(p[2]) // 4 for p in window)
+        self.moved += filled if donor else 0
         while filled:
-            goal, part, rest = 1 << (filled.bit_length() - 1), [], []
-            for key, start, ids, total in window:
-                take = ids[: 4 * goal]
-                if take:
-                    part.append((key, start, take, total))
-                    goal -= len(take) // 4
-                if len(take) < len(ids):
-                    rest.append((key, start + len(take) // 4, ids[len(take) :], total))
-            self.emit(part)
-            window, filled = rest, filled - sum(len(p[2]) // 4 for p in part)
+            part, rest, goal = Window(), [], 1 << (filled.bit_length() - 1)
+            for piece in window:
+                over = part.add(piece, goal - part.filled) if part.filled < goal else piece
+                if over:
+                    rest.append(over)
+            self.emit(part.pieces)
+            window, filled = rest, filled - goal
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 2) -> DataFrame:
@@ -228,23 +269,24 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         packer = SumOfSquaresPacker(window, emit)
         for batch in batches:
-            for low in range(0, batch.num_rows, _TEXTS):
-                keys, texts = (batch.column(k).slice(low, _TEXTS).to_pylist() for k in (0, 1))
-                for key, ids in zip(keys, tokenizer.encode_batch(texts), strict=True):
+            for low, texts in text_slices(batch.column(1), 8 * CHUNK):
+                for key, ids in zip(batch.column(0).slice(low, len(texts)).to_pylist(), tokenizer.encode_batch(texts), strict=True):
                     ids += tail
                     packer.add(key, ids, len(ids) // 4)
-            if rows:
-                yield flush()
+                if rows:
+                    yield flush()
         packer.close()
         yield flush()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(pack, PIECES)
+    return source.mapInArrow(released(pack), PIECES)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences of all rows (see `pack_documents`)."""
     import public_tokenizers
 
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -20,7 +20,7 @@ KIND = "doc_id long, text string, lang string, source string, n_chars long, span
 PASSAGE = " ".join(f"w{i}" for i in range(60))
 ODD = [
     (1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, PASSAGE), (6, "lead " + PASSAGE + " tail"), (7, PASSAGE), (7, PASSAGE), (8, "x " * 200), (9, "é▁ 日本 \x00 <s> </s>"),
-    (10, "A b\nA b\nA b " * 30), (11, "y" * 5000), (12, "Don't 'S it's <|endoftext|>"), (None, "no id at all"), (13, " ".join(f"q{i}" for i in range(9000))),
+    (10, "A b\nA b\nA b " * 30), (11, "y" * 5000), (12, "Don't 'S it's <|endoftext|> a <|StartOfText|>b"), (None, "no id at all"), (13, " ".join(f"q{i}" for i in range(9000))),
 ]
 
 
@@ -47,7 +47,7 @@ RUNS = {
     "language": lambda d: language.predict_languages(d, language.fit_filters(d)),
     "substrings": lambda d: substrings.kept_words(d, bits=16),
     "packing": lambda d: packing.pack_documents(d, public_tokenizers.path("word_bpe_49k.json")),
-    "backoff": lambda d: backoff.score_documents(d, batch=5),
+    "backoff": lambda d: backoff.score_documents(d, batch=10_000),
     "simhash": simhash.near_duplicates,
     "sketches": sketches.fingerprint_versions,
     "toxicity": lambda d: toxicity.score_documents(d, toxicity.ToxicityModel(frozenset({"idiot"}))),
@@ -119,7 +119,6 @@ def test_packing_holds_every_id_once(spark, docs, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     both = {**texts, **{i: t for i, t in ODD if i}}
     done = packing.pack_documents(frame(spark, [(i, t) for i, t in both.items()]), public_tokenizers.path("word_bpe_49k.json")).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
@@ -149,7 +148,7 @@ def test_sum_of_squares_rule():
     assert [[p[0] for p in w] for w in closed] == [[1, 2]] and packer.levels[6] == 1
 
 
-@pytest.mark.parametrize("batch", [3, 1000])
+@pytest.mark.parametrize("batch", [20_000, 1_000_000])
 def test_backoff_equals_brute_force(odd, batch):
     cut = [(i, WORD.findall(t or "")) for i, t in ODD]
     one = collections.Counter(w for _, ws in cut for w in ws)
@@ -160,9 +159,9 @@ def test_backoff_equals_brute_force(odd, batch):
         for k, w in enumerate(ws):
             other = two[ws[k - 1], w] - pairs[ws[k - 1], w] if k else 0
             if other > 0:
-                total += math.log(other / one[ws[k - 1]])
+                total += math.log(other / (one[ws[k - 1]] - mine[ws[k - 1]]))
             else:
-                total += math.log(0.4) + math.log(max(one[w] - mine[w], 1) / sum(one.values()))
+                total += math.log(0.4) + math.log(max(one[w] - mine[w], 1) / max(1, sum(one.values()) - len(ws)))
                 backed += 1
         expected.append((str(i), len(ws), backed, round(total, 6)))
     got = [(str(r.doc_id), r.n_words, r.n_backed_off, round(r.log_score, 6)) for r in backoff.score_documents(odd, batch=batch).collect()]
