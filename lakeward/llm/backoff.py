@@ -1,10 +1,14 @@
 """Stupid-backoff scores of documents from n-gram counts of the whole corpus.
 
-Documents are dealt to batches by hash. A batch sends each of its distinct n-grams once, with its
-count, to the partition of the count table that the n-gram's hash names (so a common n-gram arrives
-once a batch, however often it occurs). The partition adds up the counts, and the total of every
-n-gram goes back to the batches that sent it, where the joined counts are turned into scores that are
-summed for each document. A document's own occurrences are no evidence for it.
+Documents are dealt to batches by hash; batches hold about BATCH characters. A batch sends each of its
+distinct n-grams once, with its count, to the partition of the count table that the n-gram's hash names
+(so a common n-gram arrives once a batch, however often it occurs). The partition adds up the counts, and
+the total of every n-gram is joined back to the batches that sent it, where the joined counts are turned
+into scores that are summed for each document. A document is scored by the counts of all the others: its
+own occurrences are taken off the n-gram and off its context alike.
+
+N-grams travel as columns: one row holds all that a batch has for a partition. There are never more such
+rows than (batch, distinct n-gram) pairs, which grow in proportion to the corpus.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 from lakeward.llm.common import mix64, span_hashes, table, text_buffers, text_chunks, word_bounds
 
 ORDER, DISCOUNT = 2, 0.4
-#: Documents of a batch (about); as many partitions of the count table, so both keep their size.
-BATCH = 4_000
+#: Characters of a batch (about); as many partitions of the count table, so both keep their size.
+BATCH = 12_000_000
 _TOTAL = np.uint64(1)  # stands for the empty n-gram: its count is the number of words
 _MESSAGE = "part long, batch long, grams binary, counts binary"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backed_off", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
@@ -40,16 +44,18 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).reshape(n)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a string column, and the row of each."""
-    data, offsets = text_buffers(column)
-    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for low, high in text_chunks(offsets):
-        part = data[offsets[low] : offsets[high]]
-        starts, ends, first = word_bounds(part, offsets[low : high + 1] - offsets[low])
-        if len(starts):
-            hashes.append(span_hashes(part, starts, ends))
-            rows.append(low + np.repeat(np.arange(high - low), np.diff(first)))
+    hashes, rows, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for chunk in column.chunks:
+        data, offsets = text_buffers(chunk)
+        for low, high in text_chunks(offsets):
+            part = data[offsets[low] : offsets[high]]
+            starts, ends, first = word_bounds(part, offsets[low : high + 1] - offsets[low])
+            if len(starts):
+                hashes.append(span_hashes(part, starts, ends))
+                rows.append(base + low + np.repeat(np.arange(high - low), np.diff(first)))
+        base += len(chunk)
     return np.concatenate(hashes), np.concatenate(rows)
 
 
@@ -76,16 +82,18 @@ def score_documents(docs: DataFrame, order: int = ORDER, discount: float = DISCO
     logarithms) and mean_log_score of each row's whole text.
 
     The score of a word is count(n-gram) / count(its first n - 1 words) for the longest n-gram that
-    occurs outside of the row, times `discount` for each order less; a word that occurs nowhere else
-    counts as one occurrence. A null or empty text has no words, score 0 and a null mean. Repeated
-    rows are documents of their own; other columns are not read; an empty table gives no rows.
+    occurs outside of the row, times `discount` for each order less, all counts without the row's own; a
+    word that occurs nowhere else counts as one occurrence of all words. A null or empty text has no
+    words, score 0 and a null mean. Repeated rows are documents of their own; other columns are not read;
+    an empty table gives no rows. A batch holds at least one whole text, however long.
     """
-    parts = max(1, math.ceil(docs.count() / batch))
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    parts = max(1, math.ceil(chars / batch))
     key = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(parts)).alias("batch")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key)
 
     def grams_of(text: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
-        words, rows = word_hashes(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text)
+        words, rows = word_hashes(text)
         return gram_hashes(words, rows, order), rows
 
     def request(group: pa.Table) -> pa.Table:
@@ -126,23 +134,28 @@ def score_documents(docs: DataFrame, order: int = ORDER, discount: float = DISCO
             totals[order_of[a:b]] = unpack(counts, "<u8")
         n_docs, total = texts.num_rows, totals[-1]
         sums, backed = np.zeros(len(rows)), np.zeros(len(rows), dtype=bool)
-        open_words = np.ones(len(rows), dtype=bool)
+        open_words, n_words = np.ones(len(rows), dtype=bool), np.bincount(rows, minlength=n_docs)
         at = [np.searchsorted(grams[:-1], level) for level in levels]
+        own = []  # for each level, its (row, n-gram) pairs and how often each occurs in its row
+        for level, gram in zip(levels, at, strict=True):
+            every = np.flatnonzero(level != 0)
+            own.append(np.unique(rows[every] * np.int64(len(grams)) + gram[every], return_counts=True))
+
+        def others(k: int, i: np.ndarray, word: np.ndarray) -> np.ndarray:
+            """Count outside of the row of word i of the k-gram that ends at `word`."""
+            pairs, count = own[k - 1]
+            gram = at[k - 1][word]
+            return totals[gram] - count[np.searchsorted(pairs, rows[i] * np.int64(len(grams)) + gram)]
+
         for k in range(order, 0, -1):
-            valid = open_words & (levels[k - 1] != 0)
-            i = np.flatnonzero(valid)
-            gram = at[k - 1][i]
-            every = np.flatnonzero(levels[k - 1] != 0)
-            pairs, own = np.unique(rows[every] * np.int64(len(grams)) + at[k - 1][every], return_counts=True)
-            mine = own[np.searchsorted(pairs, rows[i] * np.int64(len(grams)) + gram)]
-            other = totals[gram] - mine
-            context = totals[at[k - 2][i - 1]] if k > 1 else np.full(len(i), total)
+            i = np.flatnonzero(open_words & (levels[k - 1] != 0))
+            other = others(k, i, i)
+            context = others(k - 1, i, i - 1) if k > 1 else np.maximum(total - n_words[rows[i]], 1)
             seen = (other > 0) if k > 1 else np.ones(len(i), dtype=bool)
             hit = i[seen]
             sums[hit] = np.log(np.maximum(other[seen], 1) / context[seen]) + (order - k) * math.log(discount)
             backed[hit] = k < order
             open_words[hit] = False
-        n_words = np.bincount(rows, minlength=n_docs)
         log_score = np.bincount(rows, weights=sums, minlength=n_docs)
         mean = pa.array(log_score / np.maximum(n_words, 1), mask=n_words == 0)
         return pa.Table.from_arrays(
