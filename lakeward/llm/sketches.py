@@ -11,6 +11,8 @@ that does not peel is built anew with other cell hashes, four and sixteen times
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -150,8 +152,12 @@ def with_next_text(docs: DataFrame, key: str, carried: list[str], buckets: int)
     edges = sorted({bounds["low"], *bounds["b"]})
     listed = F.array(*[F.lit(e).cast("long") for e in edges])
     last = len(edges) - 1
-    mine = (F.size(F.filter(listed, lambda e: e <= F.col(key))) - 1).alias("at")
-    rows = docs.withColumn("_mine", mine)
+    # Which range a key is in: first among every step-th edge, then among the edges from there.
+    step = math.isqrt(last) + 1
+    below = lambda among: F.size(F.filter(among, lambda e: e <= F.col(key))) - 1
+    coarse = F.array(*[F.lit(e).cast("long") for e in edges[::step]])
+    rows = docs.withColumn("_mine", below(coarse) * step)
+    rows = rows.withColumn("_mine", F.col("_mine") + below(F.slice(listed, F.col("_mine") + 1, F.lit(step))))
     at_edge = F.get(listed, F.col("_mine")) == F.col(key)
     copy = F.struct(F.when(F.col("_mine") == 0, last).otherwise(F.col("_mine") - 1).alias("bucket"), F.lit(True).alias("copy"), (F.col("_mine") == 0).alias("wraps"))
     own = F.struct(F.col("_mine").alias("bucket"), F.lit(False).alias("copy"), F.lit(False).alias("wraps"))
@@ -173,7 +179,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     lowest = -(1 << 63)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)))
     source = source.withColumn("_tie", F.xxhash64("text")).withColumn("digests", paragraph_digests(F.col("text")))
-    buckets = min(1024, max(48, 4 * shuffle_partitions(docs.sparkSession)))
+    buckets = max(48, 4 * shuffle_partitions(docs.sparkSession))
     rows = with_next_text(source, "_key", ["text", "digests"], buckets)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
