@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 STARS = "***"
 
@@ -82,12 +79,19 @@ def normalize(classifier: Column, value: Column) -> Column:
     )
 
 
+def keyed_pads(key: bytes, domain: str) -> tuple[bytes, bytes]:
+    """What HMAC-SHA256 puts before a message (with the domain's head), and before the inner digest."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    head = b"lakeward\0" + domain.encode() + b"\0"
+    return bytes(b ^ 0x36 for b in block) + head, bytes(b ^ 0x5C for b in block)
+
+
 def keyed_digest(key: bytes, domain: str):
-    """Column function: HMAC-SHA256 of a value in a domain of its own."""
+    """Column function: HMAC-SHA256 of a value in a domain of its own, as two built-in digests."""
+    inner, outer = keyed_pads(key, domain)
 
-    @F.pandas_udf(StringType())
-    def digest(values: pd.Series) -> pd.Series:
-        head = b"lakeward\x00" + domain.encode() + b"\x00"
-        return values.map(lambda v: "hmac-sha256:" + hmac.new(key, head + v.encode(), hashlib.sha256).hexdigest(), na_action="ignore")
+    def digest(value: Column) -> Column:
+        first = F.unhex(F.sha2(F.concat(F.lit(bytearray(inner)), F.encode(value, "UTF-8")), 256))
+        return F.concat(F.lit("hmac-sha256:"), F.sha2(F.concat(F.lit(bytearray(outer)), first), 256))
 
     return digest

@@ -13,88 +13,137 @@ from pyspark.sql import functions as F
 
 from lakeward.functions import detectors as D
 from lakeward.functions import masking as M
+from lakeward.functions.hints import hints
 
 #: Most values of a column that are sampled, most masked samples and fingerprints that are kept.
 SAMPLE_ROWS, MASKED_SAMPLES, FINGERPRINTS = 10_000, 5, 50
 
 # Reported shares and counts (see SURVEY §2.4).
-EMAIL_SHARE, EMAIL_COUNT = 0.05, 3
-PHONE_STRONG_COUNT, PHONE_STRONG_SHARE = 3, 0.01
+EMBEDDED_SHARE, EMBEDDED_COUNT = 0.05, 3
+PHONE_SHARE, PHONE_COUNT, PHONE_LEAST_SHARE = 0.3, 3, 0.01
 CLASSIFIERS = ("email", "card_number", "phone", "iban", "nir", "aws_key", "password_hash")
+_LETTERS = "(?:\\p{L}[^\\p{L}]*){3}"
 
 
-def long_form(tables: dict[str, DataFrame], columns: dict[str, list[str]], keys: dict[str, str], rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per sampled value: object, field, value. Samples are the rows of least key hash, so they
-    do not depend on partitioning; a top-k by task precedes the exchange."""
+def sampled(frame: DataFrame, keys: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of least key hash (as many as `rows`, and ties), so a sample does not depend on partitioning.
+
+    Only the keys are ranked, a top-k in each task; the rows themselves stay where they are.
+    """
+    digest = F.md5(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
+    last = frame.select(digest.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
+    return frame if last["n"] < rows else frame.where(digest <= last["h"])
+
+
+def long_form(tables: dict[str, DataFrame], columns: dict[str, list[str]], keys: dict[str, list[str]], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """One row per sampled value: object, field, value. The samples are small and are dealt out evenly, since
+    scanning them costs more than moving them."""
     parts = []
     for name, frame in tables.items():
-        sampled = frame.orderBy(F.md5(F.col(keys[name]).cast("string")), keys[name]).limit(rows)
         pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns[name]])
-        parts.append(sampled.select(F.lit(name).alias("object"), F.explode(pairs).alias("p")).select("object", "p.field", "p.value"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def tokens(text: Column) -> dict[str, tuple[Column, Column]]:
-    """For each classifier its valid matches and its candidates (which include invalid ones)."""
-    runs = D.find_card_runs(text)
-    return {
-        "email": (D.find_emails(text), D.extract(text, D.EMAIL)),
-        "card_number": (F.filter(runs, D.valid_card), runs),
-        "phone": (D.find_phones(text), D.find_phones(text)),
-        "iban": (D.find_ibans(text), D.extract(text, D.IBAN_SHAPE)),
-        "nir": (D.find_nirs(text), D.extract(text, D.NIR_SHAPE)),
-        "aws_key": (D.find_aws_ids(text), D.find_aws_ids(text)),
-        "password_hash": (D.find_password_hashes(text), D.find_password_hashes(text)),
-    }
+        parts.append(sampled(frame, keys[name], rows).select(F.lit(name).alias("object"), F.explode(pairs).alias("p")).select("object", "p.field", "p.value"))
+    values = reduce(DataFrame.unionByName, parts)
+    return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def scanned(values: DataFrame, classifiers: tuple[str, ...] = CLASSIFIERS) -> DataFrame:
-    """object, field, value and for each classifier hits and candidates (arrays)."""
-    clean = values.where("value is not null and value <> ''").withColumn("text", D.scan_prefix(D.typographic_fold(F.col("value"))))
-    found = tokens(F.col("text"))
-    structs = [F.struct(F.lit(c).alias("classifier"), found[c][0].alias("hits"), found[c][1].alias("candidates")) for c in classifiers]
-    return clean.select("object", "field", "value", D.is_placeholder(F.col("value")).alias("placeholder"), F.array(*structs).alias("found"))
+    """object, field, value, placeholder, worded (three letters or more), and `found`: for each classifier the
+    valid matches, whether there are candidates (which include invalid ones), and the best grade of a phone.
+
+    Each pattern is searched once: candidates are columns, and what is valid is filtered from them. A phone
+    plan reads what the plans before it have left.
+    """
+    rows = values.where("value is not null and value <> ''").withColumn("text", D.scan_prefix(D.typographic_fold(F.col("value"))))
+    shapes = {"iban": D.IBAN_SHAPE, "nir": D.NIR_SHAPE, "aws_key": D.AWS_ID, "password_hash": D.PASSWORD_HASH}
+    for c in classifiers:
+        if c == "email":
+            rows = rows.withColumn("_email", D.email_candidates(F.col("text")))
+        elif c == "card_number":
+            rows = rows.withColumn("_card_number", D.card_candidates(F.col("text")))
+        elif c == "phone":
+            rows = rows.withColumn("_rest", F.col("text"))
+            for plan, pattern in D.PHONE_PLANS.items():
+                rows = rows.withColumn(f"_{plan}", D.extract(F.col("_rest"), pattern)).withColumn("_rest", F.when(F.size(f"_{plan}") > 0, F.regexp_replace("_rest", pattern, " # ")).otherwise(F.col("_rest")))
+        else:
+            rows = rows.withColumn(f"_{c}", D.extract(F.col("text"), shapes[c]))
+    graded = lambda plan: F.transform(f"_{plan}", lambda v: F.struct(v.alias("raw"), D.phone_grade(plan, v).alias("grade")))
+    if "phone" in classifiers:
+        rows = rows.withColumn("_phone", F.filter(F.concat(*map(graded, D.PHONE_PLANS)), lambda p: p["grade"].isNotNull()))
+    true = lambda test: lambda v: F.coalesce(test(v), F.lit(False))
+    hits = {
+        "email": lambda c: F.filter(c, true(lambda v: D.valid_email(v) & D.personal_mailbox(v))),
+        "card_number": lambda c: F.filter(F.transform(c, lambda p: p["number"]), lambda v: v.isNotNull()),
+        "phone": lambda c: F.transform(c, lambda p: p["raw"]),
+        "iban": lambda c: F.filter(c, true(D.valid_iban)),
+        "nir": lambda c: F.filter(c, true(D.valid_nir)),
+        "aws_key": lambda c: c,
+        "password_hash": lambda c: c,
+    }
+    structs = [
+        F.struct(
+            F.lit(c).alias("classifier"),
+            hits[c](F.col(f"_{c}")).alias("hits"),
+            (F.size(f"_{c}") > 0).alias("candidates"),
+            (F.array_max(F.transform("_phone", lambda p: p["grade"])) if c == "phone" else F.lit(None).cast("int")).alias("grade"),
+        )
+        for c in classifiers
+    ]
+    return rows.select("object", "field", "value", D.is_placeholder(F.col("value")).alias("placeholder"), F.col("text").rlike(_LETTERS).alias("worded"), F.array(*structs).alias("found"))
 
 
 def column_statistics(scan: DataFrame) -> DataFrame:
-    """sampled, n, matched, candidates, distinct_hits (up to 3) for each column and classifier."""
-    rows = scan.select("object", "field", "placeholder", F.explode("found").alias("f"))
-    hit = ~F.col("placeholder") & (F.size("f.hits") > 0)
+    """For each column and classifier: sampled and n (no placeholders) values, matched values and those with
+    candidates, valid matches, phone values by grade, least and greatest match."""
+    # `found` is never empty; a plain explode would first filter on its size, which runs every pattern again.
+    rows = scan.select("object", "field", "placeholder", "worded", F.explode_outer("found").alias("f")).withColumn("real", ~F.col("placeholder"))
+    hit = F.col("real") & (F.size("f.hits") > 0)
+    count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    formatted = F.col("real") & (F.col("f.grade") >= D.NORMAL)
     return rows.groupBy("object", "field", F.col("f.classifier").alias("classifier")).agg(
         F.count("*").alias("sampled"),
-        F.sum((~F.col("placeholder")).cast("long")).alias("n"),
-        F.sum(hit.cast("long")).alias("matched"),
-        F.sum(F.when(F.col("placeholder"), 0).otherwise(F.size("f.candidates"))).cast("long").alias("candidates"),
-        F.sum(F.when(F.col("placeholder"), 0).otherwise(F.size("f.hits"))).cast("long").alias("valid"),
+        count(F.col("real")).alias("n"),
+        count(hit).alias("matched"),
+        count(F.col("real") & F.col("f.candidates")).alias("candidates"),
+        F.sum(F.when(F.col("real"), F.size("f.hits")).otherwise(0)).cast("long").alias("valid"),
+        count(F.col("real") & (F.col("f.grade") == D.STRONG)).alias("strong"),
+        count(formatted).alias("formatted"),
+        count(formatted & F.col("worded")).alias("in_text"),
         F.min(F.when(hit, F.array_min("f.hits"))).alias("least_hit"),
         F.max(F.when(hit, F.array_max("f.hits"))).alias("greatest_hit"),
     )
 
 
-def decide(stats: DataFrame) -> DataFrame:
-    """Which columns are reported, and with what confidence."""
-    ratio = F.when(F.col("n") > 0, F.col("matched") / F.col("n")).otherwise(F.lit(0.0))
-    several = F.col("least_hit") != F.col("greatest_hit")
-    consistent = 2 * F.col("valid") >= F.col("candidates")
+def hinted(columns: dict[str, list[str]]) -> Column:
+    """Whether a column's name speaks for the classifier of a row (object, field, classifier)."""
+    known = [F.lit(x) for table, names in columns.items() for name in names for c in sorted(hints(name)) for x in (f"{table}.{name}.{c}",)]
+    return F.concat_ws(".", "object", "field", "classifier").isin(*known) if known else F.lit(False)
+
+
+def decide(stats: DataFrame, hint: Column | None = None) -> DataFrame:
+    """Which columns are reported, and with what confidence (three decimals)."""
+    hint = F.lit(False) if hint is None else hint
+    share = lambda k: F.when(F.col("n") > 0, F.col(k) / F.col("n")).otherwise(F.lit(0.0))
+    ratio, some = share("matched"), F.col("matched") > 0
+    constant = (F.col("matched") >= EMBEDDED_COUNT) & (F.col("least_hit") == F.col("greatest_hit"))
+    telling = lambda k: (F.col(k) >= PHONE_COUNT) & (share(k) >= PHONE_LEAST_SHARE)
     reported = (
-        F.when(F.col("classifier") == "email", ((ratio >= EMAIL_SHARE) | (F.col("matched") >= EMAIL_COUNT)) & several)
-        .when(F.col("classifier") == "phone", (F.col("matched") >= PHONE_STRONG_COUNT) & (ratio >= PHONE_STRONG_SHARE))
-        .when(F.col("classifier").isin("card_number", "iban", "nir"), consistent & (F.col("matched") > 0))
-        .when(F.col("classifier") == "password_hash", F.col("matched") > 0)
-        .otherwise(F.col("matched") >= 3)
+        F.when(F.col("classifier") == "email", ~constant & (hint | (ratio >= EMBEDDED_SHARE) | (F.col("matched") >= EMBEDDED_COUNT)))
+        .when(F.col("classifier") == "phone", hint | (share("formatted") >= PHONE_SHARE) | telling("strong") | telling("in_text"))
+        .when(F.col("classifier").isin("card_number", "iban", "nir"), 2 * F.col("matched") >= F.col("candidates"))
+        .otherwise(F.lit(True))
     )
-    phone = F.lit(0.4) + 0.4 * ratio + 0.2
-    confidence = F.round(F.least(F.lit(1.0), F.when(F.col("classifier") == "phone", phone).otherwise(F.lit(0.6) + 0.35 * ratio)), 3)
-    return stats.withColumn("reported", F.coalesce(reported, F.lit(False))).withColumn("confidence", confidence)
+    h = F.when(hint, 1.0).otherwise(0.0)
+    confidence = F.when(F.col("classifier") == "phone", 0.4 + 0.4 * ratio + 0.2 * h).otherwise(0.6 + 0.35 * ratio + 0.05 * h)
+    return stats.withColumn("reported", F.coalesce(some & reported, F.lit(False))).withColumn("confidence", F.round(F.least(F.lit(1.0), confidence), 3))
 
 
-def findings(values: DataFrame, classifiers: tuple[str, ...] = CLASSIFIERS) -> DataFrame:
-    return decide(column_statistics(scanned(values, classifiers))).where("reported").drop("reported", "least_hit", "greatest_hit")
+def findings(values: DataFrame, classifiers: tuple[str, ...] = CLASSIFIERS, hint: Column | None = None) -> DataFrame:
+    return decide(column_statistics(scanned(values, classifiers)), hint).where("reported").drop("reported", "least_hit", "greatest_hit")
 
 
 def hits(scan: DataFrame) -> DataFrame:
     """One row per valid match: object, field, classifier, raw."""
-    rows = scan.where("not placeholder").select("object", "field", F.explode("found").alias("f"))
+    rows = scan.where("not placeholder").select("object", "field", F.explode_outer("found").alias("f"))
     return rows.select("object", "field", F.col("f.classifier").alias("classifier"), F.explode("f.hits").alias("raw"))
 
 

@@ -14,29 +14,56 @@ from lakeward.operators import serving
 from lakeward.plans.base import read
 
 _COLUMNS = {"documents": ["text"], "pages": ["html", "url"], "conversations": ["text"], "customer": ["c_name", "c_mktsegment"]}
-_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "customer": "c_custkey"}
+_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "customer": ["c_custkey"]}
+_KEY = b"an example key"
+_FEW = ("email", "card_number", "phone")
 
 
 def sampled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.long_form({t: read(spark, sf_dir, t) for t in _COLUMNS}, _COLUMNS, _KEYS)
 
 
-def _native_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.scanned(sampled_values(spark, sf_dir), ("email", "card_number", "phone"))
-
-
 def discover_email_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.decide(V.column_statistics(_native_scan(spark, sf_dir))).select("object", "field", "classifier", "sampled", "n", "matched", "candidates", "reported", "confidence").where(
-        F.col("classifier").isin("email", "card_number")
-    )
+    scan = V.scanned(sampled_values(spark, sf_dir), _FEW[:2])
+    return V.decide(V.column_statistics(scan), V.hinted(_COLUMNS)).select("object", "field", "classifier", "sampled", "n", "matched", "candidates", "reported", "confidence")
 
 
 def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.column_statistics(_native_scan(spark, sf_dir)).select("object", "field", "classifier", "sampled", "n", "matched", "candidates", "valid")
+    return V.column_statistics(V.scanned(sampled_values(spark, sf_dir), _FEW)).select("object", "field", "classifier", "sampled", "n", "matched", "candidates", "valid", "strong", "formatted")
 
 
 def all_classifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.findings(sampled_values(spark, sf_dir))
+    return V.findings(sampled_values(spark, sf_dir), hint=V.hinted(_COLUMNS))
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a table of identifiers of every kind, valid and not: some with separators, some in words."""
+    key = F.col("o_orderkey")
+    digits = F.lpad(key.cast("string"), 9, "0")
+    body = F.concat(F.lit("411111"), digits)
+    check = lambda b: (10 - F.aggregate(F.transform(F.split(F.reverse(b), ""), lambda c, i: F.when(i % 2 == 0, (2 * c.cast("int")) % 10 + F.floor(2 * c.cast("int") / 10)).otherwise(c.cast("int"))), F.lit(0).cast("bigint"), lambda s, x: s + x) % 10) % 10
+    card = F.concat(body, check(body).cast("string"))
+    spaced = F.regexp_replace(card, "(.{4})(.{4})(.{4})(.{4})", "$1 $2 $3 $4")
+    number = F.lpad((key % 100_000_000).cast("string"), 8, "0")
+    nir_body = F.concat(F.lit("1"), F.lpad((key % 90 + 10).cast("string"), 2, "0"), F.lit("05"), F.lit("75"), F.lpad((key % 1_000_000).cast("string"), 6, "0"))
+    nir = F.concat(nir_body, F.lpad((97 - nir_body.cast("bigint") % 97).cast("string"), 2, "0"))
+    account = F.concat(F.lit("37040044"), F.lpad(key.cast("string"), 10, "0"))
+    iban = F.concat(F.lit("DE"), F.lpad((98 - F.concat(account, F.lit("131400")).cast("decimal(38,0)") % 97).cast("int").cast("string"), 2, "0"), account)
+    phone = F.concat(F.lit("0"), (key % 9 + 1).cast("string"), F.regexp_replace(number, "(..)", " $1"))
+    cut = lambda c: F.when(key % 5 == 0, F.overlay(c, F.lit("9"), F.lit(9))).otherwise(c)
+    columns = {
+        "card": F.when(key % 2 == 0, spaced).otherwise(cut(card)), "nir": nir, "iban": F.when(key % 7 == 0, F.lower(iban)).otherwise(F.concat(F.lit("to "), iban, F.lit(" now"))),
+        "phone": F.when(key % 4 == 0, F.concat(F.lit("call +33"), F.substring(phone, 2, 20))).otherwise(phone), "aws": F.concat(F.lit("AKIA"), F.upper(F.substring(F.md5(key.cast("string")), 1, 16))),
+        "hash": F.when(key % 3 == 0, F.concat(F.lit("{SSHA}"), F.md5(key.cast("string")))).otherwise(F.concat(F.lit("$2b$12$"), F.md5(key.cast("string")), F.substring(F.md5(key.cast("string")), 1, 21))),
+        "note": F.when(key % 6 == 0, F.lit("n/a")).otherwise(F.concat(F.lit("mail né"), key.cast("string"), F.lit("@exämple.org"))), "digits": F.concat(F.lit("4"), F.lpad(key.cast("string"), 24, "7")),
+    }
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("value")) for n, c in columns.items()])
+    return read(spark, sf_dir, "orders").select(F.lit("orders").alias("object"), F.explode(pairs).alias("p")).select("object", "p.field", "p.value")
+
+
+def planted_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All classifiers over identifiers that are built from order keys."""
+    return V.findings(_planted(spark, sf_dir), hint=V.hinted({"orders": ["card", "nir", "iban", "phone", "aws", "hash", "note", "digits"]}))
 
 
 def evidence_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +92,7 @@ def mask_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _masked(spark, sf_dir, lambda t: F.filter(D.find_card_runs(t), D.valid_card), M.mask_card).drop("conforms")
+    return _masked(spark, sf_dir, D.find_cards, M.mask_card).drop("conforms")
 
 
 def mask_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +105,9 @@ def sample_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HMAC fingerprints have no SQL form; the key is a parameter of the operator."""
-    return V.fingerprints(_native_scan(spark, sf_dir), M.keyed_digest(b"an example key", "value"))
+    """HMAC fingerprints; the key is a parameter of the operator."""
+    found = V.fingerprints(V.scanned(sampled_values(spark, sf_dir), _FEW), M.keyed_digest(_KEY, "value"))
+    return found.select("object", "field", "classifier", F.array_join("fingerprints", ",").alias("fingerprints"))
 
 
 def personal_mailboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +144,7 @@ def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        discover_email_card, column_stats, all_classifiers, evidence_columns, placeholder_share, nanp_phone_columns, mask_email, mask_card, mask_phone,
+        discover_email_card, column_stats, all_classifiers, planted_identifiers, evidence_columns, placeholder_share, nanp_phone_columns, mask_email, mask_card, mask_phone,
         sample_bottom_k, keyed_fingerprints, personal_mailboxes, client_networks, fold_name_join, glob_filter, eval_precision_recall,
     )
 }
@@ -124,58 +152,46 @@ QUERIES = {
 # ---- SQL ----------------------------------------------------------------------------------------
 from lakeward.plans.base import EVENTS_SQL, FINDINGS_SQL  # noqa: E402
 
-_EMAIL_OK = "length(x) <= 254 AND length(split_part(x, '@', 1)) <= 64 AND NOT contains(x, '..') AND NOT starts_with(x, '.')"
-_LUHN = (
-    "(list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(x, length(x) + 1 - i, 1) AS INTEGER) "
-    "ELSE (CASE WHEN 2 * CAST(substr(x, length(x) + 1 - i, 1) AS INTEGER) > 9 THEN 2 * CAST(substr(x, length(x) + 1 - i, 1) AS INTEGER) - 9 "
-    "ELSE 2 * CAST(substr(x, length(x) + 1 - i, 1) AS INTEGER) END) END)) % 10 = 0)"
-)
-_PREFIX = (
-    "((regexp_matches(x, '^4') AND length(x) IN (13, 16, 19)) OR (regexp_matches(x, '^(?:5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)') AND length(x) = 16) "
-    "OR (regexp_matches(x, '^3[47]') AND length(x) = 15) OR (regexp_matches(x, '^3(?:0[0-5]|[68])') AND length(x) = 14) "
-    "OR (regexp_matches(x, '^(?:6011|65|64[4-9])') AND length(x) BETWEEN 16 AND 19) OR (regexp_matches(x, '^35(?:2[89]|[3-8])') AND length(x) BETWEEN 16 AND 19) "
-    "OR (regexp_matches(x, '^62') AND length(x) BETWEEN 16 AND 19))"
-)
-_FOLD = "translate({0}, chr(160) || chr(8199) || chr(8239) || chr(8208) || chr(8209) || chr(8210) || chr(8211) || chr(8722), '   -----')"
-# The first 8192 bytes in whole characters, by the number of characters that end within them.
-_PREFIX_OF = (
-    "CASE WHEN strlen({0}) <= 8192 THEN {0} ELSE rtrim(left({0}, CAST(list_count(list_filter(list_transform(range(4096, 8193), "
-    "lambda n: CASE WHEN strlen(left({0}, n)) <= 8192 THEN 1 END), lambda y: y IS NOT NULL)) + 4095 AS BIGINT))) END"
-)
-_SCAN = f"""
-smp AS (
-  SELECT 'documents' AS object, 'text' AS field, text AS value FROM (SELECT text FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 10000)
-  UNION ALL SELECT 'pages', 'html', html FROM (SELECT html FROM pages ORDER BY md5(CAST(page_id AS VARCHAR)), page_id LIMIT 10000)
-  UNION ALL SELECT 'pages', 'url', url FROM (SELECT url FROM pages ORDER BY md5(CAST(page_id AS VARCHAR)), page_id LIMIT 10000)
-  UNION ALL SELECT 'conversations', 'text', text FROM (SELECT text FROM conversations ORDER BY md5(CAST(conv_id AS VARCHAR)), conv_id LIMIT 10000)
-  UNION ALL SELECT 'customer', 'c_name', c_name FROM customer
-  UNION ALL SELECT 'customer', 'c_mktsegment', c_mktsegment FROM customer),
-cut AS (SELECT object, field, {_PREFIX_OF.format('v')} AS t FROM (SELECT object, field, {_FOLD.format('value')} AS v FROM smp WHERE value <> '')),
-hit AS (SELECT object, field, regexp_extract_all(t, '{D.EMAIL}') AS ec, regexp_extract_all(t, '{D.CARD_RUN}') AS cc, regexp_extract_all(t, '{D.NANP}') AS pc FROM cut),
-val AS (SELECT *, list_filter(ec, lambda x: {_EMAIL_OK}) AS ev, list_filter(cc, lambda x: {_LUHN} AND {_PREFIX}) AS cv FROM hit),
-st AS (
-  SELECT object, field, 'email' AS classifier, count(*) AS sampled, count(*) AS n, CAST(sum(CASE WHEN len(ev) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS matched,
-    CAST(sum(len(ec)) AS BIGINT) AS candidates, CAST(sum(len(ev)) AS BIGINT) AS valid, min(list_min(ev)) AS lo, max(list_max(ev)) AS hi FROM val GROUP BY 1, 2
-  UNION ALL SELECT object, field, 'card_number', count(*), count(*), CAST(sum(CASE WHEN len(cv) > 0 THEN 1 ELSE 0 END) AS BIGINT),
-    CAST(sum(len(cc)) AS BIGINT), CAST(sum(len(cv)) AS BIGINT), min(list_min(cv)), max(list_max(cv)) FROM val GROUP BY 1, 2
-  UNION ALL SELECT object, field, 'phone', count(*), count(*), CAST(sum(CASE WHEN len(pc) > 0 THEN 1 ELSE 0 END) AS BIGINT),
-    CAST(sum(len(pc)) AS BIGINT), CAST(sum(len(pc)) AS BIGINT), min(list_min(pc)), max(list_max(pc)) FROM val GROUP BY 1, 2)"""
+from lakeward.plans import detector_sql as Q  # noqa: E402
+
+_EMAIL_OK = Q.valid_email("x")
+_FOLD, _PREFIX_OF = Q.FOLD, Q.PREFIX_OF
+_SAMPLE = Q.sample_sql(_COLUMNS, _KEYS, V.SAMPLE_ROWS)
+_INNER, _OUTER = (pad.hex() for pad in M.keyed_pads(_KEY, "value"))
+_PLANT = """key AS (SELECT o_orderkey AS k, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS d9, lpad(CAST(o_orderkey % 100000000 AS VARCHAR), 8, '0') AS n8, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders),
+  bd AS (SELECT *, '411111' || d9 AS body, '1' || lpad(CAST(k % 90 + 10 AS VARCHAR), 2, '0') || '05' || '75' || lpad(CAST(k % 1000000 AS VARCHAR), 6, '0') AS nb, '37040044' || lpad(CAST(k AS VARCHAR), 10, '0') AS acc FROM key),
+  ck AS (SELECT *, body || CAST((10 - list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN (2 * CAST(substr(body, 16 - i, 1) AS INTEGER)) % 10 + (2 * CAST(substr(body, 16 - i, 1) AS INTEGER)) // 10
+    ELSE CAST(substr(body, 16 - i, 1) AS INTEGER) END)) % 10) % 10 AS VARCHAR) AS card,
+    'DE' || lpad(CAST(98 - CAST(acc || '131400' AS HUGEINT) % 97 AS VARCHAR), 2, '0') || acc AS iban,
+    '0' || CAST(k % 9 + 1 AS VARCHAR) || regexp_replace(n8, '(..)', ' \\1', 'g') AS phone FROM bd),
+  smp AS (SELECT 'orders' AS object, unnest(['card', 'nir', 'iban', 'phone', 'aws', 'hash', 'note', 'digits']) AS field, unnest([
+    CASE WHEN k % 2 = 0 THEN regexp_replace(card, '(.{4})(.{4})(.{4})(.{4})', '\\1 \\2 \\3 \\4') WHEN k % 5 = 0 THEN left(card, 8) || '9' || substr(card, 10) ELSE card END,
+    nb || lpad(CAST(97 - CAST(nb AS BIGINT) % 97 AS VARCHAR), 2, '0'),
+    CASE WHEN k % 7 = 0 THEN lower(iban) ELSE 'to ' || iban || ' now' END,
+    CASE WHEN k % 4 = 0 THEN 'call +33' || substr(phone, 2, 20) ELSE phone END,
+    'AKIA' || upper(left(h, 16)),
+    CASE WHEN k % 3 = 0 THEN '{SSHA}' || h ELSE '$2b$12$' || h || left(h, 21) END,
+    CASE WHEN k % 6 = 0 THEN 'n/a' ELSE 'mail né' || CAST(k AS VARCHAR) || '@exämple.org' END,
+    '4' || lpad(CAST(k AS VARCHAR), 24, '7')]) AS value FROM ck)"""
+_FOUND = "SELECT object, field, classifier, sampled, n, matched, candidates, valid, strong, formatted, in_text, confidence FROM (SELECT *, {decided} FROM st) WHERE reported"
 _WILSON = "round(CASE WHEN {n} > 0 THEN ({p} / {n} + 1.96 * 1.96 / (2 * {n}) - 1.96 * sqrt({p} / {n} * (1 - {p} / {n}) / {n} + 1.96 * 1.96 / (4 * {n} * {n}))) / (1 + 1.96 * 1.96 / {n}) ELSE 0.0 END, 6)"
 
 ORACLE_SQL = {
-    "discover_email_card": f"""WITH {_SCAN} SELECT object, field, classifier, sampled, n, matched, candidates,
-      coalesce(CASE classifier WHEN 'email' THEN (matched / n >= 0.05 OR matched >= 3) AND lo <> hi ELSE 2 * valid >= candidates AND matched > 0 END, false) AS reported,
-      round(least(1.0, 0.6 + 0.35 * (matched / n)), 3) AS confidence FROM st WHERE classifier IN ('email', 'card_number')""",
-    "column_stats": f"WITH {_SCAN} SELECT object, field, classifier, sampled, n, matched, candidates, valid FROM st",
+    "discover_email_card": f"WITH {Q.scan_sql(_SAMPLE, _FEW[:2])} SELECT object, field, classifier, sampled, n, matched, candidates, {Q.decided()} FROM st",
+    "column_stats": f"WITH {Q.scan_sql(_SAMPLE, _FEW)} SELECT object, field, classifier, sampled, n, matched, candidates, valid, strong, formatted FROM st",
+    "all_classifiers": f"WITH {Q.scan_sql(_SAMPLE, V.CLASSIFIERS)} {_FOUND.format(decided=Q.decided())}",
+    "planted_identifiers": f"""WITH {Q.scan_sql(_PLANT, V.CLASSIFIERS)} {_FOUND.format(decided=Q.decided("((field = 'card' AND classifier = 'card_number') OR (field = classifier AND field IN ('nir', 'iban', 'phone')) OR (field = 'aws' AND classifier = 'aws_key') OR (field = 'hash' AND classifier = 'password_hash'))"))}""",
+    "keyed_fingerprints": f"""WITH {Q.scan_sql(_SAMPLE, _FEW)}, nf AS (SELECT DISTINCT object, field, classifier, CASE WHEN classifier = 'email' THEN lower(trim(raw)) ELSE regexp_replace(raw, '[^0-9]', '', 'g') END AS v
+      FROM tok JOIN vals USING (rid) WHERE ok AND NOT ph), fp AS (SELECT DISTINCT object, field, classifier, 'hmac-sha256:' || sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(v)))) AS f FROM nf)
+      SELECT object, field, classifier, string_agg(f, ',' ORDER BY f) AS fingerprints FROM (SELECT * FROM fp QUALIFY row_number() OVER (PARTITION BY object, field, classifier ORDER BY f) <= 50) GROUP BY 1, 2, 3""",
     "placeholder_share": """SELECT count(*) AS n, CAST(sum(CASE WHEN o_orderpriority LIKE '4-%' THEN 1 ELSE 0 END) AS BIGINT) AS placeholders FROM orders""",
     "nanp_phone_columns": f"""SELECT source, count(*) AS sampled, CAST(sum(CASE WHEN len(h) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(sum(len(h)) AS BIGINT) AS hits
       FROM (SELECT source, regexp_extract_all({_PREFIX_OF.format('t')}, '{D.NANP}') AS h FROM (SELECT source, coalesce(text, '') AS t FROM documents)) GROUP BY source""",
     "mask_email": f"""SELECT doc_id, pos - 1 AS pos, left(x, 1) || '***@' || left(d, 1) || '***.' || split_part(d, '.', -1) AS masked FROM (
       SELECT doc_id, unnest(range(1, len(h) + 1)) AS pos, unnest(h) AS x, split_part(unnest(h), '@', -1) AS d FROM (
       SELECT doc_id, list_filter(regexp_extract_all(text, '{D.EMAIL}'), lambda x: {_EMAIL_OK}) AS h FROM documents))""",
-    "mask_card": f"""SELECT doc_id, pos - 1 AS pos, trim(regexp_replace(repeat('*', length(x) - 4) || right(x, 4), '(.{{4}})', '\\1 ', 'g')) AS masked FROM (
-      SELECT doc_id, unnest(range(1, len(h) + 1)) AS pos, unnest(h) AS x FROM (
-      SELECT doc_id, list_filter(regexp_extract_all(text, '{D.CARD_RUN}'), lambda x: {_LUHN} AND {_PREFIX}) AS h FROM documents))""",
+    "mask_card": f"""WITH smp AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), cut AS (SELECT row_number() OVER () AS rid, doc_id, text AS t FROM smp), {Q.card_sql()}
+      SELECT doc_id, row_number() OVER (PARTITION BY rid ORDER BY k) - 1 AS pos, trim(regexp_replace(repeat('*', length(p) - 4) || right(p, 4), '(.{{4}})', '\\1 ', 'g')) AS masked FROM cg JOIN cp USING (k) JOIN cut USING (rid)""",
     "mask_phone": f"""SELECT doc_id, pos - 1 AS pos, '** ** ** ' || right(x, 2) AS masked FROM (
       SELECT doc_id, unnest(range(1, len(h) + 1)) AS pos, unnest(h) AS x FROM (SELECT doc_id, regexp_extract_all(text, '{D.NANP}') AS h FROM documents))""",
     "sample_bottom_k": f"""WITH h AS (SELECT unnest(list_filter(regexp_extract_all(t, '{D.EMAIL}'), lambda x: {_EMAIL_OK})) AS raw FROM (
