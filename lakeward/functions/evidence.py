@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeward.functions.detectors import SCAN_BYTES
+
 # Common given names, surnames, titles, particles, street words, months.
 GIVEN = frozenset("anna ben clara daniel david emma eva felix hannah hugo ines james jan jean john jose julia karl laura lea leo lisa louis lucas lucia maria marie mark martin max mia michael nina noah paul peter pierre robert sara sarah sofia thomas tom william".split())
 SURNAMES = frozenset("bernard brown davis dubois durand fernandez fischer garcia gomez hoffmann johnson jones leroy lopez martin martinez meyer miller moreau muller perez petit robert rodriguez roux sanchez schmidt schneider simon smith taylor weber williams wilson".split())
@@ -85,7 +87,7 @@ def name_evidence(text: str) -> tuple[bool, bool, bool, bool]:
 
 
 def address_evidence(text: str) -> str | None:
-    if len(text) <= 200 and _NUMBERED.search(text) or _POST_BOX.search(text):
+    if _NUMBERED.search(text) or _POST_BOX.search(text):
         return "strong"
     return "weak" if _POSTCODE.search(text) else None
 
@@ -103,10 +105,9 @@ def phone_evidence(text: str) -> str | None:
 
 
 def evidence(text: str) -> tuple:
-    text = unicodedata.normalize("NFC", text[:8192])
+    text = unicodedata.normalize("NFC", text.encode()[:SCAN_BYTES].decode(errors="ignore"))
     found = parse_date(text)
-    short = len(text) <= 120
-    given, surname, entity, shape = name_evidence(text) if short else (False, False, False, False)
+    given, surname, entity, shape = name_evidence(text)
     label = _BORN.search(text)
     inside = _DATE_IN.match(text, label.end()) if label else None
     born = bool(inside and parse_date(inside[0]))

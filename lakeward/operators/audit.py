@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Counts stop here, a merged event names so many objects, windows are so long.
 MAX_COUNT, MAX_EVENTS, NAMED_OBJECTS, WINDOW_SECONDS = (1 << 53) - 1, 1_000_000, 15, 60
@@ -42,28 +46,51 @@ def aggregate_events(events: DataFrame, keys: list[str], seconds: int = WINDOW_S
 
 
 def first_event_windows(events: DataFrame, keys: list[str], seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """`opened`: when the window that an event falls in was opened by its group's first event. An ordered
-    fold, so it runs over one group at a time, in an aggregate expression over the group's sorted times."""
-    micros = F.expr("unix_micros(ts)")
-    step = F.lit(seconds * 1_000_000)
-    grouped = events.groupBy(*keys).agg(F.sort_array(F.collect_list(micros)).alias("t"))
-    opened = F.aggregate(
-        "t",
-        F.array().cast("array<bigint>"),
-        lambda s, t: F.when((F.size(s) > 0) & (t < F.element_at(s, -1) + step), s).otherwise(F.concat(s, F.array(t))),
-    )
-    return grouped.select(*keys, F.explode(opened).alias("opened_us"), (F.col("opened_us") + step).alias("closed_us"))
+    """`opened_us`: when the window that an event falls in was opened by its group's first event. An ordered
+    fold: rows are sorted within hash partitions and read as a stream, so a group needs no more than its
+    last window."""
+    step, columns = seconds * 1_000_000, [*keys, "opened_us", "closed_us"]
+    spread = events.select(*keys, F.expr("unix_micros(ts)").alias("_us")).repartition(*keys).sortWithinPartitions(*keys, "_us")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, opened = None, 0
+        for pdf in batches:
+            out = []
+            for *key, us in zip(*[pdf[c] for c in (*keys, "_us")], strict=True):
+                if key != group or us >= opened + step:
+                    group, opened = key, us
+                    out.append((*key, us, us + step))
+            yield pd.DataFrame(out, columns=columns)
+
+    kind = StructType([*[events.schema[k] for k in keys], StructField("opened_us", LongType()), StructField("closed_us", LongType())])
+    return spread.mapInPandas(run, kind)
+
+
+def sliding(rows: DataFrame, keys: list[str], reach: int, measures: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Running totals over the last `reach` microseconds of `_us`: a row adds the first column of a measure at
+    its time and the second one when it is `reach` old, so a window costs one sort, however many rows it has."""
+    here = rows.select("*", F.col("_us").alias("_at"), F.lit(True).alias("_in"), *[enter.alias(f"_d_{n}") for n, (enter, _) in measures.items()])
+    gone = rows.select(*keys, (F.col("_us") + reach).alias("_at"), F.lit(False).alias("_in"), *[leave.alias(f"_d_{n}") for n, (_, leave) in measures.items()])
+    both, order = here.unionByName(gone, allowMissingColumns=True), Window.partitionBy(*keys).orderBy("_at")
+    totals = both.select("*", *[F.sum(f"_d_{n}").over(order).cast("long").alias(n) for n in measures])
+    return totals.where("_in").drop("_at", "_in", *[f"_d_{n}" for n in measures])
 
 
 def failed_login_windows(failures: DataFrame, address: str, principal: str, seconds: int = FAILED_WINDOW_SECONDS) -> DataFrame:
     """For each failure the distinct principals at its address, and its principal's failures, in the
-    time before it (age below `seconds`). Ranges are in microseconds."""
-    reach = seconds * 1_000_000 - 1
-    timed = failures.withColumn("_us", F.expr("unix_micros(ts)"))
-    by_address = Window.partitionBy(address).orderBy("_us").rangeBetween(-reach, 0)
-    by_principal = Window.partitionBy(principal).orderBy("_us").rangeBetween(-reach, 0)
-    counted = timed.withColumn("principals", F.size(F.collect_set(principal).over(by_address)).cast("long")).withColumn("failures", F.count("*").over(by_principal))
-    return counted.withColumn("many_accounts", F.col("principals") >= FAILED_PRINCIPALS).withColumn("one_account", F.col("failures") >= FAILED_LOGINS).drop("_us")
+    time before it (age below `seconds`).
+
+    Distinct principals are failures less the pairs of successive failures of one principal that both lie
+    in the window; only pairs closer than the window can.
+    """
+    reach, us = seconds * 1_000_000, F.col("_us")
+    same = Window.partitionBy(address, principal).orderBy("_us")
+    timed = failures.withColumn("_us", F.expr("unix_micros(ts)")).withColumn("_before", F.lag("_us").over(same)).withColumn("_after", F.lead("_us").over(same))
+    close = lambda gap: F.when(F.coalesce(gap < reach, F.lit(False)), 1).otherwise(0)
+    named = lambda c: F.when(F.col(principal).isNotNull(), c).otherwise(0)
+    counted = sliding(timed, [address], reach, {"principals": (named(1 - close(us - F.col("_before"))), named(close(F.col("_after") - us) - 1))})
+    counted = sliding(counted, [principal], reach, {"failures": (F.lit(1), F.lit(-1))})
+    return counted.withColumn("many_accounts", F.col("principals") >= FAILED_PRINCIPALS).withColumn("one_account", F.col("failures") >= FAILED_LOGINS).drop("_us", "_before", "_after")
 
 
 def cap_groups(groups: DataFrame, partition: list[str], count: str, name: str, most: int = FAILED_GROUPS) -> DataFrame:
@@ -85,14 +112,13 @@ def counter_delta(polls: DataFrame, keys: list[str], order: str, counter: str, f
 def reportable(events: DataFrame, sensitive: DataFrame, min_rows: int | None) -> DataFrame:
     """Events worth reporting: any signal, neither read nor write, enough rows, or a sensitive object.
 
-    `sensitive` has the folded object names; the semi join is on exploded objects.
+    `sensitive` has the folded object names; only events that nothing else reports are looked up in it.
     """
     if min_rows is None:
         return events
-    named = events.select("event_id", F.explode("objects").alias("object")).join(sensitive.select(F.col("object")), "object", "left_semi").select("event_id").distinct()
-    marked = events.join(named.withColumn("_named", F.lit(True)), "event_id", "left")
-    keep = (F.size("signals") > 0) | ~F.col("action").isin("read", "write") | (F.coalesce("rows", F.lit(0)) >= min_rows) | F.coalesce("_named", F.lit(False))
-    return marked.where(keep).drop("_named")
+    plain = F.coalesce((F.size("signals") > 0) | ~F.col("action").isin("read", "write") | (F.coalesce("rows", F.lit(0)) >= min_rows), F.lit(False))
+    named = events.where(~plain).withColumn("_object", F.explode("objects")).join(sensitive.select(F.col("object").alias("_object")), "_object", "left_semi")
+    return events.where(plain).unionByName(named.drop("_object").dropDuplicates(["event_id"]))
 
 
 def dump_sessions(reads: DataFrame, least: int = 3) -> DataFrame:
@@ -106,5 +132,15 @@ def dump_sessions(reads: DataFrame, least: int = 3) -> DataFrame:
 
 def own_budget(events: DataFrame, seconds: int = 86_400) -> DataFrame:
     """Rows that a principal has read of an object in the last day, this event included."""
-    reach = Window.partitionBy("principal", "object").orderBy(F.expr("unix_micros(ts)")).rangeBetween(-(seconds * 1_000_000) + 1, 0)
-    return events.withColumn("spent", F.sum(F.coalesce("rows", F.lit(0))).over(reach))
+    rows = F.coalesce("rows", F.lit(0))
+    return sliding(events.withColumn("_us", F.expr("unix_micros(ts)")), ["principal", "object"], seconds * 1_000_000, {"spent": (rows, -rows)}).drop("_us")
+
+
+def correlated(rows: DataFrame, keys: list[str], request: Column, seconds: int) -> DataFrame:
+    """For each row that is no request, `request_id`: the event_id of the last request of its keys, if that is at
+    most so many seconds old. One ordered pass: of all earlier requests only the last can be young enough."""
+    us = F.expr("unix_micros(ts)")
+    order = Window.partitionBy(*keys).orderBy(us, (~request).cast("int"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(request, F.struct(us.alias("us"), "event_id")), ignorenulls=True).over(order)
+    seen = rows.withColumn("_last", last).where(~request)
+    return seen.withColumn("request_id", F.when(us - F.col("_last.us") <= seconds * 1_000_000, F.col("_last.event_id"))).drop("_last")

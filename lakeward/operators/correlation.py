@@ -94,8 +94,11 @@ def match_policies(facts: DataFrame, policies: list[dict], exceptions: list[dict
 
     A policy has id, conditions; an exception conditions, and optionally policy and expires (ISO time).
     """
-    if not policies:
-        return facts.withColumn("policy", F.lit(None).cast("string")).where("false")
+    return facts.withColumn("policy", F.explode(policy_marks(policies, exceptions)))
+
+
+def policy_marks(policies: list[dict], exceptions: list[dict] = ()) -> Column:
+    """Array of the ids of the policies that match a row and that no exception covers."""
     marks = []
     for p in policies:
         covered = F.lit(False)
@@ -104,7 +107,7 @@ def match_policies(facts: DataFrame, policies: list[dict], exceptions: list[dict
                 alive = F.col("ts") < F.to_timestamp(F.lit(e["expires"])) if e.get("expires") else F.lit(True)
                 covered |= policy_predicate(e["conditions"]) & alive
         marks.append(F.when(policy_predicate(p["conditions"]) & ~covered, F.lit(p["id"])))
-    return facts.withColumn("policy", F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())))
+    return F.filter(F.array(*marks).cast("array<string>"), lambda x: x.isNotNull())
 
 
 # Baselines: an ordered fold for each principal; a window that is as long as the group has no bound, so
@@ -186,19 +189,110 @@ def cap_incidents(opened: DataFrame, keys: list[str], order: list[str], most: in
     )
 
 
-def reopens(previous_score: Column, score: Column, previous_rows: Column, rows: Column, previous_signals: Column, signals: Column, status: Column) -> Column:
-    """Whether a match reopens a closed incident: it is worse than what was resolved, or, after a false
-    positive, has a signal that it did not have or twice the rows."""
-    new_signal = F.size(F.array_except(signals, previous_signals)) > 0
-    return F.when(status == "resolved", (score > previous_score) | new_signal).when(status == "false_positive", new_signal | (rows >= 2 * previous_rows)).otherwise(F.lit(False))
+def reopens(status: Column, old: Column, score: Column, anomaly: Column, signals: Column, rows_since: Column) -> Column:
+    """Whether a match opens a new incident after the closed one `old` (struct of score, anomaly, signals, rows):
+    after a resolution if it scores higher, is an anomaly where that was none, or has a new signal; after a
+    false positive if it scores higher, if the rows since (this event's included) exceed what was judged, or if
+    it has a new signature."""
+    fresh = F.array_except(signals, F.coalesce(old["signals"], F.array().cast("array<string>")))
+    higher = score > F.coalesce(old["score"], F.lit(0.0))
+    resolved = higher | (anomaly & ~F.coalesce(old["anomaly"], F.lit(False))) | (F.size(fresh) > 0)
+    judged = higher | ((rows_since > 0) & (rows_since > F.coalesce(old["rows"], F.lit(0)))) | F.exists(fresh, lambda s: s.startswith("signature."))
+    return F.when(status == "resolved", resolved).when(status == "false_positive", judged).otherwise(F.lit(False))
+
+
+def rematch(stored: DataFrame, matches: DataFrame) -> DataFrame:
+    """Active incidents after the matches of their `dedup` keys: counts and rows add up, the score, the last
+    time and the anomaly are the greatest, signals are united. Both have the columns of `incidents`."""
+    from lakeward.operators.signals import union_signals
+
+    merged = stored.unionByName(matches).groupBy("dedup", "policy").agg(
+        F.sum("match_count").alias("match_count"), F.max("max_score").alias("max_score"), F.sum("total_rows").cast("long").alias("total_rows"), F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"), F.bool_or("anomaly").alias("anomaly"), F.flatten(F.collect_list("signals")).alias("_signals"),
+    )
+    return merged.withColumn("signals", union_signals(F.col("_signals"))).drop("_signals")
 
 
 def upsert_findings(stored: DataFrame, batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Stored findings after a batch: the last item of each location wins, first_seen is kept."""
+    """Stored findings after a batch: the last item of each location wins, first_seen is kept; a location that
+    the batch does not name stays as it is."""
     last = batch.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*[F.desc(o) for o in order]))).where("_r = 1").drop("_r")
-    old = stored.select(*key, F.col("first_seen").alias("_first"), F.col("confidence").alias("_confidence"))
+    old = stored.select(*key, F.col("first_seen").alias("_first"), F.col("last_seen").alias("_last"), F.col("confidence").alias("_confidence"))
     merged = last.join(old, key, "full_outer")
-    return merged.select(*key, F.coalesce("_first", "seen").alias("first_seen"), F.coalesce("seen", "_first").alias("last_seen"), F.coalesce("confidence", "_confidence").alias("confidence"))
+    return merged.select(*key, F.coalesce("_first", "seen").alias("first_seen"), F.coalesce("seen", "_last").alias("last_seen"), F.coalesce("confidence", "_confidence").alias("confidence"))
+
+
+STAR = "*"
+
+
+def overflow_star(overflowed: Column, object_name: Column) -> Column:
+    """Whether an object stands for those that an event had no place for."""
+    return F.coalesce(overflowed, F.lit(False)) & (object_name == STAR)
+
+
+def star_matches(pattern_database: str | None, database: Column) -> Column:
+    """Whether an objects condition retains an overflow `*`: by its database alone; `*` may be any database."""
+    return (database == STAR) | (F.lit(True) if pattern_database is None else glob_match(database, pattern_database))
+
+
+def exception_covers_star(parts: dict[str, str], database: Column) -> Column:
+    """Whether an exception covers an overflow `*`: only if it would cover every object of the database."""
+    if any(parts.get(p, STAR) != STAR for p in ("schema", "object")):
+        return F.lit(False)
+    if "database" not in parts:
+        return F.lit(True)
+    return F.when(database == STAR, F.lit(parts["database"] == STAR)).otherwise(glob_match(database, parts["database"]))
+
+
+def dedup_object(sensitivities: Column) -> Column:
+    """Index (from 0) of the most sensitive object, the first of equal ones; null for none."""
+    return F.when(F.size(sensitivities) > 0, F.array_position(sensitivities, F.array_max(sensitivities)).cast("int") - 1)
+
+
+def pending_order(events: DataFrame, agent: str, order: list[str], per_agent: int = 50, chunk: int = 200) -> DataFrame:
+    """The first chunk of pending events: each agent's earliest, at most `per_agent` of one, agents in turn;
+    `place` counts from 1. Every agent's rows are ranked within the agent, so no backlog is sorted as a whole."""
+    ranked = events.withColumn("_turn", F.row_number().over(Window.partitionBy(agent).orderBy(*order))).where(F.col("_turn") <= per_agent)
+    first = ranked.orderBy("_turn", *order).limit(chunk)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("_turn", *order))).drop("_turn")  # `chunk` rows
+
+
+def evaluate_events(events: DataFrame, sensitivities: DataFrame, bounds: DataFrame, policies: list[dict], exceptions: list[dict] = ()) -> DataFrame:
+    """One batch from end to end: sensitivity, score, their bounds, the verdict on the baseline before each event,
+    and the policies that match and that no exception covers.
+
+    `sensitivities`: target, name (folded), sensitivity; `bounds`: target, bound. An event has event_id, ts,
+    target, principal, action, rows, object, overflowed, signals.
+    """
+    named = events.withColumn("name", fold_name(F.col("object"))).join(sensitivities, ["target", "name"], "left").join(bounds, "target", "left")
+    own = F.coalesce("sensitivity", F.lit(0.0))
+    bound = F.when(overflow_star(F.col("overflowed"), F.col("object")), F.greatest(own, F.coalesce("bound", F.lit(0.0)))).otherwise(own)
+    scored = named.withColumn("bound_sensitivity", bound).withColumn("sensitivity", own)
+    scored = scored.withColumn("named_score", event_score(F.col("sensitivity"), F.col("rows"))).withColumn("score", event_score(F.col("bound_sensitivity"), F.col("rows")))
+    verdicts = baselines(events, ["target", "principal"], ["ts", "event_id"]).select("event_id", "anomaly")
+    facts = scored.join(verdicts, "event_id", "left").withColumn("anomaly", F.coalesce("anomaly", F.lit(False)))
+    marks = policy_marks(policies, exceptions)
+    return facts.select("event_id", "sensitivity", F.col("named_score").alias("score"), "bound_sensitivity", F.col("score").alias("bound_score"), "anomaly", F.array_sort(marks).alias("policies"))
+
+
+def apply_finding_policies(findings: DataFrame, incidents: DataFrame, policies: list[dict], exceptions: list[dict] = ()) -> DataFrame:
+    """`outcome` for each finding (finding_id, last_seen, matched, false_positive, ts and what policies ask for) and
+    policy that matches: excepted, created, rematched (once for each new sighting), unchanged, or suppressed
+    (resolved, and nothing new was read since). `incidents`: incident_id, policy, finding_id, status, created_at,
+    finding_seen, finding_matched, resolved_at; the latest of a key counts."""
+    real = findings.where(~F.col("false_positive"))
+    matched = real.withColumn("policy", F.explode(policy_marks(policies))).withColumn("_kept", F.array_contains(policy_marks(policies, exceptions), F.col("policy")))
+    order = Window.partitionBy("policy", "finding_id").orderBy(F.desc("created_at"), F.desc("incident_id"))
+    latest = incidents.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("policy", "finding_id", "status", "finding_seen", "finding_matched", "resolved_at")
+    seen = matched.join(latest, ["policy", "finding_id"], "left")
+    news = F.col("resolved_at").isNull() | (F.col("last_seen") > F.col("resolved_at")) | (F.col("matched") > F.coalesce("finding_matched", F.lit(0)))
+    outcome = (
+        F.when(~F.col("_kept"), "excepted")
+        .when(F.col("status").isin("open", "acknowledged"), F.when(F.col("finding_seen").isNull() | (F.col("finding_seen") < F.col("last_seen")), "rematched").otherwise("unchanged"))
+        .when((F.col("status") == "resolved") & ~news, "suppressed")
+        .otherwise("created")
+    )
+    return seen.withColumn("outcome", outcome)
 
 
 def ingest_batches(batches: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ SEVERITIES = ("critical", "high", "medium", "low")
 def fair_listing(rows: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
     """Round robin: every group's first row before any second one; at most `most` rows."""
     ranked = rows.withColumn("round", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    return ranked.orderBy("round", *order).limit(most)
+    return ranked.where(F.col("round") <= most).orderBy("round", *order).limit(most)  # later rounds cannot be listed
 
 
 def summary(findings: DataFrame, keys: list[str]) -> DataFrame:

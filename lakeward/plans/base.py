@@ -45,7 +45,7 @@ def sample_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("target_"), (F.col("c_nationkey") % 5).cast("string")).alias("target"),
         F.concat(F.lit("db_"), (key % 4).cast("string")).alias("db"),
         F.concat(F.lit("obj_"), (key % 23).cast("string")).alias("object"),
-        choose(F.col("c_mktsegment"), SEGMENTS).alias("classifier"),
+        F.when(key % 7 == 0, F.lit("password_hash")).otherwise(choose(F.col("c_mktsegment"), SEGMENTS)).alias("classifier"),
         F.round(F.lit(0.5) + (key % 50) / 100.0, 2).alias("confidence"),
         F.lit(200).cast("long").alias("sampled"),
         (key % 200).cast("long").alias("matched"),
@@ -63,8 +63,17 @@ EVENTS_SQL = f"""ev AS (SELECT event_id, ts, CAST(user_id AS VARCHAR) AS princip
   CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)"""
 
 FINDINGS_SQL = f"""fi AS (SELECT c_custkey AS finding_id, 'target_' || CAST(c_nationkey % 5 AS VARCHAR) AS target, 'db_' || CAST(c_custkey % 4 AS VARCHAR) AS db,
-  'obj_' || CAST(c_custkey % 23 AS VARCHAR) AS object, {_case('c_mktsegment', SEGMENTS)} AS classifier,
+  'obj_' || CAST(c_custkey % 23 AS VARCHAR) AS object, CASE WHEN c_custkey % 7 = 0 THEN 'password_hash' ELSE {_case('c_mktsegment', SEGMENTS)} END AS classifier,
   round(0.5 + (c_custkey % 50) / 100.0, 2) AS confidence, CAST(200 AS BIGINT) AS sampled, CAST(c_custkey % 200 AS BIGINT) AS matched,
   make_timestamp(1704067200000000 + c_custkey * 60000000) AS last_seen FROM customer)"""
 
-WEIGHT_SQL = "CASE classifier WHEN 'card_number' THEN 8 WHEN 'iban' THEN 7 WHEN 'email' THEN 3 WHEN 'phone' THEN 3 WHEN 'person_name' THEN 2 ELSE 1 END"
+WEIGHT_SQL = "CASE classifier WHEN 'card_number' THEN 8 WHEN 'password_hash' THEN 8 WHEN 'iban' THEN 7 WHEN 'email' THEN 3 WHEN 'phone' THEN 3 WHEN 'person_name' THEN 2 ELSE 1 END"
+
+
+def pick(column, values: tuple[str, ...]):
+    """One of the values, dealt by a number."""
+    return F.get(F.array(*map(F.lit, values)), (column % len(values)).cast("int"))
+
+
+def pick_sql(column: str, values: tuple[str, ...]) -> str:
+    return f"['{"', '".join(values)}'][({column}) % {len(values)} + 1]"

@@ -22,8 +22,7 @@ EXCEPTIONS = [
 
 
 def _sensitivities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One finding in forty, so that sensitivities stay below the cap.
-    return C.object_sensitivity(sample_findings(spark, sf_dir).where("finding_id % 41 = 0"), ["target", "db", "object"])
+    return C.object_sensitivity(sample_findings(spark, sf_dir), ["target", "db", "object"])
 
 
 def object_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def object_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_object = C.object_sensitivity(sample_findings(spark, sf_dir).where("finding_id % 41 = 0"), ["target", "object"]).withColumnRenamed("object", "name")
+    by_object = C.object_sensitivity(sample_findings(spark, sf_dir), ["target", "object"]).withColumnRenamed("object", "name")
     events = access_events(spark, sf_dir).withColumn("name", fold_name(F.col("object")))
     joined = events.join(by_object, ["target", "name"], "left")
     return joined.withColumn("sensitivity", F.coalesce("sensitivity", F.lit(0.0))).withColumn("score", C.event_score(F.col("sensitivity"), F.col("rows")))
@@ -53,7 +52,7 @@ def database_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    derived = C.derive_objects(sample_findings(spark, sf_dir).where("confidence >= 0.9"), ["target", "object"])
+    derived = C.derive_objects(sample_findings(spark, sf_dir), ["target", "object"])
     return derived.select("target", "object", F.array_join("classifiers", ",").alias("classifiers"))
 
 
@@ -108,11 +107,9 @@ def incident_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = Window.partitionBy("policy", "target").orderBy("ts", "event_id")
     seen = C.match_policies(_facts(spark, sf_dir), POLICIES)
-    for c in ("score", "rows", "signals"):
-        seen = seen.withColumn(f"_{c}", F.lag(c).over(order))
-    seen = seen.withColumn("status", F.when(F.col("event_id") % 2 == 0, "resolved").otherwise("false_positive")).where("_score is not null")
-    col = F.col
-    return seen.select("event_id", "policy", C.reopens(col("_score"), col("score"), col("_rows"), col("rows"), col("_signals"), col("signals"), col("status")).alias("reopens"))
+    seen = seen.withColumn("old", F.lag(F.struct("score", "rows", "signals", "anomaly")).over(order)).where("old is not null")
+    status = F.when(F.col("event_id") % 2 == 0, "resolved").otherwise("false_positive")
+    return seen.select("event_id", "policy", C.reopens(status, F.col("old"), F.col("score"), F.col("anomaly"), F.col("signals"), F.col("rows")).alias("reopens"))
 
 
 def signal_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +119,7 @@ def signal_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def finding_upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sample_findings(spark, sf_dir).select("target", "object", "classifier", "confidence", F.col("last_seen").alias("seen"), "finding_id")
-    old = found.where("finding_id < 700").groupBy("target", "object", "classifier").agg(F.min("seen").alias("first_seen"), F.min("confidence").alias("confidence"))
+    old = found.where("finding_id < 700").groupBy("target", "object", "classifier").agg(F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.min("confidence").alias("confidence"))
     return C.upsert_findings(old, found.where("finding_id >= 500"), ["target", "object", "classifier"], ["finding_id"])
 
 
@@ -172,9 +169,9 @@ QUERIES = {
 from lakeward.plans.base import EVENTS_SQL, FINDINGS_SQL, WEIGHT_SQL  # noqa: E402
 
 _SENS = f"""sn AS (SELECT target, db, object, round(least(sum(c * ({WEIGHT_SQL})), 30.0), 2) AS sensitivity FROM
-  (SELECT target, db, object, classifier, max(confidence) AS c FROM fi WHERE finding_id % 41 = 0 GROUP BY ALL) GROUP BY ALL)"""
+  (SELECT target, db, object, classifier, max(confidence) AS c FROM fi GROUP BY ALL) GROUP BY ALL)"""
 _SCORED = f"""so AS (SELECT target, object, round(least(sum(c * ({WEIGHT_SQL})), 30.0), 2) AS s FROM
-  (SELECT target, object, classifier, max(confidence) AS c FROM fi WHERE finding_id % 41 = 0 GROUP BY ALL) GROUP BY ALL),
+  (SELECT target, object, classifier, max(confidence) AS c FROM fi GROUP BY ALL) GROUP BY ALL),
 sc AS (SELECT ev.*, coalesce(so.s, 0.0) AS sensitivity, CASE WHEN rows > 0 AND so.s > 0 THEN round(so.s * log10(1 + rows), 2) ELSE 0.0 END AS score,
   list_filter([CASE WHEN k = 3 THEN 'signature.pg_dump' END, CASE WHEN rows > 40000 THEN 'volume.large_result' END], lambda x: x IS NOT NULL) AS signals, rows > 48000 AS anomaly
   FROM ev LEFT JOIN so ON so.target = ev.target AND so.object = lower(ev.object))"""
@@ -204,7 +201,7 @@ ORACLE_SQL = {
       e AS (SELECT event_id, lower(object) AS object, CASE WHEN k % 2 = 0 THEN '*' ELSE 's' || CAST(k % 3 AS VARCHAR) END AS schema_key FROM ev)
       SELECT schema_key, classifier, count(*) AS n FROM e JOIN w USING (object, schema_key) GROUP BY 1, 2""",
     "database_bound": f"{_WITH} SELECT target, db, max(sensitivity) AS sensitivity FROM sn GROUP BY 1, 2 UNION ALL SELECT target, '*', max(sensitivity) FROM sn GROUP BY 1",
-    "derive_objects": f"WITH {FINDINGS_SQL} SELECT target, object, array_to_string(list_slice(list_sort(list_distinct(list(classifier))), 1, 32), ',') AS classifiers FROM fi WHERE confidence >= 0.9 GROUP BY 1, 2",
+    "derive_objects": f"WITH {FINDINGS_SQL} SELECT target, object, array_to_string(list_slice(list_sort(list_distinct(list(classifier))), 1, 32), ',') AS classifiers FROM fi GROUP BY 1, 2",
     "merge_objects_topk": f"""{_WITH}, u AS (SELECT target, object, max(sensitivity) AS r FROM sn GROUP BY 1, 2 UNION ALL SELECT 'target_0', lower(n_name), 1e300 FROM nation WHERE n_nationkey < 3)
       SELECT target, object, CASE WHEN r < 1e9 THEN r END AS rank FROM (SELECT target, object, max(r) AS r FROM u GROUP BY 1, 2 ORDER BY r DESC, target, object LIMIT 20)""",
     "policy_match": f"{_WITH} SELECT event_id, policy FROM pm",
@@ -214,13 +211,14 @@ ORACLE_SQL = {
     "incident_dedup": f"{_WITH} SELECT dedup, policy, match_count, max_score, total_rows, first_ts, last_ts, anomaly, signals FROM ic",
     "incident_cap": f"""{_WITH}, r AS (SELECT *, strftime(first_ts, '%Y-%m-%d') AS day FROM ic), p AS (SELECT *, row_number() OVER (PARTITION BY policy, day ORDER BY first_ts, dedup) > 3 AND NOT (signals LIKE '%signature.%' OR anomaly) AS overflow FROM r)
       SELECT policy, day, overflow, CASE WHEN overflow THEN '*' ELSE dedup END AS dedup, CAST(sum(match_count) AS BIGINT) AS match_count, max(max_score) AS max_score FROM p GROUP BY 1, 2, 3, 4""",
-    "incident_reopen": f"""{_WITH}, l AS (SELECT *, lag(score) OVER w AS ps, lag(rows) OVER w AS pr, lag(signals) OVER w AS pg FROM pm WINDOW w AS (PARTITION BY policy, target ORDER BY ts, event_id)),
-      n AS (SELECT *, len(list_filter(signals, lambda x: NOT list_contains(pg, x))) > 0 AS fresh FROM l WHERE ps IS NOT NULL)
-      SELECT event_id, policy, CASE WHEN event_id % 2 = 0 THEN score > ps OR fresh ELSE fresh OR rows >= 2 * pr END AS reopens FROM n""",
+    "incident_reopen": f"""{_WITH}, l AS (SELECT *, lag(score) OVER w AS ps, lag(rows) OVER w AS pr, lag(signals) OVER w AS pg, lag(anomaly) OVER w AS pa FROM pm WINDOW w AS (PARTITION BY policy, target ORDER BY ts, event_id)),
+      n AS (SELECT *, list_filter(signals, lambda x: NOT list_contains(pg, x)) AS fresh FROM l WHERE ps IS NOT NULL)
+      SELECT event_id, policy, CASE WHEN event_id % 2 = 0 THEN score > ps OR (anomaly AND NOT pa) OR len(fresh) > 0
+        ELSE score > ps OR (rows > 0 AND rows > pr) OR len(list_filter(fresh, lambda x: starts_with(x, 'signature.'))) > 0 END AS reopens FROM n""",
     "signal_union": f"{_WITH} SELECT target, action, concat_ws(',', CASE WHEN bool_or(k = 3) THEN 'signature.pg_dump' END, CASE WHEN bool_or(rows > 40000) THEN 'volume.large_result' END) AS signals FROM sc GROUP BY 1, 2",
-    "finding_upsert_last_wins": f"""WITH {FINDINGS_SQL}, o AS (SELECT target, object, classifier, min(last_seen) AS fs, min(confidence) AS c FROM fi WHERE finding_id < 700 GROUP BY 1, 2, 3),
+    "finding_upsert_last_wins": f"""WITH {FINDINGS_SQL}, o AS (SELECT target, object, classifier, min(last_seen) AS fs, max(last_seen) AS ls, min(confidence) AS c FROM fi WHERE finding_id < 700 GROUP BY 1, 2, 3),
       n AS (SELECT * FROM (SELECT target, object, classifier, confidence, last_seen AS seen, row_number() OVER (PARTITION BY target, object, classifier ORDER BY finding_id DESC) AS r FROM fi WHERE finding_id >= 500) WHERE r = 1)
-      SELECT target, object, classifier, coalesce(fs, seen) AS first_seen, coalesce(seen, fs) AS last_seen, coalesce(n.confidence, c) AS confidence FROM n FULL JOIN o USING (target, object, classifier)""",
+      SELECT target, object, classifier, coalesce(fs, seen) AS first_seen, coalesce(seen, ls) AS last_seen, coalesce(n.confidence, c) AS confidence FROM n FULL JOIN o USING (target, object, classifier)""",
     "batch_outcomes": """WITH b AS (SELECT DISTINCT l_orderkey % 5000 AS b, CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS r, CAST(l_partkey % 2 AS VARCHAR) AS h FROM lineitem),
       w AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY r, h) AS p, first_value(h) OVER (PARTITION BY b ORDER BY r, h) AS f FROM b)
       SELECT CASE WHEN p = 1 THEN 'accepted' WHEN h = f THEN 'duplicate' ELSE 'conflict' END AS outcome, count(*) AS n FROM w GROUP BY 1""",

@@ -61,9 +61,15 @@ def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settings_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 60).alias("old"), (F.col("o_custkey") % 60).alias("cut"))
-    changes = changes.withColumn("removed", F.least("old", "cut"))
-    return changes.groupBy(F.coalesce(V.shrink_warning(F.col("old"), F.col("removed"), F.col("old") - F.col("removed")), F.lit("none")).alias("warning")).agg(F.count("*").alias("n"))
+    """Each month's ordered priorities and customers as a list of objects, against the list of the month before."""
+    from pyspark.sql import Window
+
+    named = F.concat_ws("/", "o_orderpriority", (F.col("o_custkey") % 40).cast("string"))
+    months = read(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.collect_set(F.when(F.col("o_orderkey") % 9 < F.month("o_orderdate"), named)).alias("now"))
+    lists = months.withColumn("old", F.lag("now").over(Window.orderBy("month"))).where("old is not null")  # some hundred months
+    removed = F.size(F.array_except("old", "now"))
+    added = F.size(F.array_except("now", "old"))
+    return lists.select("month", removed.cast("long").alias("removed"), added.cast("long").alias("added"), F.coalesce(V.shrink_warning(F.size("old"), removed, F.size("now")), F.lit("none")).alias("warning"))
 
 
 def silent_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +125,7 @@ STATEMENTS = (
 
 
 def sql_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed list of statements, dealt to the events; the lexer has no SQL form."""
+    """Statements of tables and lists of columns that the events name; the lexer has no SQL form."""
     text = F.get(F.array(*map(F.lit, STATEMENTS)), (F.col("event_id") % len(STATEMENTS)).cast("int"))
     texts = read(spark, sf_dir, "events").groupBy(text.alias("statement")).agg(F.count("*").alias("n"))
     return texts.withColumn("s", sql_shape(F.col("statement"))).select("statement", "n", "s.kind", F.array_join("s.relations", ",").alias("relations"), "s.whole_relation", "s.copy_to", "s.normalized")
@@ -174,8 +180,10 @@ ORACLE_SQL = {
       SELECT (SELECT count(*) FROM ev) AS events, (SELECT '{{' || string_agg('"' || action || '":' || CAST(n AS VARCHAR), ',' ORDER BY action) || '}}' FROM k) AS kinds, (SELECT count(DISTINCT principal) FROM ev) AS sources""",
     "coverage_gap": """SELECT o_orderkey AS job_id, CAST(o_orderkey % 3 + o_orderkey % 5 AS DOUBLE) AS skipped, CAST(greatest(o_orderkey % 50 + 10 - o_orderkey % 40 - o_orderkey % 3 - o_orderkey % 5, 0) AS DOUBLE) AS unreached,
       (o_orderkey % 50 + 10 - o_orderkey % 40 - o_orderkey % 3 - o_orderkey % 5 > 0 OR o_orderkey % 3 + o_orderkey % 5 > 0) AS warn FROM orders""",
-    "settings_shrink": """WITH c AS (SELECT o_orderkey % 60 AS o, least(o_orderkey % 60, o_custkey % 60) AS r FROM orders)
-      SELECT CASE WHEN o > 0 AND o - r = 0 THEN 'emptied' WHEN r >= 20 OR (2 * r >= o AND o > 0) THEN 'shrunk' ELSE 'none' END AS warning, count(*) AS n FROM c GROUP BY 1""",
+    "settings_shrink": """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, list(DISTINCT CASE WHEN o_orderkey % 9 < month(o_orderdate) THEN o_orderpriority || '/' || CAST(o_custkey % 40 AS VARCHAR) END)
+        FILTER (o_orderkey % 9 < month(o_orderdate)) AS n FROM orders GROUP BY 1), l AS (SELECT month, coalesce(n, []) AS n, lag(coalesce(n, [])) OVER (ORDER BY month) AS o FROM m),
+      c AS (SELECT month, len(o) AS os, len(n) AS ns, len(list_filter(o, lambda x: NOT list_contains(n, x))) AS removed, len(list_filter(n, lambda x: NOT list_contains(o, x))) AS added FROM l WHERE o IS NOT NULL)
+      SELECT month, removed, added, CASE WHEN os > 0 AND ns = 0 THEN 'emptied' WHEN removed >= 20 OR (2 * removed >= os AND os > 0) THEN 'shrunk' ELSE 'none' END AS warning FROM c""",
     "silent_agents": f"WITH {EVENTS_SQL} SELECT principal, max(ts) AS last_ts, floor(epoch(TIMESTAMP '2024-01-30 12:00:00')) - floor(epoch(max(ts))) > 86400 AS silent FROM ev GROUP BY 1",
     "status_metrics": f"WITH {_INC} SELECT 'incidents{{severity=\"' || severity || '\",status=\"' || status || '\"}} ' || CAST(count(*) AS VARCHAR) AS line FROM ic GROUP BY severity, status",
     "findings_stamp": f"WITH {FINDINGS_SQL} SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', CAST(finding_id AS VARCHAR), target, object, classifier)), 1, 8) AS BIGINT)) AS BIGINT) AS stamp FROM fi",

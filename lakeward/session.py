@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "lakeward", **conf: str) -> SparkSession:
@@ -18,3 +20,15 @@ def get_session(app: str = "lakeward", **conf: str) -> SparkSession:
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame, written to the checkpoint folder that all executors share; its lineage ends there."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lakeward-"))
+    return frame.checkpoint(eager=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from lakeward.functions.names import glob_match
+from lakeward.session import settled
 
 #: No sampling below so many rows or multiples of the limit; how far documents are walked.
 SAMPLED_FROM, SAMPLED_MULTIPLE, OVERSAMPLE = 10_000, 10, 3
@@ -20,6 +21,12 @@ def sample_percent(rows: int, limit: int) -> float | None:
     return min(100.0, max(0.0001, 100.0 * OVERSAMPLE * limit / rows))
 
 
+def sample_share(rows: Column, limit: int) -> Column:
+    """`sample_percent` of a column of row counts."""
+    percent = F.greatest(F.lit(0.0001), F.least(F.lit(100.0), 100.0 * OVERSAMPLE * limit / rows))
+    return F.when((rows >= SAMPLED_FROM) & (rows >= SAMPLED_MULTIPLE * limit), percent)
+
+
 def sample_rows(frame: DataFrame, key: str, limit: int, seed: int = 0) -> DataFrame:
     """The `limit` rows of least hash: the same rows however the table is partitioned."""
     return frame.orderBy(F.xxhash64(F.lit(seed), key), key).limit(limit)
@@ -27,13 +34,13 @@ def sample_rows(frame: DataFrame, key: str, limit: int, seed: int = 0) -> DataFr
 
 def rotate(objects: DataFrame, name: str, seed: int) -> DataFrame:
     """Objects in an order that depends on the seed, so that a scan cut short covers others next time."""
-    return objects.withColumn("place", F.xxhash64(F.lit(seed), name)).orderBy("place", name)
+    return objects.withColumn("place", F.md5(F.concat_ws("/", F.lit(str(seed)), name))).orderBy("place", name)
 
 
 def balance_families(rows: DataFrame, family: str, order: str, limit: int) -> DataFrame:
     """Round robin over families, so that no family takes all places of a sample."""
     ranked = rows.withColumn("_round", F.row_number().over(Window.partitionBy(family).orderBy(order)))
-    return ranked.orderBy("_round", family).limit(limit).drop("_round")
+    return ranked.where(F.col("_round") <= limit).orderBy("_round", family).limit(limit).drop("_round")
 
 
 def select_objects(objects: DataFrame, name: str, include: list[str], exclude: list[str]) -> DataFrame:
@@ -81,7 +88,7 @@ def key_patterns(keys: DataFrame, key: str, separators: str = "[:/]", literals:
     length, and those with two or more before the same rest.
     """
     parts = keys.select(F.transform(F.split(key, separators), lambda s: F.when(s.rlike(_VALUE_TOKEN), F.lit("*")).otherwise(s)).alias("p"))
-    shapes = parts.groupBy("p").agg(F.count("*").alias("n")).localCheckpoint()
+    shapes = settled(parts.groupBy("p").agg(F.count("*").alias("n")))
     position = ["_size", "_i", "_head"]
     for _ in range(rounds):
         places = shapes.select("p", "n", F.size("p").alias("_size"), F.posexplode("p").alias("_i", "_s"))
@@ -89,10 +96,10 @@ def key_patterns(keys: DataFrame, key: str, separators: str = "[:/]", literals:
         literal = places.where("_s <> '*'")
         wide = literal.groupBy(*position).agg(F.count_distinct("_s").alias("_k")).where(F.col("_k") > literals)
         alike = literal.groupBy(*position, "_rest").agg(F.count("*").alias("_k")).where("_k > 1")
-        decided = wide.select(*position).unionByName(alike.select(*position)).distinct().withColumn("_wild", F.lit("*")).localCheckpoint()
+        decided = settled(wide.select(*position).unionByName(alike.select(*position)).distinct().withColumn("_wild", F.lit("*")))
         if decided.isEmpty():
             break
         merged = places.join(decided, position, "left").groupBy("p", "n").agg(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("_wild", "_s").alias("_s")))).alias("_u"))
         absent = shapes.where("p is null")
-        shapes = merged.select(F.col("_u._s").alias("p"), "n").groupBy("p").agg(F.sum("n").cast("long").alias("n")).unionByName(absent).localCheckpoint()
+        shapes = settled(merged.select(F.col("_u._s").alias("p"), "n").groupBy("p").agg(F.sum("n").cast("long").alias("n")).unionByName(absent))
     return shapes.select(F.array_join("p", "/").alias("pattern"), "n")
