@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeward.functions.names import fold_name, glob_match
+from lakeward.operators.signals import signal_selected, union_signals
 
 # Weights of classifiers, cap of sensitivity, baseline parameters, incident bounds.
 WEIGHTS = {"aws_key": 10, "password_hash": 8, "card_number": 8, "iban": 7, "nir": 7, "birth_date": 3, "email": 3, "phone": 3, "postal_address": 3, "person_name": 2}
@@ -74,7 +75,7 @@ def policy_predicate(conditions: dict) -> Column:
         elif key == "signals":
             wanted = F.lit(False)
             for s in value:
-                wanted |= F.exists("signals", lambda x, s=s: x.startswith(s)) if s.endswith(".") else F.array_contains("signals", s)
+                wanted |= signal_selected(F.col("signals"), s)
             met &= wanted
         elif key in ("min_rows", "min_score", "min_confidence", "min_matched", "min_match_ratio"):
             met &= F.col({"min_rows": "rows", "min_score": "score", "min_confidence": "confidence", "min_matched": "matched", "min_match_ratio": "match_ratio"}[key]) >= value
@@ -164,8 +165,6 @@ def dedup_principal(user: Column, address_network: Column, account_not_recorded:
 
 def incidents(matches: DataFrame) -> DataFrame:
     """Matches merged by `dedup`: counts, greatest score, summed rows, signals, first and last time."""
-    from lakeward.operators.signals import union_signals
-
     grouped = matches.groupBy("dedup", "policy").agg(
         F.count("*").alias("match_count"),
         F.max("score").alias("max_score"),
@@ -204,8 +203,6 @@ def reopens(status: Column, old: Column, score: Column, anomaly: Column, signals
 def rematch(stored: DataFrame, matches: DataFrame) -> DataFrame:
     """Active incidents after the matches of their `dedup` keys: counts and rows add up, the score, the last
     time and the anomaly are the greatest, signals are united. Both have the columns of `incidents`."""
-    from lakeward.operators.signals import union_signals
-
     merged = stored.unionByName(matches).groupBy("dedup", "policy").agg(
         F.sum("match_count").alias("match_count"), F.max("max_score").alias("max_score"), F.sum("total_rows").cast("long").alias("total_rows"), F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"), F.bool_or("anomaly").alias("anomaly"), F.flatten(F.collect_list("signals")).alias("_signals"),

@@ -53,3 +53,9 @@ def union_signals(signals: Column, most: int = 16) -> Column:
     distinct = F.array_sort(F.array_distinct(signals))
     ranked = F.concat(F.filter(distinct, lambda s: s.startswith("signature.")), F.filter(distinct, lambda s: ~s.startswith("signature.")))
     return F.slice(ranked, 1, most)
+
+
+def signal_selected(signals: Column, selector: str) -> Column:
+    """Whether the signals hold the one that is named, or any of a family (`signature.*`)."""
+    family = selector.removesuffix("*")
+    return F.exists(signals, lambda s: s.startswith(family)) if family.endswith(".") else F.array_contains(signals, selector)

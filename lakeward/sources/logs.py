@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENT = ("ts", "principal", "client", "application", "action", "database", "statement", "rows")
@@ -76,6 +76,190 @@ def login_audit(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+# ---- framing: text files as logical records -----------------------------------------------------
+MOST_BYTES = 1 << 20  # fixed value: a longer record is not parsed
+
+
+def records(files: DataFrame, framing: str, value: str = "value") -> DataFrame:
+    """The logical records of text chunks: lines, or CSV records whose quoted fields may hold line breaks; with
+    `oversized`, whether a record is too long to be parsed. Blank records are left out."""
+    shape = '((?:[^"\\n]++|"[^"]*+")++)' if framing == "csv" else "([^\\n]++)"
+    found = files.select(F.explode(F.regexp_extract_all(F.col(value), F.lit(shape), F.lit(1))).alias("record"))
+    return found.where(F.trim("record") != "").withColumn("oversized", F.octet_length("record") > MOST_BYTES)
+
+
+# SQLSTATE codes and classes after which nothing tells of a value.
+QUIET_CODES = ("57014", "57P01", "57P02", "57P03", "57P04", "57P05", "40001", "40P01", "55P03")
+QUIET_CLASSES = ("42", "3F", "0A", "25", "53", "54", "08", "58")
+_PG_ERROR = "log_time string, user_name string, database_name string, process_id string, connection_from string, session_id string, line_num string, command_tag string, session_start string, vxid string, txid string, severity string, state string, message string, detail string, hint string, internal_query string, internal_position string, context string, query string"
+
+
+def failure_class(state: Column, has_context: Column, has_statement: Column) -> Column:
+    """`refused` (nothing was read), `quiet` or `telling`; an unknown code tells."""
+    known = F.coalesce(state.rlike("^[0-9A-Z]{5}$"), F.lit(False))
+    group = F.substring(state, 1, 2)
+    return (
+        F.when(known & ~has_statement & ((group == "28") | (state == "3D000")), "refused")
+        .when(known & (state == "25P02") & ~has_context, "refused")
+        .when(known & (group.isin(*QUIET_CLASSES) | state.isin(*QUIET_CODES)), "quiet")
+        .otherwise("telling")
+    )
+
+
+def pg_failures(lines: DataFrame, value: str = "value") -> DataFrame:
+    """ERROR and FATAL records of a csvlog: when, who, the SQLSTATE and its class. Messages are never read."""
+    parsed = lines.select(F.from_csv(F.col(value), F.lit(_PG_ERROR), {"quote": '"', "escape": '"'}).alias("r")).select("r.*").where(F.col("severity").isin("ERROR", "FATAL"))
+    given = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    login = (F.col("severity") == "FATAL") & F.col("state").startswith("28")
+    return parsed.select(
+        F.try_to_timestamp(F.regexp_replace("log_time", " [A-Z]+$", "")).alias("ts"), F.col("user_name").alias("principal"), F.col("session_id").alias("session"), F.col("state"),
+        failure_class(F.col("state"), given("context"), given("query")).alias("class"), F.when(login, "auth_failure").otherwise("read").alias("action"),
+    )
+
+
+def mysql_json(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Records of the JSON audit files: `{"audit_record": {...}}` (a flat record), or a record with `class`, `event`
+    and `account` (a filtered log)."""
+    flat = "name string, timestamp string, user string, ip string, db string, sqltext string, status int, command_class string"
+    names = f"audit_record struct<{flat.replace(' ', ':').replace(',:', ', ')}>, timestamp string, class string, event string, account struct<user:string, host:string>, login struct<ip:string>, general_data struct<command:string, sql_command:string, query:string, status:int>, connection_data struct<status:int, db:string>"
+    r = lines.select(F.from_json(F.col(value), F.lit(names)).alias("r")).select("r.*")
+    a, g, c = (lambda f: F.col(f"audit_record.{f}")), (lambda f: F.col(f"general_data.{f}")), F.col("connection_data.status")
+    failed = F.coalesce(a("status"), c, F.lit(0)) != 0
+    connect = (a("name") == "Connect") | (F.col("class") == "connection")
+    verb = F.lower(F.coalesce(a("command_class"), g("sql_command")))
+    action = (
+        F.when(connect & failed, "auth_failure").when(connect, "connect").when(verb.isin("insert", "update", "delete", "replace", "load"), "write")
+        .when(verb.rlike("^(?:create|alter|drop|rename|truncate)"), "ddl").when(verb.isin("grant", "revoke"), "dcl").otherwise("read")
+    )
+    return _event(
+        r, ts=F.try_to_timestamp(F.regexp_replace(F.coalesce(a("timestamp"), "timestamp"), "T|Z| UTC", " ")), principal=F.coalesce(F.regexp_extract(a("user"), "^([^\\[]*)", 1), "account.user"),
+        client=F.coalesce(a("ip"), "login.ip", "account.host"), action=action, database=F.nullif(F.coalesce(a("db"), "connection_data.db"), F.lit("")), statement=F.coalesce(a("sqltext"), g("query")),
+    )
+
+
+def new_history(polls: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a polled history table that no earlier poll had, once each."""
+    return polls.join(seen.select(*keys), keys, "left_anti").dropDuplicates(keys)
+
+
+# Document-store commands and authentication results.
+MONGO_ACTIONS = {c: "write" for c in ("insert", "update", "delete", "findAndModify")} | {c: "ddl" for c in ("create", "drop", "createIndexes", "dropCollection", "dropDatabase", "createCollection")} | {c: "dcl" for c in ("createUser", "updateUser", "dropUser", "grantRolesToUser", "createRole")}
+MONGO_ABANDONED = 337
+
+
+def mongo_audit(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Records of the auditLog: checked commands, logins, changes of users and collections. Arguments are only
+    asked whether the filter is empty and for server-side code."""
+    names = "atype string, ts struct<`$date`:string>, remote struct<ip:string>, users array<struct<user:string, db:string>>, param struct<command:string, ns:string, user:string, db:string, args:string>, result int"
+    r = lines.select(F.from_json(F.col(value), F.lit(names)).alias("r"), F.col(value).alias("_line")).select("r.*", "_line").where(F.col("atype").isNotNull())
+    who = F.coalesce(F.get("users", F.lit(0))["user"], "param.user")
+    login = F.col("atype") == "authenticate"
+    action = F.when(login, F.when(F.col("result") == 0, "connect").otherwise("auth_failure")).otherwise(lookup(MONGO_ACTIONS, F.coalesce("param.command", "atype"), "read"))
+    kept = r.where(~(login & (F.col("result") == MONGO_ABANDONED)))  # a driver's first try, left unfinished
+    return _event(
+        kept, ts=F.try_to_timestamp(F.regexp_replace(F.col("ts.$date"), "T|Z|\\+00:00", " ")), principal=who, client=F.col("remote.ip"), action=action,
+        database=F.substring_index("param.ns", ".", 1), statement=F.when(server_code(F.col("_line")), F.lit("*")),
+    )
+
+
+def mongo_slow(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Slow queries of the structured server log (and of the profiler, which has the same attributes): rows are
+    the documents that were returned."""
+    attr = "ns:string, appName:string, remote:string, nreturned:bigint, command:string, user:string"
+    names = f"t struct<`$date`:string>, msg string, attr struct<{attr}>"
+    r = lines.select(F.from_json(F.col(value), F.lit(names)).alias("r")).select("r.*").where("msg = 'Slow query'")
+    verb = F.regexp_extract("attr.command", '^\\s*[{]\\s*"([A-Za-z]+)"', 1)
+    return _event(
+        r, ts=F.try_to_timestamp(F.regexp_replace(F.col("t.$date"), "T|Z|\\+00:00", " ")), principal=F.col("attr.user"), client=F.regexp_replace("attr.remote", ":[0-9]+$", ""), application=F.col("attr.appName"),
+        action=lookup(MONGO_ACTIONS, verb, "read"), database=F.substring_index("attr.ns", ".", 1), rows=F.col("attr.nreturned"),
+    )
+
+
+def server_code(command: Column) -> Column:
+    """Whether a command holds server-side code at any depth."""
+    return F.coalesce(command.rlike('"[$](?:where|function|accumulator)"\\s*:'), F.lit(False))
+
+
+LDAP_ACTIONS = {"search": "read", "compare": "read", "add": "write", "delete": "write", "modify": "write", "modrdn": "write"}
+
+
+def ldap_accesslog(entries: DataFrame) -> DataFrame:
+    """Entries of an access log (reqType, reqStart, reqAuthzID, reqDN, reqResult, reqEntries, reqFilter): binds and
+    what LDAP_ACTIONS names; the name of an entry keeps its domain and units. `statement` marks a search that
+    selects nothing."""
+    bind = F.col("reqType") == "bind"
+    known = entries.where(bind | F.col("reqType").isin(*LDAP_ACTIONS))
+    failed = F.col("reqResult") != 0
+    dn = F.array_join(F.transform(F.split("reqDN", ","), lambda p: F.when(F.lower(F.trim(p)).rlike("^(?:dc|ou|o)="), p).otherwise(F.concat(F.substring_index(p, "=", 1), F.lit("=*")))), ",")
+    action = F.when(bind, F.when(failed, "auth_failure").otherwise("connect")).otherwise(lookup(LDAP_ACTIONS, F.col("reqType"), "read"))
+    ts = F.try_to_timestamp(F.regexp_replace("reqStart", "^([0-9]{4})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2}).*$", "$1-$2-$3 $4:$5:$6"))
+    wide = F.coalesce(unselective_filter(F.col("reqFilter")), F.lit(False)) & (F.col("reqType") == "search")
+    return _event(known, ts=ts, principal=F.when(bind, F.col("reqDN")).otherwise(F.col("reqAuthzID")), action=action, database=dn, statement=F.when(wide, F.lit("shape.bulk_search")), rows=F.col("reqEntries").cast("long"))
+
+
+def xe_events(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Extended Events (one `<event>` a row): completed batches and calls."""
+    x = F.col(value)
+    at = lambda kind, name: F.nullif(F.xpath_string(x, F.lit(f"/event/{kind}[@name='{name}']/value")), F.lit(""))
+    known = lines.where(F.xpath_string(x, F.lit("/event/@name")).isin("sql_batch_completed", "rpc_completed"))
+    text = F.coalesce(at("data", "batch_text"), at("data", "statement"))
+    from lakeward.functions.sqlshape import statement_kind
+
+    return _event(
+        known, ts=F.try_to_timestamp(F.regexp_replace(F.xpath_string(x, F.lit("/event/@timestamp")), "T|Z", " ")), principal=at("action", "username"), client=at("action", "client_hostname"),
+        application=at("action", "client_app_name"), action=statement_kind(text), database=at("action", "database_name"), statement=text, rows=at("data", "row_count").cast("long"),
+    )
+
+
+def firebird_trace(files: DataFrame, value: str = "value") -> DataFrame:
+    """Records of a text trace: a header line (time, process, event) and the lines up to the next one. Of a finished
+    statement the account, the address, its text and the fetched records are kept."""
+    header = "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+ \\([0-9]+:[0-9a-fx]+\\) [A-Z_]+"
+    framed = files.select(F.explode(F.split(F.regexp_replace(F.col(value), f"(?m)^({header})$", "\u0001$1"), "\u0001")).alias("r")).where(F.col("r").rlike(f"^{header}"))
+    get = lambda p, i=1: F.nullif(F.regexp_extract("r", p, i), F.lit(""))
+    kind = get("^\\S+ \\S+ ([A-Z_]+)")
+    who, text = get("\\(ATT_[0-9]+, ([^:,]+):"), get("(?s)\n-{20,}\n(.*?)\n(?:\\^{20,}|\n|[0-9]+ records)")
+    from lakeward.functions.sqlshape import statement_kind
+
+    action = F.when(kind == "ATTACH_DATABASE", "connect").when(kind.isin("FAILED", "UNAUTHORIZED"), "auth_failure").when(kind == "EXECUTE_STATEMENT_FINISH", statement_kind(text))
+    return _event(
+        framed.withColumn("_action", action).where("_action is not null"), ts=F.try_to_timestamp(F.regexp_replace(get("^(\\S+)"), "T", " ")), principal=who, client=get("TCPv[46]:([0-9a-fA-F.:]+?)/"),
+        action=F.col("_action"), database=get("\n\\s+(\\S+) \\(ATT_"), statement=text, rows=get("\n([0-9]+) records fetched").cast("long"),
+    )
+
+
+LARGE_REPLY, TICKET_KEYS = 1 << 20, "^(?:TGT|ST|PT|PGT|PGTIOU|OC|AT|RT)-|^cas_ticket_registry:"
+
+
+def redis_replies(entries: DataFrame) -> DataFrame:
+    """Command-log entries (ts, client, args, reply_bytes) with their signals: large replies, ticket reads."""
+    command, key = F.upper(F.get("args", F.lit(0))), F.get("args", F.lit(1))
+    read = ~command.isin(*REDIS_WRITE)
+    found = F.array(F.when(read & key.rlike(TICKET_KEYS), "signature.cas_ticket_read"), F.when(F.col("reply_bytes") >= LARGE_REPLY, "volume.large_reply"))
+    return entries.select("ts", "client", command.alias("command"), F.filter(found, lambda s: s.isNotNull()).alias("signals"))
+
+
+def redis_refusals(entries: DataFrame) -> DataFrame:
+    """Entries of the ACL log (ts, reason, username, client): failed logins; what was only forbidden is no login."""
+    return entries.where("reason = 'auth'").select("ts", F.col("username").alias("principal"), F.regexp_extract("client", "addr=([^ ]+):[0-9]+", 1).alias("client"), F.lit("auth_failure").alias("action"))
+
+
+def full_syncs(polls: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """`signature.full_sync` for each poll in which the counter of full copies has grown (after its first one)."""
+    from lakeward.operators.audit import counter_delta
+
+    before = Window.partitionBy(*keys).orderBy(order)
+    grown = counter_delta(polls.withColumn("_first", F.row_number().over(before) == 1), keys, order, "sync_full", F.lit(None)).where("not _first and delta > 0")
+    return grown.select(*keys, order, F.lit("signature.full_sync").alias("signal"), F.col("delta").alias("copies"))
+
+
+def registry_values(files: DataFrame, value: str = "value") -> DataFrame:
+    """Service definitions (a JSON object a row) as object, field, value: what a scan classifies."""
+    pairs = files.select(F.from_json(F.col(value), F.lit("map<string,string>")).alias("m")).where("m is not null")
+    named = pairs.select(F.coalesce(F.try_element_at("m", F.lit("name")), F.lit("*")).alias("object"), F.explode(F.map_filter("m", lambda k, v: ~k.startswith("@"))).alias("field", "value"))
+    return named.where("value is not null")
+
+
 def redis_commands(entries: DataFrame) -> DataFrame:
     """Command-log entries (ts, client, args array) with action, keys and enumeration signals."""
     command = F.upper(F.get("args", F.lit(0)))
