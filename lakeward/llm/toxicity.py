@@ -281,9 +281,9 @@ def _surprise(toxic: int, clean: int, share: float) -> float:
 
 
 def _learned_cues(sample: DataFrame, bare: ToxicityModel) -> dict[str, frozenset[str]]:
-    """Cue words by what clauses with them are labelled: before an insult, words that make it harmless (near:
-    negation, anywhere: report) or, where insults alone do not decide, make it toxic (target); without an
-    insult, words before a target that make it toxic (threat)."""
+    """Cue words by what clauses with them are labelled: words before an insult that make it harmless (near:
+    negation, anywhere: report); words before a denied or quoted insult that make it toxic all the same
+    (target); without an insult, words before a target that make it toxic (threat)."""
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,7 +296,9 @@ def _learned_cues(sample: DataFrame, bare: ToxicityModel) -> dict[str, frozenset
                     clause = " ".join(words)
                     for i, kind in enumerate(kinds):
                         near = range(max(0, i - _REACH), i)
-                        if kind == "insult":
+                        if kind == "insult" and ("report" in kinds[:i] or "negation" in kinds[near.start : i]):
+                            found.update(("denied", words[j], clause, label) for j in near if kinds[j] == "other")
+                        elif kind == "insult":
                             found.update(("near", words[j], clause, label) for j in near if kinds[j] == "other")
                             found.update(("far", words[j], clause, label) for j in range(i - _REACH) if kinds[j] == "other")
                         elif kind == "target" and not insulted:
@@ -307,14 +309,10 @@ def _learned_cues(sample: DataFrame, bare: ToxicityModel) -> dict[str, frozenset
     seen = sample.mapInArrow(released(observe), "kind string, word string, clause string, toxic long").withColumn("c", F.xxhash64("clause"))
     totals = seen.groupBy("kind", "word").agg(F.countDistinct("c").alias("n"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("c"))).alias("yes"))
     yes, no = F.col("yes") / F.col("n"), 1 - F.col("yes") / F.col("n")
-    telling = totals.where((F.col("n") >= CUE_CLAUSES) & F.when(F.col("kind") == "threat", yes >= LEAST_PRECISION).otherwise((no >= CUE_SHARE) | (yes >= LEAST_PRECISION)))
-    told = telling.collect()  # bounded by the sample
-    harmless = lambda kind: {r.word for r in told if r.kind == kind and r.yes < 0.5 * r.n}
-    negation, report = harmless("near"), harmless("far") - harmless("near")
-    doubtful = bool(negation or report)
-    target = {r.word for r in told if r.kind == "near" and r.yes > 0.5 * r.n} if doubtful else set()
-    threat = {r.word for r in told if r.kind == "threat"}
-    return {kind: SEEDS[kind] | frozenset(more) for kind, more in (("threat", threat), ("target", target), ("negation", negation), ("report", report))}
+    told = totals.where((F.col("n") >= CUE_CLAUSES) & F.when(F.col("kind").isin("near", "far"), no >= CUE_SHARE).otherwise(yes >= LEAST_PRECISION)).collect()  # bounded by the sample
+    words = {kind: frozenset(r.word for r in told if r.kind == kind) for kind in ("near", "far", "denied", "threat")}
+    more = {"threat": words["threat"], "target": words["denied"], "negation": words["near"], "report": words["far"] - words["near"]}
+    return {kind: SEEDS[kind] | more[kind] for kind in SEEDS}
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
