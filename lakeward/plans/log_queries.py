@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from lakeward.plans.base import EVENTS_SQL, access_events, pick, pick_sql, read
 from lakeward.sources import logs as L
 
-_SECONDS = F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd HH:mm:ss")
 _STATES = ("42P01", "57014", "28P01", "25P02", "22012", "3D000", "bad")
 _OUT = ("ts", "principal", "client", "action", "database", "rows")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access_events(spark, sf_dir).withColumn("at", _SECONDS).withColumn("host", F.concat(F.lit("10.0.0."), (F.col("k") % 250).cast("string")))
+    seconds = F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd HH:mm:ss")
+    return access_events(spark, sf_dir).withColumn("at", seconds).withColumn("host", F.concat(F.lit("10.0.0."), (F.col("k") % 250).cast("string")))
 
 
 def csv_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
