@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import mix64, span_hashes, table, text_buffers, text_chunks, word_bounds
+from lakeward.llm.common import give_back, mix64, span_hashes, table, text_buffers, text_chunks, word_bounds
 
 ORDER, DISCOUNT = 2, 0.4
 #: Characters of a batch (about); as many partitions of the count table, so both keep their size.
-BATCH = 12_000_000
+BATCH = 8_000_000
 _TOTAL = np.uint64(1)  # stands for the empty n-gram: its count is the number of words
 _MESSAGE = "part long, batch long, grams binary, counts binary"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backed_off", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
@@ -110,6 +110,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, discount: float = DISCO
         number = group["batch"][0].as_py()
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             out.append((int(part[a]), number, pack(np.diff(grams[a:b], prepend=np.uint64(0))), pack(counts[a:b])))
+        give_back()
         return _messages(out)
 
     def count(group: pa.Table) -> pa.Table:
@@ -119,7 +120,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, discount: float = DISCO
             sent.append((np.cumsum(unpack(grams, "<u8"), dtype=np.uint64), unpack(counts, "<u4")))
         grams, totals = _merge(sent)
         names = zip(group["part"].to_pylist(), group["batch"].to_pylist(), sent, strict=True)
-        return _messages([(p, b, b"", pack(totals[np.searchsorted(grams, g)])) for p, b, (g, _) in names])
+        told = _messages([(p, b, b"", pack(totals[np.searchsorted(grams, g)])) for p, b, (g, _) in names])
+        give_back()
+        return told
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         levels, rows = grams_of(texts["text"])
@@ -133,13 +136,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, discount: float = DISCO
             a, b = (edge[p], edge[p + 1]) if edge is not None else np.searchsorted(part[order_of], [p, p + 1])
             totals[order_of[a:b]] = unpack(counts, "<u8")
         n_docs, total = texts.num_rows, totals[-1]
+        del flat, part, order_of
         sums, backed = np.zeros(len(rows)), np.zeros(len(rows), dtype=bool)
         open_words, n_words = np.ones(len(rows), dtype=bool), np.bincount(rows, minlength=n_docs)
         at = [np.searchsorted(grams[:-1], level) for level in levels]
         own = []  # for each level, its (row, n-gram) pairs and how often each occurs in its row
         for level, gram in zip(levels, at, strict=True):
             every = np.flatnonzero(level != 0)
-            own.append(np.unique(rows[every] * np.int64(len(grams)) + gram[every], return_counts=True))
+            pairs, count = np.unique(rows[every] * np.int64(len(grams)) + gram[every], return_counts=True)
+            own.append((pairs, count.astype(np.int32)))
 
         def others(k: int, i: np.ndarray, word: np.ndarray) -> np.ndarray:
             """Count outside of the row of word i of the k-gram that ends at `word`."""
@@ -157,6 +162,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, discount: float = DISCO
             backed[hit] = k < order
             open_words[hit] = False
         log_score = np.bincount(rows, weights=sums, minlength=n_docs)
+        give_back()
         mean = pa.array(log_score / np.maximum(n_words, 1), mask=n_words == 0)
         return pa.Table.from_arrays(
             [texts["doc_id"], pa.array(n_words), pa.array(np.bincount(rows[backed], minlength=n_docs)), pa.array(log_score), mean], schema=_SCORES

@@ -37,6 +37,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same Arrow function, which gives freed memory back to the system when its task ends: Python
     workers go on to other tasks, and what they hold adds up with the executor's own memory."""
@@ -46,10 +54,7 @@ def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run
 
