@@ -3,7 +3,7 @@
 Each scan partition packs its own rows, so nothing is shuffled and a lost task is simply read and
 packed again. A document longer than a window is cut into full windows; what is left is placed by
 the sum-of-squares rule over an array that counts the open windows of each fill level. A level is
-UNIT tokens, so that windows often reach the highest one; the few tokens that such a window lacks come
+some tokens wide, so that windows often reach the highest one; the few tokens that such a window lacks come
 from the head of a later document. When a partition ends, the least filled windows are cut up to fill
 the others, and the last one is cut at powers of two, so nothing is padded.
 """
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from lakeward.llm.common import CHUNK, released, small_batches, table, text_slices
 from lakeward.llm.merges import MergeTable
 
-WINDOW, UNIT = 4096, 16
+#: A level of a window is one part in so many of it (16 tokens of 4096).
+WINDOW, LEVELS = 4096, 256
 #: Windows of the highest level that wait for a long document (which is cut anyway) to fill them.
 MOST_WAITING = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -161,9 +162,9 @@ class SumOfSquaresPacker:
     those that were cut off to fill other windows.
     """
 
-    def __init__(self, size: int, emit, unit: int = UNIT) -> None:
-        self.size, self.unit, self.emit = size, unit, emit
-        self.top = -(-size // unit)
+    def __init__(self, size: int, emit, unit: int | None = None) -> None:
+        self.size, self.unit, self.emit = size, unit or max(1, size // LEVELS), emit
+        self.top = -(-size // self.unit)
         self.levels = np.zeros(self.top + 1, dtype=np.int64)
         self.open: dict[int, list[Window]] = {}
         self.waiting: list[Window] = []  # windows of the highest level that are not quite full
