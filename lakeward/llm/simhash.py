@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,6 +28,8 @@ BLOCK = 2048
 #: The pipeline's stage: words of a shingle, least Jaccard similarity (4/5), radius that SimHashes of such
 #: sets keep to (about 10 bits apart at 0.8), bands and their rows (a pair at 0.8 shares one but for 1e-4).
 STAGE_SHINGLE, SIMILAR, STAGE_RADIUS, BANDS, BAND_ROWS = 5, (4, 5), 30, 24, 5
+#: Sets of one group that the stage compares in one task at most (about); twice that in pairs of blocks.
+GROUP = 1024
 _SMALL = 32
 
 
@@ -336,13 +338,15 @@ def set_prints(begin: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int) -> list[tuple[int, int]]:
+def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect all sets whose Jaccard similarity is at least SIMILAR; pairs that are already
-    connected are left out. Bit planes sort out pairs beyond the radius; the sets themselves decide."""
+    connected (of one label) are left out, and so are those of one side where there are two. Bit planes sort
+    out pairs beyond the radius; the sets themselves decide."""
     num, den = SIMILAR
-    label, size, found = np.arange(len(sets)), np.array([len(x) for x in sets]), []
+    label, size, found = label.copy(), np.array([len(x) for x in sets]), []
+    apart = side if (side != side[0]).any() else np.arange(len(sets))
     for i in range(len(sets) - 1):
-        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        rest = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (apart[i + 1 :] != apart[i]))
         rest = rest[den * np.minimum(size[rest], size[i]) >= num * np.maximum(size[rest], size[i])]
         if not len(rest):
             continue
@@ -359,18 +363,13 @@ def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int) -> li
     return found
 
 
-def similar_sets(marked: DataFrame, node: str, keys: str) -> DataFrame:
-    """Edges (a, b) between nodes of similar shingle sets.
+_CELL = ("key", "p", "q", "node", "side", "label")
 
-    Sets that share a band meet in one task. Bands with the same members are the same group, of which
-    one is kept; equal sets are one node, so copies take no part.
-    """
-    nodes = marked.where(F.col(keys).isNotNull()).select(F.col(node).alias("node"), F.col(keys).alias("keys")).dropDuplicates(["node"])
-    dealt = materialize(nodes.select("node", F.explode("keys").alias("key")))
-    groups = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    chosen = materialize(groups.groupBy("n", "members").agg(F.min("key").alias("key")).select("key"))
-    shared = materialize(dealt.join(chosen, "key"))
-    text = marked.join(shared.select(F.col("node").alias(node)).distinct(), node, "left_semi").groupBy(node).agg(F.any_value("text").alias("text"))
+
+def linked_cells(marked: DataFrame, node: str, rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between the similar sets of each cell (key, p, q); a task holds one cell at a time. Nodes of
+    one label are known to be connected."""
+    text = marked.join(rows.select(F.col("node").alias(node)).distinct(), node, "left_semi").groupBy(node).agg(F.any_value("text").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,36 +379,90 @@ def similar_sets(marked: DataFrame, node: str, keys: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(set_prints(begin, value).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "fp", "grams"])
 
     sets = text.mapInArrow(released(read), "node long, fp long, grams binary")
-    spread = shared.join(sets, "node").select("key", "node", "fp", "grams").repartition(shuffle_partitions(marked.sparkSession), "key").sortWithinPartitions("key", "node")
+    spread = rows.join(sets, "node").select(*_CELL, "fp", "grams").repartition(shuffle_partitions(marked.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(group: list[tuple]) -> list[tuple[int, int]]:
-            prints = np.array([g[1] for g in group], np.int64).view(np.uint64)
-            return [(group[i][0], group[j][0]) for i, j in similar_links(prints, [np.frombuffer(g[2], np.uint64) for g in group], STAGE_RADIUS)]
+        def linked(cell: list[tuple]) -> list[tuple[int, int]]:
+            if len(cell) < 2:
+                return []
+            names, sides, labels, prints = (np.array([m[k] for m in cell], np.int64) for k in range(4))
+            pairs = similar_links(prints.view(np.uint64), [np.frombuffer(m[4], np.uint64) for m in cell], STAGE_RADIUS, labels, sides)
+            return [(int(names[i]), int(names[j])) for i, j in pairs]
 
         def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], names=["a", "b"])
 
-        last, group, edges = None, [], []
+        last, cell, edges = None, [], []
         for batch in batches:
-            for key, *member in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                if key != last:
-                    edges += linked(group)
-                    last, group = key, []
-                group.append(member)
+            for key, p, q, *member in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
+                if (key, p, q) != last:
+                    edges += linked(cell)
+                    last, cell = (key, p, q), []
+                cell.append(member)
             yield batch_of(edges)
             edges = []
-        yield batch_of(edges + linked(group))
+        yield batch_of(edges + linked(cell))
 
     return spread.mapInArrow(released(link), "a long, b long").distinct()
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def similar_sets(marked: DataFrame, node: str, keys: str, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) between nodes of similar shingle sets.
+
+    Sets that share a band are compared. Bands with the same members are the same group, of which one is
+    kept; equal sets are one node, so copies take no part. A group of more than `group` sets is dealt to
+    blocks, each compared in itself; then one set for each component that a group still has is dealt and
+    compared again, while that at least halves their number. Whatever is left apart is compared in full: the
+    group's largest component, whose sets are connected already, with all other sets, and these with each
+    other, in pairs of blocks. So no pair is lost, no task holds a group, and near copies of one text, however
+    many, cost about one comparison each.
+    """
+    nodes = marked.where(F.col(keys).isNotNull()).select(F.col(node).alias("node"), F.col(keys).alias("keys")).dropDuplicates(["node"])
+    dealt = materialize(nodes.select("node", F.explode("keys").alias("key")))
+    groups = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
+    chosen = materialize(groups.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n"))
+    shared = materialize(dealt.join(chosen, "key"))
+
+    def blocks(size: str) -> Column:
+        return F.greatest(F.ceil(F.col(size) / group), F.lit(1)).cast("int")
+
+    def in_blocks(rows: DataFrame, label: str, turn: int) -> DataFrame:
+        place = F.pmod(F.xxhash64("node", F.lit(turn)), blocks("n")).cast("int")
+        return linked_cells(marked, node, rows.select("key", place.alias("p"), place.alias("q"), "node", F.lit(0).alias("side"), F.col(label).alias("label")))
+
+    edges = materialize(in_blocks(shared, "node", 0))
+    large = shared.where(F.col("n") > group)
+    before, turn = large.count(), 0
+    while before:
+        turn += 1
+        found = components(large.select(F.col("node").alias("fp"), F.lit(0).cast("long").alias("rep")).distinct(), edges)
+        members = materialize(large.select("key", "node").join(found.select(F.col("fp").alias("node"), "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")))
+        parts = materialize(members.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("node").alias("node")))
+        sizes = parts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("all")).where("n > 1")
+        now = sizes.agg(F.sum("n")).first()[0]
+        if not now:
+            break
+        if 2 * now <= before:
+            edges = materialize(edges.unionByName(in_blocks(parts.join(sizes.select("key", "n"), "key"), "label", turn)))
+            before = now
+            continue
+        # Sets outside of the largest component lie in blocks 0..r-1, its own in r..r+m-1; the former meet all.
+        rows = members.join(sizes.select("key", "main", F.col("main.c").alias("m"), (F.col("all") - F.col("main.c")).alias("r")), "key")
+        rows = rows.select("key", "node", "label", (F.col("label") == F.col("main.label")).alias("inner"), blocks("m").alias("m"), blocks("r").alias("r"))
+        code = F.xxhash64("node", F.lit(turn))
+        rows = rows.withColumn("side", F.when(F.col("inner"), F.col("r") + F.pmod(code, "m")).otherwise(F.pmod(code, "r")).cast("int"))
+        others = F.sequence(F.lit(0), F.col("r") - 1 + F.when(F.col("inner"), 0).otherwise(F.col("m")))
+        rows = rows.withColumn("other", F.explode(others)).withColumn("p", F.least("side", "other")).withColumn("q", F.greatest("side", "other"))
+        return edges.unionByName(linked_cells(marked, node, rows.select(*_CELL))).distinct()
+    return edges
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, group: int = GROUP) -> DataFrame:
     """One document of each set of near copies: that of the least id, then of the least text hash.
 
     Near copies have a Jaccard similarity of at least 0.8 on sets of five-word shingles (a shorter text
     is one shingle), directly or over others. Rows without id come last; texts without words are alike.
-    An empty table gives no rows.
+    An empty table gives no rows. `group` bounds the sets that a task compares, not the result.
     """
     small_batches(spark)
     node, keys, row = free_name(docs, "near_node"), free_name(docs, "near_keys"), free_name(docs, "near_row")
@@ -425,7 +478,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     kind = StructType([*docs.schema.fields, *StructType.fromDDL(fields).fields])
     marked = reread(docs.mapInArrow(released(mark), kind).withColumn(row, F.monotonically_increasing_id()), shared_folder(spark, "near"), "marked")
     nodes = marked.select(F.col(node).alias("fp"), F.lit(0).cast("long").alias("rep"))
-    found = components(nodes.distinct(), materialize(similar_sets(marked, node, keys))).select(F.col("fp").alias(node), "root")
+    found = components(nodes.distinct(), materialize(similar_sets(marked, node, keys, group))).select(F.col("fp").alias(node), "root")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
     whose = marked.select(node, row, order.alias("order")).join(found, node, "left").groupBy(F.coalesce("root", node)).agg(F.min("order").alias("first"))
     return marked.join(whose.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*names)

@@ -250,15 +250,23 @@ def kept_near(rows):
     return collections.Counter(None if none else i for none, i in best.values())
 
 
-def test_simhash_stage_equals_brute_force(spark, docs, texts):
+@pytest.mark.parametrize("group", [simhash.GROUP, 3])
+def test_simhash_stage_equals_brute_force(spark, docs, texts, monkeypatch, group):
+    """Groups of more than three sets are cut into blocks, of which some stay apart (about 0.7 alike)."""
     words = [f"v{i}" for i in range(300)]
     planted = [(100_000 + k, " ".join(words[:200] + [f"z{k}"] * k)) for k in range(0, 60, 12)]
     planted += [(100_100 + k, " ".join(f"u{k}x{i}" for i in range(100))) for k in range(3)]
     planted += [(100_200 + k, " ".join([f"u{k}x{i}" for i in range(50)] + ["new"] + [f"u{k}x{i}" for i in range(51, 100)])) for k in range(3)]
     planted += [(None, " ".join(words[100:])), (None, " ".join(words[100:] + ["end"])), (100_300, "first text of one id"), (100_300, "second, other text of that id")]
-    rows = [*texts.items(), *planted, *ODD]
-    got = collections.Counter(r.doc_id for r in simhash.simhash_stage(spark, frame(spark, rows), SF).select("doc_id").collect())
+    for k in range(12):
+        apart = [f"q{i}" for i in range(120)]
+        apart[3 + 9 * k], apart[115 - 9 * k] = f"p{k}", f"o{k}"
+        planted += [(100_400 + k, " ".join(apart)), (100_500 + k, " ".join(apart[:-2]))]
+    rows, across, link = [*texts.items(), *planted, *ODD], [], simhash.linked_cells
+    monkeypatch.setattr(simhash, "linked_cells", lambda marked, node, cells: across.append(cells.where("p <> q").count()) or link(marked, node, cells))
+    got = collections.Counter(r.doc_id for r in simhash.simhash_stage(spark, frame(spark, rows), SF, group).select("doc_id").collect())
     assert got == kept_near(rows) and not any(got[100_200 + k] for k in range(3)) and got[100_300] == 2 and got[None] == 2
+    assert any(across) == (group == 3) and len(across) <= 9
 
 
 def test_sketches_equal_sets(docs, texts):
