@@ -366,20 +366,10 @@ def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, label
 _CELL = ("key", "p", "q", "node", "side", "label")
 
 
-def linked_cells(marked: DataFrame, node: str, rows: DataFrame) -> DataFrame:
+def linked_cells(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (a, b) between the similar sets of each cell (key, p, q); a task holds one cell at a time. Nodes of
     one label are known to be connected."""
-    text = marked.join(rows.select(F.col("node").alias(node)).distinct(), node, "left_semi").groupBy(node).agg(F.any_value("text").alias("text"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, begin, value in shingle_sets(batch.column(1), STAGE_SHINGLE):
-                ends = np.append(begin, len(value))
-                sets = [value[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(set_prints(begin, value).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "fp", "grams"])
-
-    sets = text.mapInArrow(released(read), "node long, fp long, grams binary")
-    spread = rows.join(sets, "node").select(*_CELL, "fp", "grams").repartition(shuffle_partitions(marked.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+    spread = rows.join(sets, "node").select(*_CELL, "fp", "grams").repartition(shuffle_partitions(rows.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(cell: list[tuple]) -> list[tuple[int, int]]:
@@ -406,7 +396,24 @@ def linked_cells(marked: DataFrame, node: str, rows: DataFrame) -> DataFrame:
     return spread.mapInArrow(released(link), "a long, b long").distinct()
 
 
-def similar_sets(marked: DataFrame, node: str, keys: str, group: int = GROUP) -> DataFrame:
+def sets_of(marked: DataFrame, node: str, row: str, wanted: DataFrame) -> DataFrame:
+    """node, fp (its SimHash), grams (its shingle set) and large of the wanted nodes. One row of each node is
+    chosen by its number, so that only the numbers of copies are grouped, not their texts."""
+    chosen = marked.groupBy(node).agg(F.min(row).alias(row)).join(wanted.select(F.col("node").alias(node), "large"), node).select(row, "large")
+    text = marked.select(row, node, "text").join(chosen, row).select(node, "text", "large")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, begin, value in shingle_sets(batch.column(1), STAGE_SHINGLE):
+                ends, at = np.append(begin, len(value)), pa.array(rows)
+                sets = [value[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                columns = [batch.column(0).take(at), pa.array(set_prints(begin, value).view(np.int64)), pa.array(sets, pa.binary()), batch.column(2).take(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "fp", "grams", "large"])
+
+    return text.mapInArrow(released(read), "node long, fp long, grams binary, large boolean")
+
+
+def similar_sets(marked: DataFrame, node: str, keys: str, row: str, group: int = GROUP) -> DataFrame:
     """Edges (a, b) between nodes of similar shingle sets.
 
     Sets that share a band are compared. Bands with the same members are the same group, of which one is
@@ -422,17 +429,21 @@ def similar_sets(marked: DataFrame, node: str, keys: str, group: int = GROUP) ->
     groups = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
     chosen = materialize(groups.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n"))
     shared = materialize(dealt.join(chosen, "key"))
+    large = shared.where(F.col("n") > group)
+    before, turn = large.count(), 0
+    sets = sets_of(marked, node, row, shared.groupBy("node").agg(F.max(F.col("n") > group).alias("large")))
+    if before:  # they are read again
+        sets = reread(sets, shared_folder(marked.sparkSession, "near"), "sets")
 
     def blocks(size: str) -> Column:
         return F.greatest(F.ceil(F.col(size) / group), F.lit(1)).cast("int")
 
     def in_blocks(rows: DataFrame, label: str, turn: int) -> DataFrame:
         place = F.pmod(F.xxhash64("node", F.lit(turn)), blocks("n")).cast("int")
-        return linked_cells(marked, node, rows.select("key", place.alias("p"), place.alias("q"), "node", F.lit(0).alias("side"), F.col(label).alias("label")))
+        return linked_cells(sets, rows.select("key", place.alias("p"), place.alias("q"), "node", F.lit(0).alias("side"), F.col(label).alias("label")))
 
     edges = materialize(in_blocks(shared, "node", 0))
-    large = shared.where(F.col("n") > group)
-    before, turn = large.count(), 0
+    sets = sets.where("large")
     while before:
         turn += 1
         found = components(large.select(F.col("node").alias("fp"), F.lit(0).cast("long").alias("rep")).distinct(), edges)
@@ -453,7 +464,7 @@ def similar_sets(marked: DataFrame, node: str, keys: str, group: int = GROUP) ->
         rows = rows.withColumn("side", F.when(F.col("inner"), F.col("r") + F.pmod(code, "m")).otherwise(F.pmod(code, "r")).cast("int"))
         others = F.sequence(F.lit(0), F.col("r") - 1 + F.when(F.col("inner"), 0).otherwise(F.col("m")))
         rows = rows.withColumn("other", F.explode(others)).withColumn("p", F.least("side", "other")).withColumn("q", F.greatest("side", "other"))
-        return edges.unionByName(linked_cells(marked, node, rows.select(*_CELL))).distinct()
+        return edges.unionByName(linked_cells(sets, rows.select(*_CELL))).distinct()
     return edges
 
 
@@ -478,7 +489,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, group: int
     kind = StructType([*docs.schema.fields, *StructType.fromDDL(fields).fields])
     marked = reread(docs.mapInArrow(released(mark), kind).withColumn(row, F.monotonically_increasing_id()), shared_folder(spark, "near"), "marked")
     nodes = marked.select(F.col(node).alias("fp"), F.lit(0).cast("long").alias("rep"))
-    found = components(nodes.distinct(), materialize(similar_sets(marked, node, keys, group))).select(F.col("fp").alias(node), "root")
+    found = components(nodes.distinct(), materialize(similar_sets(marked, node, keys, row, group))).select(F.col("fp").alias(node), "root")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
     whose = marked.select(node, row, order.alias("order")).join(found, node, "left").groupBy(F.coalesce("root", node)).agg(F.min("order").alias("first"))
     return marked.join(whose.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*names)

@@ -263,7 +263,7 @@ def test_simhash_stage_equals_brute_force(spark, docs, texts, monkeypatch, group
         apart[3 + 9 * k], apart[115 - 9 * k] = f"p{k}", f"o{k}"
         planted += [(100_400 + k, " ".join(apart)), (100_500 + k, " ".join(apart[:-2]))]
     rows, across, link = [*texts.items(), *planted, *ODD], [], simhash.linked_cells
-    monkeypatch.setattr(simhash, "linked_cells", lambda marked, node, cells: across.append(cells.where("p <> q").count()) or link(marked, node, cells))
+    monkeypatch.setattr(simhash, "linked_cells", lambda sets, cells: across.append(cells.where("p <> q").count()) or link(sets, cells))
     got = collections.Counter(r.doc_id for r in simhash.simhash_stage(spark, frame(spark, rows), SF, group).select("doc_id").collect())
     assert got == kept_near(rows) and not any(got[100_200 + k] for k in range(3)) and got[100_300] == 2 and got[None] == 2
     assert any(across) == (group == 3) and len(across) <= 9
