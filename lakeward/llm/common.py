@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Word separators of the contracts: space and U+0009 to U+000D.
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -215,3 +216,29 @@ def text_slices(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, list
     """Slices of a string column as lists, with their first row; each has about `size` bytes, or one longer row."""
     for low, high in text_chunks(text_buffers(column)[1], size):
         yield low, column.slice(low, high - low).to_pylist()
+
+
+def hash_share(wanted: int, n: int, *values: Column) -> Column:
+    """True for about `wanted` of n different values, by all 64 bits of their hash; for all if there are no more."""
+    return F.lit(True) if n <= wanted else F.xxhash64(*values) < F.lit((wanted << 64) // n - (1 << 63))
+
+
+def different(rows: DataFrame, *values: Column) -> int:
+    """About how many values there are (1 %), whatever the number of rows."""
+    return rows.agg(F.approx_count_distinct(F.xxhash64(*values), 0.01)).first()[0]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, wanted: int, seed: str) -> DataFrame:
+    """doc_id, text and label of about `wanted` labelled documents at most, chosen by hashes of id and text.
+
+    Of several labels of an id the least counts. Rows alike in id and text count once, and rows of one id
+    are sampled too, so neither makes the sample large or empty. Null ids, texts and labels are left out.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
+    known = known.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
+    known = known.where(hash_share(wanted, different(known, F.col("doc_id")), F.lit(seed), F.col("doc_id")))
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about `wanted` ids
+    key = (F.lit(seed + " text"), F.col("doc_id"), F.col("text"))
+    if rows.select("doc_id").count() > 2 * wanted:  # then ids repeat
+        rows = rows.where(hash_share(wanted, different(rows, *key), *key))
+    return rows.dropDuplicates(["doc_id", "text"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import CHUNK, materialize, mix64, released, small_batches, table, text_slices
+from lakeward.llm.common import CHUNK, different, hash_share, materialize, mix64, released, small_batches, table, text_slices
 
 #: At most about so many documents are used to fit the filters; they are chosen by a hash of the id.
 FIT_ROWS = 20_000
@@ -117,11 +117,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_filters(docs: DataFrame, rows: int = FIT_ROWS) -> LanguageFilters:
-    """Filters from the text and lang of at most about `rows` documents that are not held out."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    n = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).count()
-    if n > rows:
-        known = known.where(F.pmod(F.crc32(F.concat(F.lit("language"), F.col("doc_id").cast("string"))), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+    """Filters from the text and lang of at most about `rows` documents that are not held out, chosen by a hash of id and
+    text; rows alike in these count once."""
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
+    key = (F.lit("language"), F.col("doc_id"), F.col("text"))
+    known = known.where(hash_share(rows, different(known, *key), *key)).dropDuplicates()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

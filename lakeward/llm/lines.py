@@ -161,7 +161,9 @@ def _drops(index: LineIndex | None, batch: pa.RecordBatch) -> np.ndarray:
     if index is None or not batch.num_rows:
         return np.zeros(batch.num_rows, bool)
     slots = index.slots(digest_rows(batch.column("line").to_pylist()))
-    return (slots >= 0) & (index.firsts[slots] != batch.column("doc").to_numpy(zero_copy_only=False))
+    gone = slots >= 0
+    gone[gone] = index.firsts[slots[gone]] != batch.column("doc").to_numpy(zero_copy_only=False)[gone]
+    return gone
 
 
 def lines_to_drop(places: DataFrame, lines: DataFrame) -> DataFrame:

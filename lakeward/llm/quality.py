@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import table
+from lakeward.llm.common import labelled_sample, table
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -171,13 +171,14 @@ def rules_column(rules: Sequence[Rule]) -> Column:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
-    """Rules from at most about `rows` labelled documents (label quality 0 is bad) that pass the base test."""
-    known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
-    n = known.count()
+    """Rules from at most about `rows` labelled documents (label quality 0 is bad) that pass the base test.
+
+    Of several labels of one id the least counts, rows alike in id and text count once, and null ids, texts and
+    labels are left out. Of conditions of equal gain the first by feature, then by threshold, then the one
+    below it is taken.
+    """
+    labelled = labelled_sample(docs, labels, "quality", rows, "rules")
     part = F.crc32(F.concat(F.lit("rules"), F.col("doc_id").cast("string")))
-    sample = known if n <= rows else known.where(F.pmod(part, F.lit(1 << 20)) < int(rows / n * (1 << 20)))
-    sample = sample.dropDuplicates(["doc_id"])
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     found = text_statistics(labelled, keep=("doc_id", "quality")).select(
         *[c.alias(name) for name, c in feature_columns().items()],
         (F.col("quality") == 0).alias("bad"),

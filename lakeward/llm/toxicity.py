@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeward.llm.common import materialize, released, small_batches, table
+from lakeward.llm.common import labelled_sample, materialize, released, small_batches, table
 
 #: At most about so many labelled rows are used to fit; they are chosen by a hash of the id.
 FIT_ROWS = 20_000
@@ -199,11 +199,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.crc32(F.concat(F.lit("toxicity"), F.col("doc_id").cast("string"))), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(known.dropDuplicates(["doc_id"])), "doc_id").where("text is not null").select("text", "toxic")
+    return labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic", rows, "toxicity").select("text", "toxic")
 
 
 def clauses(text: str) -> Iterator[list[str]]:
@@ -320,7 +316,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Toxic
 
     Without labels there is nothing to learn: the model then has the seeds and prior weights. Ties between
     entries go to the longer, then to the first in order of letters. A label without its document and a
-    null text or label are left out; of several labels of one id any one counts.
+    null text or label are left out; of several labels of one id the least counts, and rows alike in id and text
+    count once.
     """
     sample = materialize(_labelled(docs, labels, rows))  # read four times
     words, stems = _learned_entries(sample)

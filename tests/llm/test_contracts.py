@@ -241,3 +241,25 @@ def test_a_shared_folder_is_asked_for(monkeypatch):
 def test_backoff_scores_are_probabilities(spark):
     got = backoff.score_documents(frame(spark, ODD)).collect()
     assert all(r.log_score <= 1e-9 and (r.mean_log_score is None) == (r.n_words == 0) for r in got)
+
+
+def test_hash_share_of_any_number(spark):
+    """A share of 64-bit hashes does not vanish for 10^11 rows, nor take more than its part."""
+    ids = spark.range(1_000_000)
+    for wanted, n in ((10**9, 10**11), (20_000, 1_000_000), (5 * 10**10, 10**11)):
+        kept = ids.where(common.hash_share(wanted, n, F.col("id"))).count()
+        assert kept == pytest.approx(1_000_000 * wanted / n, rel=0.05)
+    assert ids.where(common.hash_share(10, 10, F.col("id"))).count() == 1_000_000
+    assert 0 < spark.range(10**7).where(common.hash_share(20_000, 10**11, F.col("id"))).count() < 20
+
+
+def test_samples_of_repeated_ids_and_contradictory_labels(spark):
+    """One id on 500 different texts, 1,000 equal rows and 50 other ids: all take part, and the bound holds about."""
+    rows = [(1, f"text of one id, number {k}") for k in range(500)] + [(2, "the same row")] * 1000 + [(k, f"text {k}") for k in range(10, 60)]
+    labels = spark.createDataFrame([(i, v, v) for i in [1, 2, *range(10, 60)] for v in (1, 0)] + [(None, 0, 0), (99, None, None), (98, 1, 1)], "doc_id long, quality int, toxic int")
+    whole = common.labelled_sample(frame(spark, rows), labels, "toxic", 10_000, "t").collect()
+    assert len(whole) == 551 and {r.toxic for r in whole} == {0}
+    part = common.labelled_sample(frame(spark, rows), labels, "toxic", 100, "t").collect()
+    assert 50 < len(part) < 160 and len({(r.doc_id, r.text) for r in part}) == len(part)
+    known = frame(spark, rows).withColumn("lang", F.when(F.col("doc_id") == 1, "aa").otherwise("bb"))
+    assert language.fit_filters(known, 100).languages == ["aa", "bb"]
