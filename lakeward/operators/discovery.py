@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lakeward.functions import detectors as D
 from lakeward.functions import masking as M
+from lakeward.functions import phones as P
 from lakeward.functions.hints import hints
 
 #: Most values of a column that are sampled, most masked samples and fingerprints that are kept.
@@ -50,8 +51,7 @@ def scanned(values: DataFrame, classifiers: tuple[str, ...] = CLASSIFIERS) -> Da
     """object, field, value, placeholder, worded (three letters or more), and `found`: for each classifier the
     valid matches, whether there are candidates (which include invalid ones), and the best grade of a phone.
 
-    Each pattern is searched once: candidates are columns, and what is valid is filtered from them. A phone
-    plan reads what the plans before it have left.
+    Each pattern is searched once: candidates are columns, and what is valid is filtered from them.
     """
     rows = values.where("value is not null and value <> ''").withColumn("text", D.scan_prefix(D.typographic_fold(F.col("value"))))
     shapes = {"iban": D.IBAN_SHAPE, "nir": D.NIR_SHAPE, "aws_key": D.AWS_ID, "password_hash": D.PASSWORD_HASH}
@@ -61,14 +61,12 @@ def scanned(values: DataFrame, classifiers: tuple[str, ...] = CLASSIFIERS) -> Da
         elif c == "card_number":
             rows = rows.withColumn("_card_number", D.card_candidates(F.col("text")))
         elif c == "phone":
-            rows = rows.withColumn("_rest", F.col("text"))
-            for plan, pattern in D.PHONE_PLANS.items():
-                rows = rows.withColumn(f"_{plan}", D.extract(F.col("_rest"), pattern)).withColumn("_rest", F.when(F.size(f"_{plan}") > 0, F.regexp_replace("_rest", pattern, " # ")).otherwise(F.col("_rest")))
+            rows = rows.withColumn("_phone", D.extract(F.col("text"), P.PHONE))
         else:
             rows = rows.withColumn(f"_{c}", D.extract(F.col("text"), shapes[c]))
-    graded = lambda plan: F.transform(f"_{plan}", lambda v: F.struct(v.alias("raw"), D.phone_grade(plan, v).alias("grade")))
     if "phone" in classifiers:
-        rows = rows.withColumn("_phone", F.filter(F.concat(*map(graded, D.PHONE_PLANS)), lambda p: p["grade"].isNotNull()))
+        graded = F.transform("_phone", lambda v: F.struct(v.alias("raw"), P.phone_grade(v).alias("grade")))
+        rows = rows.withColumn("_phone", F.filter(graded, lambda p: p["grade"].isNotNull()))
     true = lambda test: lambda v: F.coalesce(test(v), F.lit(False))
     hits = {
         "email": lambda c: F.filter(c, true(lambda v: D.valid_email(v) & D.personal_mailbox(v))),
@@ -98,14 +96,14 @@ def column_statistics(scan: DataFrame) -> DataFrame:
     rows = scan.select("object", "field", "placeholder", "worded", F.explode_outer("found").alias("f")).withColumn("real", ~F.col("placeholder"))
     hit = F.col("real") & (F.size("f.hits") > 0)
     count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
-    formatted = F.col("real") & (F.col("f.grade") >= D.NORMAL)
+    formatted = F.col("real") & (F.col("f.grade") >= P.NORMAL)
     return rows.groupBy("object", "field", F.col("f.classifier").alias("classifier")).agg(
         F.count("*").alias("sampled"),
         count(F.col("real")).alias("n"),
         count(hit).alias("matched"),
         count(F.col("real") & F.col("f.candidates")).alias("candidates"),
         F.sum(F.when(F.col("real"), F.size("f.hits")).otherwise(0)).cast("long").alias("valid"),
-        count(F.col("real") & (F.col("f.grade") == D.STRONG)).alias("strong"),
+        count(F.col("real") & (F.col("f.grade") == P.STRONG)).alias("strong"),
         count(formatted).alias("formatted"),
         count(formatted & F.col("worded")).alias("in_text"),
         F.min(F.when(hit, F.array_min("f.hits"))).alias("least_hit"),

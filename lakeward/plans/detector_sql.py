@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lakeward.functions import detectors as D
+from lakeward.functions import phones as P
 
 
 def luhn(x: str) -> str:
@@ -40,27 +41,19 @@ def valid_iban(x: str) -> str:
     return f"(list_reduce(list_transform(string_split(substr({bare}, 5) || substr({bare}, 1, 4), ''), lambda c: {number}), lambda a, y: (a * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1)"
 
 
-def phone_grade(plan: str, x: str = "x") -> str:
-    digits = f"regexp_replace({x}, '[^0-9]', '', 'g')"
-    n = f"length({digits})"
-    same = lambda v: f"regexp_matches(regexp_replace({v}, '[0-9()+]', '', 'g'), '{D.SAME_SEPARATORS}')"
-    if plan == "intl":
-        plus, others = f"regexp_matches({x}, '^[(]?[+]')", f"regexp_replace({x}, '[0-9+]', '', 'g')"
-        n = f"({n} - CASE WHEN contains({x}, '(0)') THEN 1 ELSE 0 END - CASE WHEN {plus} THEN 0 ELSE 2 END)"
-        return f"CASE WHEN {n} NOT BETWEEN 8 AND 15 OR {others} = '.' THEN NULL WHEN {plus} THEN 3 WHEN {n} < 10 OR regexp_matches({x}, '{D.BY_FOUR}') THEN NULL WHEN {others} <> '' THEN 2 WHEN {n} <= 13 THEN 1 END"
-    if plan == "nanp":
-        last = f"right({digits}, 10)"
-        rest = f"regexp_replace({x}, '^.*[)] ?', '')"
-        return f"CASE WHEN NOT (substr({last}, 2, 2) = '11' OR substr({last}, 5, 2) = '11') AND {n} IN (10, 11) AND {same(rest)} THEN CASE WHEN contains({x}, '(') THEN 3 ELSE 2 END END"
-    if plan == "trunk":
-        separated = f"regexp_matches({x}, '[^0-9]')"
-        rest = f"regexp_replace({x}, '^[0-9]+/', '')"
-        known = f"((regexp_matches({x}, '{D.TRUNK_PLAN}') OR (regexp_matches({x}, '{D.TRUNK_LONG}') AND {n} IN (10, 11))) AND {same(rest)})"
-        return (
-            f"CASE WHEN CASE WHEN {separated} THEN {n} BETWEEN 9 AND 12 ELSE {n} IN (10, 11) END AND NOT regexp_matches({x}, '{D.DATE_SHAPE}') "
-            f"THEN CASE WHEN NOT {separated} THEN 1 WHEN starts_with({x}, '(') THEN 3 WHEN {known} THEN 2 ELSE 1 END END"
-        )
-    return f"CASE WHEN {same(x)}" + (f" AND NOT {luhn(digits)}" if plan == "threes" else "") + " THEN 2 END"
+def _when(cases: list, otherwise) -> str:
+    plain = lambda v: "NULL" if v is None else str(v)
+    return "CASE " + " ".join(f"WHEN {test} THEN {plain(value)}" for test, value in cases) + f" ELSE {plain(otherwise)} END"
+
+
+PHONE_FORM = P.Form(
+    match=lambda v, p: f"regexp_matches({v}, '{p}')",
+    drop=lambda v, p: f"regexp_replace({v}, '{p}', '', 'g')",
+    when=_when,
+    both=lambda a, b: f"({a} AND {b})",
+    length=lambda v: f"length({v})",
+    luhn=luhn,
+)
 
 
 FOLD = "translate({0}, chr(160) || chr(8199) || chr(8239) || chr(8208) || chr(8209) || chr(8210) || chr(8211) || chr(8722), '   -----')"
@@ -90,11 +83,7 @@ def card_sql() -> str:
 
 def scan_sql(sample: str, classifiers: tuple[str, ...]) -> str:
     """CTEs vals (rid, object, field, ph), tok (rid, classifier, raw, ok, grade) and st (statistics)."""
-    plans = list(D.PHONE_PLANS.items())
-    chain = ["ph0 AS (SELECT rid, t AS r FROM cut)"]
-    for i, (name, pattern) in enumerate(plans):
-        chain.append(f"ph{i + 1} AS (SELECT rid, regexp_extract_all(r, '{pattern}') AS p, regexp_replace(r, '{pattern}', ' # ', 'g') AS r FROM ph{i})")
-    phones = " UNION ALL ".join(f"SELECT rid, x, {phone_grade(name)} AS grade FROM (SELECT rid, unnest(p) AS x FROM ph{i + 1})" for i, (name, _) in enumerate(plans))
+    phones = f"SELECT rid, x, {PHONE_FORM.grade('x')} AS grade FROM (SELECT rid, unnest(regexp_extract_all(t, '{P.PHONE}')) AS x FROM cut)"
     plain = lambda c, pattern, ok: f"SELECT rid, '{c}' AS classifier, x AS raw, {ok} AS ok, NULL AS grade FROM (SELECT rid, unnest(regexp_extract_all(t, '{pattern}')) AS x FROM cut)"
     tokens = {
         "email": plain("email", D.EMAIL, f"{valid_email('x')} AND {personal('x')}"),
@@ -109,7 +98,7 @@ def scan_sql(sample: str, classifiers: tuple[str, ...]) -> str:
     return f"""{sample},
   vals AS (SELECT row_number() OVER () AS rid, object, field, value, {PLACEHOLDER.format('value')} AS ph FROM smp WHERE value <> ''),
   cut AS (SELECT rid, {PREFIX_OF.format('v')} AS t FROM (SELECT rid, {FOLD.format('value')} AS v FROM vals)),
-  {", ".join(chain)}, {card_sql()},
+  {card_sql()},
   tok AS ({" UNION ALL ".join(tokens[c] for c in classifiers)}),
   per AS (SELECT rid, classifier, count(*) FILTER (ok) AS valid, min(raw) FILTER (ok) AS lo, max(raw) FILTER (ok) AS hi, max(grade) AS grade, true AS cand FROM tok GROUP BY 1, 2),
   st AS (SELECT object, field, classifier, count(*) AS sampled, {yes('NOT ph')} AS n, {yes('NOT ph AND valid > 0')} AS matched, {yes('NOT ph AND cand')} AS candidates,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeward.functions import detectors as D
 from lakeward.functions import masking as M
 from lakeward.functions import names as N
+from lakeward.functions import phones as P
 from lakeward.functions.sqlshape import analyze, sql_shape
 from lakeward.operators.correlation import fold_baseline
 from lakeward.sources.sampling import sample_percent
@@ -41,15 +42,46 @@ def test_detectors(spark, find, text, expected):
 
 
 @pytest.mark.parametrize(
-    ("plan", "value", "grade"),
+    ("value", "grade"),
     [
-        ("intl", "+33 6 12 34 56 78", 3), ("intl", "+48.856614", None), ("intl", "0033612345678", 1), ("nanp", "(202) 555-0125", 3), ("nanp", "202-555-0125", 2), ("nanp", "211-555-0125", None),
-        ("trunk", "01 99 00 27 59", 2), ("trunk", "0612345678", 1), ("trunk", "020 7946 0958", 2), ("trunk", "03.05.2024", None), ("trunk", "0470/12.34.56", 2), ("grouped", "347 123 4567", 2),
-        ("threes", "612 345 679", 2), ("threes", "612 345 678", None), ("threes", "612.345 678", None),
+        ("+33 6 12 34 56 78", 3), ("+48.856614", None), ("0033612345678", 1), ("(202) 555-0125", 3), ("202-555-0125", 2), ("211-555-0125", None), ("202-911-0125", None), ("202-555.0125", None),
+        ("01 99 00 27 59", 2), ("0612345678", 1), ("020 7946 0958", 2), ("03.05.2024", None), ("0470/12.34.56", 2), ("347 123 4567", 2), ("(020) 7946 0958", 3), ("+44 (0)20 7946 0958", 3),
+        ("612 345 679", 2), ("612 345 678", None), ("612.345 678", None), ("+999 123 456 789", 3), ("+33 6 12 34 56", None), ("00 33 6 12 34 56 78", None), ("+2.352222", None), ("1 202-555-0125", 2),
     ],
 )
-def test_phone_grades(spark, plan, value, grade):
-    assert one(spark, value, lambda c: D.extract(c, D.PHONE_PLANS[plan])) == [value] and one(spark, value, lambda c: D.phone_grade(plan, c)) == grade
+def test_phone_grades(spark, value, grade):
+    found = one(spark, value, lambda c: F.transform(D.extract(c, P.PHONE), lambda v: F.struct(v.alias("raw"), P.phone_grade(v).alias("grade"))))
+    assert [(r.raw, r.grade) for r in found if r.grade] == ([(value, grade)] if grade else [])
+
+
+def test_phones_side_by_side_and_their_regions(spark):
+    assert one(spark, "01 99 00 27 59 02 33 44 55 66, +4930123456", lambda c: D.extract(c, P.PHONE)) == ["01 99 00 27 59", "02 33 44 55 66", "+4930123456"]
+    assert [one(spark, v, P.phone_region) for v in ("+351 912 345 678", "0049 30 123456", "+1 202 555 0125", "020 7946 0958", "+999 1234567")] == ["PT", "DE", "US", None, None]
+    assert one(spark, "912 345 678", P.national_regions) == ["ES", "PT"] and one(spark, "01 99 00 27 59", P.national_regions) == ["FR"]
+
+
+H = "0123456789abcdef" * 4
+
+
+@pytest.mark.parametrize(
+    "value",
+    [  # from the documents of the formats
+        "$2b$12$EjXXuZ0VGWGh0JSVANuaawsTPVLWNArLzyRPleGMlMiMsUopy5qt2", "$argon2id$v=19$m=65536,t=3,p=4$c29tZXNhbHQ$RdescudvJCsgt3ub+b+dWRWJTmaaJObG", "$7$CU..../....SodiumChloride$" + "a" * 43,
+        "$scrypt$ln=16,r=8,p=1$aM15713r3Xsvxbi31lqr1Q$nFNh2CVHVjNldFVKDHDlm4CbdRSCdEBsjjJxD+iCs5E", "$5$saltsalt$" + "a" * 43, "$6$rounds=5000$saltsalt$" + "a" * 86, "$1$saltsalt$qjXMvbEw8oaL.CzflDugX/",
+        "$apr1$r31.....$HqJZimcKQFAMYayBlzkrA/", "$y$j9T$F5Jx5fExrKuPp53xLKQ..1$" + "a" * 43, "$P$BjRvZQ.VQcGZlDeiKToCQd.cPw5XCe0", "$S$D" + "a" * 51, "$sha1$64000$wnUR8T1U$vt1TFQ50tBMFgkflAFAOer2CwdYZ",
+        "$pbkdf2-sha256$29000$N2bMmZMSQug9Z6yVUsqZMw$Uv4mVNQpVYtvpu5qCBR7lcS5QP9n0Wkx4LJU8Z9iAdE", "pbkdf2_sha256$600000$saltsalt$HvZ3AOkF5r0WwFpSU7N8Dq3O3gXvKmRqLZnyXw0Gm2s=", "pbkdf2:sha256:600000$Xb3kQ9pL$" + H,
+        "scrypt:32768:8:1$Xb3kQ9pLmN$" + H, "sha1$a1b2c3$" + H[:40], "unsalted_md5$$" + H[:32], "bcrypt_sha256$$2b$12$" + "a" * 53, "argon2$argon2i$v=19$m=512,t=2,p=2$c2FsdHNhbHQ$Z2hhc2hoYXNoaGFzaA",
+        "{SSHA}DnKiYrOFTEkn+VpML/5/mBX+VpPyx0J0rjW88Q==", "{BLF-CRYPT}$2y$05$" + "a" * 53, "{SHA512-CRYPT}$6$saltsalt$" + "a" * 86, "{CRYPT}$1$saltsalt$qjXMvbEw8oaL.CzflDugX/", "md5" + H[:32], "MD5" + H[:32].upper(),
+        "*6BB4837EB74329105EE4568DDA7DC67ED2CA2AD9", "SCRAM-SHA-256$4096:c2FsdHNhbHQ=$c3RvcmVka2V5c3RvcmVka2V5:c2VydmVya2V5c2VydmVy", "$3$$8846f7eaee8fb117ad06bdd830b7586c", "S:" + "AB" * 30,
+    ],
+)
+def test_hash_formats(spark, value):
+    assert one(spark, f"pw: {value} .", D.find_password_hashes) == [value]
+
+
+def test_no_hashes(spark):
+    for text in ("$2b$12$short", "password123", "{SSHA}", "$5.00", H[:32], "md5" + H, "*" + H[:40], "$1$$" + "a" * 21, "sha1 checksum"):
+        assert one(spark, text, D.find_password_hashes) == []
 
 
 def test_scan_prefix_ends_at_a_character(spark):
