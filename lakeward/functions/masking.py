@@ -23,8 +23,13 @@ def mask_card(value: Column) -> Column:
     return F.trim(F.regexp_replace(stars, "(.{4})", "$1 "))
 
 
+def bare_identifier(value: Column) -> Column:
+    """Without the separators that IBANs and social security numbers may have; upper case."""
+    return F.upper(F.regexp_replace(value, "[ ./-]", ""))
+
+
 def mask_iban(value: Column) -> Column:
-    bare = F.replace(value, F.lit(" "), F.lit(""))
+    bare = bare_identifier(value)
     stars = F.concat(F.substring(bare, 1, 2), F.repeat(F.lit("*"), F.length(bare) - 6), F.substring(bare, -4, 4))
     return F.trim(F.regexp_replace(stars, "(.{4})", "$1 "))
 
@@ -73,7 +78,7 @@ def normalize(classifier: Column, value: Column) -> Column:
     return (
         F.when(classifier == "email", F.lower(F.trim(value)))
         .when(classifier.isin("card_number", "phone"), digits)
-        .when(classifier == "iban", F.upper(F.replace(value, F.lit(" "), F.lit(""))))
+        .when(classifier.isin("iban", "nir"), bare_identifier(value))
         .when(classifier == "person_name", F.lower(F.regexp_replace(F.trim(value), " +", " ")))
         .otherwise(F.trim(value))
     )

@@ -38,7 +38,7 @@ def glob_to_regex(glob: str, fold: bool = True, trim: bool = False) -> str:
 def glob_match(name: Column, glob: str, fold: bool = True, trim: bool = True) -> Column:
     """Whether a name matches the glob. Newlines are ordinary characters."""
     value = F.replace(F.lower(name), F.lit("ς"), F.lit("σ")) if fold else name
-    return value.rlike(glob_to_regex(glob, fold, trim).replace("$", "\\z"))
+    return value.rlike(glob_to_regex(glob, fold, trim).removesuffix("$") + "\\z")
 
 
 def globs_overlap(a: str, b: str) -> bool:

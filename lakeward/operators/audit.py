@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -48,22 +48,26 @@ def aggregate_events(events: DataFrame, keys: list[str], seconds: int = WINDOW_S
 def first_event_windows(events: DataFrame, keys: list[str], seconds: int = WINDOW_SECONDS) -> DataFrame:
     """`opened_us`: when the window that an event falls in was opened by its group's first event. An ordered
     fold: rows are sorted within hash partitions and read as a stream, so a group needs no more than its
-    last window."""
-    step, columns = seconds * 1_000_000, [*keys, "opened_us", "closed_us"]
-    spread = events.select(*keys, F.expr("unix_micros(ts)").alias("_us")).repartition(*keys).sortWithinPartitions(*keys, "_us")
+    last window. Events without a time open none; a null key is a key."""
+    step = seconds * 1_000_000
+    spread = events.select(*keys, F.expr("unix_micros(ts)").alias("_us")).where("_us is not null").repartition(*keys).sortWithinPartitions(*keys, "_us")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, opened = None, 0
-        for pdf in batches:
-            out = []
-            for *key, us in zip(*[pdf[c] for c in (*keys, "_us")], strict=True):
+        for batch in batches:
+            at, times = [], []
+            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
+            for i, us in enumerate(batch.column(len(keys)).to_pylist()):
+                key = tuple(c[i] for c in columns)
                 if key != group or us >= opened + step:
                     group, opened = key, us
-                    out.append((*key, us, us + step))
-            yield pd.DataFrame(out, columns=columns)
+                    at.append(i)
+                    times.append(us)
+            kept = batch.take(pa.array(at, pa.int64())).columns[: len(keys)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(times, pa.int64()), pa.array([t + step for t in times], pa.int64())], names=[*keys, "opened_us", "closed_us"])
 
     kind = StructType([*[events.schema[k] for k in keys], StructField("opened_us", LongType()), StructField("closed_us", LongType())])
-    return spread.mapInPandas(run, kind)
+    return spread.mapInArrow(run, kind)
 
 
 def sliding(rows: DataFrame, keys: list[str], reach: int, measures: dict[str, tuple[Column, Column]]) -> DataFrame:

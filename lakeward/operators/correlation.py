@@ -134,7 +134,8 @@ def baselines(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     """Verdict of each eligible event (rows known, neither connect nor failed login) against its group's
     baseline before it. Rows are sorted within hash partitions and folded in one pass over batches."""
     eligible = events.where(F.col("rows").isNotNull() & (F.col("rows") >= 0) & ~F.col("action").isin("connect", "auth_failure"))
-    spread = eligible.select("event_id", F.concat_ws("\x1f", *keys).alias("_group"), F.col("rows").cast("double").alias("rows"), *order)
+    part = lambda k: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-"))  # noqa: E731  a null is a part
+    spread = eligible.select("event_id", F.concat_ws("\x1f", *map(part, keys)).alias("_group"), F.col("rows").cast("double").alias("rows"), *order)
     ordered = spread.repartition("_group").sortWithinPartitions("_group", *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

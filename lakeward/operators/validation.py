@@ -63,10 +63,12 @@ def normalize_dn(dn: str) -> str:
     return ",".join(p if p.strip().lower().startswith(("dc=", "ou=", "o=")) else p.split("=", 1)[0] + "=*" for p in dn.split(","))
 
 
-def learned_pattern(key: Column, patterns: list[str]) -> Column:
-    """The first pattern that a key fits, the longest first, or its first segment with `*`."""
+def learned_pattern(key: Column, patterns: list[str], separators: str = ":/") -> Column:
+    """The first pattern that a key fits, the longest first, or its first segment with `*`. A `*` stands for one
+    segment, whatever the separators of `key_patterns` were."""
+    segment = f"[^{re.escape(separators)}]"
     chosen = F
     for p in sorted(patterns, key=lambda p: (-len(p), p)):
-        chosen = chosen.when(key.rlike("^" + "[^:]*".join(map(re.escape, p.split("*"))) + "$"), F.lit(p))
-    rest = F.concat(F.substring_index(key, ":", 1), F.lit(":*"))
+        chosen = chosen.when(key.rlike("^" + f"{segment}*".join(map(re.escape, p.split("*"))) + "$"), F.lit(p))
+    rest = F.concat(F.regexp_extract(key, f"^{segment}*", 0), F.coalesce(F.nullif(F.regexp_extract(key, f"[{re.escape(separators)}]", 0), F.lit("")), F.lit(separators[0])), F.lit("*"))
     return chosen.otherwise(rest) if patterns else rest

@@ -110,6 +110,16 @@ def keyed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("object", "field", "classifier", F.array_join("fingerprints", ",").alias("fingerprints"))
 
 
+def identifier_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of account and social security numbers, each of which is written in three ways."""
+    spaced = lambda c, sep: F.regexp_replace(c, "(....)", f"$1{sep}")
+    rows = _planted(spark, sf_dir).where("field in ('iban', 'nir')").withColumn("value", F.regexp_extract("value", "(?i)([a-z]{2}[0-9]{20}|[0-9]{15})", 1))
+    nir = F.regexp_replace("value", "(.)(..)(..)(..)(...)(...)(..)", "$1 $2 $3 $4 $5 $6 $7")
+    forms = F.array("value", F.when(F.col("field") == "nir", nir).otherwise(spaced(F.col("value"), "-")), F.when(F.col("field") == "nir", F.regexp_replace(nir, " ", "-")).otherwise(spaced(F.col("value"), " ")))
+    found = V.fingerprints(V.scanned(rows.withColumn("value", F.explode(forms)), ("iban", "nir")), M.keyed_digest(_KEY, "value"))
+    return found.select("object", "field", "classifier", F.array_join("fingerprints", ",").alias("fingerprints"))
+
+
 def personal_mailboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(spark, sf_dir, "documents").select(F.explode(D.find_emails(F.coalesce("text", F.lit("")))).alias("raw"))
     return found.groupBy(D.personal_mailbox(F.col("raw")).alias("personal"), F.substring_index("raw", "@", -1).alias("domain")).agg(F.count("*").alias("n"))
@@ -145,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         discover_email_card, column_stats, all_classifiers, planted_identifiers, evidence_columns, placeholder_share, nanp_phone_columns, mask_email, mask_card, mask_phone,
-        sample_bottom_k, keyed_fingerprints, personal_mailboxes, client_networks, fold_name_join, glob_filter, eval_precision_recall,
+        sample_bottom_k, keyed_fingerprints, identifier_fingerprints, personal_mailboxes, client_networks, fold_name_join, glob_filter, eval_precision_recall,
     )
 }
 
@@ -184,6 +194,9 @@ ORACLE_SQL = {
     "keyed_fingerprints": f"""WITH {Q.scan_sql(_SAMPLE, _FEW)}, nf AS (SELECT DISTINCT object, field, classifier, CASE WHEN classifier = 'email' THEN lower(trim(raw)) ELSE regexp_replace(raw, '[^0-9]', '', 'g') END AS v
       FROM tok JOIN vals USING (rid) WHERE ok AND NOT ph), fp AS (SELECT DISTINCT object, field, classifier, 'hmac-sha256:' || sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(v)))) AS f FROM nf)
       SELECT object, field, classifier, string_agg(f, ',' ORDER BY f) AS fingerprints FROM (SELECT * FROM fp QUALIFY row_number() OVER (PARTITION BY object, field, classifier ORDER BY f) <= 50) GROUP BY 1, 2, 3""",
+    "identifier_fingerprints": f"""WITH {_PLANT}, nf AS (SELECT DISTINCT object, field, field AS classifier, upper(regexp_extract(value, '(?i)([a-z]{{2}}[0-9]{{20}}|[0-9]{{15}})', 1)) AS v FROM smp WHERE field IN ('iban', 'nir')),
+      fp AS (SELECT object, field, classifier, 'hmac-sha256:' || sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(v)))) AS f FROM nf)
+      SELECT object, field, classifier, string_agg(f, ',' ORDER BY f) AS fingerprints FROM (SELECT * FROM fp QUALIFY row_number() OVER (PARTITION BY object, field, classifier ORDER BY f) <= 50) GROUP BY 1, 2, 3""",
     "placeholder_share": """SELECT count(*) AS n, CAST(sum(CASE WHEN o_orderpriority LIKE '4-%' THEN 1 ELSE 0 END) AS BIGINT) AS placeholders FROM orders""",
     "nanp_phone_columns": f"""SELECT source, count(*) AS sampled, CAST(sum(CASE WHEN len(h) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS matched, CAST(sum(len(h)) AS BIGINT) AS hits
       FROM (SELECT source, regexp_extract_all({_PREFIX_OF.format('t')}, '{D.NANP}') AS h FROM (SELECT source, coalesce(text, '') AS t FROM documents)) GROUP BY source""",

@@ -50,6 +50,31 @@ def mysql_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.mysql_json(lines).select(*_OUT[:5], "statement")
 
 
+_OPERATIONS = (
+    "CONNECT,crm,,0", "CONNECT,crm,,1045", "FAILED_CONNECT,,,1045", "DISCONNECT,,,0", "QUERY,crm,'select \\'a,b\\' from t',0", "QUERY,crm,'insert into t values (1)',0",
+    "QUERY,crm,'drop table t',0", "QUERY,crm,'set x=1',0", "READ,crm,t,", "WRITE,crm,t,", "RENAME,crm,t,", "SHUTDOWN,,,",
+)
+_OPERATION_ACTIONS = ("connect", "auth_failure", "auth_failure", "", "read", "write", "ddl", "", "read", "write", "ddl", "")
+
+
+def mariadb_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a server audit: connections, statements and table accesses; some are no access at all."""
+    line = F.concat_ws(",", F.date_format("ts", "yyyyMMdd HH:mm:ss"), F.lit("db1"), "principal", "host", F.lit("7"), F.lit("9"), pick(F.col("event_id"), _OPERATIONS))
+    return L.mariadb_server_audit(_events(spark, sf_dir).select(line.alias("value"))).select("ts", "principal", "client", "action", "database", "statement")
+
+
+_ZONES = (" UTC", "+02", " -0530", " CEST", "Z", "")
+_CLASSES = ("READ", "WRITE", "DDL", "ROLE", "MISC", "FUNCTION")
+
+
+def pg_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON log lines in several zones: a time in one that is not told by an offset is null."""
+    message = F.concat(F.lit("AUDIT: SESSION,1,1,"), pick(F.col("k"), _CLASSES), F.lit(",X,TABLE,t,select 1,<none>,"), F.col("rows").cast("string"))
+    fields = {"timestamp": F.concat("at", pick(F.col("event_id"), _ZONES)), "user": F.col("principal"), "dbname": F.lit("crm"), "remote_host": F.col("host"), "application_name": F.lit("tool"), "message": message}
+    lines = _events(spark, sf_dir).select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value"))
+    return L.pg_jsonlog(lines).select(*_OUT, "application")
+
+
 def polled_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a poll finds again after the one before: by thread and statement."""
     rows = access_events(spark, sf_dir).select(F.col("principal").alias("thread"), (F.col("event_id") % 600).alias("statement"), "event_id")
@@ -130,7 +155,7 @@ def server_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_framing, pg_audit_lines, pg_failures, mysql_json, polled_history, mongo_audit, mongo_slow, ldap_accesslog, xe_events, firebird_trace, login_lines, redis_log, redis_refusals, full_syncs,
+        csv_framing, pg_audit_lines, pg_json_lines, pg_failures, mariadb_audit, mysql_json, polled_history, mongo_audit, mongo_slow, ldap_accesslog, xe_events, firebird_trace, login_lines, redis_log, redis_refusals, full_syncs,
         registry_values, server_code,
     )
 }
@@ -144,6 +169,10 @@ ORACLE_SQL = {
     "pg_failures": f"""WITH {_EV}, s AS (SELECT *, {pick_sql('k', _STATES)} AS state, k % 4 > 0 AS st, event_id % 5 = 0 AS cx FROM e WHERE event_id % 3 < 2)
       SELECT ts, principal, 's' || CAST(k AS VARCHAR) AS session, state, CASE WHEN NOT st AND state IN ('28P01', '3D000') THEN 'refused' WHEN state = '25P02' AND NOT cx THEN 'refused' WHEN state IN ('42P01', '57014', '25P02') THEN 'quiet' ELSE 'telling' END AS class,
       CASE WHEN event_id % 3 = 0 AND state = '28P01' THEN 'auth_failure' ELSE 'read' END AS action FROM s""",
+    "mariadb_audit": f"""WITH {_EV}, o AS (SELECT *, {pick_sql('event_id', _OPERATION_ACTIONS)} AS done FROM e) SELECT ts, principal, client, done AS action, CASE WHEN event_id % 12 = 2 THEN NULL ELSE 'crm' END AS database,
+      CASE event_id % 12 WHEN 4 THEN 'select \\''a,b\\'' from t' WHEN 5 THEN 'insert into t values (1)' WHEN 6 THEN 'drop table t' WHEN 8 THEN 't' WHEN 9 THEN 't' WHEN 10 THEN 't' END AS statement FROM o WHERE done <> ''""",
+    "pg_json_lines": f"""WITH {_EV} SELECT CASE event_id % 6 WHEN 3 THEN NULL WHEN 1 THEN ts - INTERVAL 2 HOUR WHEN 2 THEN ts + INTERVAL 330 MINUTE ELSE ts END AS ts, principal, client, {pick_sql('k', ('read', 'write', 'ddl', 'dcl', '', ''))} AS action,
+      'crm' AS database, rows, 'tool' AS application FROM e WHERE k % 6 < 4""",
     "mysql_json": f"""WITH {_EV} SELECT ts, principal, client, CASE WHEN event_id % 2 = 1 OR k % 3 = 0 THEN CASE WHEN k % 9 = 0 THEN 'auth_failure' ELSE 'connect' END ELSE {pick_sql('k', ('read', 'write', 'ddl', 'dcl'))} END AS action,
       CASE WHEN event_id % 2 = 0 THEN 'crm' END AS database, CASE WHEN event_id % 2 = 0 THEN 'q' END AS statement FROM e""",
     "polled_history": f"WITH {EVENTS_SQL} SELECT DISTINCT principal AS thread, event_id % 600 AS statement FROM ev WHERE event_id >= 5000 EXCEPT SELECT principal, event_id % 600 FROM ev WHERE event_id < 5000",

@@ -106,7 +106,7 @@ def document_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def key_pattern_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = read(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://|[?#].*$|\\.html$", "").alias("key"))
-    return P.key_patterns(urls, "key", "[/:.]")
+    return P.key_patterns(urls, "key", "/:.")
 
 
 def family_balance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeward.functions.sqlshape import statement_kind
+
 EVENT = ("ts", "principal", "client", "application", "action", "database", "statement", "rows")
-# Classes of pgaudit, command words of key-value stores, actions of login services.
-PGAUDIT = {"READ": "read", "WRITE": "write", "DDL": "ddl", "ROLE": "dcl", "FUNCTION": "read", "MISC": "read"}
+# Classes of pgaudit that are accesses, table operations of a server audit, command words of
+# key-value stores, actions of login services.
+PGAUDIT = {"READ": "read", "WRITE": "write", "DDL": "ddl", "ROLE": "dcl"}
+SERVER_AUDIT = {"CONNECT": "connect", "FAILED_CONNECT": "auth_failure", "READ": "read", "WRITE": "write", "CREATE": "ddl", "ALTER": "ddl", "DROP": "ddl", "RENAME": "ddl"}
 REDIS_WRITE = ("SET", "SETEX", "MSET", "DEL", "UNLINK", "HSET", "LPUSH", "RPUSH", "SADD", "ZADD", "INCR", "EXPIRE", "FLUSHALL", "FLUSHDB", "RENAME")
 LOGIN = {"AUTHENTICATION_SUCCESS": "connect", "AUTHENTICATION_FAILED": "auth_failure", "SERVICE_TICKET_CREATED": "read", "TICKET_GRANTING_TICKET_CREATED": "connect"}
 
@@ -20,6 +24,16 @@ def _event(frame: DataFrame, **columns: Column) -> DataFrame:
     return frame.select(*[columns.get(c, F.lit(None).cast("long" if c == "rows" else "string")).alias(c) for c in EVENT])
 
 
+def log_time(text: Column) -> Column:
+    """A server's log time: UTC, GMT, Z, an offset (+02, -0530), or no zone, which is UTC. Abbreviations of other
+    zones are ambiguous: null."""
+    clock = "^([0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.][0-9]+)?)"
+    zone = F.regexp_extract(text, clock + " ?(UTC|GMT|Z|[+-][0-9]{2}(?::?[0-9]{2})?|)$", 2)
+    offset = F.when(zone.isin("", "UTC", "GMT", "Z"), F.lit("Z")).otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.rpad(F.regexp_replace(F.substr(zone, F.lit(4)), ":", ""), 2, "0")))
+    known = text.rlike(clock + " ?(UTC|GMT|Z|[+-][0-9]{2}(?::?[0-9]{2})?|)$")
+    return F.when(known, F.try_to_timestamp(F.concat(F.regexp_extract(text, clock, 1), offset)))
+
+
 def pg_csvlog(lines: DataFrame, value: str = "value") -> DataFrame:
     """csvlog records (one logical record a row) with pgaudit messages; other records are dropped."""
     names = "log_time string, user_name string, database_name string, process_id string, connection_from string, session_id string, line_num string, command_tag string, session_start string, vxid string, txid string, severity string, state string, message string"
@@ -37,12 +51,13 @@ def pg_jsonlog(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def _pgaudit(parsed: DataFrame, time: Column, application: Column) -> DataFrame:
+    """Records of the classes that are accesses; calls and statements like BEGIN are none."""
     audit = parsed.where(F.col("message").startswith("AUDIT: "))
     fields = "kind string, statement_id string, substatement_id string, class string, command string, object_type string, object_name string, statement string, parameter string, rows string"
-    audit = audit.withColumn("a", F.from_csv(F.expr("substring(message, 8)"), F.lit(fields), {"quote": '"', "escape": '"'}))
+    audit = audit.withColumn("a", F.from_csv(F.expr("substring(message, 8)"), F.lit(fields), {"quote": '"', "escape": '"'})).where(F.col("a.class").isin(*PGAUDIT))
     return _event(
         audit,
-        ts=F.try_to_timestamp(F.regexp_replace(time, " [A-Z]+$", "")),
+        ts=log_time(time),
         principal=F.col("user_name"),
         client=F.regexp_replace(F.col("connection_from"), ":[0-9]+$", ""),
         application=application,
@@ -54,16 +69,16 @@ def _pgaudit(parsed: DataFrame, time: Column, application: Column) -> DataFrame:
 
 
 def mariadb_server_audit(lines: DataFrame, value: str = "value") -> DataFrame:
-    """timestamp,host,user,client,connection,query,operation,database,object,code"""
+    """timestamp,host,user,client,connection,query,operation,database,object,code. A statement counts by its kind;
+    disconnections, operations that are not known and statements of no kind are left out. A connection
+    without an account is a health check."""
     row = F.regexp_extract_all(F.col(value), F.lit("('(?:[^'\\\\]|\\\\.)*'|[^,]*)(?:,|$)"), F.lit(1))
-    parsed = lines.select(row.alias("f"))
     field = lambda i: F.get("f", F.lit(i))
-    op = field(6)
-    action = F.when(op == "CONNECT", "connect").when(op == "FAILED_CONNECT", "auth_failure").when(op.isin("WRITE", "INSERT"), "write").when(op.isin("CREATE", "ALTER", "RENAME", "DROP"), "ddl").otherwise("read")
-    return _event(
-        parsed, ts=F.try_to_timestamp(field(0), F.lit("yyyyMMdd HH:mm:ss")), principal=field(2), client=field(3), action=action, database=field(7),
-        statement=F.regexp_replace(field(8), "^'|'$", ""),
-    )
+    text = F.regexp_replace(field(8), "^'|'$", "")
+    failed = (field(6) == "CONNECT") & (F.coalesce(F.expr("try_cast(f[9] as int)"), F.lit(0)) != 0)
+    kind = F.when(field(6) == "QUERY", F.nullif(statement_kind(text), F.lit("other"))).when(failed, "auth_failure").otherwise(F.nullif(lookup(SERVER_AUDIT, field(6), ""), F.lit("")))
+    parsed = lines.select(row.alias("f")).withColumn("_action", kind).where(F.col("_action").isNotNull() & ~(F.col("_action").isin("connect", "auth_failure") & (field(2) == "")))
+    return _event(parsed, ts=F.try_to_timestamp(field(0), F.lit("yyyyMMdd HH:mm:ss")), principal=field(2), client=field(3), action=F.col("_action"), database=F.nullif(field(7), F.lit("")), statement=F.nullif(text, F.lit("")))
 
 
 def login_audit(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -112,7 +127,7 @@ def pg_failures(lines: DataFrame, value: str = "value") -> DataFrame:
     given = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     login = (F.col("severity") == "FATAL") & F.col("state").startswith("28")
     return parsed.select(
-        F.try_to_timestamp(F.regexp_replace("log_time", " [A-Z]+$", "")).alias("ts"), F.col("user_name").alias("principal"), F.col("session_id").alias("session"), F.col("state"),
+        log_time(F.col("log_time")).alias("ts"), F.col("user_name").alias("principal"), F.col("session_id").alias("session"), F.col("state"),
         failure_class(F.col("state"), given("context"), given("query")).alias("class"), F.when(login, "auth_failure").otherwise("read").alias("action"),
     )
 
@@ -203,8 +218,6 @@ def xe_events(lines: DataFrame, value: str = "value") -> DataFrame:
     at = lambda kind, name: F.nullif(F.xpath_string(x, F.lit(f"/event/{kind}[@name='{name}']/value")), F.lit(""))
     known = lines.where(F.xpath_string(x, F.lit("/event/@name")).isin("sql_batch_completed", "rpc_completed"))
     text = F.coalesce(at("data", "batch_text"), at("data", "statement"))
-    from lakeward.functions.sqlshape import statement_kind
-
     return _event(
         known, ts=F.try_to_timestamp(F.regexp_replace(F.xpath_string(x, F.lit("/event/@timestamp")), "T|Z", " ")), principal=at("action", "username"), client=at("action", "client_hostname"),
         application=at("action", "client_app_name"), action=statement_kind(text), database=at("action", "database_name"), statement=text, rows=at("data", "row_count").cast("long"),
@@ -219,8 +232,6 @@ def firebird_trace(files: DataFrame, value: str = "value") -> DataFrame:
     get = lambda p, i=1: F.nullif(F.regexp_extract("r", p, i), F.lit(""))
     kind = get("^\\S+ \\S+ ([A-Z_]+)")
     who, text = get("\\(ATT_[0-9]+, ([^:,]+):"), get("(?s)\n-{20,}\n(.*?)\n(?:\\^{20,}|\n|[0-9]+ records)")
-    from lakeward.functions.sqlshape import statement_kind
-
     action = F.when(kind == "ATTACH_DATABASE", "connect").when(kind.isin("FAILED", "UNAUTHORIZED"), "auth_failure").when(kind == "EXECUTE_STATEMENT_FINISH", statement_kind(text))
     return _event(
         framed.withColumn("_action", action).where("_action is not null"), ts=F.try_to_timestamp(F.regexp_replace(get("^(\\S+)"), "T", " ")), principal=who, client=get("TCPv[46]:([0-9a-fA-F.:]+?)/"),

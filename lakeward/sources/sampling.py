@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -80,26 +82,30 @@ def flatten(frame: DataFrame, key: str, column: str) -> DataFrame:
 _VALUE_TOKEN = "^(?:[0-9]+|[0-9a-fA-F]{8,}|.*[0-9]{4,}.*|.*@.*|[0-9]+\\..*)$"
 
 
-def key_patterns(keys: DataFrame, key: str, separators: str = "[:/]", literals: int = MOST_LITERALS, rounds: int = ROUNDS) -> DataFrame:
-    """pattern and n: keys with their data segments as `*`.
+def key_patterns(keys: DataFrame, key: str, separators: str = ":/", literals: int = MOST_LITERALS, rounds: int = ROUNDS) -> DataFrame:
+    """pattern and n: keys with their data segments as `*`; separators stay as they are.
 
     Segments that look like data are `*` at once. Then, in at most `rounds` rounds, positions collapse to
     `*`: those with more than `literals` different segments after the same beginning in keys of the same
     length, and those with two or more before the same rest.
     """
-    parts = keys.select(F.transform(F.split(key, separators), lambda s: F.when(s.rlike(_VALUE_TOKEN), F.lit("*")).otherwise(s)).alias("p"))
+    end = f"[{re.escape(separators)}]*$"
+    wild = lambda s: F.concat(F.lit("*"), F.regexp_extract(s, end, 0))  # noqa: E731  a segment keeps the separator that follows it
+    segments = F.split(key, f"(?<=[{re.escape(separators)}])")
+    parts = keys.select(F.transform(segments, lambda s: F.when(F.regexp_replace(s, end, "").rlike(_VALUE_TOKEN), wild(s)).otherwise(s)).alias("p"))
     shapes = settled(parts.groupBy("p").agg(F.count("*").alias("n")))
     position = ["_size", "_i", "_head"]
     for _ in range(rounds):
         places = shapes.select("p", "n", F.size("p").alias("_size"), F.posexplode("p").alias("_i", "_s"))
         places = places.withColumn("_head", F.expr("slice(p, 1, _i)")).withColumn("_rest", F.expr("slice(p, _i + 2, _size)"))
-        literal = places.where("_s <> '*'")
+        literal = places.where(~F.col("_s").startswith("*"))
         wide = literal.groupBy(*position).agg(F.count_distinct("_s").alias("_k")).where(F.col("_k") > literals)
         alike = literal.groupBy(*position, "_rest").agg(F.count("*").alias("_k")).where("_k > 1")
-        decided = settled(wide.select(*position).unionByName(alike.select(*position)).distinct().withColumn("_wild", F.lit("*")))
+        decided = settled(wide.select(*position).unionByName(alike.select(*position)).distinct().withColumn("_wild", F.lit(True)))
         if decided.isEmpty():
             break
-        merged = places.join(decided, position, "left").groupBy("p", "n").agg(F.sort_array(F.collect_list(F.struct("_i", F.coalesce("_wild", "_s").alias("_s")))).alias("_u"))
+        merged = places.join(decided, position, "left").withColumn("_s", F.when(F.col("_wild"), wild(F.col("_s"))).otherwise(F.col("_s")))
+        merged = merged.groupBy("p", "n").agg(F.sort_array(F.collect_list(F.struct("_i", "_s"))).alias("_u"))
         absent = shapes.where("p is null")
         shapes = settled(merged.select(F.col("_u._s").alias("p"), "n").groupBy("p").agg(F.sum("n").cast("long").alias("n")).unionByName(absent))
-    return shapes.select(F.array_join("p", "/").alias("pattern"), "n")
+    return shapes.select(F.array_join("p", "").alias("pattern"), "n")
