@@ -29,11 +29,19 @@ _LETTERS = "(?:\\p{L}[^\\p{L}]*){3}"
 def sampled(frame: DataFrame, keys: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of least key hash (as many as `rows`, and ties), so a sample does not depend on partitioning.
 
-    Only the keys are ranked, a top-k in each task; the rows themselves stay where they are.
+    Only keys are ranked. The table is counted first (from its footers), and keys whose hash is above three times the
+    wanted share are left out before that, so the task that ranks gets some 3 * `rows` keys, however many tasks scan.
     """
     digest = F.md5(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
-    last = frame.select(digest.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
-    return frame if last["n"] < rows else frame.where(digest <= last["h"])
+    hashes = frame.select(digest.alias("h"))
+    least = lambda some: some.orderBy("h").limit(rows).agg(F.max("h").alias("h"), F.count("*").alias("n")).first()
+    total = frame.count()
+    if total < rows:
+        return frame
+    last = least(hashes.where(F.col("h") < f"{min(3 * rows * 16**12 // total, 16**12 - 1):012x}")) if total > 3 * rows else None
+    if last is None or last["n"] < rows:  # few different keys
+        last = least(hashes)
+    return frame.where(digest <= last["h"])
 
 
 def long_form(tables: dict[str, DataFrame], columns: dict[str, list[str]], keys: dict[str, list[str]], rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeward.plans.base import EVENTS_SQL, access_events, pick, pick_sql, read
+from lakeward.session import shared_folder
 from lakeward.sources import logs as L
+from lakeward.sources.framing import csv_records
 
 _STATES = ("42P01", "57014", "28P01", "25P02", "22012", "3D000", "bad")
 _OUT = ("ts", "principal", "client", "action", "database", "rows")
@@ -18,11 +20,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day's records in one text, half of them with a line break and quotes in a field."""
+    """Records in text files, half of them with a line break and quotes in a field, framed in byte ranges."""
     text = F.when(F.col("k") % 2 == 0, F.lit('"select ""a""\nfrom t"')).otherwise(F.lit("plain"))
-    line = F.concat_ws(",", F.col("event_id").cast("string"), text)
-    files = _events(spark, sf_dir).groupBy(F.to_date("ts")).agg(F.array_join(F.collect_list(line), "\n").alias("value"))
-    found = L.records(files, "csv")
+    folder = shared_folder(spark, "csv-log")
+    _events(spark, sf_dir).select(F.concat_ws(",", F.col("event_id").cast("string"), text).alias("value")).write.text(folder)
+    found = csv_records(spark, folder)
     return found.select(F.regexp_extract("record", "^([0-9]+),", 1).cast("long").alias("event_id"), F.length("record").cast("long").alias("length"), "oversized")
 
 

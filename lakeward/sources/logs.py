@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeward.functions.sqlshape import statement_kind
+from lakeward.sources.framing import MOST_BYTES
 
 EVENT = ("ts", "principal", "client", "application", "action", "database", "statement", "rows")
 # Classes of pgaudit that are accesses, table operations of a server audit, command words of
@@ -91,15 +92,15 @@ def login_audit(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-# ---- framing: text files as logical records -----------------------------------------------------
-MOST_BYTES = 1 << 20  # fixed value: a longer record is not parsed
+# ---- framing: whole texts as logical records (files that are read in ranges: sources/framing.py) -------------
 
 
-def records(files: DataFrame, framing: str, value: str = "value") -> DataFrame:
-    """The logical records of text chunks: lines, or CSV records whose quoted fields may hold line breaks; with
-    `oversized`, whether a record is too long to be parsed. Blank records are left out."""
+def records(texts: DataFrame, framing: str, value: str = "value") -> DataFrame:
+    """The logical records of whole texts: lines, or CSV records whose quoted fields may hold line breaks; with
+    `oversized`, whether a record is too long to be parsed. Blank records are left out. A record must not go on in
+    another row."""
     shape = '((?:[^"\\n]++|"[^"]*+")++)' if framing == "csv" else "([^\\n]++)"
-    found = files.select(F.explode(F.regexp_extract_all(F.col(value), F.lit(shape), F.lit(1))).alias("record"))
+    found = texts.select(F.explode(F.regexp_extract_all(F.col(value), F.lit(shape), F.lit(1))).alias("record"))
     return found.where(F.trim("record") != "").withColumn("oversized", F.octet_length("record") > MOST_BYTES)
 
 

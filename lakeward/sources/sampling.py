@@ -82,30 +82,70 @@ def flatten(frame: DataFrame, key: str, column: str) -> DataFrame:
 _VALUE_TOKEN = "^(?:[0-9]+|[0-9a-fA-F]{8,}|.*[0-9]{4,}.*|.*@.*|[0-9]+\\..*)$"
 
 
-def key_patterns(keys: DataFrame, key: str, separators: str = ":/", literals: int = MOST_LITERALS, rounds: int = ROUNDS) -> DataFrame:
-    """pattern and n: keys with their data segments as `*`; separators stay as they are.
+def key_segments(key: Column, separators: str) -> Column:
+    """The segments of a key, each with the separator that follows it; those that look like data are `*`."""
+    end = _end(separators)
+    return F.transform(F.split(key, f"(?<=[{re.escape(separators)}])"), lambda s: F.when(F.regexp_replace(s, end, "").rlike(_VALUE_TOKEN), _wild(s, end)).otherwise(s))
 
-    Segments that look like data are `*` at once. Then, in at most `rounds` rounds, positions collapse to
-    `*`: those with more than `literals` different segments after the same beginning in keys of the same
-    length, and those with two or more before the same rest.
-    """
-    end = f"[{re.escape(separators)}]*$"
-    wild = lambda s: F.concat(F.lit("*"), F.regexp_extract(s, end, 0))  # noqa: E731  a segment keeps the separator that follows it
-    segments = F.split(key, f"(?<=[{re.escape(separators)}])")
-    parts = keys.select(F.transform(segments, lambda s: F.when(F.regexp_replace(s, end, "").rlike(_VALUE_TOKEN), wild(s)).otherwise(s)).alias("p"))
-    shapes = settled(parts.groupBy("p").agg(F.count("*").alias("n")))
-    position = ["_size", "_i", "_head"]
+
+def _end(separators: str) -> str:
+    return f"[{re.escape(separators)}]*$"
+
+
+def _wild(segment: Column, end: str) -> Column:
+    return F.concat(F.lit("*"), F.regexp_extract(segment, end, 0))
+
+
+def collapsed_shapes(shapes: DataFrame, separators: str = ":/", literals: int = MOST_LITERALS, rounds: int = ROUNDS) -> DataFrame:
+    """origin and p for distinct segment arrays `p`: in at most `rounds` rounds, positions collapse to `*`: those with
+    more than `literals` different segments after the same beginning in keys of the same length, and those
+    with two or more before the same rest."""
+    mapped = settled(shapes.select(F.col("p").alias("origin"), "p").distinct())
+    position, end = ["_size", "_i", "_head"], _end(separators)
     for _ in range(rounds):
-        places = shapes.select("p", "n", F.size("p").alias("_size"), F.posexplode("p").alias("_i", "_s"))
+        places = mapped.where("p is not null").select("p").distinct().select("p", F.size("p").alias("_size"), F.posexplode("p").alias("_i", "_s"))
         places = places.withColumn("_head", F.expr("slice(p, 1, _i)")).withColumn("_rest", F.expr("slice(p, _i + 2, _size)"))
         literal = places.where(~F.col("_s").startswith("*"))
         wide = literal.groupBy(*position).agg(F.count_distinct("_s").alias("_k")).where(F.col("_k") > literals)
         alike = literal.groupBy(*position, "_rest").agg(F.count("*").alias("_k")).where("_k > 1")
-        decided = settled(wide.select(*position).unionByName(alike.select(*position)).distinct().withColumn("_wild", F.lit(True)))
+        decided = settled(wide.select(*position).unionByName(alike.select(*position)).distinct().withColumn("_w", F.lit(True)))
         if decided.isEmpty():
             break
-        merged = places.join(decided, position, "left").withColumn("_s", F.when(F.col("_wild"), wild(F.col("_s"))).otherwise(F.col("_s")))
-        merged = merged.groupBy("p", "n").agg(F.sort_array(F.collect_list(F.struct("_i", "_s"))).alias("_u"))
-        absent = shapes.where("p is null")
-        shapes = settled(merged.select(F.col("_u._s").alias("p"), "n").groupBy("p").agg(F.sum("n").cast("long").alias("n")).unionByName(absent))
-    return shapes.select(F.array_join("p", "").alias("pattern"), "n")
+        merged = places.join(decided, position, "left").withColumn("_s", F.when(F.col("_w"), _wild(F.col("_s"), end)).otherwise(F.col("_s")))
+        merged = merged.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("_i", "_s"))).alias("_u")).select("p", F.col("_u._s").alias("_p"))
+        mapped = settled(mapped.join(merged, "p", "left").select("origin", F.coalesce("_p", "p").alias("p")))
+    return mapped
+
+
+def key_patterns(keys: DataFrame, key: str, separators: str = ":/", literals: int = MOST_LITERALS, rounds: int = ROUNDS) -> DataFrame:
+    """pattern and n: keys with their data segments as `*`; separators stay as they are."""
+    shapes = settled(keys.select(key_segments(F.col(key), separators).alias("p")).groupBy("p").agg(F.count("*").alias("n")))
+    mapped = collapsed_shapes(shapes, separators, literals, rounds)
+    named = shapes.join(mapped.withColumnRenamed("p", "_to"), F.col("p").eqNullSafe(F.col("origin")))
+    return named.groupBy(F.array_join("_to", "").alias("pattern")).agg(F.sum("n").cast("long").alias("n"))
+
+
+def key_family(key: Column, kind: Column, separators: str = ":/") -> Column:
+    """Family of a key: its first segment (one mark for all that may be data), its number of segments, its type."""
+    first = F.regexp_extract(key, f"^[^{re.escape(separators)}]*", 0)
+    plain = first.rlike("^[A-Za-z_-]{1,64}$")
+    return F.struct(F.when(plain, first).otherwise(F.lit("#")).alias("first"), F.size(F.split(key, f"[{re.escape(separators)}]")).alias("segments"), kind.alias("kind"))
+
+
+def keyspace_walk(keys: DataFrame, key: str, kind: str, samples: int, separators: str = ":/", seed: int = 0) -> DataFrame:
+    """pattern, n (keys), families, samples: for each learned pattern of a keyspace up to `samples` of its keys, taken in
+    turn from its families, so that no family takes all places.
+
+    A family's sample is a bottom-k by hash in each shape: tasks keep their own least keys before any are moved, so a
+    family is never in one task, and the result does not depend on how the keys are dealt. Null keys are left out.
+    """
+    known = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), key_segments(F.col(key), separators).alias("p"), key_family(F.col(key), F.col(kind), separators).alias("_family"))
+    known = known.withColumn("_hash", F.xxhash64(F.lit(seed), "_key"))
+    mapped = collapsed_shapes(known, separators).withColumnRenamed("p", "_to")
+    counts = known.groupBy("p", "_family").agg(F.count("*").alias("n")).join(mapped, F.col("p") == F.col("origin")).groupBy("_to").agg(F.sum("n").cast("long").alias("n"), F.count_distinct("_family").alias("families"))
+    least = lambda rows, by: rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_hash", "_key"))).where(F.col("_place") <= samples)
+    reservoirs = least(least(known.distinct(), ["p", "_family"]).drop("_place").join(mapped, F.col("p") == F.col("origin")), ["_to", "_family"])
+    turn = Window.partitionBy("_to").orderBy("_place", "_hash", "_key")
+    taken = reservoirs.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= samples)
+    chosen = taken.groupBy("_to").agg(F.transform(F.sort_array(F.collect_list(F.struct("_turn", "_key"))), lambda x: x["_key"]).alias("samples"))
+    return counts.join(chosen, "_to").select(F.array_join("_to", "").alias("pattern"), "n", F.col("families").cast("long").alias("families"), "samples")
