@@ -133,3 +133,17 @@ def phone_region(value: Column) -> Column:
 def national_regions(value: Column) -> Column:
     """The regions in which a national number is written like that."""
     return F.filter(F.array(*[F.when(value.rlike(f"^(?:{p})$"), F.lit(region)) for region, p in NATIONAL.items()]), lambda r: r.isNotNull())
+
+
+#: Regions whose national numbers begin with a trunk zero that is left out behind the country code.
+TRUNK_ZERO = ("FR", "BE", "NL", "GB", "DE", "CH", "AT")
+
+
+def e164(value: Column, region: Column) -> Column:
+    """Country code and national number, digits only: of an international number its own, of a national one that of the
+    region; null where no region is known."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    abroad = F.regexp_replace(F.regexp_replace(value, "[(]0[)]", ""), "^00|[^0-9]", "")
+    codes = F.create_map(*[F.lit(x) for code, (name, _, _) in REGIONS.items() for x in (name, code)])
+    national = F.when(region.isin(*TRUNK_ZERO), F.regexp_replace(digits, "^0", "")).when(region == "US", F.substring(digits, -10, 10)).otherwise(digits)
+    return F.when(value.rlike("^(?:[+]|00)"), abroad).otherwise(F.concat(F.try_element_at(codes, region), national))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeward.operators.audit import dump_sessions
+
 LARGE_ROWS = 10_000
 # Application names of export and dump tools.
 TOOLS = {
@@ -14,6 +16,9 @@ TOOLS = {
     "signature.mongoexport": ("mongoexport",),
     "signature.bcp": ("bcp",),
 }
+# Backup tools of Firebird, and schemas of catalogs.
+BACKUP_TOOLS = ("gbak", "nbackup", "fbsvcmgr")
+CATALOGS = ("pg_catalog", "information_schema", "pg_toast", "mysql", "performance_schema", "sys")
 
 
 def tool_name(application: Column, names: tuple[str, ...]) -> Column:
@@ -59,3 +64,38 @@ def signal_selected(signals: Column, selector: str) -> Column:
     """Whether the signals hold the one that is named, or any of a family (`signature.*`)."""
     family = selector.removesuffix("*")
     return F.exists(signals, lambda s: s.startswith(family)) if family.endswith(".") else F.array_contains(signals, selector)
+
+
+def catalog_relation(name: Column) -> Column:
+    """Whether a relation belongs to a catalog, by its schema or the prefix of its name."""
+    low = F.lower(name)
+    return F.substring_index(low, ".", 1).isin(*CATALOGS) & low.contains(".") | low.startswith("pg_")
+
+
+def session_signals(events: DataFrame) -> DataFrame:
+    """event_id and sorted `signals` of events (session, ts, event_id, action, rows, whole_relation, relations, copy_to, application,
+    statement): the rules of single events, and those that look back over a session.
+
+    A read of whole relations counts where one is none of a catalog. Three different whole relations in a session are
+    a dump; so is a whole read after a consistent snapshot or SHOW CREATE TABLE in its session, or one that asks for
+    no cache. A session's rows are one sort; events without a session are judged alone.
+    """
+    own = F.exists(F.coalesce("relations", F.array().cast("array<string>")), lambda r: ~catalog_relation(r))
+    whole = F.coalesce(F.col("whole_relation"), F.lit(False)) & own
+    marked = events.withColumn("whole_relation", whole)
+    read = F.coalesce(whole & F.col("action").isin("read") & F.col("session").isNotNull(), F.lit(False))
+    reads = marked.where(read).select("event_id", "ts", "session", F.explode(F.filter("relations", lambda r: ~catalog_relation(r))).alias("relation"))
+    dumped = dump_sessions(reads).groupBy("event_id").agg(F.bool_or("dump").alias("_dump"))
+    text = F.upper(F.coalesce("statement", F.lit("")))
+    snapshot = text.rlike("START\\s+TRANSACTION\\s+WITH\\s+CONSISTENT\\s+SNAPSHOT|^\\s*SHOW\\s+CREATE\\s+TABLE")
+    before = Window.partitionBy("session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = marked.withColumn("_snapshot", F.col("session").isNotNull() & F.coalesce(F.max(snapshot).over(before), F.lit(False)))
+    met = seen.join(dumped, "event_id", "left")
+    mysql = F.col("whole_relation") & (F.col("_snapshot") | text.rlike("\\bSQL_NO_CACHE\\b") | tool_name(F.col("application"), TOOLS["signature.mysqldump"]))
+    more = {
+        "signature.pg_dump": F.coalesce("_dump", F.lit(False)) | (F.col("whole_relation") & tool_name(F.col("application"), TOOLS["signature.pg_dump"])),
+        "signature.mysqldump": mysql, "signature.backup_database": tool_name(F.regexp_replace("application", "^.*[/\\\\\\\\]", ""), BACKUP_TOOLS),
+    }
+    found = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in more.items()])
+    signals = F.array_sort(F.array_union(signals_column(), F.filter(found, lambda x: x.isNotNull())))
+    return met.select("event_id", signals.alias("signals"))

@@ -13,7 +13,26 @@ EVENT = ("ts", "principal", "client", "application", "action", "database", "stat
 # key-value stores, actions of login services.
 PGAUDIT = {"READ": "read", "WRITE": "write", "DDL": "ddl", "ROLE": "dcl"}
 SERVER_AUDIT = {"CONNECT": "connect", "FAILED_CONNECT": "auth_failure", "READ": "read", "WRITE": "write", "CREATE": "ddl", "ALTER": "ddl", "DROP": "ddl", "RENAME": "ddl"}
-REDIS_WRITE = ("SET", "SETEX", "MSET", "DEL", "UNLINK", "HSET", "LPUSH", "RPUSH", "SADD", "ZADD", "INCR", "EXPIRE", "FLUSHALL", "FLUSHDB", "RENAME")
+REDIS_WRITE = tuple(
+    "APPEND BITFIELD BITOP BLMOVE BLMPOP BLPOP BRPOP BRPOPLPUSH BZMPOP BZPOPMAX BZPOPMIN COPY DECR DECRBY DEL EXPIRE EXPIREAT FLUSHALL FLUSHDB GEOADD GEORADIUS GEORADIUSBYMEMBER GEOSEARCHSTORE GETDEL GETEX GETSET "
+    "HDEL HEXPIRE HEXPIREAT HINCRBY HINCRBYFLOAT HMSET HPERSIST HPEXPIRE HPEXPIREAT HSET HSETNX INCR INCRBY INCRBYFLOAT LINSERT LMOVE LMPOP LPOP LPUSH LPUSHX LREM LSET LTRIM MIGRATE MOVE MSET MSETNX "
+    "PERSIST PEXPIRE PEXPIREAT PFADD PFMERGE PSETEX RENAME RENAMENX RESTORE RPOP RPOPLPUSH RPUSH RPUSHX SADD SDIFFSTORE SET SETBIT SETEX SETNX SETRANGE SINTERSTORE SMOVE SORT SPOP SREM SUNIONSTORE SWAPDB UNLINK "
+    "XACK XADD XAUTOCLAIM XCLAIM XDEL XGROUP XREADGROUP XSETID XTRIM ZADD ZDIFFSTORE ZINCRBY ZINTERSTORE ZMPOP ZPOPMAX ZPOPMIN ZRANGESTORE ZREM ZREMRANGEBYLEX ZREMRANGEBYRANK ZREMRANGEBYSCORE ZUNIONSTORE "
+    "EVAL EVALSHA FCALL".split()
+)
+#: Commands that neither read nor change data; changes of accounts; changes of the server and its code.
+REDIS_IGNORED = tuple("ASKING AUTH CLIENT COMMAND DISCARD ECHO EXEC HELLO INFO LASTSAVE LATENCY MULTI PING PSUBSCRIBE PUNSUBSCRIBE QUIT READONLY READWRITE RESET ROLE SELECT SLOWLOG SSUBSCRIBE SUBSCRIBE SUNSUBSCRIBE TIME UNSUBSCRIBE UNWATCH WAIT WATCH".split())
+REDIS_DCL, REDIS_DDL = ("ACL",), ("CONFIG", "FUNCTION", "MODULE", "REPLICAOF", "SCRIPT", "SHUTDOWN", "SLAVEOF")
+#: Where the keys of a command are: all arguments, every second one; the first two; behind a number of keys. Others have one key.
+REDIS_ALL_KEYS = tuple("DEL EXISTS MGET PFCOUNT SDIFF SINTER SUNION TOUCH UNLINK".split())
+REDIS_PAIRS, REDIS_TWO_KEYS = ("MSET", "MSETNX"), tuple("COPY LMOVE RENAME RENAMENX RPOPLPUSH SMOVE GEOSEARCHSTORE ZRANGESTORE".split())
+REDIS_COUNTED = tuple("LMPOP SINTERCARD ZDIFF ZINTER ZINTERCARD ZMPOP ZUNION".split())
+REDIS_NO_KEY = tuple("DBSIZE EVAL EVALSHA FCALL FLUSHALL FLUSHDB KEYS RANDOMKEY SCAN SWAPDB SYNC PSYNC BGSAVE SAVE MONITOR MIGRATE SORT XREAD XREADGROUP GEORADIUS GEORADIUSBYMEMBER ACL CONFIG FUNCTION MODULE SCRIPT DEBUG DUMP-ALL".split())
+#: Action ids of SQL Server Audit.
+MSSQL_ACTIONS = {
+    **dict.fromkeys(("SL", "RC", "EX", "DBCC", "BA", "BAL"), "read"), **dict.fromkeys(("IN", "UP", "DL", "SN"), "write"), **dict.fromkeys(("LGIF", "DBAF"), "auth_failure"), **dict.fromkeys(("LGIS", "DBAS"), "connect"),
+    **dict.fromkeys(("CR", "AL", "DR", "TRUN", "RN"), "ddl"), **dict.fromkeys(("G", "GWG", "D", "DWC", "R", "RWG", "RWC", "APRL", "DPRL", "PWC", "PWR"), "dcl"),
+}
 LOGIN = {"AUTHENTICATION_SUCCESS": "connect", "AUTHENTICATION_FAILED": "auth_failure", "SERVICE_TICKET_CREATED": "read", "TICKET_GRANTING_TICKET_CREATED": "connect"}
 
 
@@ -22,7 +41,9 @@ def lookup(table: dict[str, str], key: Column, default: str) -> Column:
 
 
 def _event(frame: DataFrame, **columns: Column) -> DataFrame:
-    return frame.select(*[columns.get(c, F.lit(None).cast("long" if c == "rows" else "string")).alias(c) for c in EVENT])
+    """The columns of EVENT, null where none is given, and those that are given besides."""
+    more = [c.alias(n) for n, c in columns.items() if n not in EVENT]
+    return frame.select(*[columns.get(c, F.lit(None).cast("long" if c == "rows" else "string")).alias(c) for c in EVENT], *more)
 
 
 def log_time(text: Column) -> Column:
@@ -202,14 +223,15 @@ LDAP_ACTIONS = {"search": "read", "compare": "read", "add": "write", "delete": "
 def ldap_accesslog(entries: DataFrame) -> DataFrame:
     """Entries of an access log (reqType, reqStart, reqAuthzID, reqDN, reqResult, reqEntries, reqFilter): binds and
     what LDAP_ACTIONS names; the name of an entry keeps its domain and units. `statement` marks a search that
-    selects nothing."""
+    selects nothing (a search of one entry alone, reqScope `base`, is none)."""
     bind = F.col("reqType") == "bind"
     known = entries.where(bind | F.col("reqType").isin(*LDAP_ACTIONS))
     failed = F.col("reqResult") != 0
     dn = F.array_join(F.transform(F.split("reqDN", ","), lambda p: F.when(F.lower(F.trim(p)).rlike("^(?:dc|ou|o)="), p).otherwise(F.concat(F.substring_index(p, "=", 1), F.lit("=*")))), ",")
     action = F.when(bind, F.when(failed, "auth_failure").otherwise("connect")).otherwise(lookup(LDAP_ACTIONS, F.col("reqType"), "read"))
     ts = F.try_to_timestamp(F.regexp_replace("reqStart", "^([0-9]{4})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2}).*$", "$1-$2-$3 $4:$5:$6"))
-    wide = F.coalesce(unselective_filter(F.col("reqFilter")), F.lit(False)) & (F.col("reqType") == "search")
+    scope = F.lower("reqScope") if "reqScope" in entries.columns else F.lit("sub")
+    wide = F.coalesce(unselective_filter(F.col("reqFilter")), F.lit(False)) & (F.col("reqType") == "search") & (F.coalesce(scope, F.lit("sub")) != "base")
     return _event(known, ts=ts, principal=F.when(bind, F.col("reqDN")).otherwise(F.col("reqAuthzID")), action=action, database=dn, statement=F.when(wide, F.lit("shape.bulk_search")), rows=F.col("reqEntries").cast("long"))
 
 
@@ -272,19 +294,60 @@ def registry_values(files: DataFrame, value: str = "value") -> DataFrame:
     return named.where("value is not null")
 
 
+def redis_action(command: Column) -> Column:
+    """Action of a command word in upper case; null for what is no access, `read` for what is not known."""
+    return F.when(command.isin(*REDIS_IGNORED), F.lit(None).cast("string")).when(command.isin(*REDIS_WRITE), "write").when(command.isin(*REDIS_DCL), "dcl").when(command.isin(*REDIS_DDL), "ddl").otherwise("read")
+
+
+def redis_keys(args: Column) -> Column:
+    """The keys among a command's arguments, by where its kind has them; `*` if it names none or does not fit."""
+    command, rest, star = F.upper(F.get(args, F.lit(0))), F.slice(args, F.lit(2), F.greatest(F.size(args) - 1, F.lit(0))), F.array(F.lit("*"))
+    number = F.coalesce(F.get(args, F.lit(1)).try_cast("int"), F.lit(-1))
+    counted = F.when(number.between(1, F.size(args) - 2), F.slice(args, F.lit(3), F.greatest(number, F.lit(0)))).otherwise(star)
+    found = (
+        F.when(command.isin(*REDIS_NO_KEY) | (F.size(args) < 2), star).when(command.isin(*REDIS_ALL_KEYS), rest).when(command.isin(*REDIS_PAIRS), F.filter(rest, lambda _, i: i % 2 == 0))
+        .when(command.isin(*REDIS_TWO_KEYS), F.slice(args, 2, 2)).when(command.isin(*REDIS_COUNTED), counted).otherwise(F.slice(args, 2, 1))
+    )
+    return F.array_distinct(found)
+
+
 def redis_commands(entries: DataFrame) -> DataFrame:
-    """Command-log entries (ts, client, args array) with action, keys and enumeration signals."""
+    """Command-log entries (ts, client, args array) with action, keys and enumeration signals; entries that are no access
+    are left out."""
     command = F.upper(F.get("args", F.lit(0)))
     count = F.filter(F.transform("args", lambda a, i: F.when(F.upper(a) == "COUNT", F.get("args", i + 1))), lambda a: a.isNotNull())
     scan = (command == "KEYS") | ((command == "SCAN") & (F.coalesce(F.expr("try_cast(c[0] as int)"), F.lit(10)) > 1000))
     rows = entries.withColumn("c", F.when(F.size(count) > 0, count).otherwise(F.array(F.lit("10"))))
-    return rows.select(
-        "ts", "client", command.alias("command"), F.when(command.isin(*REDIS_WRITE), "write").otherwise("read").alias("action"),
-        F.when(command.isin("KEYS", "SCAN"), F.array(F.lit("*"))).otherwise(F.slice("args", 2, 1)).alias("objects"),
+    return rows.where(redis_action(command).isNotNull()).select(
+        "ts", "client", command.alias("command"), redis_action(command).alias("action"), redis_keys(F.col("args")).alias("objects"),
         F.filter(F.array(F.when(scan, F.lit("shape.keyspace_enumeration"))), lambda s: s.isNotNull()).alias("signals"),
     )
 
 
+def sqlserver_audit(rows: DataFrame) -> DataFrame:
+    """Rows of the audit function (event_time, sequence_number, action_id, succeeded, session_id, server_principal_name, client_ip,
+    application_name, database_name, schema_name, object_name, statement, affected_rows) as events with `objects`.
+
+    Parts of a statement are joined in order; rows of one statement, one for each object that its permission check
+    covered, are one event. System helper objects and actions that are no access are left out; a refused access of
+    any kind stays what it was. Texts of logins and of account changes are not kept.
+    """
+    # Sequence numbers of one record's parts rise from 1; all other columns are alike.
+    record = ["event_time", "action_id", "session_id", "server_principal_name", "client_ip", "application_name", "database_name", "schema_name", "object_name", "affected_rows"]
+    action = lookup(MSSQL_ACTIONS, F.upper(F.trim("action_id")), "")
+    known = rows.withColumn("action_id", F.upper(F.trim("action_id"))).where((action != "") & ~F.coalesce((F.lower("schema_name") == "sys") & F.lower("object_name").rlike("[$]$|^syspalvalues$"), F.lit(False)))
+    whole = reassemble(known.withColumn("statement", F.coalesce("statement", F.lit(""))), record, "sequence_number", "statement")
+    name = F.when(F.col("object_name") != "", F.lower(F.concat_ws(".", F.nullif("schema_name", F.lit("")), "object_name")))
+    event = [c for c in record if c not in ("schema_name", "object_name")] + ["statement"]
+    grouped = whole.withColumn("_name", name).groupBy(*event).agg(F.sort_array(F.collect_set("_name")).alias("objects"))
+    done = lookup(MSSQL_ACTIONS, F.col("action_id"), "")
+    return _event(
+        grouped, ts=F.col("event_time").cast("timestamp"), principal=F.nullif("server_principal_name", F.lit("")), client=F.nullif("client_ip", F.lit("")), application=F.nullif("application_name", F.lit("")),
+        action=done, database=F.nullif("database_name", F.lit("")), statement=F.when(done.isin("read", "write"), F.nullif("statement", F.lit(""))), rows=F.col("affected_rows").cast("long"),
+        objects=F.col("objects"),
+    )
+
+
 def reassemble(parts: DataFrame, key: list[str], number: str, text: str) -> DataFrame:
     """Statements that were logged in numbered parts, joined in order."""
     return parts.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number, text))), lambda p: p[text]), "").alias(text))
