@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeward.llm.common import materialize, released, table
+from lakeward.llm.common import materialize, released, table, text_slices
 
 ARITY = 3
 #: Levels of a block's tree: a block has at most 3 ** 7 = 2,187 leaves.
@@ -74,18 +74,23 @@ def read_path(text: str) -> Path:
     return [tuple(x.split(",")) for x in text.split(";")[:-1]]
 
 
-def record_digest(values: Sequence[Column]) -> Column:
+def record_digest(values: Sequence[bytes | None]) -> str:
     """Lowercase hex SHA-256 of the values, each `-` if null, else its number of bytes, `:` and the value."""
-    parts = [F.when(v.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(v.cast("string")).cast("string"), F.lit(":"), v.cast("string"))) for v in values]
-    return F.sha2(F.concat(*parts), 256)
+    digest = hashlib.sha256()
+    for value in values:
+        digest.update(b"-" if value is None else b"%d:" % len(value))
+        if value is not None:
+            digest.update(value)
+    return digest.hexdigest()
 
 
 def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The rows with `pos`, from 0 in each `tree` by the order. Rows that are alike in it are interchangeable.
+    """The rows with `pos`, from 0 in each `tree` by the order. Rows that are alike in it are interchangeable; the last
+    column of the order sorts only rows that are alike in the others.
 
-    The driver gets one row of counts from each partition.
+    The driver gets one row of counts from each partition (and Spark's own sample for the ranges).
     """
-    ordered = materialize(rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order))
+    ordered = materialize(rows.repartitionByRange("tree", *(order[:-1] or order)).sortWithinPartitions("tree", *order))
     counted = pa.schema([("part", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("n", pa.int64()), ("several", pa.bool_())])
 
     def runs(batch: pa.RecordBatch) -> list[tuple[str | None, int]]:
@@ -107,7 +112,7 @@ def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
     begin: dict[int, int] = {}
     before: tuple[str | None, int] | None = None  # the tree that the partitions so far end with, and its rows
-    counts = ordered.select("tree").mapInArrow(count, "part long, first string, last string, n long, several boolean").collect()
+    counts = ordered.select("tree").mapInArrow(released(count), "part long, first string, last string, n long, several boolean").collect()
     for r in sorted(counts, key=lambda r: r.part):
         begin[r.part] = before[1] if before and before[0] == r.first else 0
         before = (r.last, r.n if r.several else begin[r.part] + r.n)
@@ -125,7 +130,7 @@ def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
                 current, at = tree, at + n
             yield batch.append_column("pos", pa.array(positions, pa.int64()))
 
-    return ordered.mapInArrow(number, StructType(list(ordered.schema)).add("pos", "long"))
+    return ordered.mapInArrow(released(number), StructType(list(ordered.schema)).add("pos", "long"))
 
 
 def by_block(rows: DataFrame, visit: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
@@ -234,21 +239,31 @@ def merkle_manifest(leaves: DataFrame, arity: int = ARITY, levels: int = LEVELS,
     return forest.unwind(tops, of_leaf, columns + ", proof string" if proofs else columns)
 
 
-def document_leaves(docs: DataFrame, tampered: Column, altered_text: Column) -> DataFrame:
-    """tree (source), id, digest, and as probe the digest of the row with another text where `tampered` holds.
+def document_leaves(docs: DataFrame, tampered: Column, alter: Callable[[bytes], bytes] = lambda text: text.replace(b"\n", b"")) -> DataFrame:
+    """tree (source), id, digest, and as probe the digest of the row with an altered text where `tampered` holds.
 
-    Nulls of any column count as such; all other columns of the table are left out of the digest.
+    Nulls of any column count as such (a null text is not altered); all other columns of the table are left out of the
+    digest. Repeated rows stay; an empty table gives no rows.
     """
-    fields = [F.col(name) for name in FIELDS]
-    digest = record_digest(fields)
-    probe = F.when(tampered, record_digest([*fields[:-1], altered_text])).otherwise(digest)
-    return materialize(docs.select(F.col("source").alias("tree"), F.col("doc_id").cast("long").alias("id"), digest.alias("digest"), probe.alias("probe")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = [[None if v is None else v.encode() for v in batch.column(i).to_pylist()] for i in range(3, 3 + len(FIELDS) - 1)]
+            marked, digests, probes = batch.column(2).to_pylist(), [], []
+            for low, texts in text_slices(batch.column(2 + len(FIELDS))):
+                for row, text in enumerate(texts, low):
+                    values, text = [f[row] for f in fields], None if text is None else text.encode()
+                    digests.append(record_digest([*values, text]))
+                    probes.append(record_digest([*values, alter(text)]) if marked[row] and text is not None else digests[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(probes, pa.string())], names=["tree", "id", "digest", "probe"])
+
+    rows = docs.select(F.col("source").cast("string"), F.col("doc_id").cast("long"), F.coalesce(tampered, F.lit(False)), *[F.col(name).cast("string").alias(f"f_{name}") for name in FIELDS])
+    return materialize(rows.mapInArrow(released(run), "tree string, id long, digest string, probe string"))
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
-    made = merkle_manifest(document_leaves(docs, tampered, F.translate("text", "\n", "")))
+    made = merkle_manifest(document_leaves(docs, F.crc32(F.col("doc_id").cast("string")) % 2 == 0))
     return made.withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
