@@ -56,7 +56,7 @@ def counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = access_events(spark, sf_dir).select("event_id", "action", "rows", F.array(fold_name(F.col("object"))).alias("objects"), F.array().cast("array<string>").alias("signals"))
-    sensitive = sample_findings(spark, sf_dir).where("target = 'target_0' and matched >= 197").select("object").distinct()
+    sensitive = sample_findings(spark, sf_dir).groupBy("object").agg(F.sum("matched").alias("matched"), F.sum("sampled").alias("sampled")).where("2 * matched >= sampled").select("object")
     return A.reportable(events, sensitive, 20_000).select("event_id", "action", "rows")
 
 
@@ -130,7 +130,7 @@ ORACLE_SQL = {
       l AS (SELECT *, lag(counter) OVER (PARTITION BY object ORDER BY d) AS b, min(d) OVER () AS f FROM p)
       SELECT strftime(d, '%Y-%m-%d') AS day, object, counter, CASE WHEN b IS NULL AND d = f THEN NULL WHEN b IS NULL OR counter < b THEN counter ELSE counter - b END AS delta FROM l""",
     "report_filter": f"""WITH {EVENTS_SQL}, {FINDINGS_SQL} SELECT event_id, action, rows FROM ev WHERE action NOT IN ('read', 'write') OR rows >= 20000
-      OR lower(object) IN (SELECT object FROM fi WHERE target = 'target_0' AND matched >= 197)""",
+      OR lower(object) IN (SELECT object FROM fi GROUP BY 1 HAVING 2 * sum(matched) >= sum(sampled))""",
     "signals_by_volume": f"""WITH {EVENTS_SQL}, s AS (SELECT action, unnest(list_filter([
       CASE WHEN rows > 10000 THEN 'volume.large_result' END, CASE WHEN action = 'read' AND k % 3 = 0 AND k % 11 <> 0 THEN 'shape.full_table_read' END,
       CASE WHEN k % 3 = 0 AND k % 11 = 0 THEN 'shape.full_table_copy' END, CASE WHEN k % 11 = 0 THEN 'signature.copy_to_file' END,

@@ -25,7 +25,7 @@ def _text(c: str, n: int, word: str):
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").where("n_nationkey < 7").select(_text("n_nationkey", 7, "agent_").alias("agent"), F.lower("n_name").alias("agent_name"))
+    return read(spark, sf_dir, "nation").groupBy(_text("n_nationkey", 7, "agent_").alias("agent")).agg(F.lower(F.min_by("n_name", "n_nationkey")).alias("agent_name"))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def anomalous_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incident_event_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("incident_id"))
+    chosen = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("incident_id"))
     return L.linked_events(events(spark, sf_dir), links(spark, sf_dir), chosen).select("event_id", "action", "ts")
 
 
@@ -162,7 +162,7 @@ def finding_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.pending_order(events(spark, sf_dir).where("agent <> 'agent_5' or event_id % 100 = 0"), "agent", ["ts", "event_id"]).select("event_id", "agent", F.col("place").cast("long").alias("place"))
+    return C.pending_order(events(spark, sf_dir), "agent", ["ts", "event_id"]).select("event_id", "agent", F.col("place").cast("long").alias("place"))
 
 
 def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +242,7 @@ QUERIES = {
 }
 
 # ---- SQL ----------------------------------------------------------------------------------------
-_A = "ag AS (SELECT 'agent_' || CAST(n_nationkey % 7 AS VARCHAR) AS agent, lower(n_name) AS agent_name FROM nation WHERE n_nationkey < 7)"
+_A = "ag AS (SELECT 'agent_' || CAST(n_nationkey % 7 AS VARCHAR) AS agent, lower(arg_min(n_name, n_nationkey)) AS agent_name FROM nation GROUP BY 1)"
 _T = f"""tg AS (SELECT 'agent_' || CAST(n_nationkey % 7 AS VARCHAR) AS agent, 'target_' || CAST(n_nationkey % 5 AS VARCHAR) AS target, {pick_sql('n_nationkey', _ENGINES)} AS engine,
   {pick_sql('n_nationkey', _MODES)} AS name_case FROM nation)"""
 _F = f"""{FINDINGS_SQL}, f AS (SELECT *, 'agent_' || CAST(finding_id % 9 AS VARCHAR) AS agent, CASE WHEN finding_id % 3 > 0 THEN 'postgresql' END AS engine,
@@ -264,7 +264,7 @@ ORACLE_SQL = {
     "event_list": f"""WITH {_E}, {_A} SELECT event_id, agent_name, principal, ts FROM e JOIN ag USING (agent) WHERE rows > 15000 AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-25 00:00:00'
       ORDER BY ts DESC, event_id DESC LIMIT 500""",
     "anomalous_events": f"WITH {_E} SELECT event_id FROM e WHERE rows > 15000 AND anomaly AND target = 'target_1'",
-    "incident_event_list": f"WITH {_E}, {_L} SELECT event_id, action, ts FROM e WHERE event_id IN (SELECT event_id FROM lk WHERE incident_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 = 3)) ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "incident_event_list": f"WITH {_E}, {_L} SELECT event_id, action, ts FROM e WHERE event_id IN (SELECT event_id FROM lk WHERE incident_id IN (SELECT s_suppkey FROM supplier)) ORDER BY ts DESC, event_id DESC LIMIT 50",
     "rows_since_false_positive": f"""WITH {_E}, {_L}, s AS (SELECT s_suppkey AS incident_id, {pick_sql('s_suppkey', L.STATUSES)} AS status, make_timestamp(694224000000000 + s_suppkey * 864000000000) AS marked_at FROM supplier)
       SELECT incident_id, status, CASE WHEN status = 'false_positive' THEN coalesce((SELECT CAST(sum(e.rows) AS BIGINT) FROM lk JOIN e ON e.event_id = lk.event_id WHERE lk.incident_id = s.incident_id AND lk.linked_at >= s.marked_at), 0) ELSE 0 END AS rows_since FROM s""",
     "principal_list": f"""WITH {_E}, {_A}, b AS (SELECT agent, target, principal, max(rows) AS max_score, count(*) AS events, count(*) FILTER (anomaly) AS anomalies FROM e GROUP BY 1, 2, 3)
@@ -294,7 +294,7 @@ ORACLE_SQL = {
       SELECT m.finding_id, m.policy, CASE WHEN excepted THEN 'excepted' WHEN status IN ('open', 'acknowledged') THEN CASE WHEN finding_seen IS NULL OR finding_seen < last_seen THEN 'rematched' ELSE 'unchanged' END
         WHEN status = 'resolved' AND NOT (resolved_at IS NULL OR last_seen > resolved_at OR matched > coalesce(finding_matched, 0)) THEN 'suppressed' ELSE 'created' END AS outcome
       FROM m LEFT JOIN st ON st.policy = m.policy AND st.finding_id = m.finding_id""",
-    "pending_chunk": f"""WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY ts, event_id) AS t FROM e WHERE agent <> 'agent_5' OR event_id % 100 = 0)
+    "pending_chunk": f"""WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY ts, event_id) AS t FROM e)
       SELECT event_id, agent, row_number() OVER (ORDER BY t, ts, event_id) AS place FROM r WHERE t <= 50 QUALIFY place <= 200""",
     "name_cases": f"""WITH {_E}, {_T} SELECT engine, name_case, CASE WHEN {_CASED} THEN (CASE WHEN k % 2 = 0 THEN lower(object) ELSE object END) LIKE 'Obj\\_1%' ESCAPE '\\' ELSE lower(object) LIKE 'obj\\_1%' ESCAPE '\\' END AS matches, count(*) AS n
       FROM e JOIN tg USING (agent, target) GROUP BY ALL""",

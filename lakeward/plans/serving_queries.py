@@ -65,7 +65,7 @@ def settings_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     named = F.concat_ws("/", "o_orderpriority", (F.col("o_custkey") % 40).cast("string"))
-    months = read(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.collect_set(F.when(F.col("o_orderkey") % 9 < F.month("o_orderdate"), named)).alias("now"))
+    months = read(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.collect_set(named).alias("now"))
     lists = months.withColumn("old", F.lag("now").over(Window.orderBy("month"))).where("old is not null")  # some hundred months
     removed = F.size(F.array_except("old", "now"))
     added = F.size(F.array_except("now", "old"))
@@ -96,7 +96,9 @@ def incident_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 9).select(F.col("id").alias("attempt"), V.backoff_seconds(F.col("id")).cast("long").alias("seconds"))
+    """Lines of orders as deliveries: the number of a line is that of the attempt."""
+    attempts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("long").alias("attempt")).agg(F.count("*").alias("deliveries"))
+    return attempts.withColumn("seconds", V.backoff_seconds(F.col("attempt")).cast("long"))
 
 
 def document_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +182,7 @@ ORACLE_SQL = {
       SELECT (SELECT count(*) FROM ev) AS events, (SELECT '{{' || string_agg('"' || action || '":' || CAST(n AS VARCHAR), ',' ORDER BY action) || '}}' FROM k) AS kinds, (SELECT count(DISTINCT principal) FROM ev) AS sources""",
     "coverage_gap": """SELECT o_orderkey AS job_id, CAST(o_orderkey % 3 + o_orderkey % 5 AS DOUBLE) AS skipped, CAST(greatest(o_orderkey % 50 + 10 - o_orderkey % 40 - o_orderkey % 3 - o_orderkey % 5, 0) AS DOUBLE) AS unreached,
       (o_orderkey % 50 + 10 - o_orderkey % 40 - o_orderkey % 3 - o_orderkey % 5 > 0 OR o_orderkey % 3 + o_orderkey % 5 > 0) AS warn FROM orders""",
-    "settings_shrink": """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, list(DISTINCT CASE WHEN o_orderkey % 9 < month(o_orderdate) THEN o_orderpriority || '/' || CAST(o_custkey % 40 AS VARCHAR) END)
-        FILTER (o_orderkey % 9 < month(o_orderdate)) AS n FROM orders GROUP BY 1), l AS (SELECT month, coalesce(n, []) AS n, lag(coalesce(n, [])) OVER (ORDER BY month) AS o FROM m),
+    "settings_shrink": """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, list(DISTINCT o_orderpriority || '/' || CAST(o_custkey % 40 AS VARCHAR)) AS n FROM orders GROUP BY 1), l AS (SELECT month, coalesce(n, []) AS n, lag(coalesce(n, [])) OVER (ORDER BY month) AS o FROM m),
       c AS (SELECT month, len(o) AS os, len(n) AS ns, len(list_filter(o, lambda x: NOT list_contains(n, x))) AS removed, len(list_filter(n, lambda x: NOT list_contains(o, x))) AS added FROM l WHERE o IS NOT NULL)
       SELECT month, removed, added, CASE WHEN os > 0 AND ns = 0 THEN 'emptied' WHEN removed >= 20 OR (2 * removed >= os AND os > 0) THEN 'shrunk' ELSE 'none' END AS warning FROM c""",
     "silent_agents": f"WITH {EVENTS_SQL} SELECT principal, max(ts) AS last_ts, floor(epoch(TIMESTAMP '2024-01-30 12:00:00')) - floor(epoch(max(ts))) > 86400 AS silent FROM ev GROUP BY 1",
@@ -189,7 +190,7 @@ ORACLE_SQL = {
     "findings_stamp": f"WITH {FINDINGS_SQL} SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', CAST(finding_id AS VARCHAR), target, object, classifier)), 1, 8) AS BIGINT)) AS BIGINT) AS stamp FROM fi",
     "incident_events": f"""WITH {EVENTS_SQL}, l AS (SELECT l_orderkey % 10000 AS event_id, list_slice(list_sort(list_distinct(list(l_suppkey))), 1, 10) AS ids FROM lineitem GROUP BY 1)
       SELECT event_id, action, array_to_string(ids, ',') AS ids FROM ev JOIN l USING (event_id)""",
-    "retry_schedule": "SELECT i AS attempt, CAST(least(3600, 60 * pow(2, i - 1)) AS BIGINT) AS seconds FROM range(1, 9) t(i)",
+    "retry_schedule": "SELECT CAST(l_linenumber AS BIGINT) AS attempt, count(*) AS deliveries, CAST(least(3600, 60 * pow(2, l_linenumber - 1)) AS BIGINT) AS seconds FROM lineitem GROUP BY l_linenumber",
     "document_flatten": """SELECT path, count(*) AS n, min(v) AS least FROM (SELECT 'props.k' AS path, regexp_extract(props, '([0-9]+)', 1) AS v FROM events
       UNION ALL SELECT 'tags[].t', event_type FROM events UNION ALL SELECT 'by.*', CAST(user_id AS VARCHAR) FROM events) GROUP BY 1""",
     "family_balance": "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) SELECT doc_id, source FROM r ORDER BY r, source LIMIT 200",
