@@ -160,6 +160,17 @@ def find_aws_ids(text: Column) -> Column:
     return extract(text, AWS_ID)
 
 
+#: A secret key is forty characters of base64 that stand alone, with letters of both cases and digits.
+AWS_SECRET, AWS_CONTEXT = "(?:^|[^A-Za-z0-9/+=])([A-Za-z0-9/+]{40})(?:[^A-Za-z0-9/+=]|$)", "(?i:secret|aws)|\\bA(?:KIA|SIA)[A-Z0-9]{16}\\b"
+
+
+def find_aws_secrets(text: Column) -> Column:
+    """Secret keys in texts that speak of them or hold a key id."""
+    found = F.regexp_extract_all(F.regexp_replace(text, "([^A-Za-z0-9/+=])", "$1$1"), F.lit(AWS_SECRET), F.lit(1))  # neighbours may share what stands between
+    mixed = lambda v: v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]")
+    return F.when(text.rlike(AWS_CONTEXT), F.filter(found, mixed)).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
 def find_password_hashes(text: Column) -> Column:
     return extract(text, PASSWORD_HASH)
 

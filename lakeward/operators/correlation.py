@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeward.functions.names import fold_name, glob_match
+from lakeward.operators.policies import EVENT_FIELDS, FINDING_FIELDS, checked_conditions
 from lakeward.operators.signals import signal_selected, union_signals
 
 # Weights of classifiers, cap of sensitivity, baseline parameters, incident bounds.
@@ -61,8 +62,9 @@ def merge_objects(derived: DataFrame, manual: DataFrame, keys: list[str], most:
 
 # Policies: documents are few and are compiled on the driver into predicates; no join is needed.
 def policy_predicate(conditions: dict) -> Column:
-    """All of the conditions; a list is met by any of its items. Unknown keys are refused."""
+    """All of the conditions; a list is met by any of its items. A document that is not right is refused."""
     met = F.lit(True)
+    checked_conditions(conditions, {**FINDING_FIELDS, **EVENT_FIELDS})
     for key, value in conditions.items():
         if key in ("actions", "classifiers", "engines", "targets", "principals"):
             column = {"actions": "action", "engines": "engine", "targets": "target", "principals": "principal"}.get(key)
@@ -85,8 +87,6 @@ def policy_predicate(conditions: dict) -> Column:
             low, high = value
             hour = F.hour("ts")
             met &= hour.between(low, high) if low <= high else (hour >= low) | (hour <= high)
-        else:
-            raise ValueError(f"unknown condition {key!r}")
     return F.coalesce(met, F.lit(False))
 
 

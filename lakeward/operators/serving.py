@@ -47,6 +47,15 @@ def hourly_digest(rows: DataFrame, channel: str) -> DataFrame:
     return rows.groupBy(channel, F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
 
 
+def suppression_digests(rows: DataFrame, channel: str, now: Column, days: int = 2) -> DataFrame:
+    """channel, window_start, window_end, n, key: what was held back in each closed clock hour of the last days. The hour
+    of `now` is still open; the key is the same each time, so a digest is queued once."""
+    recent = rows.where((F.col("ts") >= now - F.expr(f"INTERVAL {days} DAYS")) & (F.col("ts") < F.date_trunc("hour", now)) & F.col(channel).isNotNull())
+    closed = hourly_digest(recent, channel).withColumnRenamed("hour", "window_start")
+    key = F.concat(F.lit("digest:"), channel, F.lit("|"), F.date_format("window_start", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return closed.select(channel, "window_start", (F.col("window_start") + F.expr("INTERVAL 1 HOUR")).alias("window_end"), "n", key.alias("key"))
+
+
 def event_digest(rows: DataFrame, kind: str, source: str) -> DataFrame:
     """One row: events, distinct sources, and the count of each kind as JSON with sorted keys."""
     kinds = rows.groupBy(kind).agg(F.count("*").alias("n"))

@@ -49,18 +49,21 @@ def dropped_batch_alerts(reports: DataFrame, source: str, counter: str) -> DataF
     return grown.groupBy(source, F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("delta").cast("long").alias("dropped"))
 
 
-_VALUE = re.compile(r"^(?:\d+|[0-9a-f]{8,}|.*\d{4,}.*|.*@.*)$", re.I)
-_PERSON_LIKE = re.compile(r"^(?:export|archive|backup|client|user|customer|dossier)[_-].*[_-].*$", re.I)
+_VALUE = "(?i)^(?:[0-9]+|[0-9a-f]{8,}|.*[0-9]{4,}.*|.*@.*)$"
+_PERSON_LIKE = "(?i)^(?:export|archive|backup|client|user|customer|dossier)[_-].*[_-].*$"
 
 
-def normalize_identifier(name: str, separator: str = ".") -> str:
-    """A dotted name with its segments that carry data as `*`. For the distinct names of a catalog."""
-    return separator.join("*" if _VALUE.match(s) or _PERSON_LIKE.match(s) else s for s in name.split(separator))
+def normalize_identifier(name: Column, separator: str = ".") -> Column:
+    """A name of segments with those that carry data as `*`."""
+    segments = F.split(name, f"[{re.escape(separator)}]", -1)
+    return F.array_join(F.transform(segments, lambda s: F.when(s.rlike(_VALUE) | s.rlike(_PERSON_LIKE), F.lit("*")).otherwise(s)), separator)
 
 
-def normalize_dn(dn: str) -> str:
-    """An LDAP name with the values of its leaf attributes as `*`; domain components stay."""
-    return ",".join(p if p.strip().lower().startswith(("dc=", "ou=", "o=")) else p.split("=", 1)[0] + "=*" for p in dn.split(","))
+def normalize_dn(dn: Column) -> Column:
+    """An LDAP name with the values of its leaf attributes as `*`; domain components and units stay. A comma behind a
+    backslash belongs to its value."""
+    parts = F.split(dn, "(?<!\\\\),", -1)
+    return F.array_join(F.transform(parts, lambda p: F.when(F.lower(F.trim(p)).rlike("^(?:dc|ou|o)="), p).otherwise(F.concat(F.substring_index(p, "=", 1), F.lit("=*")))), ",")
 
 
 def learned_pattern(key: Column, patterns: list[str], separators: str = ":/") -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakeward.plans.base import EVENTS_SQL, access_events, pick, pick_sql, read
 from lakeward.session import shared_folder
 from lakeward.sources import logs as L
-from lakeward.sources.framing import csv_records
+from lakeward.sources.framing import csv_records, header_records
 
 _STATES = ("42P01", "57014", "28P01", "25P02", "22012", "3D000", "bad")
 _OUT = ("ts", "principal", "client", "action", "database", "rows")
@@ -119,8 +119,10 @@ def firebird_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule, end = F.lit("\n" + "-" * 79 + "\n"), F.lit("\n" + "^" * 79 + "\n")
     head = F.concat(F.replace("at", F.lit(" "), F.lit("T")), F.lit(".0000 (123:0x7f) "), pick(F.col("event_id"), ("EXECUTE_STATEMENT_FINISH", "ATTACH_DATABASE", "DETACH_DATABASE")), F.lit("\n\t/db/crm.fdb (ATT_12, U"), "principal", F.lit(":NONE, UTF8, TCPv4:"), "host", F.lit("/5000)\n"))
     body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\nStatement 5:"), rule, F.lit("select *\nfrom t"), end, F.col("rows").cast("string"), F.lit(" records fetched\n"))).otherwise(F.lit(""))
-    files = _events(spark, sf_dir).groupBy(F.to_date("ts")).agg(F.array_join(F.collect_list(F.concat(head, body)), "\n").alias("value"))
-    return L.firebird_trace(files).select(*_OUT, "statement")
+    folder = shared_folder(spark, "trace")
+    _events(spark, sf_dir).select(F.concat(head, body).alias("value")).write.text(folder)
+    records = header_records(spark, folder, f"^{L.TRACE_HEADER}$").withColumnRenamed("record", "value")
+    return L.firebird_trace(records).select(*_OUT, "statement")
 
 
 def login_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

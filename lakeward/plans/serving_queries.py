@@ -49,6 +49,12 @@ def hourly_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.hourly_digest(access_events(spark, sf_dir), "target")
 
 
+def suppression_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed logins as what was held back, seen from the middle of the last full day of events."""
+    failed = access_events(spark, sf_dir).where("action = 'auth_failure'")
+    return V.suppression_digests(failed, "target", F.to_timestamp(F.lit("2024-01-29 12:30:00")))
+
+
 def event_digest_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.event_digest(access_events(spark, sf_dir), "action", "principal")
 
@@ -156,7 +162,7 @@ def invalid_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fair_listing, summary_rank, latest_per_target, severity_sort_topk, newest_events, active_counts, hourly_digest, event_digest_map, coverage_gap, settings_shrink,
+        fair_listing, summary_rank, latest_per_target, severity_sort_topk, newest_events, active_counts, hourly_digest, suppression_digests, event_digest_map, coverage_gap, settings_shrink,
         silent_agents, status_metrics, findings_stamp, incident_events, retry_schedule, document_flatten, key_pattern_templates, family_balance, object_selection,
         sql_shapes, statement_kinds, hourly_budgets, dropped_batches, invalid_findings,
     )
@@ -178,6 +184,8 @@ ORACLE_SQL = {
     "newest_events": f"WITH {EVENTS_SQL} SELECT event_id, ts, principal FROM ev WHERE action = 'read' ORDER BY ts DESC, event_id DESC LIMIT 500",
     "active_counts": f"WITH {_INC} SELECT s.severity, count(ic.incident_id) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) AS severity) s LEFT JOIN ic ON ic.severity = s.severity AND ic.status IN ('open', 'acknowledged') GROUP BY 1",
     "hourly_digest": f"WITH {EVENTS_SQL} SELECT target, date_trunc('hour', ts) AS hour, count(*) AS n FROM ev GROUP BY 1, 2",
+    "suppression_digests": f"""WITH {EVENTS_SQL} SELECT target, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS n, 'digest:' || target || '|' || strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ') AS key
+      FROM ev WHERE action = 'auth_failure' AND ts >= TIMESTAMP '2024-01-27 12:30:00' AND ts < TIMESTAMP '2024-01-29 12:00:00' GROUP BY ALL""",
     "event_digest_map": f"""WITH {EVENTS_SQL}, k AS (SELECT action, count(*) AS n FROM ev GROUP BY 1)
       SELECT (SELECT count(*) FROM ev) AS events, (SELECT '{{' || string_agg('"' || action || '":' || CAST(n AS VARCHAR), ',' ORDER BY action) || '}}' FROM k) AS kinds, (SELECT count(DISTINCT principal) FROM ev) AS sources""",
     "coverage_gap": """SELECT o_orderkey AS job_id, CAST(o_orderkey % 3 + o_orderkey % 5 AS DOUBLE) AS skipped, CAST(greatest(o_orderkey % 50 + 10 - o_orderkey % 40 - o_orderkey % 3 - o_orderkey % 5, 0) AS DOUBLE) AS unreached,

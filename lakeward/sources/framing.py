@@ -113,6 +113,45 @@ def csv_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return both.where(F.trim("record") != "").select("file", "range", "place", "record", (F.col("bytes") > MOST_BYTES).alias("oversized"))
 
 
+def header_records(spark: SparkSession, paths: str | list[str], header: str) -> DataFrame:
+    """file, range, place, record: records that begin with a line of the form `header` and go on to the next such line, over
+    ranges too. Lines before a file's first header are left out."""
+    lines = range_lines(spark, paths).select("file", "range", "line", F.col("line").rlike(header).alias("begins"))
+    ranges = lines.groupBy("file", "range").agg(F.bool_or("begins").alias("begins"))
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    owners = settled(ranges.select("file", "range", F.last(F.when(F.col("begins"), F.col("range")), ignorenulls=True).over(before).alias("owner")))
+    pieces = settled(lines.join(owners, ["file", "range"]).select("file", "range", "line", "begins", "owner").mapInArrow(_headed, _RECORD))
+    parts = F.array_sort(F.collect_list(F.struct("range", "record")))
+    # The last record of a range may go on in later ones; all its pieces have one owner.
+    stitched = pieces.where("owner is not null").groupBy("file", "owner").agg(F.min_by("place", "range").alias("place"), F.array_join(F.transform(parts, lambda p: p["record"]), "\n").alias("record"))
+    return pieces.where("owner is null").select("file", "range", "place", "record").unionByName(stitched.select("file", F.col("owner").alias("range"), "place", "record"))
+
+
+def _headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of ranges: the lines before the first header belong to the owner's last record, the last record to this range."""
+    current, owner, place, held = None, None, 0, []
+
+    def closed(last: bool) -> list[tuple]:
+        if not held or owner is None and place == 0:  # nothing, or what stands before a file's first header
+            return []
+        text = "\n".join(held)
+        whose = owner if place == 0 else current[1] if last else None
+        return [(*current, max(place - 1, 0), text, whose, len(text.encode()))]
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for file, start, line, begins, whose in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, start) != current:
+                rows += closed(last=True)
+                current, owner, place, held = (file, start), whose, 0, []
+            if begins:
+                rows += closed(last=False)
+                place, held = place + 1, []
+            held.append(line)
+        yield _batch(rows)
+    yield _batch(closed(last=True))
+
+
 def line_records(spark: SparkSession, paths: str | list[str], keep_empty: bool = False) -> DataFrame:
     """file, range, record, oversized: one record a line; with `keep_empty` blank lines too."""
     lines = range_lines(spark, paths).select("file", "range", F.regexp_replace("line", "\r$", "").alias("record"))

@@ -247,10 +247,14 @@ def xe_events(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+#: The line that a record of a trace begins with: time, process and event.
+TRACE_HEADER = "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+ \\([0-9]+:[0-9a-fx]+\\) [A-Z_]+"
+
+
 def firebird_trace(files: DataFrame, value: str = "value") -> DataFrame:
-    """Records of a text trace: a header line (time, process, event) and the lines up to the next one. Of a finished
+    """Records of a text trace, one or more in a row: a header line and the lines up to the next one. Of a finished
     statement the account, the address, its text and the fetched records are kept."""
-    header = "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+ \\([0-9]+:[0-9a-fx]+\\) [A-Z_]+"
+    header = TRACE_HEADER
     framed = files.select(F.explode(F.split(F.regexp_replace(F.col(value), f"(?m)^({header})$", "\u0001$1"), "\u0001")).alias("r")).where(F.col("r").rlike(f"^{header}"))
     get = lambda p, i=1: F.nullif(F.regexp_extract("r", p, i), F.lit(""))
     kind = get("^\\S+ \\S+ ([A-Z_]+)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +36,31 @@ def sample_rows(frame: DataFrame, key: str, limit: int, seed: int = 0) -> DataFr
     return frame.orderBy(F.xxhash64(F.lit(seed), key), key).limit(limit)
 
 
+def key_range_sample(frame: DataFrame, key: str, limit: int, seed: int = 0) -> DataFrame:
+    """About `limit` rows or more from ranges of a whole-number key: from a seeded start, with a wrap at the greatest key.
+
+    The ranges are as wide as the sampled share of all keys, and reach the scan as filters on the key, so row groups
+    outside of them are not read. A range of sparse keys may hold fewer rows; then it is doubled. A small table is
+    taken whole.
+    """
+    known = frame.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n")).first()  # from footers, where they have them
+    percent = sample_percent(known.n, limit)
+    if percent is None or known.low is None:
+        return frame
+    width = known.high - known.low + 1
+    start = known.low + int(hashlib.md5(f"range/{seed}".encode()).hexdigest()[:15], 16) * width // 16**15
+    span = max(1, math.ceil(width * percent / 100))
+    while True:
+        end = start + span  # exclusive
+        if span >= width:
+            return frame.where(F.col(key).isNotNull())
+        wrapped = end - known.high - 1
+        some = frame.where((F.col(key) >= start) & (F.col(key) < end) if wrapped <= 0 else (F.col(key) >= start) | (F.col(key) < known.low + wrapped))
+        if some.count() >= min(limit, known.n):
+            return some
+        span *= 2
+
+
 def rotate(objects: DataFrame, name: str, seed: int) -> DataFrame:
     """Objects in an order that depends on the seed, so that a scan cut short covers others next time."""
     return objects.withColumn("place", F.md5(F.concat_ws("/", F.lit(str(seed)), name))).orderBy("place", name)

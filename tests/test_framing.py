@@ -47,3 +47,23 @@ def test_open_quotes_blank_lines_and_long_records(spark, tmp_path):
     assert got == {("a", 'x,"never ', False), ("c", '"' + "y" * 8, True), ("c", "short\r", False)}
     assert sorted(r.record for r in framing.line_records(spark, str(tmp_path / "c")).select("record").collect())[1] == "short"
     assert framing.line_records(spark, str(tmp_path / "b"), keep_empty=True).count() == 3
+
+
+@pytest.mark.parametrize("size", ["60b", "64m"])
+def test_records_behind_headers(spark, tmp_path, size):
+    rng = random.Random(9)
+    texts = []
+    for f in range(2):
+        records = [f"== {f}-{i}" + "".join(f"\nbody {i} {k}" * rng.choice([1, 1, 9]) for k in range(rng.randrange(4))) for i in range(40)]
+        texts.append(records)
+        (tmp_path / f"t{f}").write_text(("lost\nlines\n" if f else "") + "\n".join(records) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = framing.header_records(spark, str(tmp_path), "^== ").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    for f, records in enumerate(texts):
+        assert [r for *_, r in sorted((r.range, r.place, r.record) for r in got if r.file.endswith(f"t{f}"))] == records
