@@ -346,8 +346,11 @@ def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int) -> li
         rest = rest[den * np.minimum(size[rest], size[i]) >= num * np.maximum(size[rest], size[i])]
         if not len(rest):
             continue
-        if len(rest) > _SMALL:
-            rest = rest[close_in_block(prints[i : i + 1], prints[rest], radius)[1]]
+        # The radius holds for groups of any size; few prints are compared one by one.
+        few = len(rest) <= _SMALL
+        rest = rest[close_pairs(np.repeat(prints[i : i + 1], len(rest)), prints[rest], radius) if few else close_in_block(prints[i : i + 1], prints[rest], radius)[1]]
+        if not len(rest):
+            continue
         for low in range(0, len(rest), 1024):
             some = rest[low : low + 1024]
             values = np.concatenate([sets[j] for j in some])

@@ -263,3 +263,39 @@ def test_samples_of_repeated_ids_and_contradictory_labels(spark):
     assert 50 < len(part) < 160 and len({(r.doc_id, r.text) for r in part}) == len(part)
     known = frame(spark, rows).withColumn("lang", F.when(F.col("doc_id") == 1, "aa").otherwise("bb"))
     assert language.fit_filters(known, 100).languages == ["aa", "bb"]
+
+
+def test_links_do_not_depend_on_the_size_of_a_group():
+    """A pair is judged alike alone and among many others, on either side of the radius."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(60)]
+    near = np.sort(np.concatenate((sets[0][:-10], rng.integers(0, 1 << 63, 10, dtype=np.uint64))))
+    prints = simhash.set_prints(np.cumsum([0, *map(len, sets)]), np.concatenate([*sets, near]))
+    for apart in (0, simhash.STAGE_RADIUS, simhash.STAGE_RADIUS + 1):
+        moved = prints.copy()
+        moved[-1] = moved[0] ^ np.uint64((1 << apart) - 1)
+        alone = simhash.similar_links(moved[[0, -1]], [sets[0], near], simhash.STAGE_RADIUS)
+        among = simhash.similar_links(moved, [*sets, near], simhash.STAGE_RADIUS)
+        assert bool(alone) == ((0, 60) in among) == (apart <= simhash.STAGE_RADIUS)
+
+
+def test_stored_sketches_recover_small_edits(spark):
+    """Two changed paragraphs are recovered from the stored sketches alone, without the digests."""
+    from lakeward.llm import sketches
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and len(r.text.split()) > 60]
+    rng = random.Random(8)
+
+    def edited(text):
+        words = text.split(" ")
+        for at in (rng.randrange(len(words)), rng.randrange(len(words))):
+            words[at] += "x"
+        return " ".join(words)
+
+    rows = spark.createDataFrame([(i, t, edited(t)) for i, t in enumerate(texts)], "i int, a string, b string")
+    digests = rows.select("i", *[sketches.paragraph_digests(F.col(c)).alias(c) for c in "ab"])
+    peeled = sketches.peel(sketches.subtract(sketches.build_sketch(F.col("a")), sketches.build_sketch(F.col("b"))))
+    found = digests.select(F.array_sort(F.concat(F.array_except("a", "b"), F.array_except("b", "a"))).alias("true"), F.array_sort(peeled).alias("got")).collect()
+    recovered = [r for r in found if r.got is not None]
+    assert all(list(r.got) == list(r.true) for r in recovered) and len(recovered) >= 0.9 * len(found) and len(found) > 50
+    print(len(recovered) / len(found))
