@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeward.functions import phones as P
+from lakeward.functions.addresses import address_strength
 from lakeward.functions.dates import parse_date, plain_text
 from lakeward.functions.evidence import BORN_MEDIAN, BORN_RECENT, BORN_SPREAD, ENTITIES, GIVEN, NAME_SHARE, PARTICLES, RECENT_YEAR, SURNAMES, TITLES
 
 GIVEN_SHARE, ENTITY_SHARE = 0.25, 0.2
+#: Shares of values that are addresses, and of strong ones where weak ones count; and strong values in running texts.
+ADDRESS_SHARE, MIXED_SHARE, MIXED_STRONG, TEXT_COUNT, TEXT_SHARE = 0.5, 0.8, 0.25, 3, 0.1
 _NAME_WORD = "^\\p{Lu}[\\p{L}'’.-]*$"
 
 
@@ -104,3 +107,13 @@ def regional_phones(numbers: DataFrame) -> DataFrame:
     fits = F.coalesce(P.phone_region(F.col("raw")) == F.col("region"), F.array_contains(P.national_regions(F.col("raw")), F.col("region")))
     second = F.when(F.col("region").isNull(), first).when(fits, F.least(first + 1, F.lit(P.STRONG))).when(first > P.WEAK, first - 1)
     return met.select("object", "field", "raw", "region", second.alias("grade"), P.e164(F.col("raw"), F.col("region")).alias("e164"))
+
+
+def address_columns(values: DataFrame) -> DataFrame:
+    """object, field, n, strong, weak, postal_address: columns half of whose values are addresses beyond doubt, or nearly all of
+    whose values are at least likely ones, or in which some texts hold one."""
+    graded = values.where("value is not null and trim(value) <> ''").select("object", "field", address_strength(F.col("value")).alias("s"))
+    stats = graded.groupBy("object", "field").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("s") == "strong", F.lit(False))).alias("strong"), F.count_if(F.coalesce(F.col("s") == "weak", F.lit(False))).alias("weak"))
+    strong, n = F.col("strong"), F.col("n")
+    mixed = (strong + F.col("weak") >= MIXED_SHARE * n) & (strong >= MIXED_STRONG * n)
+    return stats.withColumn("postal_address", (strong >= ADDRESS_SHARE * n) | mixed | ((strong >= TEXT_COUNT) & (strong >= TEXT_SHARE * n)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeward.functions import addresses as W
 from lakeward.functions.evidence import ENTITIES, GIVEN, SURNAMES
 from lakeward.operators import evidence as E
 from lakeward.operators import heavy as H
@@ -47,6 +48,17 @@ def phone_region_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.regional_phones(numbers).groupBy("object", "field", "region", "grade").agg(F.count("*").alias("n"), F.count_distinct("e164").alias("numbers"))
 
 
+_ADDRESSES = ("12 rue de la Paix", "Hauptstraße 5", "75001 Paris", "PO Box 77", "no address", "221b Baker Street")
+
+
+def address_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made from customers beside their own columns, and the texts of documents."""
+    k = F.col("c_custkey")
+    made = _values(read(spark, sf_dir, "customer"), "customer", {"address": pick(k, _ADDRESSES), "town": F.lit("75001 Paris"), "name": F.col("c_name")})
+    texts = _values(read(spark, sf_dir, "documents"), "documents", {"text": F.col("text")})
+    return E.address_columns(made.unionByName(texts))
+
+
 def heavy_failed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     failures = access_events(spark, sf_dir).where("action = 'auth_failure'").withColumn("one", F.lit(1))
     return H.heavy_groups(failures, "target", "principal", "one", 20_000)
@@ -96,7 +108,7 @@ def redis_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.redis_commands(entries).select(F.col("ts").alias("event_id"), "command", "action", F.array_join("objects", ",").alias("objects"), F.array_join("signals", ",").alias("signals"))
 
 
-QUERIES = {f.__name__: f for f in (birth_date_columns, name_columns, phone_region_columns, heavy_failed_groups, distinct_values, session_signals, sqlserver_audit_rows, redis_access)}
+QUERIES = {f.__name__: f for f in (birth_date_columns, name_columns, address_columns, phone_region_columns, heavy_failed_groups, distinct_values, session_signals, sqlserver_audit_rows, redis_access)}
 
 # ---- SQL ----------------------------------------------------------------------------------------
 _WHOLE = "k % 3 = 0 AND k % 9 <> 0"
@@ -110,6 +122,11 @@ ORACLE_SQL = {
       SELECT 'orders' AS object, field, n, dated, low, middle, high, coalesce(2 * dated >= n AND middle <= 2002 AND high - low >= 10 AND recent <= 0.15 * dated AND latest <= 2026 AND other > 0, false) AS birth_date FROM q""",
     "name_columns": """WITH n AS (SELECT count(*) AS n FROM customer) SELECT 'customer' AS object, field, n, CASE WHEN field = 'person' THEN n ELSE 0 END AS named, CASE WHEN field = 'person' THEN n ELSE 0 END AS given,
       CASE WHEN field = 'place' THEN n ELSE 0 END AS entities, field = 'person' AS person_name FROM n CROSS JOIN (VALUES ('person'), ('place'), ('name'), ('segment')) f(field)""",
+    "address_columns": f"""WITH v AS (SELECT 'customer' AS object, unnest(['address', 'town', 'name']) AS field, unnest([{pick_sql('c_custkey', _ADDRESSES)}, '75001 Paris', c_name]) AS value FROM customer
+      UNION ALL SELECT 'documents', 'text', text FROM documents),
+      g AS (SELECT object, field, {" OR ".join(f"regexp_matches(value, '{p.replace(chr(39), chr(39) * 2)}')" for p in W.STRONG)} AS strong, regexp_matches(value, '{W.WEAK}') AS weak FROM v WHERE trim(value, chr(32)) <> ''),
+      s AS (SELECT object, field, count(*) AS n, count(*) FILTER (strong) AS strong, count(*) FILTER (weak AND NOT strong) AS weak FROM g GROUP BY 1, 2)
+      SELECT *, strong >= 0.5 * n OR (strong + weak >= 0.8 * n AND strong >= 0.25 * n) OR (strong >= 3 AND strong >= 0.1 * n) AS postal_address FROM s""",
     "phone_region_columns": f"""WITH {_PLANT}, p AS (SELECT regexp_replace(value, '[^0-9]', '', 'g') AS d, starts_with(value, 'call') AS abroad FROM smp WHERE field = 'phone')
       SELECT 'orders' AS object, 'phone' AS field, 'FR' AS region, 3 AS grade, count(*) AS n, count(DISTINCT CASE WHEN abroad THEN d ELSE '33' || substr(d, 2) END) AS numbers FROM p""",
     "heavy_failed_groups": f"WITH {EVENTS_SQL} SELECT target, principal, count(*) AS n, CAST(0 AS BIGINT) AS error FROM ev WHERE action = 'auth_failure' GROUP BY 1, 2",

@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,7 +65,7 @@ def walk(document: object, shape: Shape) -> Iterator[tuple[str, str, int, str |
                 waiting.append(iter([(path + INDEX, depth + 1, v) for v in value[:ELEMENTS]]))
             else:
                 named = []
-                for key, v in value.items():
+                for key, v in islice(value.items(), visits):
                     yield "key", path, depth, key, None
                     step = shape.step(path, depth, key)
                     named.append((f"{path}{_SEPARATOR}{step}" if path else step, depth + 1, v))

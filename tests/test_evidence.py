@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lakeward.functions import addresses as W
 from lakeward.functions import dates as D
 from lakeward.functions import phones as P
 from lakeward.operators import evidence as E
@@ -73,3 +74,19 @@ def test_phone_regions(spark):
 def test_e164(spark, value, region, number):
     row = spark.createDataFrame([(value, region)], "v string, r string")
     assert row.select(P.e164(F.col("v"), F.col("r"))).first()[0] == number
+
+
+def test_addresses(spark):
+    strong = [
+        "221b Baker Street, London", "12 rue de la Paix", "12 bis, avenue Victor Hugo 75001 Paris", "Hauptstraße 5", "Unter-den-Linden-Allee 7a", "Calle Mayor 12", "Via Roma, 3", "PO Box 1234", "P.O. Box 12", "Postfach 33", "1600 Pennsylvania Ave NW",
+        "BP 12", "ship to 10 Downing Street please", "Dorpsstraat 12", "rua das Flores n° 5",
+    ]
+    weak, none = ["75001 Paris", "10115 Berlin", "SW1A 2AA London", "1012 AB Amsterdam"], ["", "Street", "12 apples", "the way to go", "room 12", "75001", "version 3 of the test", "12345 items", None, "best 5", "A1 road"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(strong + weak + none)], "i int, t string")
+    got = [r.s for r in rows.select("i", W.address_strength(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == ["strong"] * len(strong) + ["weak"] * len(weak) + [None] * len(none)
+
+
+def test_address_columns(spark):
+    data = {"home": ["12 rue de la Paix"] * 3 + ["x"] * 2, "mixed": ["12 rue de la Paix"] * 2 + ["75001 Paris"] * 5, "towns": ["75001 Paris"] * 5, "notes": ["sent to 10 Downing Street"] * 3 + ["a"] * 20, "few": ["10 Downing Street"] * 2 + ["a"] * 9}
+    assert {r.field: r.postal_address for r in E.address_columns(columns(spark, data)).collect()} == {"home": True, "mixed": True, "towns": False, "notes": True, "few": False}
