@@ -27,6 +27,23 @@ def finding_errors() -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
 
 
+def batch_errors(findings: DataFrame, jobs: DataFrame, targets: DataFrame) -> DataFrame:
+    """batch, item, pointer, keyword: what the items of batches (batch, item, job, agent, target, engine, classifier, matched, sampled)
+    have against their job (job, job_target, sample_rows, job_classifiers: null for all) and the targets that the agent has
+    reported (agent, target, known_engine). A job that is not known and a target that was not reported are errors of
+    their own; a batch without errors has no rows."""
+    met = findings.join(jobs, "job", "left").join(targets, ["agent", "target"], "left")
+    known, allowed = F.col("job_target").isNotNull(), F.col("job_classifiers")
+    checks = {
+        "job_id": (~known, "not_found"), "target_id": (F.col("known_engine").isNull(), "not_found"), "target_id ": (known & (F.col("target") != F.col("job_target")), "const"),
+        "location/engine": (~F.col("known_engine").eqNullSafe(F.col("engine")) & F.col("known_engine").isNotNull(), "const"), "matched": (F.col("matched") > F.col("sampled"), "maximum"), "sampled": (known & (F.col("sampled") > F.col("sample_rows")), "maximum"),
+        "classifier": (~F.col("classifier").isin(*WEIGHTS) | (allowed.isNotNull() & ~F.array_contains(allowed, F.col("classifier"))), "enum"),
+    }
+    at = lambda name: F.lit("/job_id") if name == "job_id" else F.concat(F.lit("/findings/"), F.col("item").cast("string"), F.lit("/" + name.strip()))
+    found = F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.struct(at(name).alias("pointer"), F.lit(keyword).alias("keyword"))) for name, (bad, keyword) in checks.items()])
+    return met.select("batch", "item", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("e")).select("batch", "item", "e.pointer", "e.keyword")
+
+
 def event_errors() -> Column:
     checks = {"action": ~F.col("action").isin(*ACTIONS), "rows": F.col("rows") < 0, "aggregated_count": ~F.col("aggregated_count").between(1, MAX_EVENTS)}
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
@@ -43,6 +60,22 @@ def hourly_budget(rows: DataFrame, keys: list[str], order: list[str], most: int)
     return rows.withColumn("sent", place <= most)
 
 
+LEASE_SECONDS, MOST_CLAIMED, MOST_ATTEMPTS = 60, 50, 8
+
+
+def claimed_deliveries(deliveries: DataFrame, now: Column, most: int = MOST_CLAIMED) -> DataFrame:
+    """The deliveries (id, status, next_attempt_at, lease_until, attempts) that are due, or whose sender has let its lease run
+    out, the longest waiting first and at most `most`; as they are once claimed: sending, with one attempt more and a new lease."""
+    due = (F.col("status") == "pending") & (F.col("next_attempt_at") <= now) | (F.col("status") == "sending") & (F.col("lease_until") < now)
+    claimed = deliveries.where(due).orderBy("next_attempt_at", "id").limit(most)
+    return claimed.withColumns({"status": F.lit("sending"), "attempts": F.col("attempts") + 1, "lease_until": now + F.expr(f"INTERVAL {LEASE_SECONDS} SECONDS")})
+
+
+def delivery_outcome(ok: Column, code: Column, retryable: Column, attempts: Column, most: int = MOST_ATTEMPTS) -> Column:
+    """`delivered`, `skipped` (the channel is off), `retry`, or `failed` for good."""
+    return F.when(ok, "delivered").when(code == "channel_disabled", "skipped").when(retryable & (attempts < most), "retry").otherwise("failed")
+
+
 def dropped_batch_alerts(reports: DataFrame, source: str, counter: str) -> DataFrame:
     """One alert for a source and hour in which its counter of dropped batches grew."""
     grown = counter_delta(reports, [source], "ts", counter, F.lit(None).cast("timestamp")).where("delta > 0")

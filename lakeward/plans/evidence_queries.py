@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.functions import addresses as W
+from lakeward.functions import addresses
 from lakeward.functions.evidence import ENTITIES, GIVEN, SURNAMES
 from lakeward.operators import evidence as E
 from lakeward.operators import heavy as H
 from lakeward.operators import signals as S
-from lakeward.plans.base import EVENTS_SQL, access_events, pick, pick_sql, read
+from lakeward.operators import validation as W
+from lakeward.operators.correlation import WEIGHTS
+from lakeward.plans.base import EVENTS_SQL, FINDINGS_SQL, access_events, pick, pick_sql, read, sample_findings
 from lakeward.plans.discovery_queries import _PLANT, _planted
 from lakeward.sources import logs as L
 
@@ -108,12 +110,45 @@ def redis_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.redis_commands(entries).select(F.col("ts").alias("event_id"), "command", "action", F.array_join("objects", ",").alias("objects"), F.array_join("signals", ",").alias("signals"))
 
 
-QUERIES = {f.__name__: f for f in (birth_date_columns, name_columns, address_columns, phone_region_columns, heavy_failed_groups, distinct_values, session_signals, sqlserver_audit_rows, redis_access)}
+def finding_batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as items of batches of a hundred: each batch is of a job, and some items are wrong."""
+    key = F.col("finding_id")
+    items = sample_findings(spark, sf_dir).select(
+        F.floor(key / 100).cast("long").alias("batch"), (key % 100).alias("item"), F.floor(key / 100).cast("long").alias("job"), (key % 3).alias("agent"), "target", F.when(key % 50 == 0, "redis").otherwise("mysql").alias("engine"),
+        F.when(key % 41 == 0, "shoe_size").otherwise(F.col("classifier")).alias("classifier"), (F.col("matched") + 40).alias("matched"), "sampled",
+    )
+    jobs = items.select("job").distinct().where("job % 7 <> 3").select("job", F.concat(F.lit("target_"), (F.col("job") % 5).cast("string")).alias("job_target"), F.when(F.col("job") % 2 == 0, 150).otherwise(500).alias("sample_rows"), F.when(F.col("job") % 3 == 0, F.array(F.lit("email"), F.lit("phone"))).alias("job_classifiers"))
+    targets = items.select("agent", "target").distinct().where("not (agent = 1 and target = 'target_4')").withColumn("known_engine", F.lit("mysql"))
+    return W.batch_errors(items, jobs, targets)
+
+
+def due_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as deliveries: which are claimed at some time, and what becomes of them."""
+    k, now = F.col("o_orderkey"), F.to_timestamp(F.lit("1996-01-01 00:00:00"))
+    rows = read(spark, sf_dir, "orders").select(
+        k.alias("id"), pick(k, ("pending", "sending", "delivered")).alias("status"), F.col("o_orderdate").cast("timestamp").alias("next_attempt_at"), (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 90 SECONDS")).alias("lease_until"), (k % 9).alias("attempts"),
+    )
+    claimed = W.claimed_deliveries(rows, now, 500)
+    outcome = W.delivery_outcome(F.col("id") % 5 == 0, F.when(F.col("id") % 7 == 0, "channel_disabled"), F.col("id") % 2 == 0, F.col("attempts"))
+    return claimed.select("id", "status", "attempts", "lease_until", outcome.alias("outcome"))
+
+
+QUERIES = {f.__name__: f for f in (finding_batch_errors, due_deliveries, birth_date_columns, name_columns, address_columns, phone_region_columns, heavy_failed_groups, distinct_values, session_signals, sqlserver_audit_rows, redis_access)}
 
 # ---- SQL ----------------------------------------------------------------------------------------
 _WHOLE = "k % 3 = 0 AND k % 9 <> 0"
 
 ORACLE_SQL = {
+    "finding_batch_errors": f"""WITH {FINDINGS_SQL}, i AS (SELECT finding_id // 100 AS batch, finding_id % 100 AS item, finding_id % 3 AS agent, target, CASE WHEN finding_id % 50 = 0 THEN 'redis' ELSE 'mysql' END AS engine,
+        CASE WHEN finding_id % 41 = 0 THEN 'shoe_size' ELSE classifier END AS classifier, matched + 40 AS matched, sampled FROM fi),
+      m AS (SELECT *, batch % 7 <> 3 AS known, NOT (agent = 1 AND target = 'target_4') AS reported, '/findings/' || CAST(item AS VARCHAR) || '/' AS ptr FROM i), e AS (
+        SELECT batch, item, '/job_id' AS pointer, 'not_found' AS keyword FROM m WHERE NOT known UNION ALL SELECT batch, item, ptr || 'target_id', 'not_found' FROM m WHERE NOT reported
+        UNION ALL SELECT batch, item, ptr || 'target_id', 'const' FROM m WHERE known AND target <> 'target_' || CAST(batch % 5 AS VARCHAR) UNION ALL SELECT batch, item, ptr || 'location/engine', 'const' FROM m WHERE reported AND engine <> 'mysql'
+        UNION ALL SELECT batch, item, ptr || 'matched', 'maximum' FROM m WHERE matched > sampled UNION ALL SELECT batch, item, ptr || 'sampled', 'maximum' FROM m WHERE known AND batch % 2 = 0 AND sampled > 150
+        UNION ALL SELECT batch, item, ptr || 'classifier', 'enum' FROM m WHERE classifier NOT IN ({", ".join(f"'{c}'" for c in WEIGHTS)}) OR (known AND batch % 3 = 0 AND classifier NOT IN ('email', 'phone'))) SELECT * FROM e""",
+    "due_deliveries": f"""WITH d AS (SELECT o_orderkey AS id, {pick_sql('o_orderkey', ('pending', 'sending', 'delivered'))} AS status, CAST(o_orderdate AS TIMESTAMP) AS due, o_orderkey % 9 + 1 AS attempts FROM orders),
+      c AS (SELECT * FROM d WHERE (status = 'pending' AND due <= TIMESTAMP '1996-01-01') OR (status = 'sending' AND due + INTERVAL 90 SECOND < TIMESTAMP '1996-01-01') ORDER BY due, id LIMIT 500)
+      SELECT id, 'sending' AS status, attempts, TIMESTAMP '1996-01-01 00:01:00' AS lease_until, CASE WHEN id % 5 = 0 THEN 'delivered' WHEN id % 7 = 0 THEN 'skipped' WHEN id % 2 = 0 AND attempts < 8 THEN 'retry' ELSE 'failed' END AS outcome FROM c""",
     "birth_date_columns": """WITH y AS (SELECT *, CAST(1930 + o_orderkey % 70 AS INTEGER) AS y, o_orderkey % 28 + 1 AS d FROM orders), v AS (
       SELECT 'iso' AS field, y, d FROM y UNION ALL SELECT 'french', y, d FROM y UNION ALL SELECT 'english', CASE WHEN o_orderkey % 3 > 0 THEN y END, d FROM y
       UNION ALL SELECT 'ordered', CAST(year(o_orderdate) AS INTEGER), day(o_orderdate) FROM y UNION ALL SELECT 'key', NULL, NULL FROM y),
@@ -124,7 +159,7 @@ ORACLE_SQL = {
       CASE WHEN field = 'place' THEN n ELSE 0 END AS entities, field = 'person' AS person_name FROM n CROSS JOIN (VALUES ('person'), ('place'), ('name'), ('segment')) f(field)""",
     "address_columns": f"""WITH v AS (SELECT 'customer' AS object, unnest(['address', 'town', 'name']) AS field, unnest([{pick_sql('c_custkey', _ADDRESSES)}, '75001 Paris', c_name]) AS value FROM customer
       UNION ALL SELECT 'documents', 'text', text FROM documents),
-      g AS (SELECT object, field, {" OR ".join(f"regexp_matches(value, '{p.replace(chr(39), chr(39) * 2)}')" for p in W.STRONG)} AS strong, regexp_matches(value, '{W.WEAK}') AS weak FROM v WHERE trim(value, chr(32)) <> ''),
+      g AS (SELECT object, field, {" OR ".join(f"regexp_matches(value, '{p.replace(chr(39), chr(39) * 2)}')" for p in addresses.STRONG)} AS strong, regexp_matches(value, '{addresses.WEAK}') AS weak FROM v WHERE trim(value, chr(32)) <> ''),
       s AS (SELECT object, field, count(*) AS n, count(*) FILTER (strong) AS strong, count(*) FILTER (weak AND NOT strong) AS weak FROM g GROUP BY 1, 2)
       SELECT *, strong >= 0.5 * n OR (strong + weak >= 0.8 * n AND strong >= 0.25 * n) OR (strong >= 3 AND strong >= 0.1 * n) AS postal_address FROM s""",
     "phone_region_columns": f"""WITH {_PLANT}, p AS (SELECT regexp_replace(value, '[^0-9]', '', 'g') AS d, starts_with(value, 'call') AS abroad FROM smp WHERE field = 'phone')
