@@ -83,6 +83,24 @@ def network_v4(address: Column) -> Column:
     return F.when(address.rlike(f"^{IPV4}$"), F.concat(F.regexp_extract(address, r"^(\d+\.\d+\.\d+)\.", 1), F.lit(".0/24")))
 
 
+@F.pandas_udf(StringType())
+def _literal(address: pd.Series) -> pd.Series:
+    def one(text: str) -> str | None:
+        try:
+            return str(ipaddress.ip_address(text))
+        except ValueError:
+            return None
+
+    return address.map(one, na_action="ignore")
+
+
+def client_literal(address: Column) -> Column:
+    """The address of a client as a literal in its usual form, or `local` for a socket; null for host names and all else.
+    Only what has a colon is read in Python."""
+    text = F.trim(address)
+    return F.when(text.isin("[local]", "local"), "local").when(text.rlike(f"^{IPV4}$"), text).when(text.contains(":"), _literal(text))
+
+
 @F.pandas_udf(StringType())
 def _network(address: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
