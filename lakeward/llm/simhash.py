@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,6 +28,8 @@ BLOCK = 2048
 #: The pipeline's stage: words of a shingle, least Jaccard similarity (4/5), radius that SimHashes of such
 #: sets keep to (about 10 bits apart at 0.8), bands and their rows (a pair at 0.8 shares one but for 1e-4).
 STAGE_SHINGLE, SIMILAR, STAGE_RADIUS, BANDS, BAND_ROWS = 5, (4, 5), 30, 24, 5
+#: A group of more sets than this is compared in parts, so that no task holds more than about so many sets.
+GROUP_BLOCK = 1024
 _SMALL = 32
 
 
@@ -336,42 +338,56 @@ def set_prints(begin: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
+def similar_to(one: np.ndarray, print_of: np.uint64, prints: np.ndarray, sets: list[np.ndarray], some: np.ndarray, radius: int) -> np.ndarray:
+    """Which of `some` sets have a Jaccard similarity of at least SIMILAR with `one`: bit planes sort out those beyond the
+    radius, whatever the number of sets, and the sets themselves decide."""
+    num, den = SIMILAR
+    size = np.array([len(sets[j]) for j in some], np.int64)
+    some = some[den * np.minimum(size, len(one)) >= num * np.maximum(size, len(one))]
+    if not len(some):
+        return some
+    few = len(some) <= _SMALL  # compared one by one
+    one_print = np.array([print_of], np.uint64)
+    some = some[close_pairs(np.repeat(one_print, len(some)), prints[some], radius) if few else close_in_block(one_print, prints[some], radius)[1]]
+    good = [np.zeros(0, np.int64)]
+    for low in range(0, len(some), 1024):
+        part = some[low : low + 1024]
+        values = np.concatenate([sets[j] for j in part])
+        size = np.array([len(sets[j]) for j in part], np.int64)
+        at = np.minimum(np.searchsorted(one, values), len(one) - 1)
+        both = np.add.reduceat((one[at] == values).astype(np.int64), np.cumsum(size) - size)
+        good.append(part[den * both >= num * (size + len(one) - both)])
+    return np.concatenate(good)
+
+
 def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int) -> list[tuple[int, int]]:
     """Links that connect all sets whose Jaccard similarity is at least SIMILAR; pairs that are already
-    connected are left out. Bit planes sort out pairs beyond the radius; the sets themselves decide."""
-    num, den = SIMILAR
-    label, size, found = np.arange(len(sets)), np.array([len(x) for x in sets]), []
+    connected are left out."""
+    label, found = np.arange(len(sets)), []
     for i in range(len(sets) - 1):
         rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        rest = rest[den * np.minimum(size[rest], size[i]) >= num * np.maximum(size[rest], size[i])]
-        if not len(rest):
-            continue
-        # The radius holds for groups of any size; few prints are compared one by one.
-        few = len(rest) <= _SMALL
-        rest = rest[close_pairs(np.repeat(prints[i : i + 1], len(rest)), prints[rest], radius) if few else close_in_block(prints[i : i + 1], prints[rest], radius)[1]]
-        if not len(rest):
-            continue
-        for low in range(0, len(rest), 1024):
-            some = rest[low : low + 1024]
-            values = np.concatenate([sets[j] for j in some])
-            at = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
-            both = np.add.reduceat((sets[i][at] == values).astype(np.int64), np.cumsum(size[some]) - size[some])
-            good = some[den * both >= num * (size[some] + size[i] - both)]
-            found += [(i, int(j)) for j in good]
-            label[np.isin(label, label[good])] = label[i]
+        good = similar_to(sets[i], prints[i], prints, sets, rest, radius)
+        found += [(i, int(j)) for j in good]
+        label[np.isin(label, label[good])] = label[i]
     return found
 
 
+_EDGE = "a long, b long"
+
+
 def similar_sets(marked: DataFrame, node: str, keys: str) -> DataFrame:
     """Edges (a, b) between nodes of similar shingle sets.
 
-    Sets that share a band meet in one task. Bands with the same members are the same group, of which
-    one is kept; equal sets are one node, so copies take no part.
+    Sets that share a band meet. Bands with the same members are the same group, of which one is kept; equal sets
+    are one node, so copies take no part. A group of up to GROUP_BLOCK sets is compared in a task. Of a larger one, all are
+    compared with its least node, in parts that have that node's set; what is then not connected with it is
+    compared with all the group, block by block. So no task holds a group, and no pair is left out: two sets that
+    are not connected yet are not both connected with the least node.
     """
     nodes = marked.where(F.col(keys).isNotNull()).select(F.col(node).alias("node"), F.col(keys).alias("keys")).dropDuplicates(["node"])
     dealt = materialize(nodes.select("node", F.explode("keys").alias("key")))
-    groups = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members")).where("n > 1")
-    chosen = materialize(groups.groupBy("n", "members").agg(F.min("key").alias("key")).select("key"))
+    groups = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("hub")).where("n > 1")
+    chosen = materialize(groups.groupBy("n", "members").agg(F.min(F.struct("key", "hub")).alias("k")).select("k.key", "k.hub", "n"))
     shared = materialize(dealt.join(chosen, "key"))
     text = marked.join(shared.select(F.col("node").alias(node)).distinct(), node, "left_semi").groupBy(node).agg(F.any_value("text").alias("text"))
 
@@ -383,16 +399,23 @@ def similar_sets(marked: DataFrame, node: str, keys: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(set_prints(begin, value).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "fp", "grams"])
 
     sets = text.mapInArrow(released(read), "node long, fp long, grams binary")
-    spread = shared.join(sets, "node").select("key", "node", "fp", "grams").repartition(shuffle_partitions(marked.sparkSession), "key").sortWithinPartitions("key", "node")
+    large = shared.where(F.col("n") > GROUP_BLOCK)
+    if large.isEmpty():
+        return _group_links(shared, sets)
+    sets = reread(sets, shared_folder(marked.sparkSession, "sets"), "sets")  # read for groups, stars and rests
+    edges = materialize(_group_links(shared.where(F.col("n") <= GROUP_BLOCK), sets).unionByName(_star_links(large, sets)))
+    return edges.unionByName(_rest_links(large, sets, edges))
+
+
+def _group_links(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges of groups, each compared in a task."""
+    spread = shared.select("key", "node").join(sets, "node").select("key", "node", "fp", "grams").repartition(shuffle_partitions(shared.sparkSession), "key").sortWithinPartitions("key", "node")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(group: list[tuple]) -> list[tuple[int, int]]:
             prints = np.array([g[1] for g in group], np.int64).view(np.uint64)
             return [(group[i][0], group[j][0]) for i, j in similar_links(prints, [np.frombuffer(g[2], np.uint64) for g in group], STAGE_RADIUS)]
 
-        def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], names=["a", "b"])
-
         last, group, edges = None, [], []
         for batch in batches:
             for key, *member in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
@@ -400,11 +423,75 @@ def similar_sets(marked: DataFrame, node: str, keys: str) -> DataFrame:
                     edges += linked(group)
                     last, group = key, []
                 group.append(member)
-            yield batch_of(edges)
+            yield _edges(edges)
             edges = []
-        yield batch_of(edges + linked(group))
+        yield _edges(edges + linked(group))
+
+    return spread.mapInArrow(released(link), _EDGE).distinct()
+
+
+def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in range(2)], names=["a", "b"])
+
 
-    return spread.mapInArrow(released(link), "a long, b long").distinct()
+def _blocks(count: Column) -> Column:
+    return F.ceil(count / F.lit(GROUP_BLOCK)).cast("int")
+
+
+def _met(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges between the two sides of each (group, block): those of side 0 are held, those of side 1 pass by. Sets of one
+    root are connected and not compared."""
+    full = rows.join(sets, "node").select("group", "block", "side", "node", "root", "fp", "grams").repartition("group", "block").sortWithinPartitions("group", "block", "side")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, roots, prints, sets_of = None, [], None, None, []
+        for batch in batches:
+            edges: list[tuple[int, int]] = []
+            for group, block, side, name, root, fp, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, block) != current:
+                    current, held, prints = (group, block), [], None
+                if side == 0:
+                    held.append((name, root, fp, grams))
+                    continue
+                if not held:
+                    continue
+                if prints is None:
+                    roots, prints = (np.array([h[k] for h in held], np.int64) for k in (1, 2))
+                    prints, sets_of = prints.view(np.uint64), [np.frombuffer(h[3], np.uint64) for h in held]
+                good = similar_to(np.frombuffer(grams, np.uint64), np.array([fp], np.int64).view(np.uint64)[0], prints, sets_of, np.flatnonzero(roots != root), STAGE_RADIUS)
+                first = np.unique(roots[good], return_index=True)[1]  # one link to each root
+                edges += [(held[j][0], name) for j in good[first].tolist()]
+            yield _edges(edges)
+
+    return full.mapInArrow(released(compare), _EDGE).distinct()
+
+
+def _star_links(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges between each large group's least node and its others, which are dealt to blocks by their hash."""
+    pairs = large.where("node <> hub").select("hub", "node").distinct()
+    sizes = materialize(pairs.groupBy("hub").agg(_blocks(F.count("*")).alias("blocks")))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = pairs.join(sizes, "hub").select(F.col("hub").alias("group"), block.alias("block"), F.lit(1).alias("side"), "node", F.col("node").alias("root"))
+    hubs = sizes.select(F.col("hub").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), F.col("hub").alias("node"), F.col("hub").alias("root"))
+    return _met(hubs.unionByName(members), sets)
+
+
+def _rest_links(large: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between what is not connected with its group's least node and all others of the group."""
+    ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct().withColumn("rep", F.lit(0).cast("long"))
+    roots = materialize(components(ends, edges).select("fp", "root"))
+    root_of = lambda rows, c, name: rows.join(roots.select(F.col("fp").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(name, F.coalesce(f"_{c}", c)).drop(f"_{c}")
+    placed = materialize(root_of(root_of(large, "node", "root"), "hub", "hub_root"))
+    apart = placed.where("root <> hub_root")
+    sizes = materialize(apart.groupBy("key", "n").agg(_blocks(F.count("*")).alias("rests")).withColumn("parts", _blocks(F.col("n"))))
+    at = lambda to: F.pmod(F.xxhash64("node"), F.col(to)).cast("int")
+    sized = lambda rows: rows.join(sizes.select("key", "rests", "parts"), "key")
+    every = lambda to: F.explode(F.sequence(F.lit(0), F.col(to) - 1))
+    columns = ["node", "root", F.col("key").alias("group")]
+    held = sized(apart).select(*columns, F.lit(0).alias("side"), every("parts").alias("_part"), at("rests").alias("_rest"), "rests")
+    passing = sized(placed).select(*columns, F.lit(1).alias("side"), at("parts").alias("_part"), every("rests").alias("_rest"), "rests")
+    rows = held.unionByName(passing).withColumn("block", F.col("_part") * F.col("rests") + F.col("_rest"))
+    return _met(rows.select("group", "block", "side", "node", "root"), sets)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

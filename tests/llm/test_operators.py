@@ -250,7 +250,10 @@ def kept_near(rows):
     return collections.Counter(None if none else i for none, i in best.values())
 
 
-def test_simhash_stage_equals_brute_force(spark, docs, texts):
+@pytest.mark.parametrize("block", [1024, 2])
+def test_simhash_stage_equals_brute_force(spark, docs, texts, monkeypatch, block):
+    """Also with groups of over two sets compared by stars and rests."""
+    monkeypatch.setattr(simhash, "GROUP_BLOCK", block)
     words = [f"v{i}" for i in range(300)]
     planted = [(100_000 + k, " ".join(words[:200] + [f"z{k}"] * k)) for k in range(0, 60, 12)]
     planted += [(100_100 + k, " ".join(f"u{k}x{i}" for i in range(100))) for k in range(3)]
@@ -350,3 +353,53 @@ def test_pipeline(spark):
 
     packed = corpus_pipeline.run(spark, SF)
     assert packed.count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "simhash_near_dedup", "substring_dedup", "packing"]
+
+
+def test_large_groups_of_several_clusters(spark, monkeypatch):
+    """Sets that meet in all bands: one cluster around the least node, others that touch it only over members, and loners."""
+    monkeypatch.setattr(simhash, "GROUP_BLOCK", 5)
+    monkeypatch.setattr(simhash, "STAGE_RADIUS", 64)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(260)]
+    cut = lambda low, high: " ".join(words[low:high])
+    rows = [(k, cut(2 * k, 2 * k + 100)) for k in range(40)]  # a chain: neighbours and some after them are near, ends are not
+    rows += [(100 + k, " ".join(rng.permutation(words)[:80])) for k in range(15)] + [(200 + k, cut(0, 100) + f" z{k}") for k in range(12)]
+    marked_keys = simhash.set_keys
+
+    def one_band(column, shingle=simhash.STAGE_SHINGLE):
+        node, place, bands = marked_keys(column, shingle)
+        return node, place, np.full_like(bands, 7)
+
+    from pyspark.sql import types as T
+
+    marked = frame(spark, rows).select("doc_id", "text")
+
+    def mark(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            node, place, bands = one_band(batch.column(1))
+            keys = pa.array([bands[p].view(np.int64)[:1].tolist() if p >= 0 else None for p in place], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node.view(np.int64)), keys], names=["doc_id", "text", "node", "keys"])
+
+    kind = T.StructType(list(marked.schema)).add("node", "long").add("keys", T.ArrayType(T.LongType()))
+    spread = marked.mapInArrow(mark, kind).cache()
+    edges = {(r.a, r.b) for r in simhash.similar_sets(spread, "node", "keys").collect()}
+    ids = {r.node: r.doc_id for r in spread.select("node", "doc_id").collect()}
+    sets = {i: shingles_of(t) for i, t in rows}
+    near = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    assert all(near(ids[a], ids[b]) for a, b in edges)
+
+    def parts(pairs):
+        label = {i: i for i in sets}
+        changed = True
+        while changed:
+            changed = False
+            for i, j in pairs:
+                if label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+        return label
+
+    assert parts([(ids[a], ids[b]) for a, b in edges]) == parts([(i, j) for i in sets for j in sets if i < j and near(i, j)])
+    assert len(set(parts([(ids[a], ids[b]) for a, b in edges]).values())) == 16  # the chain with its copies, and fifteen loners
