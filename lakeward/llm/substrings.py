@@ -152,6 +152,8 @@ def repeated_cells(docs: DataFrame, bits: int) -> np.ndarray:
     return bitmap
 
 
+#: Anchors that are sent to every task at most: 8 MB of them.
+MOST_SENT = 1 << 20
 _CONTEXT = "anchor long, content long, n long, windows array<long>, doc array<long>, tie array<long>, first array<int>"
 
 
@@ -213,7 +215,10 @@ def repeated_spans(docs: DataFrame, bits: int | None = None) -> DataFrame:
     totals = materialize(found.groupBy("anchor", "content").agg(F.sum("n").alias("n")))
     # Anchors whose contexts have to be compared window by window: one occurs once, and is not alone.
     open_anchors = materialize(totals.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("anchor"))
-    unsettled = found.join(open_anchors, "anchor", "left_semi")
+    # Few anchors go to every task: then contexts stay where they are, those of a common anchor too. Many are joined
+    # as Spark sees fit, which splits a common one.
+    few = open_anchors.count() <= MOST_SENT
+    unsettled = found.join(F.broadcast(open_anchors) if few else open_anchors, "anchor", "left_semi")
     repeated = materialize(
         unsettled.select("anchor", "n", F.explode("windows").alias("w")).groupBy("anchor", "w").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "w")
     )
