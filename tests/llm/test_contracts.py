@@ -49,6 +49,8 @@ def test_queries_have_their_columns(spark, name):
         "op4": {"doc_id", "log_score"}, "op5": {"doc_id", "fingerprint", "component_id"}, "op6": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
         "op7": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"}, "op8": {"doc_id", "held_out", "score", "predicted"},
         "op9": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}, "op10": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+        "op11": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"}, "op12": {"doc_id", "n_lines", "n_dropped", "kept_sha256"},
+        "op13": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
     }
     op = name.split("_")[0]
     out = registry.QUERIES[name](spark, SF)
