@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeward.operators import discovery as V
 from lakeward.plans import detector_sql as Q
-from lakeward.plans.base import read
+from lakeward.plans.base import pick, pick_sql, read
 from lakeward.plans.discovery_queries import _COLUMNS, _KEYS
 from lakeward.sources import sampling as P
 from lakeward.sources import shapes as S
@@ -63,13 +63,26 @@ def keyspace_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walked.select("pattern", "n", "families", F.size("samples").cast("long").alias("samples"), families.alias("sampled_families"))
 
 
-QUERIES = {f.__name__: f for f in (connector_check, connector_catalog, connector_discovery, shape_paths, keyspace_patterns)}
+_ENGINES = tuple(P.METHODS)
+
+
+def sample_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How parts would be sampled as tables of some engine, by a count of rows made from their keys."""
+    k = F.col("p_partkey")
+    tables = read(spark, sf_dir, "part").select(pick(k, _ENGINES).alias("engine"), (k * k % 3_000_017).alias("rows"))
+    return tables.groupBy("engine", P.sample_method(F.col("engine"), F.col("rows"), 1000).alias("method")).agg(F.count("*").alias("n"), F.max("rows").alias("most"))
+
+
+QUERIES = {f.__name__: f for f in (sample_methods, connector_check, connector_catalog, connector_discovery, shape_paths, keyspace_patterns)}
 
 # ---- SQL ----------------------------------------------------------------------------------------
 _ALL_ROWS = 10**15
 _LISTED = ", ".join(f"'{t}'" for t in _CHECKED)
 
 ORACLE_SQL = {
+    "sample_methods": f"""WITH t AS (SELECT {pick_sql('p_partkey', _ENGINES)} AS engine, p_partkey * p_partkey % 3000017 AS rows FROM part),
+      m AS (SELECT *, CASE WHEN engine = 'mongodb' THEN CASE WHEN rows > 20000 THEN 'hash' ELSE 'first' END WHEN rows >= 10000 THEN CASE engine {" ".join(f"WHEN '{e}' THEN '{m}'" for e, m in P.METHODS.items())} END ELSE 'first' END AS method FROM t)
+      SELECT engine, method, count(*) AS n, max(rows) AS most FROM m GROUP BY 1, 2""",
     "connector_check": " UNION ALL ".join(f"SELECT '{t}' AS object, true AS readable, CAST(NULL AS VARCHAR) AS problem, count(*) AS rows FROM {t}" for t in _CHECKED),
     "connector_catalog": f"""WITH n AS ({" UNION ALL ".join(f"SELECT '{t}' AS object, count(*) AS rows FROM {t}" for t in _CHECKED)})
       SELECT object, column_name AS field, rows FROM n JOIN information_schema.columns c ON c.table_name = n.object WHERE c.table_name IN ({_LISTED})""",

@@ -25,6 +25,35 @@ def sample_percent(rows: int, limit: int) -> float | None:
     return min(100.0, max(0.0001, 100.0 * OVERSAMPLE * limit / rows))
 
 
+# How engines sample a large object, and from how many documents of how many times the limit a document store does.
+METHODS = {"postgresql": "blocks", "sqlserver": "blocks", "mysql": "first", "mariadb": "first", "firebird": "first", "redis": "hash", "openldap": "first", "sqlite": "range", "mongodb": "hash", "cas": "first"}
+DOCUMENTS_FROM, DOCUMENTS_MULTIPLE = 100, 20
+
+
+def sample_method(engine: Column, rows: Column, limit: int) -> Column:
+    """How an object of so many rows (null: not known) is sampled: `first` rows, `blocks` of a share, a `range` of keys with a wrap, or
+    rows by `hash`. Small objects are read from the start."""
+    chain = F
+    for name, method in METHODS.items():
+        large = (rows > DOCUMENTS_FROM) & (rows > DOCUMENTS_MULTIPLE * limit) if name == "mongodb" else (rows >= SAMPLED_FROM) & (rows >= SAMPLED_MULTIPLE * limit)
+        chain = chain.when(engine == name, F.when(F.coalesce(large, F.lit(False)), F.lit(method)).otherwise("first"))
+    return chain.otherwise("first")
+
+
+def engine_sample(frame: DataFrame, engine: str, key: str, limit: int, seed: int = 0) -> DataFrame:
+    """About `limit` rows of a table, as its engine would sample it. Blocks are those of the scan (a share of its partitions is
+    read by `Connector.discover`; here, of rows in the table's order)."""
+    rows = frame.count()
+    row = frame.sparkSession.range(1).select(sample_method(F.lit(engine), F.lit(rows), limit).alias("m")).first()
+    if row.m == "range":
+        return key_range_sample(frame, key, limit, seed)
+    if row.m == "hash":
+        return sample_rows(frame, key, limit, seed)
+    if row.m == "blocks":
+        return frame.sample(False, sample_percent(rows, limit) / 100, seed).limit(limit)
+    return frame.limit(limit)
+
+
 def sample_share(rows: Column, limit: int) -> Column:
     """`sample_percent` of a column of row counts."""
     percent = F.greatest(F.lit(0.0001), F.least(F.lit(100.0), 100.0 * OVERSAMPLE * limit / rows))

@@ -67,3 +67,16 @@ def test_a_sample_is_that_of_a_global_sort(spark):
     assert V.sampled(rows, ["id"], 40_000).count() == 40_000 == V.sampled(rows, ["id"], 10**6).count()
     one = rows.withColumn("k", F.when(F.col("id") < 39_990, 1).otherwise(F.col("id")))  # nearly all rows have one key
     assert V.sampled(one, ["k"], 100).count() in (39_990 + k for k in range(-39_990, 11))
+
+
+def test_engines_sample_in_their_own_ways(spark):
+    cases = spark.createDataFrame([(e, n) for e in (*S.METHODS, "other") for n in (None, 50, 150, 5_000, 9_999, 10_000, 10**9)], "engine string, n long")
+    got = {(r.engine, r.n): r.m for r in cases.select("engine", "n", S.sample_method(F.col("engine"), F.col("n"), 100).alias("m")).collect()}
+    assert {got[e, None] for e in S.METHODS} == {"first"} == {got["other", n] for n in (50, 10**9)} and {e: got[e, 10**9] for e in S.METHODS} == S.METHODS
+    assert [got["mongodb", n] for n in (50, 150, 5_000)] == ["first", "first", "hash"] and [got["sqlite", n] for n in (9_999, 10_000)] == ["first", "range"]
+    table = spark.range(50_000).withColumn("v", F.lit("x"))
+    taken = {e: {r.id for r in S.engine_sample(table, e, "id", 100, 5).collect()} for e in ("postgresql", "mysql", "sqlite", "mongodb")}
+    assert len(taken["mysql"]) == len(taken["mongodb"]) == len(taken["postgresql"]) == 100 and len(taken["sqlite"]) == 300
+    assert taken["mongodb"] == {r.id for r in S.engine_sample(table.repartition(7), "mongodb", "id", 100, 5).collect()} != {r.id for r in S.engine_sample(table, "mongodb", "id", 100, 6).collect()}
+    low = min(taken["sqlite"])
+    assert taken["sqlite"] == set(range(low, low + 300)) or {0, 49_999} <= taken["sqlite"]
