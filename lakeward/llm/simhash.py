@@ -30,6 +30,8 @@ BLOCK = 2048
 STAGE_SHINGLE, SIMILAR, STAGE_RADIUS, BANDS, BAND_ROWS = 5, (4, 5), 30, 24, 5
 #: A group of more sets than this is compared in parts, so that no task holds more than about so many sets.
 GROUP_BLOCK = 1024
+#: Nodes that are sent to every task at most: 8 MB of them.
+MOST_SENT = 1 << 20
 _SMALL = 32
 
 
@@ -389,7 +391,10 @@ def similar_sets(marked: DataFrame, node: str, keys: str) -> DataFrame:
     groups = dealt.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("hub")).where("n > 1")
     chosen = materialize(groups.groupBy("n", "members").agg(F.min(F.struct("key", "hub")).alias("k")).select("k.key", "k.hub", "n"))
     shared = materialize(dealt.join(chosen, "key"))
-    text = marked.join(shared.select(F.col("node").alias(node)).distinct(), node, "left_semi").groupBy(node).agg(F.any_value("text").alias("text"))
+    wanted = materialize(shared.select(F.col("node").alias(node)).distinct())
+    # Few nodes go to every task: then only texts of these are moved, and of the copies of one only one from each task.
+    few = wanted.count() <= MOST_SENT
+    text = marked.join(F.broadcast(wanted) if few else wanted, node, "left_semi").groupBy(node).agg(F.any_value("text").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
