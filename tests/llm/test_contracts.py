@@ -301,3 +301,37 @@ def test_stored_sketches_recover_small_edits(spark):
     recovered = [r for r in found if r.got is not None]
     assert all(list(r.got) == list(r.true) for r in recovered) and len(recovered) >= 0.9 * len(found) and len(found) > 50
     print(len(recovered) / len(found))
+
+
+def brute_patterns(model, text):
+    """Patterns by looking back from each word, clause by clause, without machines or a search for entries."""
+    found = collections.Counter()
+    for words in toxicity.clauses(text or ""):
+        kinds = [model.word_class(w) for w in words]
+        for i, kind in enumerate(kinds):
+            near, before = set(kinds[max(0, i - 3) : i]), set(kinds[:i])
+            flags = {flag for flag, told in (("negated", "negation" in near), ("reported", "report" in before)) if told}
+            if kind == "insult":
+                found["+".join(["insult", *sorted(flags | ({"target"} if "target" in near else set()))])] += 1
+            elif kind == "target" and "threat" in near:
+                found["+".join(["threat", *sorted(flags)])] += 1
+    return found
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Patterns and scores of the composed machine, on the documents with a fitted model and on random clauses."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    fitted = toxicity.fit_model(docs, labels)
+    made = toxicity.ToxicityModel(frozenset({"idiot", "scum"}), frozenset({"moro"}), {"insult": 2.0, "insult+negated": -1.0, "threat": 1.0})
+    rng = random.Random(6)
+    pool = ["idiot", "Scum", "morons", "moro", "idiots", "you", "they", "not", "never", "kill", "said", "wrote", "plain", "word", "isn't", "é", "7", "you.", "idiot,", "kill!", "said:", "\n", "scum-like"]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(30))) for _ in range(600)] + [r.text for r in docs.select("text").collect()] + [None, "", "not " * 50 + "idiot", "x" * 600 + ". idiot"]
+    for model in (made, fitted):
+        expected = [brute_patterns(model, t) for t in texts]
+        assert [model.patterns(t) for t in texts] == expected and sum(map(bool, expected)) > 10
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.score for r in toxicity.score_documents(rows, model).collect()}
+        for i, patterns in enumerate(expected):
+            best = max((model.weights.get(p, toxicity._prior(p)) for p in patterns), default=None)
+            odds = model.base if best is None else min(30.0, best + 0.1 * np.log(sum(patterns.values())))
+            assert got[i] == pytest.approx(1 / (1 + np.exp(-odds)))
