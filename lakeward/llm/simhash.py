@@ -29,7 +29,7 @@ BLOCK = 2048
 #: sets keep to (about 10 bits apart at 0.8), bands and their rows (a pair at 0.8 shares one but for 1e-4).
 STAGE_SHINGLE, SIMILAR, STAGE_RADIUS, BANDS, BAND_ROWS = 5, (4, 5), 30, 24, 5
 #: A group of more sets than this is compared in parts, so that no task holds more than about so many sets.
-GROUP_BLOCK = 1024
+GROUP_BLOCK = 256
 #: Nodes that are sent to every task at most: 8 MB of them.
 MOST_SENT = 1 << 20
 _SMALL = 32
