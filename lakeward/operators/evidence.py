@@ -86,9 +86,13 @@ def phone_regions(numbers: DataFrame) -> DataFrame:
     least half of the votes, and more than any other; international votes decide between equal ones.
     """
     intl = P.phone_region(F.col("raw"))
-    voted = numbers.select("object", "field", F.when(intl.isNotNull(), F.array(intl)).otherwise(P.national_regions(F.col("raw"))).alias("regions"), intl.isNotNull().alias("abroad"))
-    totals = voted.groupBy("object", "field").agg(F.count("*").alias("numbers"))
-    votes = voted.select("object", "field", "abroad", F.explode("regions").alias("region")).groupBy("object", "field", "region").agg(F.count("*").alias("votes"), F.count_if("abroad").alias("abroad"))
+    regions = F.when(intl.isNotNull(), F.array(intl)).otherwise(P.national_regions(F.col("raw")))
+    # Numbers are graded once and counted by the regions they vote for; what follows is some rows for each column.
+    voted = numbers.groupBy("object", "field", regions.alias("regions"), intl.isNotNull().alias("abroad")).agg(F.count("*").alias("k"))
+    totals = voted.groupBy("object", "field").agg(F.sum("k").alias("numbers"))
+    votes = voted.select("object", "field", "abroad", "k", F.explode("regions").alias("region")).groupBy("object", "field", "region").agg(
+        F.sum("k").alias("votes"), F.sum(F.when(F.col("abroad"), F.col("k")).otherwise(0)).alias("abroad")
+    )
     best = votes.groupBy("object", "field").agg(F.max(F.struct("votes", "abroad")).alias("most"))
     first = votes.join(best, ["object", "field"]).where((F.col("votes") == F.col("most.votes")) & (F.col("abroad") == F.col("most.abroad")))
     one = first.groupBy("object", "field").agg(F.min("region").alias("region"), F.count("*").alias("_equal"), F.max("votes").alias("votes"))
@@ -102,13 +106,24 @@ def regional_phones(numbers: DataFrame) -> DataFrame:
     """The numbers with the region of their column, a second grade (what fits the region is one better, what does not
     one worse, null for none), and their E.164 form, which is one for both ways to write a number."""
     regions = phone_regions(numbers).select("object", "field", "region")
-    met = numbers.join(regions, ["object", "field"])
+    met = numbers.join(F.broadcast(regions), ["object", "field"])  # one row for each column; dealt by column, its numbers would meet in one task
     first = P.phone_grade(F.col("raw"))
     fits = F.coalesce(P.phone_region(F.col("raw")) == F.col("region"), F.array_contains(P.national_regions(F.col("raw")), F.col("region")))
     second = F.when(F.col("region").isNull(), first).when(fits, F.least(first + 1, F.lit(P.STRONG))).when(first > P.WEAK, first - 1)
     return met.select("object", "field", "raw", "region", second.alias("grade"), P.e164(F.col("raw"), F.col("region")).alias("e164"))
 
 
+def counted_numbers(phones: DataFrame) -> DataFrame:
+    """object, field, region, grade, n, numbers (different E.164 forms) of what `regional_phones` gives.
+
+    Numbers are dealt by their E.164 form before they are counted, so a task holds a share of the different numbers of a
+    column, however few tasks read them; a frequent one (or null) is dealt to several.
+    """
+    by = ["object", "field", "region", "grade"]
+    each = phones.select(*by, "e164").repartition("e164", F.monotonically_increasing_id() % 16).groupBy(*by, "e164").agg(F.count("*").alias("n"))
+    return each.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), F.count("e164").alias("numbers"))
+
+
 def address_columns(values: DataFrame) -> DataFrame:
     """object, field, n, strong, weak, postal_address: columns half of whose values are addresses beyond doubt, or nearly all of
     whose values are at least likely ones, or in which some texts hold one."""

@@ -46,8 +46,8 @@ def name_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phone_region_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The region of a column in which one number of four is international, and its numbers by second grade."""
-    numbers = _planted(spark, sf_dir).where("field = 'phone'").select("object", "field", F.regexp_replace("value", "^call ", "").alias("raw"))
-    return E.regional_phones(numbers).groupBy("object", "field", "region", "grade").agg(F.count("*").alias("n"), F.count_distinct("e164").alias("numbers"))
+    numbers = _planted(spark, sf_dir, ("phone",)).select("object", "field", F.regexp_replace("value", "^call ", "").alias("raw"))
+    return E.counted_numbers(E.regional_phones(numbers))
 
 
 _ADDRESSES = ("12 rue de la Paix", "Hauptstraße 5", "75001 Paris", "PO Box 77", "no address", "221b Baker Street")

@@ -58,6 +58,21 @@ def test_birth_date_columns(spark):
     assert got == {"born": (True, 60, 60), "orders": (False, 60, 60), "firsts": (False, 60, 60), "narrow": (False, 9, 9), "half": (False, 41, 20), "none": (False, 2, 0)}
 
 
+def test_numbers_of_one_column_are_dealt(spark):
+    """No exchange is keyed by the column alone before its numbers are counted, so no task gets them all."""
+    rows = spark.range(400).selectExpr("'t' object", "'p' field", "if(id % 10 = 0, 'x', concat('01 22 33 44 ', lpad(cast(id % 50 as string), 2, '0'))) raw")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        phones = E.regional_phones(rows)
+        plan = phones._jdf.queryExecution().executedPlan().toString()
+        got = {(r.region, r.grade): (r.n, r.numbers) for r in E.counted_numbers(phones).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Broadcast" in next(line for line in plan.split("\n") if "Join" in line)  # the join with the numbers, which is the uppermost
+    forms = phones.groupBy("region", "grade").agg(F.count("*").alias("n"), F.count_distinct("e164").alias("d")).collect()
+    assert got == {(r.region, r.grade): (r.n, r.d) for r in forms} and sum(n for n, _ in got.values()) == 400
+
+
 def test_phone_regions(spark):
     data = {
         "fr": ["01 99 00 27 59"] * 6 + ["+33 1 99 00 27 59"] * 2 + ["0199002759"], "iberia": ["912 345 678"] * 5, "pt": ["912 345 678"] * 5 + ["+351 912 345 678"], "us": ["(202) 555-0125", "202-555-0125"], "mixed": ["+33 1 99 00 27 59", "+49 30 123456", "+1 202 555 0125"],
