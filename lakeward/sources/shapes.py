@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 DEPTH, ELEMENTS, MOST_VALUES, MOST_VISITS = 20, 16, 512, 4096
 STATIC_KEYS, SINGLETON_KEYS, TRACKED_KEYS, ROUNDS = 16, 3, 64, 4
 _SEPARATOR, INDEX, WILD = "\x1f", "[]", "*"
+_STEP = re.compile("\x1f|\\[\\]")
 _DATA = re.compile(r"^(?:[0-9]+|[0-9a-fA-F]{8,}|.*[0-9]{4,}.*|.*@.*|[0-9]+\..*)$", re.S)
 
 
@@ -91,22 +92,36 @@ def parsed(text: str | None) -> object:
 
 def _observed(column: str, docs: DataFrame, shape: Shape) -> DataFrame:
     """level, key (null: the level itself), n (documents), over all documents. A task that has met more than TRACKED_KEYS keys of a
-    level knows that it is dynamic and says only so (key \\x00)."""
+    level knows that it is dynamic and says only so (key \\x00); of the levels below, which get new paths, it keeps nothing."""
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
+        full: set[str] = set()  # uppermost levels with too many keys
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 pairs = {(level, key) for kind, level, depth, key, _ in walk(parsed(text), shape) if kind == "key" and depth > 0 and level not in shape.dynamic}
-                for level in {x for x, _ in pairs}:
+                seen = {x for x, _ in pairs}
+                below = {x for x in seen if any(up in full for up in _above(x))} if full else set()
+                for level in seen - below:
                     counts.setdefault(level, Counter())[None] += 1
+                reached = set()
                 for level, key in pairs:
+                    if level in below:
+                        continue
                     known = counts[level]
-                    if "\0" in known or key not in known and len(known) > TRACKED_KEYS:
-                        known["\0"] = 1
+                    if "\0" in known:
+                        continue
+                    if key not in known and len(known) > TRACKED_KEYS:
+                        counts[level] = Counter({None: known[None], "\0": 1})
+                        reached.add(level)
                     else:
                         known[key] += 1
-        rows = [(level, key, n) for level, known in counts.items() for key, n in known.items() if "\0" not in known or key in (None, "\0")]
+                if reached:
+                    full |= reached
+                    for level in [x for x in counts if any(up in full for up in _above(x))]:
+                        del counts[level]
+                    full = {x for x in full if x in counts}
+        rows = [(level, key, n) for level, known in counts.items() for key, n in known.items()]
         columns = zip(*rows) if rows else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["level", "key", "n"])
 
@@ -135,6 +150,11 @@ def learn_shape(docs: DataFrame, column: str) -> Shape:
     return Shape(dynamic)
 
 
+def _above(level: str) -> list[str]:
+    """The levels that a level is below of."""
+    return [level[: m.start()] for m in _STEP.finditer(level) if m.start()]
+
+
 def _is_below(level: str, levels: frozenset[str]) -> bool:
     return any(level.startswith((x + _SEPARATOR, x + INDEX)) for x in levels)
 

@@ -32,6 +32,15 @@ def test_maps_collapse_and_fields_stay(spark):
     assert got == {"name": 40, "address.city": 40, "address.zip": 40, "scores.*.*": 40, "scores.*.*.deep": 40, "few.*": 120, "items[].sku": 80, "items[].m.*": 80}
 
 
+def test_a_task_keeps_nothing_below_a_level_of_many_keys(spark):
+    docs = [{"by": {letters(i): {"seen": {letters(7 * i): i}, "known": True}}, "t": {"a": 1}} for i in range(2000)]
+    for parts in (1, 4):
+        rows = S._observed("doc", frame(spark, docs, parts), S.Shape()).collect()
+        assert {r.level for r in rows} == {"by", "t"}
+        shape = S.learn_shape(frame(spark, docs, parts), "doc")
+        assert set(shape.dynamic) == {"by", "by\x1f*\x1fseen"} and shape.fields == {"t": {"a"}, "by\x1f*": {"seen", "known"}}
+
+
 def test_levels_that_stay_and_unknown_keys(spark):
     docs = [{"a": {f"f{k}": 1 for k in "abcdefghijklmnop"}, "one": {"p": 1, "q": 2, "r": 3}}, {"a": {"fa": 2}}]
     shape = S.learn_shape(frame(spark, docs), "doc")
