@@ -235,14 +235,24 @@ def ldap_accesslog(entries: DataFrame) -> DataFrame:
     return _event(known, ts=ts, principal=F.when(bind, F.col("reqDN")).otherwise(F.col("reqAuthzID")), action=action, database=dn, statement=F.when(wide, F.lit("shape.bulk_search")), rows=F.col("reqEntries").cast("long"))
 
 
+_XE_OTHER_ROOT = "^\\s*(?:<[?!][^>]*>\\s*)*<(?!event[\\s/>])[A-Za-z_]"
+#: An element that is not one of an event's own, or attributes or elements in a value.
+_XE_NESTED = "<(?!/?(?:event|data|action|type|value|text)\\b|[?!])|<value\\s|<value>[^<]*<[A-Za-z_]"
+_XE_EVENT = "_name string, _timestamp string, data array<struct<_name: string, value: string>>, action array<struct<_name: string, value: string>>"
+
+
 def xe_events(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Extended Events (one `<event>` a row): completed batches and calls."""
+    """Extended Events (one `<event>` a row): completed batches and calls. A row is parsed as a whole, not once for each field,
+    unless it has elements inside of values, which XPath reads as their text."""
     x = F.col(value)
-    at = lambda kind, name: F.nullif(F.xpath_string(x, F.lit(f"/event/{kind}[@name='{name}']/value")), F.lit(""))
-    known = lines.where(F.xpath_string(x, F.lit("/event/@name")).isin("sql_batch_completed", "rpc_completed"))
+    event = F.from_xml(F.col(value), _XE_EVENT, {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST"})
+    one = lambda kind, name: F.get(F.filter(f"e.{kind}", lambda d: d["_name"] == name), F.lit(0))["value"]
+    at = lambda kind, name: F.nullif(F.when(F.col("nested"), F.xpath_string("x", F.lit(f"/event/{kind}[@name='{name}']/value"))).otherwise(one(kind, name)), F.lit(""))
+    events = lines.where((F.trim(x) != "") & ~x.rlike(_XE_OTHER_ROOT))
+    known = events.select(x.alias("x"), x.rlike(_XE_NESTED).alias("nested"), event.alias("e")).where(F.col("e._name").isin("sql_batch_completed", "rpc_completed"))
     text = F.coalesce(at("data", "batch_text"), at("data", "statement"))
     return _event(
-        known, ts=F.try_to_timestamp(F.regexp_replace(F.xpath_string(x, F.lit("/event/@timestamp")), "T|Z", " ")), principal=at("action", "username"), client=at("action", "client_hostname"),
+        known, ts=F.try_to_timestamp(F.regexp_replace("e._timestamp", "T|Z", " ")), principal=at("action", "username"), client=at("action", "client_hostname"),
         application=at("action", "client_app_name"), action=statement_kind(text), database=at("action", "database_name"), statement=text, rows=at("data", "row_count").cast("long"),
     )
 

@@ -59,3 +59,20 @@ def test_searches_of_one_entry_are_not_wide(spark):
     assert [r.statement for r in L.ldap_accesslog(entries).collect()] == [None, "shape.bulk_search", "shape.bulk_search"]
     assert [r.statement for r in L.ldap_accesslog(entries.drop("reqScope")).select("statement").collect()] == ["shape.bulk_search"] * 3
     assert L.ldap_accesslog(entries.where(F.lit(False))).count() == 0
+
+
+def test_extended_events_are_parsed_once(spark):
+    """What a value is stays what XPath says; the fields of a row come from one parse."""
+    data = lambda n, v: f'<data name="{n}"><type name="t" package="p"/><value>{v}</value><text>x</text></data>'
+    head = '<event name="rpc_completed" package="s" timestamp="2024-01-05T10:00:00.123Z">'
+    texts = {
+        data("statement", "  select 1\n from t "): "  select 1\n from t ", data("statement", "<![CDATA[select a < 3 & b]]>"): "select a < 3 & b", data("batch_text", "") + data("statement", "delete &lt; &amp;"): "delete < &",
+        data("batch_text", "select <b>1</b>"): "select 1", data("batch_text", "a") + data("batch_text", "b"): "a", '<data name="batch_text"/>': None,
+    }
+    rows = [(head + body + "</event>",) for body in texts] + [(None,), ("",), ('<x name="rpc_completed"/>',), ('<event name="login"/>',)]
+    lines = spark.createDataFrame(rows, "value string")
+    found = L.xe_events(lines)
+    got = found.collect()
+    assert [r.statement for r in got] == list(texts.values()) and len({r.ts for r in got}) == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "from_xml" in plan or "xmltostructs" in plan
