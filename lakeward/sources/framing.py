@@ -102,8 +102,8 @@ def csv_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, range and place (where a record begins), record, oversized: the CSV records of text files, whatever their
     ranges. Blank records are left out; an unclosed quote at a file's end gives its last record."""
     lines = range_lines(spark, paths)
-    states = settled(range_states(lines))  # one row for each range
-    pieces = settled(lines.join(states, ["file", "range"]).select("file", "range", "line", "quotes", "inside", "owner").mapInArrow(_framed, _RECORD))
+    states = settled(range_states(lines))  # one row for each range; lines stay where they are read, and in order
+    pieces = settled(lines.join(F.broadcast(states), ["file", "range"]).select("file", "range", "line", "quotes", "inside", "owner").mapInArrow(_framed, _RECORD))
     whole = pieces.where("owner is null").select("file", "range", "place", "record", "bytes")
     first = F.min_by("place", "range")
     parts = F.array_sort(F.collect_list(F.struct("range", "record")))
@@ -120,7 +120,7 @@ def header_records(spark: SparkSession, paths: str | list[str], header: str) ->
     ranges = lines.groupBy("file", "range").agg(F.bool_or("begins").alias("begins"))
     before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     owners = settled(ranges.select("file", "range", F.last(F.when(F.col("begins"), F.col("range")), ignorenulls=True).over(before).alias("owner")))
-    pieces = settled(lines.join(owners, ["file", "range"]).select("file", "range", "line", "begins", "owner").mapInArrow(_headed, _RECORD))
+    pieces = settled(lines.join(F.broadcast(owners), ["file", "range"]).select("file", "range", "line", "begins", "owner").mapInArrow(_headed, _RECORD))
     parts = F.array_sort(F.collect_list(F.struct("range", "record")))
     # The last record of a range may go on in later ones; all its pieces have one owner.
     stitched = pieces.where("owner is not null").groupBy("file", "owner").agg(F.min_by("place", "range").alias("place"), F.array_join(F.transform(parts, lambda p: p["record"]), "\n").alias("record"))

@@ -67,3 +67,19 @@ def test_records_behind_headers(spark, tmp_path, size):
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
     for f, records in enumerate(texts):
         assert [r for *_, r in sorted((r.range, r.place, r.record) for r in got if r.file.endswith(f"t{f}"))] == records
+
+
+def test_lines_stay_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Whatever Spark knows of sizes, lines are not shuffled and sorted to meet the one row of their range."""
+    (tmp_path / "a.txt").write_text("== 1\na\n== 2\n" * 50)
+    plans, settled = [], framing.settled
+    monkeypatch.setattr(framing, "settled", lambda f: (plans.append(f._jdf.queryExecution().executedPlan().toString()), settled(f))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = [r.record for r in framing.header_records(spark, str(tmp_path), "^== ").collect()]
+        framing.csv_records(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) == 2 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in joins)
+    assert sorted(records) == ["== 1\na"] * 50 + ["== 2"] * 50
