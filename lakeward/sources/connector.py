@@ -34,7 +34,7 @@ SCHEMAS = {
     "discover": "object string, field string, value string",
 }
 _KINDS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json"}
-_BATCH_ROWS = 4096
+_BATCH_ROWS, _BUFFER = 4096, 1 << 20
 
 
 @dataclass
@@ -174,7 +174,7 @@ class TargetReader(DataSourceReader):
     def _values(self, target: Target, part: Part) -> Iterator[pa.RecordBatch]:
         schema, left = pa.schema([("object", pa.string()), ("field", pa.string()), ("value", pa.string())]), part.most
         if part.kind == "parquet":
-            file = pq.ParquetFile(part.path, filesystem=target.fs)
+            file = pq.ParquetFile(part.path, filesystem=target.fs, buffer_size=_BUFFER)  # else whole column chunks are held
             names = [n for n in file.schema_arrow.names if self._passes("field", n)]
             batches = file.iter_batches(_BATCH_ROWS, row_groups=list(part.groups), columns=names) if names else iter(())
         else:

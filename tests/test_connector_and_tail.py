@@ -61,6 +61,19 @@ def test_a_sample_reads_a_fraction_of_row_groups(spark, target):
     assert all(len(g) == 3 for g in wrapped) and any(g[0] > g[-1] for g in wrapped)
 
 
+def test_a_row_group_is_read_in_parts(tmp_path):
+    """Column chunks are read as their pages are needed, so a task's memory doesn't follow the size of row groups."""
+    texts = [os.urandom(1000).hex() for _ in range(20_000)]
+    pq.write_table(pa.table({"text": texts}), tmp_path / "notes.parquet", row_group_size=len(texts), compression="none", use_dictionary=False)
+    reader = C.TargetReader({"path": str(tmp_path)}, "discover")
+    (part,) = reader.partitions()
+    held, most, got = pa.total_allocated_bytes(), 0, []
+    for batch in reader.read(part):
+        most = max(most, pa.total_allocated_bytes() - held)
+        got += batch.column(2).to_pylist()
+    assert got == texts and most < 30_000_000  # of 40 MB
+
+
 def lines_of(spark, out):
     return sorted(r.value for r in spark.read.parquet(out).collect())
 

@@ -80,3 +80,15 @@ def test_engines_sample_in_their_own_ways(spark):
     assert taken["mongodb"] == {r.id for r in S.engine_sample(table.repartition(7), "mongodb", "id", 100, 5).collect()} != {r.id for r in S.engine_sample(table, "mongodb", "id", 100, 6).collect()}
     low = min(taken["sqlite"])
     assert taken["sqlite"] == set(range(low, low + 300)) or {0, 49_999} <= taken["sqlite"]
+
+
+def test_column_statistics_need_no_sort(spark):
+    """A task holds a row for each column and classifier, not its values; what is equal in all values is still told."""
+    data = {"one": ["to a@x.org"] * 5, "two": ["a@x.org, b@x.org"] * 5, "last": ["a@x.org"] * 4 + ["b@x.org"], "few": ["a@x.org"] * 2, "none": ["a", "n/a"]}
+    values = spark.createDataFrame([("t", f, v) for f, vs in data.items() for v in vs], "object string, field string, value string")
+    stats = V.column_statistics(V.scanned(values, ("email", "card_number")))
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+    alike = {r.field: (r.least_code_0 == r.greatest_code_0, r.least_code_1 == r.greatest_code_1) for r in stats.where("matched > 0").collect()}
+    assert alike == {"one": (True, True), "two": (False, False), "last": (False, False), "few": (True, True)}
+    assert {r.field for r in V.findings(values, ("email", "card_number")).collect()} == {"two", "last", "few"}
