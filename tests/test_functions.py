@@ -1,6 +1,7 @@
 """Detectors, masks, names and statements against known values."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from lakeward.functions import names as N
 from lakeward.functions import phones as P
 from lakeward.functions.sqlshape import analyze, sql_shape
 from lakeward.operators.correlation import fold_baseline
+from lakeward.plans.discovery_queries import _planted
 from lakeward.sources.sampling import sample_percent
 
 
@@ -231,3 +233,57 @@ def test_hints_of_column_names():
     cases = {"EmailAddress": {"email"}, "email_verified": set(), "date_naissance": {"birth_date"}, "customerFirstName": {"person_name"}, "secret_access_key": {"aws_key"}, "file_hash": set(), "pwd_hash": {"password_hash"}, "Telefon-Nr": {"phone"},
              "ｐｈｏｎｅ": {"phone"}, "prénom": {"person_name"}, "zip_code": {"postal_address"}, "iban": {"iban"}, "note": set(), "": set(), "card_type": set()}
     assert {name: hints(name) for name in cases} == cases
+
+
+def _texts(seed, parts, n=4000):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_searches_find_what_their_patterns_do(spark):
+    digits, gaps = ["0", "1", "3", "4", "6", "9", "06", "00", "33", "55", "212", "5550", "1234"], [" ", " ", "-", ".", "/", "(", ")", "+", "+33", "(0)", "x", "é", "\n"]
+    written = ["(202) 555-0125", "1 202 555 0125", "01 99 00 27 59", "+1 20255", "0012025", "+12025", "04/123 45 67", "06 12345678", "(020) 1234 5678", "3912345678", "912 345 678", "0151/2345678", "010203040506"]
+    codes = ["DE", "fr", "GB", "No", "x", "89", "37040044", "0532013000", "7", "A", "b", " ", ".", "-", "_", "NO9386011117947", "de89 3704 0044 0532 0130 00"]
+    starts = ["$", "{", "}", "*", "U", "bcrypt", "bcrypt_sha256", "argon2", "scrypt", "pbkdf2_sha256", "md5", "MD5", "sha1", "unsalted_", "SCRAM-SHA-256", "S:", "SSHA", "CRYPT", "2b$12$", "1$", "P$", "S$", "v=19$m=1,t=2$", " "]
+    body = ["0" * 32, "A" * 16, "ab" * 11, "F" * 60, "a1" * 20, "x" * 53, "/." * 26, "=", ":", "$", "4096", "$", "salt"]
+    cases = [(P.PHONE, P.PHONE_SEARCH, _texts(1, digits + gaps) + _texts(2, written + gaps + digits[:6])), (D.IBAN_SHAPE, D.IBAN_SEARCH, _texts(3, codes + [" ", " NO9386011117947 ", " be68-5390-0754-7034"] * 3)), (D.PASSWORD_HASH, D.HASH_SEARCH, _texts(4, starts + body + ["{SSHA}" + "0" * 32, "bcrypt$$2b$12$" + "x" * 53, " md5" + "0" * 32 + " ", "*" + "A" * 40 + " "]))]
+    for pattern, search, texts in cases:
+        rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", D.extract(F.col("v"), pattern).alias("a"), D.extract(F.col("v"), search).alias("b")).collect()
+        assert [r for r in rows if r.a != r.b] == [] and sum(len(r.a) for r in rows) > 200
+
+
+def test_numbers_of_accounts_and_cards_against_plain_code(spark):
+    rng = random.Random(5)
+    number = lambda s: int("".join(str(int(c, 36)) for c in s))
+
+    def iban(country, length, alphabet):
+        account = "".join(rng.choice(alphabet) for _ in range(length - 4))
+        return f"{country}{(98 - number(account + country + '00') % 97 + rng.choice((0, 0, 1, 97))) % 100:02}{account}"
+
+    ibans = [iban(c, n + rng.choice((0, 0, 0, 1)), a) for c, n in D.IBAN_LENGTHS.items() for a in ("0123456789", "0123456789ABCXYZ", "0") for _ in range(4)] + ["XX" + "1" * 20, "DE", "", "DE8937040044053201300\n"]
+    fits = lambda v: D.IBAN_LENGTHS.get(v[:2]) == len(v) and number(v[4:] + v[:4]) % 97 == 1
+    rows = spark.createDataFrame([(v,) for v in ibans], "v string").select("v", F.coalesce(D.valid_iban(F.col("v")), F.lit(False)).alias("ok"), F.coalesce(D.valid_iban(F.concat_ws(" ", F.substring("v", 1, 7), F.lower(F.substring("v", 8, 99)))), F.lit(False)).alias("written")).collect()
+    assert all(r.ok == r.written == fits(r.v) for r in rows if r.v.isalnum() and len(r.v) > 4) and 100 < sum(r.ok for r in rows) < len(rows) and not any(r.ok for r in rows[-4:])
+
+    luhn = lambda s: sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, s[::-1]))) % 10 == 0
+    known = lambda s: 13 <= len(s) <= 19 and luhn(s) and any(re.match(p, s) and len(s) in n for p, n in D.CARD_RANGES)
+    runs = [" ".join(rng.choice(("4111", "5", "1111", "378282246310005", "4111111111111111", "4222222222222", "12", "0")) for _ in range(rng.randint(1, 6))) for _ in range(2000)]
+
+    def longest(run):
+        groups = re.split("[ -]", run)
+        return next((s for k in range(len(groups), 0, -1) for s in ["".join(groups[:k])] if known(s)), None)
+
+    got = {r.v: (r.a, r.b) for r in spark.createDataFrame([(v,) for v in runs], "v string").select("v", D.card_number(F.col("v")).alias("a"), D.card_number(F.translate("v", " ", "-")).alias("b")).collect()}
+    assert all(got[v] == (longest(v), longest(v)) for v in runs) and sum(a is not None for a, _ in got.values()) > 50
+
+
+def test_folding_leaves_plain_text(spark):
+    for text, folded in (("a–b", "a-b"), ("a-b", "a-b"), ("", ""), ("né −", "né -"), (None, None)):
+        assert one(spark, text, D.typographic_fold) == folded
+
+
+def test_planted_orders_are_dealt_out(spark):
+    """A table of one row group would be built and scanned in one task."""
+    planted = _planted(spark, "/root/testdata/sf0.001")
+    sizes = [r["count"] for r in planted.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * min(sizes)
