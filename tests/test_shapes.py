@@ -62,6 +62,53 @@ def test_budgets_and_odd_documents(spark):
     assert S.flatten_documents(frame(spark, docs).where("false"), "id", "doc", S.Shape()).count() == 0 and S.learn_shape(frame(spark, docs).where("false"), "doc") == S.Shape(frozenset(), {})
 
 
+def test_nested_maps_take_one_reading_of_all_documents(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = [{"by": {letters(i): {"seen": {letters(7 * i): {"at": {letters(5 * i): i}}}}}, "rare": {letters(3 * i + k): k for k in range(3)} if i > 1900 else {}} for i in range(2000)]
+    counted = frame(spark, docs, 2).mapInArrow(count, "id long, doc string")
+    shape = S.learn_shape(counted, "doc")
+    assert set(shape.dynamic) == {"by", "by\x1f*\x1fseen", "by\x1f*\x1fseen\x1f*\x1fat", "rare"} and shape.fields == {"by\x1f*": {"seen"}, "by\x1f*\x1fseen\x1f*": {"at"}}
+    assert seen.value <= 3 * len(docs)  # the first ones, all, and all again since `rare` is only told by later ones
+
+
+def test_documents_of_orders_are_dealt_out(spark):
+    from lakeward.plans.source_queries import _documents
+
+    assert _documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_short_and_long_texts_are_walked_alike():
+    rng = random.Random(4)
+
+    def value(depth):
+        if depth > rng.choice([2, 3, 24]) or rng.random() < 0.3:
+            return rng.choice([None, 1, 0, True, 1.5, "s", ""])
+        n = rng.choice([0, 1, 2, 3, 18]) if depth < 3 else rng.choice([1, 1, 2])
+        return [value(depth + 1) for _ in range(n)] if rng.random() < 0.4 else {rng.choice(["a", "b", "2024", letters(k)]): value(depth + 1) for k in range(n)}
+
+    def walked(doc, shape):
+        keys, found, values = set(), [], []
+        cut = S.walk(json.dumps(doc), S.Level(shape, frozenset(), {}), keys, found, values)
+        return keys, list(zip(found, values)), cut
+
+    pad, cuts = "," * S.MOST_VALUES, set()
+    for shape in (S.Shape(), S.Shape(frozenset({"a", "d[]\x1fb"}), {"d": frozenset("ab"), "d[]": frozenset("ab")})):
+        for i in range(300):
+            doc = {"d": value(0)}
+            for _ in range(i % 30):
+                doc = {"d": doc} if i % 2 else {"d": [doc]}
+            keys, leaves, cut = walked(doc, shape)
+            assert walked({**doc, "pad": pad}, shape) == (keys, [*leaves, ("pad", pad)], cut) or cut & {"values", "visits"}
+            cuts |= cut
+    assert {"depth", "elements"} <= cuts
+
+
 def test_walk_equals_a_global_sort(spark):
     rng = random.Random(2)
     keys = [(f"user:{i}:mail", "string") for i in range(3000)] + [(f"phone:{i}", "hash") for i in range(40)] + [(f"addressbook:{i}", "hash") for i in range(5)] + [("cfg/mode", "string"), (None, "string"), ("user:1:mail", "string")]
