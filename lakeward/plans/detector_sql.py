@@ -81,8 +81,8 @@ def card_sql() -> str:
     WHERE length(p) BETWEEN 13 AND 19 AND {luhn('p')} AND {card_prefix('p')} GROUP BY k)"""
 
 
-def scan_sql(sample: str, classifiers: tuple[str, ...]) -> str:
-    """CTEs vals (rid, object, field, ph), tok (rid, classifier, raw, ok, grade) and st (statistics)."""
+def scan_sql(sample: str, classifiers: tuple[str, ...], whole: bool = False) -> str:
+    """CTEs vals (rid, object, field, ph), tok (rid, classifier, raw, ok, grade) and st (statistics); of whole values, or of their prefixes."""
     phones = f"SELECT rid, x, {PHONE_FORM.grade('x')} AS grade FROM (SELECT rid, unnest(regexp_extract_all(t, '{P.PHONE}')) AS x FROM cut)"
     plain = lambda c, pattern, ok: f"SELECT rid, '{c}' AS classifier, x AS raw, {ok} AS ok, NULL AS grade FROM (SELECT rid, unnest(regexp_extract_all(t, '{pattern}')) AS x FROM cut)"
     tokens = {
@@ -97,7 +97,7 @@ def scan_sql(sample: str, classifiers: tuple[str, ...]) -> str:
     yes = lambda test: f"CAST(sum(CASE WHEN {test} THEN 1 ELSE 0 END) AS BIGINT)"
     return f"""{sample},
   vals AS (SELECT row_number() OVER () AS rid, object, field, value, {PLACEHOLDER.format('value')} AS ph FROM smp WHERE value <> ''),
-  cut AS (SELECT rid, {PREFIX_OF.format('v')} AS t FROM (SELECT rid, {FOLD.format('value')} AS v FROM vals)),
+  cut AS (SELECT rid, {'v' if whole else PREFIX_OF.format('v')} AS t FROM (SELECT rid, {FOLD.format('value')} AS v FROM vals)),
   {card_sql()},
   tok AS ({" UNION ALL ".join(tokens[c] for c in classifiers)}),
   per AS (SELECT rid, classifier, count(*) FILTER (ok) AS valid, min(raw) FILTER (ok) AS lo, max(raw) FILTER (ok) AS hi, max(grade) AS grade, true AS cand FROM tok GROUP BY 1, 2),

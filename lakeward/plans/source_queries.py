@@ -27,10 +27,10 @@ def connector_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def connector_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The discovery scan over all rows that the connector reads; the fields are selected in its plan."""
+    """The discovery scan over all rows that the connector reads, and whole values; the fields are selected in its plan."""
     names = sorted({c for columns in _COLUMNS.values() for c in columns})
     values = Connector(spark, sf_dir, include=sorted(_COLUMNS)).discover().where(F.col("field").isin(*names))
-    scan = V.scanned(values, ("email", "card_number"))
+    scan = V.scanned(values, ("email", "card_number"), whole=True)
     return V.decide(V.column_statistics(scan), V.hinted(_COLUMNS)).select("object", "field", "classifier", "sampled", "n", "matched", "candidates", "reported", "confidence")
 
 
@@ -88,7 +88,7 @@ ORACLE_SQL = {
     "connector_check": " UNION ALL ".join(f"SELECT '{t}' AS object, true AS readable, CAST(NULL AS VARCHAR) AS problem, count(*) AS rows FROM {t}" for t in _CHECKED),
     "connector_catalog": f"""WITH n AS ({" UNION ALL ".join(f"SELECT '{t}' AS object, count(*) AS rows FROM {t}" for t in _CHECKED)})
       SELECT object, column_name AS field, rows FROM n JOIN information_schema.columns c ON c.table_name = n.object WHERE c.table_name IN ({_LISTED})""",
-    "connector_discovery": f"""WITH {Q.scan_sql(Q.sample_sql(_COLUMNS, _KEYS, _ALL_ROWS), ('email', 'card_number'))}
+    "connector_discovery": f"""WITH {Q.scan_sql(Q.sample_sql(_COLUMNS, _KEYS, _ALL_ROWS), ('email', 'card_number'), whole=True)}
       SELECT object, field, classifier, sampled, n, matched, candidates, reported, confidence FROM (SELECT *, {Q.decided()} FROM st)""",
     "shape_paths": """WITH o AS (SELECT *, o_orderkey % 20 + 1 AS lines FROM orders), p AS (
       SELECT 'status' AS path, CAST(NULL AS VARCHAR) AS cut, o_orderstatus AS v FROM o UNION ALL SELECT 'terms.priority', NULL, o_orderpriority FROM o UNION ALL SELECT 'terms.account', NULL, CAST(o_custkey AS VARCHAR) FROM o

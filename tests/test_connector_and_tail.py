@@ -2,11 +2,13 @@
 
 import os
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from lakeward.plans import source_queries
 from lakeward.sources import connector as C
 from lakeward.sources import tail as T
 from lakeward.streaming.audit_stream import write_idempotent
@@ -74,6 +76,22 @@ def test_a_row_group_is_read_in_parts(tmp_path):
     assert got == texts and most < 30_000_000  # of 40 MB
 
 
+def test_discovery_scans_values_to_their_end(spark, tmp_path):
+    card, far = "4111 1111 1111 1111", "word é, " * 40_000
+    texts = [far + f"ann@corp.org or {card}", "x" * 8180 + f" {card} " + far, far + "bob@corp.org.", far, "none", None]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"page_id": [1, 2], "html": [far + "<p>\u00a04111\u20111111\u20111111\u20111111</p>", "<p>"], "url": ["http://a.org", None]}), tmp_path / "pages.parquet")
+    pq.write_table(pa.table({"conv_id": [1], "turn": [0], "text": [far + "cy@corp.org" + far]}), tmp_path / "conversations.parquet")
+    pq.write_table(pa.table({"c_custkey": [1], "c_name": ["Customer"], "c_mktsegment": ["X"]}), tmp_path / "customer.parquet")
+    columns = ["object", "field", "classifier", "sampled", "n", "matched", "candidates", "reported", "confidence"]
+    got = {tuple(r) for r in source_queries.connector_discovery(spark, str(tmp_path)).select(columns).collect()}
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations", "customer"):
+        con.sql(f"create view {t} as from '{tmp_path}/{t}.parquet'")
+    assert got == set(con.sql(f"select {', '.join(columns)} from ({source_queries.ORACLE_SQL['connector_discovery']})").fetchall())
+    assert {r[:3]: r[5] for r in got if r[5]} == {("documents", "text", "email"): 2, ("documents", "text", "card_number"): 2, ("pages", "html", "card_number"): 1, ("conversations", "text", "email"): 1}
+
+
 def lines_of(spark, out):
     return sorted(r.value for r in spark.read.parquet(out).collect())
 
